@@ -144,7 +144,7 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
         return words
     if n < k:
         s = (words * ORDER[1 : n + 1]).sum(dtype=np.uint64, keepdims=True)
-        return mix(s + _U(n) * ORDER[40])
+        return mix(s + np.array([n], np.uint64) * ORDER[40])
     s = words[: n - k + 1] * ORDER[1]
     for j in range(1, k):
         s = s + words[j : n - k + 1 + j] * ORDER[1 + j]

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, tokencount
+from . import mixing, packing, sketch, store, tokencount
 from .shared import table
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.store_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
@@ -22,5 +26,9 @@ def op7_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_mix_sources, op6_pack_sequences, op7_count_tokens)}
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_store, op5_mix_sources, op6_pack_sequences, op7_count_tokens, op10_fingerprints)}
 SQL: dict[str, str] = {"op5_mix_sources": mixing.DIGEST_SQL}
