@@ -6,14 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, sketch, store, tokencount
+from . import language, mixing, packing, quality, sketch, store, substrings, tokencount, topk
 from .shared import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.store_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_digest(table(spark, sf_dir, "documents"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
@@ -26,9 +38,13 @@ def op7_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_store, op5_mix_sources, op6_pack_sequences, op7_count_tokens, op10_fingerprints)}
-SQL: dict[str, str] = {"op5_mix_sources": mixing.DIGEST_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_token_store, op3_repeated_spans, op4_language, op5_mix_sources, op6_pack_sequences, op7_count_tokens, op9_top_k, op10_fingerprints)}
+SQL: dict[str, str] = {"op5_mix_sources": mixing.DIGEST_SQL, "op9_top_k": topk.TOP_K_SQL}
