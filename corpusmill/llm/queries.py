@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, packing, quality, sketch, store, substrings, tokencount, topk
+from . import jaccard, language, mixing, packing, quality, sketch, store, substrings, tokencount, topk
 from .shared import table
 
 
@@ -38,6 +38,10 @@ def op7_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.component_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -46,5 +50,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_token_store, op3_repeated_spans, op4_language, op5_mix_sources, op6_pack_sequences, op7_count_tokens, op9_top_k, op10_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_token_store, op3_repeated_spans, op4_language, op5_mix_sources, op6_pack_sequences, op7_count_tokens, op8_jaccard_components, op9_top_k, op10_fingerprints)}
 SQL: dict[str, str] = {"op5_mix_sources": mixing.DIGEST_SQL, "op9_top_k": topk.TOP_K_SQL}
