@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import shingles, texts, word_hashes
-from .shared import shuffle_partitions, staged
+from .shared import fresh, shuffle_partitions, staged
 from .substrings import _pack, _unpack, keyed
 
 MEMBERS, SAMPLE, COMMON, EXTRA, CELL_ENTRIES, TASK_BYTES, CHUNK_BYTES, SHARED_PIVOTS = 1024, 8000, 0.005, 0.04, 500_000, 8 << 20, 12 << 20, 16
@@ -392,9 +392,10 @@ def component_digest(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 def one_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """The rows of ``docs`` that are the first of their component, each once."""
     found = linked_components(docs, rule)
-    kept = staged(found.where("k = keeper").select(F.col("k").alias("jaccard_key")), "jaccard-kept")
-    own = docs.withColumn("jaccard_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))))
-    out = own.join(kept.distinct(), "jaccard_key", "left_semi")
-    if kept.groupBy("jaccard_key").count().where("count > 1").limit(1).count():  # rows that repeat a doc_id
-        out = out.dropDuplicates(["jaccard_key"])
+    key = fresh("jaccard_key", docs.columns)
+    kept = staged(found.where("k = keeper").select(F.col("k").alias(key)), "jaccard-kept")
+    own = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))))
+    out = own.join(kept.distinct(), key, "left_semi")
+    if kept.groupBy(key).count().where("count > 1").limit(1).count():  # rows that repeat a doc_id
+        out = out.dropDuplicates([key])
     return out.select(*docs.columns)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import fresh, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 RANK_BUCKETS = 4096
@@ -85,23 +85,37 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_SOURCES else df
 
 
+MIXED = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
+
+
 def pareto_mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (5, 2, 1), seed: str = SEED) -> DataFrame:
-    """``docs`` (doc_id, text, source and any others) with mix_size, mix_source_size, mix_target and mix_copies."""
+    """``docs`` (doc_id, text, source and any others) and, as its last four columns, MIXED: the document's words, its
+    source's, its source's target, and how often it is taken.  A name that ``docs`` has already gets underscores."""
     sizes = docs.select("doc_id", "source", size_of(F.col("text")).alias("size")).withColumn("u", uniform_of(F.col("doc_id"), seed))
     sizes = staged(sizes, "mix-sizes")
     cut = _small(cutoffs(sizes, share, cap, weights))
     return _apply(docs, size_of(F.col("text")), cut, seed)
 
 
+def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
+    """Each row of a mix as often as it is taken, with ``columns`` alone."""
+    copies = mixed.columns[-1]
+    times = fresh("mix_time", mixed.columns)
+    taken = mixed.where(F.col(copies) > 0)
+    return taken.withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*columns)
+
+
 def _apply(docs: DataFrame, size: Column, cut: DataFrame, seed: str) -> DataFrame:
-    names = [c for c in docs.columns]
-    cut = cut.select(*[F.col(c).alias(f"mix__{c}") for c in cut.columns])
+    names = list(docs.columns)
+    own = {c: fresh(f"mix_cut_{c}", names) for c in cut.columns}
+    cut = cut.select(*[F.col(c).alias(n) for c, n in own.items()])
     u = uniform_of(F.col("doc_id"), seed)
     key = F.struct(u.alias("u"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"))
     bucket = F.floor(u * RANK_BUCKETS)
-    extra = F.coalesce((bucket < F.col("mix__bucket")) | ((bucket == F.col("mix__bucket")) & (key <= F.col("mix__last"))), F.lit(False))
-    joined = docs.join(cut, F.col("source").eqNullSafe(F.col("mix__cut_source")))
-    return joined.select(*names, size.alias("mix_size"), F.col("mix__source_size").alias("mix_source_size"), F.col("mix__target").alias("mix_target"), (F.col("mix__whole") + extra.cast("long")).cast("long").alias("mix_copies"))
+    extra = F.coalesce((bucket < F.col(own["bucket"])) | ((bucket == F.col(own["bucket"])) & (key <= F.col(own["last"]))), F.lit(False))
+    joined = docs.join(cut, F.col("source").eqNullSafe(F.col(own["cut_source"])))
+    values = (size, F.col(own["source_size"]), F.col(own["target"]), (F.col(own["whole"]) + extra.cast("long")).cast("long"))
+    return joined.select(*names, *[v.alias(fresh(n, names)) for n, v in zip(MIXED, values)])
 
 
 def mix_digest(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (5, 2, 1), seed: str = SEED) -> DataFrame:

@@ -177,19 +177,19 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", samp
     return fit(rows, found.column("y").to_numpy())
 
 
-def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with quality_score and quality_pass (1 if the score reaches ``threshold``, else 0)."""
+def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD, names: tuple[str, str] = ("quality_score", "quality_pass")) -> DataFrame:
+    """``docs`` with two columns more: the score, and 1 if it reaches ``threshold``, else 0."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the fitting sample
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
+    schema = ["`" + f.name.replace("`", "``") + "` " + f.dataType.simpleString() for f in docs.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .kernels import texts
 
         for batch in batches:
             score = np.array([held.value.score(t) for t in texts(batch.column("text"))], dtype=np.float64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*batch.schema.names, "quality_score", "quality_pass"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, ", ".join([*schema, "quality_score double", "quality_pass int"]))
+    return docs.mapInArrow(run, ", ".join([*schema, f"`{names[0]}` double", f"`{names[1]}` int"]))
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import BYTE_VALUE, ORDER, SECOND_VALUE, mix, powers, prefix_sums, sliding_min, texts, window_hashes
-from .shared import shuffle_partitions, staged
+from .shared import fresh, shuffle_partitions, staged
 
 LENGTH, HOT, TASK_BYTES = 400, 1500, 3 << 20
 _POSITION = np.uint64((1 << 20) - 1)
@@ -360,9 +360,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first",
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(out, pa.string())], ["k", "spans_text"])
 
     changed = joined.where("size(full) > 0 OR size(found) > 0").mapInArrow(run, "k long, spans_text string").dropDuplicates(["k"])
-    own = docs.withColumn("spans_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))))
-    own = own.join(changed.withColumnRenamed("k", "spans_key"), "spans_key", "left")
-    new = {"text": F.coalesce("spans_text", "text")}
+    key, cut = fresh("spans_key", docs.columns), fresh("spans_text", docs.columns)
+    own = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))))
+    own = own.join(changed.select(F.col("k").alias(key), F.col("spans_text").alias(cut)), key, "left")
+    new = {"text": F.coalesce(cut, "text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("spans_text").isNotNull(), F.length("spans_text").cast("long")).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.when(F.col(cut).isNotNull(), F.length(cut).cast("long")).otherwise(F.col("n_chars"))
     return own.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
