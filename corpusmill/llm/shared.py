@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..deploy import ship
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one only on a local master where it is unset."""
@@ -26,7 +28,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
-    spark = df.sparkSession
+    spark = ship(df.sparkSession)
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -43,7 +45,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fresh(name: str, taken: list[str]) -> str:
