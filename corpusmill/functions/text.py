@@ -17,20 +17,26 @@ FONT_MACROS = ("mathrm", "mathbf", "mathit", "mathcal", "text", "rm", "bf", "it"
 ACCENT_MARKS = {"'": "́", "`": "̀", "^": "̂", '"': "̈", "~": "̃"}
 
 
-@F.pandas_udf("string")
-def unescape_html(s: pd.Series) -> pd.Series:
+def _unescaped(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
+def unescape_html(text: Column) -> Column:
+    return F.pandas_udf(_unescaped, "string")(text)
+
+
 def _strip(t: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
 
 
-@F.pandas_udf("string")
-def strip_accents(s: pd.Series) -> pd.Series:
+def _stripped(s: pd.Series) -> pd.Series:
     return s.map(_strip, na_action="ignore")
 
 
+def strip_accents(text: Column) -> Column:
+    return F.pandas_udf(_stripped, "string")(text)
+
+
 def compose_accents(text: Column) -> Column:
     r"""LaTeX accents such as \'e on a letter become the accented letter."""
     for mark, base in ((m, b) for m in ACCENT_MARKS for b in "aeiouAEIOUnN"):
