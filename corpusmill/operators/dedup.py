@@ -21,10 +21,10 @@ def keep_last(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 def collapse_versions(rows: DataFrame, base: str, version: str, date: str, title: str, terms: str) -> DataFrame:
     """One row a work: version 1 if there is one, else the earliest; its date is the earliest of all; an empty title
     comes from the highest version; terms of all versions, in version order, each once."""
-    first = F.struct((F.col(version) != 1).cast("int").alias("other"), F.coalesce(date, F.lit("9999")).alias("date"), version)
+    first = F.struct((F.col(version) != 1).cast("int").alias("other"), F.coalesce(date, F.lit("9999")).alias("date"), version, title)
     out = rows.groupBy(base).agg(
         F.min_by(F.struct(version, title), first).alias("chosen"),
-        F.max_by(title, version).alias("latest_title"),
+        F.max_by(title, F.struct(version, title)).alias("latest_title"),
         F.min(date).alias("first_date"),
         F.count("*").alias("n_versions"),
         F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(version, terms))), lambda x: x[terms]))).alias("all_terms"),
