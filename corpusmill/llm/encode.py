@@ -7,16 +7,32 @@ the pieces it has met, up to ``MEMO`` of them.  Texts with rarer kinds of white
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
-MEMO = 600_000
+MEMO = 1_000_000
+_CLOSING = ".,;:!?"
 _PIECES = re.compile(r"[ \n\t]*[^ \n\t]+|[ \n\t]+").findall
 _RARE = re.compile("[\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]").search
 
 
+def byte_symbols() -> dict[int, str]:
+    """The printable stand-in of each byte in byte-level vocabularies: itself if printable, else 256 and up in turn."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = {b: chr(b) for b in plain}
+    for b in range(256):
+        if b not in out:
+            out[b] = chr(256 + len(out) - len(plain))
+    return out
+
+
+_SYMBOLS = {b: s for b, s in byte_symbols().items()}
+
+
 class _Index(dict):
     """Text piece -> running number; new pieces are noted."""
 
@@ -74,6 +90,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
+        self.model = self.tokenizer.model
+        with open(tokenizer_path(name), encoding="utf-8") as f:
+            spec = {k: v for k, v in json.load(f).items() if k in ("normalizer", "pre_tokenizer", "model")}
+        steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        before = spec["pre_tokenizer"] or {}
+        split = [x for x in before.get("pretokenizers", [before]) if x.get("type") == "ByteLevel"]
+        self.folds = "Lowercase" in steps
+        # The short way below knows the two kinds of byte-level files: words with their space, or case-folded without.
+        self.plain = spec["model"]["type"] == "BPE" and len(split) == 1 and not split[0]["add_prefix_space"] and (self.folds and steps == ["NFC", "Replace", "Lowercase"] or not spec["normalizer"] and before["type"] == "ByteLevel")
         self.pieces = Pieces(" ")
         self._reset()
 
@@ -96,22 +121,45 @@ class Encoder:
         out[: len(array)] = array
         return out
 
+    def _by_model(self, piece: str) -> list[int] | None:
+        """Ids of a word, perhaps with closing punctuation, straight from the library's model: the same pre-tokens, found
+        without its slower pattern.  None for any other piece."""
+        lead, word = ("Ġ", piece[1:]) if piece[:1] == " " else ("", piece)
+        tail = ""
+        if not word.isalpha():
+            bare = word.rstrip(_CLOSING)
+            word, tail = bare, word[len(bare) :]
+            if not word.isalpha():
+                return None
+        if self.folds:
+            lead = ""
+            if not word.isascii() and (max(word) > "\u024f" or "İ" in word):
+                return None
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_SYMBOLS)
+        ids = [t.id for t in self.model.tokenize(lead + word)]
+        return ids + [t.id for t in self.model.tokenize(tail)] if tail else ids
+
     def _settle(self) -> None:
         new, self.pieces.new = self.pieces.new, []
         if not new:
             return
         n = self.known + len(new)
         self.at, self.size, self.odd = (self._grow(x, n) for x in (self.at, self.size, self.odd))
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        for a in range(0, len(new), 8192):
+            part = new[a : a + 8192]
+            found = [self._by_model(p) for p in part] if self.plain else [None] * len(part)
+            left = [i for i, x in enumerate(found) if x is None]
+            for i, x in zip(left, self.tokenizer.encode_batch_fast([part[i] for i in left], add_special_tokens=False)):
+                found[i] = x.ids
+            self.odd[[self.known + i for i in left]] = [rare(part[i]) for i in left]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             total, k = int(sizes.sum()), self.known
             self.ids = self._grow(self.ids, self.used + total)
-            self.ids[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
+            self.ids[self.used : self.used + total] = list(chain.from_iterable(found))
             self.size[k : k + len(part)] = sizes
             self.at[k : k + len(part)] = self.used + np.cumsum(sizes) - sizes
-            self.odd[k : k + len(part)] = np.fromiter(map(rare, part), np.int64, len(part))
             self.used += total
             self.known += len(part)
 

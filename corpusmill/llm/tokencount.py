@@ -18,23 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encode import MEMO, Pieces, in_parts, rare, tokenizer_path
+from .encode import MEMO, Pieces, byte_symbols, in_parts, rare, tokenizer_path
 
 #: The pre-token pattern of byte-level BPE files: a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.int64(1 << 40)
 
 
-def byte_symbols() -> dict[int, str]:
-    """The printable stand-in of each byte in byte-level vocabularies: itself if printable, else 256 and up in turn."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    out = {b: chr(b) for b in plain}
-    for b in range(256):
-        if b not in out:
-            out[b] = chr(256 + len(out) - len(plain))
-    return out
-
-
 class Merger:
     """Counts the tokens of pre-tokens by the merge ranks of a byte-level BPE file."""
 
