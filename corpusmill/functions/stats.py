@@ -17,13 +17,14 @@ def share_ratio(t: Column, p: Column, scope_t: Column, scope_p: Column) -> Colum
 
 
 def raw_growth(t: Column, p: Column) -> Column:
-    return F.when(p > 0, t / p - 1)
+    return F.try_divide(t, p) - 1
 
 
 def poisson_bounds(t: Column, p: Column, scope_t: Column, scope_p: Column, z: float = Z95) -> tuple[Column, Column]:
     """exp(log R -+ z sqrt(1/t + 1/p + 1/scope_t + 1/scope_p))."""
     r = share_ratio(t, p, scope_t, scope_p)
-    spread = F.lit(z) * F.sqrt(1 / t + 1 / p + 1 / scope_t + 1 / scope_p)
+    inverse = [F.try_divide(F.lit(1.0), c) for c in (t, p, scope_t, scope_p)]
+    spread = F.lit(z) * F.sqrt(inverse[0] + inverse[1] + inverse[2] + inverse[3])
     return F.exp(F.log(r) - spread), F.exp(F.log(r) + spread)
 
 
@@ -33,9 +34,9 @@ def trend_label(r: Column, low: Column, high: Column) -> Column:
 
 def wilson_bounds(s: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     """Wilson score interval clipped to [0, 1], three decimals; null without trials."""
-    p, d = s / n, 1 + z * z / n
-    mid = (p + z * z / (2 * n)) / d
-    half = F.lit(z) * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / d
+    p, per = F.try_divide(s, n), F.try_divide(F.lit(z * z), n)
+    mid = (p + per / 2) / (1 + per)
+    half = F.lit(z) * F.sqrt(F.try_divide(p * (1 - p), n) + F.try_divide(per, 4 * n)) / (1 + per)
     return (F.when(n > 0, F.round(F.greatest(F.lit(0.0), mid - half), 3)), F.when(n > 0, F.round(F.least(F.lit(1.0), mid + half), 3)))
 
 
@@ -44,15 +45,15 @@ def unique_estimate(n: Column, dup: Column, rate: Column) -> Column:
 
 
 def safe_share(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, F.round(part / whole, 4))
+    return F.round(F.try_divide(part, whole), 4)
 
 
 def ols(y: Column, x: Column) -> dict[str, Column]:
     """Aggregates of y on x: n, slope, its standard error and t (t is 0 where the error is 0; null below 3 points)."""
     n, slope = F.count(y), F.regr_slope(y, x)
-    rss = F.greatest(F.regr_syy(y, x) - F.regr_sxy(y, x) * F.regr_sxy(y, x) / F.regr_sxx(y, x), F.lit(0.0))
-    se = F.when(n > 2, F.sqrt(rss / (n - 2) / F.regr_sxx(y, x)))
-    return {"n": n, "slope": slope, "se": se, "t": F.when(se > 0, slope / se).when(se == 0, F.lit(0.0))}
+    rss = F.greatest(F.regr_syy(y, x) - F.try_divide(F.regr_sxy(y, x) * F.regr_sxy(y, x), F.regr_sxx(y, x)), F.lit(0.0))
+    se = F.when(n > 2, F.sqrt(F.try_divide(F.try_divide(rss, n - 2), F.regr_sxx(y, x))))
+    return {"n": n, "slope": slope, "se": se, "t": F.when(se > 0, F.try_divide(slope, se)).when(se == 0, F.lit(0.0))}
 
 
 def slope_sign(t: Column, bound: float = 2.0) -> Column:
@@ -67,11 +68,11 @@ def contradicts(label: Column, sign: Column) -> Column:
 def pooled_z(x: Column, n: Column, pooled: Column) -> Column:
     """(x - n p) / sqrt(n p (1 - p))."""
     var = n * pooled * (1 - pooled)
-    return F.when(var > 0, (x - n * pooled) / F.sqrt(var))
+    return F.try_divide(x - n * pooled, F.sqrt(var))
 
 
 def lift(both: Column, a: Column, b: Column, total: Column) -> Column:
-    return F.when((a > 0) & (b > 0), both * total / (a * b))
+    return F.try_divide(both * total, a * b)
 
 
 def over_representation(c_n: Column, n: Column, c_d: Column, d: Column) -> Column:
@@ -85,9 +86,9 @@ def prefix_length(n: Column, threshold: float) -> Column:
 
 def upper_median(values: Column) -> Column:
     """sorted[n // 2] of an array."""
-    return F.element_at(F.array_sort(values), (F.size(values) / 2).cast("int") + 1)
+    return F.try_element_at(F.array_sort(values), (F.size(values) / 2).cast("int") + 1)
 
 
 def set_jaccard(a: Column, b: Column) -> Column:
     both = F.size(F.array_intersect(a, b))
-    return both / (F.size(a) + F.size(b) - both)
+    return F.try_divide(both, F.size(a) + F.size(b) - both)

@@ -97,7 +97,7 @@ def sections(text: Column, marker: str = r"\n(?=## )") -> Column:
 def table_rows(text: Column) -> Column:
     """Cells of the pipe table lines of a text, separator lines left out: array of arrays."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^\s*\|.*\|\s*$") & ~x.rlike(r"^[\s|:\-]+$"))
-    return F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), F.trim))
+    return F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), lambda y: F.trim(y)))
 
 
 def strip_markdown(text: Column) -> Column:

@@ -32,8 +32,8 @@ def with_ratios(counted: DataFrame) -> DataFrame:
     low, high = F.when(r.isNotNull(), low), F.when(r.isNotNull(), high)
     return counted.select(
         "*",
-        F.round(t / st, 6).alias("share_t"),
-        F.round(p / sp, 6).alias("share_p"),
+        F.round(F.try_divide(t, st), 6).alias("share_t"),
+        F.round(F.try_divide(p, sp), 6).alias("share_p"),
         F.round(r, 6).alias("ratio"),
         F.round(stats.raw_growth(t, p), 6).alias("growth"),
         F.round(low, 6).alias("ci_low"),
