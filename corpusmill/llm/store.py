@@ -43,7 +43,7 @@ def cut_points(ids: np.ndarray) -> list[int]:
     if n <= LEAST:
         return [n]
     value = mix(ids.astype(np.uint64) + np.uint64(1))
-    rolled, power = np.zeros(n - WINDOW + 1, np.uint64), np.uint64(1)
+    rolled, power = np.zeros(n - WINDOW + 1, np.uint64), np.ones(1, np.uint64)
     for j in range(WINDOW):
         rolled += value[WINDOW - 1 - j : n - j] * power
         power *= _STEP

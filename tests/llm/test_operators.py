@@ -1,0 +1,261 @@
+"""Each contract query against a brute-force version, then the awkward tables."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from conftest import SF, rows_of
+
+from corpusmill.llm import jaccard, language, mixing, packing, quality, queries, sketch, store, substrings, tokencount, topk
+from corpusmill.llm.encode import tokenizer_path
+from corpusmill.llm.shared import new_path
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LONG = "lorem ipsum " * 30000
+EDGE = [(1, None, "en", "a", 7), (2, "", "en", "a", 7), (3, " \n\t ", None, None, 7), (4, "one two three", "en", "b", 7), (4, "one two three", "en", "b", 7), (None, "null id text here", "fr", "b", 7), (5, LONG, "en", None, 7), (6, "....", "en", "a", None), (7, "été <|endoftext|> ퟿ 中文  x", "fr", "a", 7)]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return sorted((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect())
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(EDGE, SCHEMA)
+    for c in ("size", "score", "k", "part", "sig", "jaccard_key", "mix_copies", "spans_key"):
+        df = df.withColumn(c, F.lit("clash"))
+    return df
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def tokenizer(name):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path(name))
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_sql(spark, duck, name):
+    got, want = queries.QUERIES[name](spark, SF).toPandas(), duck.sql(queries.SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and rows_of(got) == rows_of(want)
+
+
+def test_op1(spark, docs, edge, empty):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    got = {r.doc_id: r for r in quality.quality_digest(docs, labels).collect()}
+    assert len(got) == docs.count()
+    held = [(got[r.doc_id].predicted, r.quality) for r in labels.collect() if got[r.doc_id].held_out]
+    assert np.mean([p == y for p, y in held]) > 0.85
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i in got)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got.values())
+    model = quality.fit_quality(docs, labels)
+    scored = quality.score_quality(edge, model).collect()
+    assert len(scored) == len(EDGE) and len({r.quality_score for r in scored if not (r.text or "").strip()}) == 1
+    assert quality.quality_digest(empty, labels).count() == 0
+    none = quality.quality_digest(docs, labels.limit(0)).select("score").distinct().collect()
+    assert [r.score for r in none] == [0.5]
+
+
+def test_op2(spark, docs, rows, edge, empty):
+    tok, start = tokenizer("byte_bpe_50k.json"), 0
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in store.store_digest(docs).collect()}
+    for i, t in rows:
+        ids = tok.encode(t, add_special_tokens=False).ids + [0]
+        assert got[i] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    path = new_path(spark, "store")
+    store.write(edge, path)
+    back = {(r.doc_id, tuple(r.ids)) for r in store.decode(spark, path).collect()}
+    assert back == {(e[0], tuple(tok.encode(e[1] or "", add_special_tokens=False).ids + [0])) for e in EDGE}
+    assert store.digest(spark, path).count() == len(EDGE)
+    assert store.store_digest(empty).count() == 0
+
+
+def covered(texts, length, first):
+    seen = defaultdict(list)
+    for i, t in texts:
+        for j in range(len(t) - length + 1):
+            seen[t[j : j + length]].append((i, j))
+    out = {}
+    for i, t in texts:
+        cov = bytearray(len(t))
+        for j in range(len(t) - length + 1):
+            places = seen[t[j : j + length]]
+            if places[0] < (i, j) if first else len(places) > 1:
+                cov[j : j + length] = b"\1" * length
+        out[i] = cov
+    return out
+
+
+@pytest.mark.parametrize(("length", "keep", "hot"), [(400, "none", 1500), (400, "none", 0), (120, "first", 1500), (120, "first", 0)])
+def test_op3(docs, rows, length, keep, hot):
+    texts = [(i, t.encode()) for i, t in rows]
+    want = covered(texts, length, keep == "first")
+    got = {r.doc_id: r for r in substrings.removal_digest(docs, length, keep, hot).collect()}
+    assert len(got) == len(texts)
+    for i, t in texts:
+        kept = bytes(x for x, m in zip(t, want[i]) if not m)
+        spans = len([x for x in bytes(want[i]).split(b"\0") if x])
+        r = got[i]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(t), sum(want[i]), spans, hashlib.sha256(kept).hexdigest())
+
+
+def test_op3_edges(spark, edge, empty):
+    got = substrings.removal_digest(edge).collect()
+    assert len(got) == len(EDGE) and {r.n_removed for r in got if r.doc_id == 5} == {len(LONG)} and sum(r.n_removed for r in got if r.doc_id != 5) == 0
+    twice = spark.createDataFrame([(1, "ab" * 10 + "x" * 500), (2, "cd" * 10 + "x" * 500), (2, "cd" * 10 + "x" * 500)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in substrings.removal_digest(twice).collect()) == [(1, 500), (2, 520), (2, 520)]
+    out = substrings.without_repeats(edge, 400, "first")
+    assert out.columns == edge.columns and out.count() == len(EDGE)
+    assert substrings.removal_digest(empty).count() == 0
+
+
+def test_op4(docs, edge, empty):
+    got = {r.doc_id: r for r in language.language_digest(docs).collect()}
+    known = [r for r in docs.select("doc_id", "lang").collect() if r.lang and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert np.mean([got[r.doc_id].lang_pred == r.lang for r in known]) > 0.95
+    out = language.predict_languages(edge, language.fit_languages(docs)).collect()
+    assert {r.doc_id for r in out if r.lang_pred == "und"} == {1, 2, 3, 6} and all(0 <= r.score <= 1 for r in out)
+    assert language.language_digest(empty).count() == 0
+    assert {r.lang_pred for r in language.predict_languages(edge, language.fit_languages(empty)).collect()} == {"und"}
+    model = language.fit_languages(docs)
+    two = " ".join(r.text[:1500] for r in docs.where("lang IN ('de', 'fr') AND n_chars > 1500 AND source = 'src1'").orderBy("lang").collect()[:1] + docs.where("lang = 'fr' AND n_chars > 1500").limit(1).collect())
+    assert sum(s for _, s in model.infer(np.frombuffer(two.encode(), np.uint8))) == pytest.approx(1, abs=1e-6)
+
+
+def test_op5(docs, edge, empty):
+    got = mixing.mix_digest(docs).collect()
+    taken, targets, most = Counter(), {}, Counter()
+    source = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
+    for r in got:
+        assert r.taken <= 2 * r.size
+        taken[source[r.doc_id]] += r.taken
+        targets[source[r.doc_id]] = r.target
+        most[source[r.doc_id]] = max(most[source[r.doc_id]], r.size)
+    assert all(abs(taken[s] - targets[s]) <= most[s] / 2 + 1 for s in targets)
+    assert got == mixing.mix_digest(docs).collect()
+    mixed = mixing.pareto_mix(edge)
+    assert mixed.count() == len(EDGE) and mixing.repeated(mixed, edge.columns).columns == edge.columns
+    assert mixing.mix_digest(empty).count() == 0
+
+
+def test_op6(docs, rows, edge, empty):
+    tok = tokenizer("word_bpe_49k.json")
+    for df, texts in ((docs, rows), (edge, [(e[0], e[1] or "") for e in EDGE])):
+        pieces, spans = packing.pack(df).collect(), defaultdict(list)
+        want = Counter()
+        for i, t in texts:
+            ids = tok.encode(t, add_special_tokens=False).ids + [2]
+            for a in range(0, len(ids), 4096):
+                part = ids[a : a + 4096]
+                want[(i, a, len(part), zlib.crc32(np.array(part, "<u4").tobytes()), len(ids))] += 1
+        assert Counter((p.doc_id, p.start, p.length, p.ids_crc32, p.doc_tokens) for p in pieces) == want
+        for p in pieces:
+            spans[p.sequence_id].append((p.offset, p.length))
+        for s in spans.values():
+            s.sort()
+            assert s[0][0] == 0 and all(x + n == y for (x, n), (y, _) in zip(s, s[1:])) and sum(n for _, n in s) <= 4096
+    assert packing.pack(empty).count() == 0
+
+
+def test_op7(docs, rows, edge, empty):
+    tok = tokenizer("byte_bpe_50k.json")
+    for df, texts in ((docs, rows), (edge, [(e[0], e[1] or "") for e in EDGE])):
+        got = Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in tokencount.count_tokens(df).collect())
+        want = Counter()
+        for i, t in texts:
+            n = len(tok.encode(t, add_special_tokens=False).ids)
+            want[(i, len(t.encode()), n, n > 1024)] += 1
+        assert got == want
+    assert tokencount.count_tokens(empty).count() == 0
+
+
+def brute_components(rows, rule):
+    sets, post, parent = {}, defaultdict(list), {}
+    for i, t in rows:
+        w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in WORD.findall(t)]
+        sets[i] = {tuple(w)} if 0 < len(w) < rule.words else {tuple(w[j : j + rule.words]) for j in range(len(w) - rule.words + 1)}
+        parent[i] = i
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, s in sets.items():
+        both = Counter(j for g in s for j in post[g])
+        for j, n in both.items():
+            if rule.den * n >= rule.num * (len(s) + len(sets[j]) - n):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+        for g in s:
+            post[g].append(i)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize("rule", [jaccard.Rule(), jaccard.Rule(5, 80, 100), jaccard.Rule(2, 30, 100)])
+@pytest.mark.parametrize("members", [1024, 3])
+def test_op8(docs, rows, rule, members):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked_components(docs, rule, members).collect()}
+    assert got == brute_components(rows, rule)
+
+
+def test_op8_chains_and_edges(spark, edge, empty):
+    """A chain of near copies whose ends don't link, in chunks of a few members."""
+    rng, base = np.random.default_rng(8), [f"w{i}" for i in range(400)]
+    rows, words = [], list(base)
+    for i in range(60):
+        rows.append((i, " ".join(words)))
+        words[int(rng.integers(0, 400))] = f"n{i}"
+    rows += [(100 + i, " ".join(f"u{i}x{j}" for j in range(50))) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for members in (1024, 7):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked_components(df, jaccard.Rule(), members).collect()}
+        assert got == brute_components(rows, jaccard.Rule())
+    out = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.component_digest(edge).collect()]
+    assert len(out) == len(EDGE)
+    assert sorted(x for x in out if x[0] in (1, 2, 3, 4)) == [(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (4, 1, 4)]
+    kept = jaccard.one_of_each(edge)
+    assert kept.columns == edge.columns and kept.count() == len(EDGE) - 1
+    assert jaccard.component_digest(empty).count() == 0
+
+
+def test_op9_edges(spark):
+    v = [(0, [1.0, 2.0]), (50, [float("nan"), 1.0]), (1, None), (2, [1.0, None]), (3, [1.0, 2.0]), (3, [1.0, 2.0]), (4, [float("inf"), 0.0]), (100, [-1.0, 0.5]), (None, [1.0, 1.0]), (7, [])]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in topk.top_k(df, shard=2, block=1).collect())
+    assert got == [(0, 1, 3, 5 * 65536), (0, 2, 3, 5 * 65536), (0, 3, 100, 0), (100, 1, 0, 0), (100, 2, 3, 0), (100, 3, 3, 0)]
+    assert topk.top_k(df.limit(0)).count() == 0
+
+
+def test_op10(docs, rows, edge, empty):
+    got = {r.doc_id: r for r in sketch.fingerprints(docs).collect()}
+    for k, (i, t) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        changed = sketch.edit(t, after)
+        a, b, c = sketch.sketch(t), sketch.sketch(changed), sketch.sketch(after)
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), hashlib.sha256(changed.encode()).hexdigest(), sketch.hexadecimal(a), sketch.hexadecimal(b))
+        assert (r.near_edited, r.near_next) == (sketch.likeness(a, b), sketch.likeness(a, c))
+    out = sketch.fingerprints(edge).collect()
+    assert len(out) == len(EDGE) and {r.fingerprint for r in out if r.doc_id in (1, 2, 3)} == {""}
+    first = next(r for r in out if r.doc_id is None)
+    assert first.near_next == 0 and next(r for r in out if r.doc_id == 7).edited_sha256 == hashlib.sha256(sketch.edit(EDGE[8][1], "null id text here").encode()).hexdigest()
+    assert sketch.fingerprints(empty).count() == 0
+    assert sketch.fingerprints(docs.limit(1)).first().near_next == 1
