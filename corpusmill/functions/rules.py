@@ -38,7 +38,8 @@ class RuleSet:
         rest = [F.when(self.hit(r, text, title, least), r.key) for r in self.rules if r.residual]
         if not rest:
             return regular
-        return F.when(F.size(regular) > 0, regular).otherwise(F.array_compact(F.array(F.coalesce(*rest))))
+        # The lambda binds the regular labels, so that their patterns run once and the residual ones only if needed.
+        return F.transform(F.array(regular), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array_compact(F.array(F.coalesce(*rest)))))[0]
 
     def of_kind(self, kind: str) -> list[str]:
         return [r.key for r in self.rules if r.kind == kind]

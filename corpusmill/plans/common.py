@@ -35,3 +35,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def r6(c: Column) -> Column:
     return F.round(c, 6)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores where the scan has fewer splits than those (a small table in one file); else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

@@ -9,7 +9,7 @@ from ..functions import rules as L
 from ..functions import stats
 from ..functions import text as T
 from ..operators import ranking
-from .common import Registry, r6, table
+from .common import Registry, r6, spread, table
 
 registry = Registry()
 
@@ -53,12 +53,13 @@ _L = "WITH " + _labels_sql()
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    return spread(table(spark, sf_dir, "documents")).withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The label table.  Texts end here: what follows reads labels, so no pattern runs twice."""
-    return docs(spark, sf_dir).select("doc_id", "lang", "source", "n_chars", LABELS.labels(F.col("text")).alias("labels"))
+    """The label table.  Texts end here: explode() of one item keeps later operators from copying the patterns into
+    themselves, so each runs once a text."""
+    return docs(spark, sf_dir).select("doc_id", "lang", "source", "n_chars", F.explode(F.array(LABELS.labels(F.col("text")))).alias("labels"))
 
 
 def exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,11 +125,12 @@ def cooccurrence_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     singles = F.transform("labels", lambda a: F.struct(a.alias("a"), F.lit(None).cast("string").alias("b")))
     total = F.array(F.struct(F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b")))
     counts = x.select(F.explode(F.concat(total, singles, pairs)).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
-    one = counts.where("a IS NOT NULL AND b IS NULL").select(F.col("a").alias("label"), F.col("n").alias("m"))
-    whole = counts.where("a IS NULL").select(F.col("n").alias("total"))
-    both = counts.where("b IS NOT NULL").join(one.withColumnsRenamed({"label": "a", "m": "n_a"}), "a").join(one.withColumnsRenamed({"label": "b", "m": "n_b"}), "b").crossJoin(F.broadcast(whole))  # one row
-    n_ab, a, b = F.col("n"), F.col("n_a"), F.col("n_b")
-    return both.select("a", "b", n_ab.alias("n_ab"), "n_a", "n_b", r6(stats.lift(n_ab, a, b, F.col("total"))).alias("lift"), r6(n_ab / a).alias("confidence"))
+    # A row a label or pair is left, so one row can hold them all: the label table is read once, and nothing is joined.
+    a, b, n = F.col("a"), F.col("b"), F.col("n")
+    held = counts.agg(F.map_from_entries(F.collect_list(F.when(a.isNotNull() & b.isNull(), F.struct("a", "n")))).alias("one"), F.max(F.when(a.isNull(), n)).alias("total"), F.collect_list(F.when(b.isNotNull(), F.struct("a", "b", "n"))).alias("pairs"))
+    both = held.select("one", "total", F.explode("pairs").alias("p")).select("p.a", "p.b", F.col("p.n").alias("n_ab"), F.col("one")[F.col("p.a")].alias("n_a"), F.col("one")[F.col("p.b")].alias("n_b"), "total")
+    n_ab, n_a, n_b = F.col("n_ab"), F.col("n_a"), F.col("n_b")
+    return both.select("a", "b", "n_ab", "n_a", "n_b", r6(stats.lift(n_ab, n_a, n_b, F.col("total"))).alias("lift"), r6(n_ab / n_a).alias("confidence"))
 
 
 _FORM, _STYLE = "['licensing', 'contact']", "['shouting', 'columns', 'symbols']"

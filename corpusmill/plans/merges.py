@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import dedup as D
 from ..operators import ranking, scoring
 from ..operators import simjoin as J
-from .common import Registry, r6, table
+from .common import Registry, r6, spread, table
 
 registry = Registry()
 
@@ -69,7 +69,7 @@ _NORM = "trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ',
 
 def _normed(spark: SparkSession, sf_dir: str) -> DataFrame:
     norm = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    return table(spark, sf_dir, "documents").select("doc_id", norm.alias("norm"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", norm.alias("norm"))
 
 
 @registry.add(f"WITH n AS (SELECT doc_id, {_NORM} AS norm FROM documents), f AS (SELECT norm, min(doc_id) AS first FROM n GROUP BY 1) SELECT n.doc_id AS query, f.first AS match FROM n JOIN f USING (norm) WHERE n.doc_id <> f.first")

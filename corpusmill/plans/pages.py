@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..operators import markup as M
 from ..operators import scoring
-from .common import Registry, table
+from .common import Registry, spread, table
 
 registry = Registry()
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").withColumn("html", F.coalesce("html", F.lit("")))
+    return spread(table(spark, sf_dir, "pages")).withColumn("html", F.coalesce("html", F.lit("")))
 
 
 @registry.add()

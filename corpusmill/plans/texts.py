@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import evidence as E
 from ..functions import text as T
 from ..operators import markup as M
-from .common import Registry, table
+from .common import Registry, spread, table
 
 registry = Registry()
 
@@ -16,7 +16,7 @@ registry = Registry()
 @registry.add()
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1 F2: plain form of every text, entities included."""
-    return table(spark, sf_dir, "documents").select("doc_id", T.normalize_markup(F.col("text")).alias("plain"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", T.normalize_markup(F.col("text")).alias("plain"))
 
 
 @registry.add("SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^<>]*>', ' ', 'g'), '[ \\t\\r\\n\\f]+', ' ', 'g')) AS plain FROM pages")
@@ -34,7 +34,7 @@ def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("SELECT doc_id, trim(regexp_replace(lower(regexp_replace(coalesce(text, ''), '\\\\[A-Za-z]+|\\$', '', 'g')), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS norm FROM documents")
 def title_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The form in which titles are compared."""
-    return table(spark, sf_dir, "documents").select("doc_id", T.title_identity(F.col("text")).alias("norm"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", T.title_identity(F.col("text")).alias("norm"))
 
 
 _RAW = "CASE page_id % 4 WHEN 0 THEN 'ARXIV:2401.' || lpad(page_id::VARCHAR, 5, '0') || 'v2).' WHEN 1 THEN 'DOI:10.1000/ABC.' || page_id::VARCHAR || ',' WHEN 2 THEN 'Hal:hal-' || page_id::VARCHAR ELSE 'osti:' || page_id::VARCHAR || ';' END"
@@ -127,18 +127,18 @@ def json_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hedged_match_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches that no hedge word precedes, context cues, and the two-tier rule."""
     rule = E.TwoTier(strong=r"\b[Ll]icen[sc]e", weak=r"\bCopyright\b", cue=r"[Vv]ersion|[Rr]eleased", hedge=r"\b(not|may|could|the)\b", weak_least=2)
-    return table(spark, sf_dir, "documents").select("doc_id", E.two_tier(F.col("text"), rule).alias("r")).select("doc_id", "r.*")
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", E.two_tier(F.col("text"), rule).alias("r")).select("doc_id", "r.*")
 
 
 @registry.add()
 def token_formula_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chemical formulas of valid element symbols."""
     sample = F.concat(F.coalesce("text", F.lit("")), F.lit(" La3Ni2O7 and MnTe, not THST2 or Q4Zz; Sr2RuO4-x films"))
-    return table(spark, sf_dir, "documents").select("doc_id", E.formulas(sample).alias("formulas"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", E.formulas(sample).alias("formulas"))
 
 
 @registry.add()
 def sequence_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Does a document's first line match its second, by sequence ratio or word prefix?"""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    return table(spark, sf_dir, "documents").select("doc_id", E.titles_match(lines[0], F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit(""))).alias("same"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", E.titles_match(lines[0], F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit(""))).alias("same"))
