@@ -10,8 +10,9 @@ inequality.  Far from any pivot all distances are 1, so regions are not formed b
    last, so a probe seldom holds them.
 2. Per n-gram, sets of compatible sizes with it in their probes form a cell; the cell's leader is its least set.  A set
    whose cells with company are fewer than ``l`` has no link and leaves.  The others belong to the regions of their
-   cells' leaders: linked sets share a cell and so a region.  Cells of common n-grams take their leader from the
-   sample, so that their members need not meet to choose it.
+   cells' leaders, but for those of fewest cells, ``(l - 1) / 2`` cells in all: two linked sets share ``l`` cells and
+   lose fewer, so they keep a region in common.  Cells of common n-grams take their leader from the sample, so that
+   their members need not meet to choose it.
 3. In a region pivots are taken in turn: the set with most open pairs is compared with all others; links unite
    components; a pair is open while its components differ, its sizes allow a link and every pivot leaves
    ``|d(x, p) - d(y, p)|`` within the threshold.  The region ends when no pair is open, which is exact.
@@ -32,7 +33,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import shingles, texts, word_hashes
@@ -310,9 +311,10 @@ def linked_components(docs: DataFrame, rule: Rule = Rule(), members: int = MEMBE
     cells = source.select("text").mapInArrow(_probes(rule, common, parts), CELLS)
     shared = staged(cells.groupBy("part").applyInArrow(_company(rule), REGION), "jaccard-shared")
     needed = 1 + F.floor(F.lit(EXTRA) * F.ceil(F.col("size") * rule.num / rule.den))
-    able = shared.groupBy("member", "size").agg(F.sum("cells").alias("cells")).where(F.col("cells") >= needed).select("member")
-    regions = shared.join(able, "member").select("leader", "member", "size")
-    regions = regions.groupBy("leader", "member").agg(F.max("size").alias("size"))
+    whole = shared.groupBy("member", "leader").agg(F.sum("cells").alias("cells"), F.max("size").alias("size"))
+    rising = Window.partitionBy("member").orderBy("cells", "leader").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = whole.withColumn("upto", F.sum("cells").over(rising)).withColumn("all", F.sum("cells").over(Window.partitionBy("member")))
+    regions = ranked.where((F.col("all") >= needed) & (F.col("upto") > F.floor((needed - 1) / 2))).select("leader", "member", "size")
     big = regions.groupBy("leader").agg(F.count("*").alias("m"), F.sum("size").alias("grams")).where("m > 1")
     chunks = F.greatest(F.ceil(F.col("m") / members), F.ceil(F.col("grams") * 8 / CHUNK_BYTES))
     regions = regions.join(big.select("leader", "m", chunks.alias("chunks")), "leader")
