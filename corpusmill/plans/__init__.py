@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .common import Query
 
-MODULES = ("shares", "labels", "texts", "merges", "pages", "flows")
+MODULES = ("shares", "labels", "texts", "merges", "records", "pages", "flows")
 
 
 def _registries():

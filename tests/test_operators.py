@@ -126,3 +126,10 @@ def test_entry(spark):
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
     assert isinstance(e.entry(spark).toPandas(), pd.DataFrame)
+
+
+def test_report_page(spark):
+    from corpusmill.operators import records
+
+    page = records.report_page("<h1>{{title}}</h1>{{t}}", "A & b", {"t": spark.createDataFrame([("<x>", 1)], "a string, b int")})
+    assert page == "<h1>A &amp; b</h1><table><tr><th>a</th><th>b</th></tr><tr><td>&lt;x&gt;</td><td>1</td></tr></table>"
