@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import jaccard, mixing, packing, quality, substrings
-from corpusmill.llm.shared import fresh, staged, table
+from corpusmill.llm.shared import fresh, mark, staged, sweep, table
 
 #: Bytes of a repeated passage: below 50 words of the languages at hand, above any single stock line.
 PASSAGE_BYTES = 256
@@ -56,7 +56,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, since = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), "pipeline-" + name.split()[0])
+        sweep(spark, since, keep=docs)  # the tables of the stages so far are not read again
     return STAGES[-1][1](spark, docs, sf_dir)

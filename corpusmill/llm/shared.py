@@ -22,8 +22,29 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+_created: list[tuple[str, str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _created.append((spark.sparkContext.applicationId, path))
+    return path
+
+
+def mark() -> int:
+    """To be given to ``sweep`` later."""
+    return len(_created)
+
+
+def sweep(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
+    """Delete the staged tables made since a mark, but for those that ``keep`` reads: results that were not written
+    yet may need theirs.  Returns how many went."""
+    own, kept = spark.sparkContext.applicationId, {f.rpartition("/")[0].rpartition("/")[2] for f in keep.inputFiles()} if keep is not None else set()
+    gone = [(a, p) for a, p in _created[since:] if a == own and p.rpartition("/")[2] not in kept]
+    for entry in gone:
+        drop(spark, entry[1])
+        _created.remove(entry)
+    return len(gone)
 
 
 def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

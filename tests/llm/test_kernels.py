@@ -130,3 +130,12 @@ def test_targets(spark, sizes):
     total = sum(sizes.values())
     assert abs(sum(r.target for r in got.values()) - 1.5 * total) < 1e-6
     assert all(r.target <= 2 * r.source_size + 1e-9 for r in got.values())
+
+
+def test_sweep(spark):
+    from corpusmill.llm.shared import mark, staged, sweep
+
+    since = mark()
+    first, last = staged(spark.range(5).toDF("a"), "sweep"), staged(spark.range(7).toDF("a"), "sweep")
+    assert first.count() == 5 and sweep(spark, since, keep=last) == 1 and last.count() == 7
+    assert sweep(spark, since) == 1
