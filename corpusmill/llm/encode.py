@@ -16,6 +16,7 @@ import numpy as np
 
 MEMO = 1_000_000
 _CLOSING = ".,;:!?"
+_ENDS = ("", " ", "\n")
 _PIECES = re.compile(r"[ \n\t]*[^ \n\t]+|[ \n\t]+").findall
 _RARE = re.compile("[\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]").search
 
@@ -59,11 +60,16 @@ class Pieces:
         self.first, self.rest = _Index(self, ""), _Index(self, self.lead)
 
     def numbers(self, text: str) -> list[int]:
-        if "  " in text or " \n" in text or "\n " in text or "\t" in text or text[:1] == " " or text[-1:] == " ":
+        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or "\t" in text or text[:1] in _ENDS or text[-1:] in _ENDS:
             return list(map(self.first.__getitem__, _PIECES(text)))
-        parts = text.split(" ")
-        out = [self.first[parts[0]]] if parts[0] else []
-        out += map(self.rest.__getitem__, parts[1:])
+        out: list[int] = []
+        first, rest = self.first, self.rest.__getitem__
+        for line in text.split("\n"):  # one line break between words is a pre-token of its own
+            words = line.split(" ")
+            if out:
+                out.append(first["\n"])
+            out.append(first[words[0]])
+            out += map(rest, words[1:])
         return out
 
 

@@ -31,7 +31,7 @@ from .encode import Encoder, in_parts
 from .kernels import mix
 from .shared import drop, new_path, shuffle_partitions, staged
 
-WINDOW, LEAST, MEAN_BITS, MOST = 16, 64, 9, 4096
+WINDOW, LEAST, MEAN_BITS, MOST = 16, 128, 10, 8192
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 ENCODED = "doc_id long, n_tokens long, addresses array<binary>, sizes array<int>, payloads array<binary>"
 RECIPE = "doc_id long, part int, place long, before long, n_tokens long, addresses array<binary>, sizes array<int>, root binary, chain binary"
