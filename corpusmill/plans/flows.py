@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,21 +9,11 @@ from pyspark.sql import functions as F
 
 from ..sources import jsonl
 from ..streaming import events as S
-from .common import Registry, table
+from .common import Registry, scratch, table
 
 registry = Registry()
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; a local one only on a local master without that folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @registry.add("SELECT ts::DATE AS day, event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1, 2")
 def stream_dedup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: a stream over the events, late duplicates dropped, daily counts; equal to the batch."""

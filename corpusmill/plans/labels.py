@@ -9,7 +9,7 @@ from ..functions import rules as L
 from ..functions import stats
 from ..functions import text as T
 from ..operators import ranking
-from .common import Registry, r6, spread, table
+from .common import Registry, r6, scratch, spread, table
 
 registry = Registry()
 
@@ -238,12 +238,23 @@ def title_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded(spark, sf_dir).groupBy("label").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
 
 
+def store_labels(d: DataFrame, path: str) -> None:
+    """The label table as Parquet, each list beside the whole text that it came from."""
+    d.select("doc_id", "text", LABELS.labels(F.col("text")).alias("labels")).write.parquet(path)
+
+
+def differing(stored: DataFrame) -> DataFrame:
+    """Rows of a stored label table, and those whose list isn't the one that every rule gives now; null lists differ."""
+    again = stored.select("labels", F.explode(F.array(LABELS.labels(F.col("text")))).alias("again"))
+    return again.agg(F.count("*").alias("n"), F.count_if(~F.col("labels").eqNullSafe(F.col("again"))).alias("differs"))
+
+
 @registry.add(f"{_L} SELECT count(*) AS n, count(*) FILTER (labels[1] IS DISTINCT FROM (CASE WHEN len(labels) > 0 THEN labels[1] END)) AS differs FROM l")
 def retag_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows whose stored and recomputed labels differ (none)."""
-    x = labelled(spark, sf_dir)
-    again = F.when(F.size("labels") > 0, F.element_at("labels", 1))
-    return x.agg(F.count("*").alias("n"), F.count_if(~L.primary(F.col("labels")).eqNullSafe(again)).alias("differs"))
+    """Rows whose stored label list and the one recomputed from the whole text differ (none)."""
+    path = scratch(spark, "labels")
+    store_labels(docs(spark, sf_dir), path)
+    return differing(spark.read.parquet(path))
 
 
 @registry.add("SELECT term, count(DISTINCT doc_id) AS docs, sum(n)::BIGINT AS hits FROM (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(moron|stupid|trash|disgusting|License|Copyright)')) AS term FROM documents) GROUP BY ALL) GROUP BY 1")
