@@ -3,7 +3,7 @@
 from conftest import SF
 from pyspark.sql import functions as F
 
-from corpusmill.plans import labels
+from corpusmill.plans import flows, labels
 
 
 def test_retag(spark, duck, tmp_path):
@@ -17,3 +17,13 @@ def test_retag(spark, duck, tmp_path):
     stale = stored.withColumn("labels", F.when(F.size("labels") > 1, F.slice("labels", 1, F.size("labels") - 1)).otherwise(F.col("labels")))
     assert long and labels.differing(stale).first() == (len(want), long)
     assert labels.differing(stored.withColumn("labels", F.when(F.size("labels") < 2, F.col("labels")))).first() == (len(want), long)
+
+
+def test_round_trip(spark, duck, tmp_path):
+    got = {r.file: r.n for r in flows.jsonl_round_trip_all(spark, SF).collect()}
+    assert got == {f"{s}.jsonl": n for s, n in duck.sql("SELECT source, count(*) FROM documents GROUP BY 1").fetchall()} and "src0.jsonl" in got
+    odd = 'a "b"\n{c}\r\u2028\\ é\x00'
+    rows = [(1, odd, "src0"), (2, None, "src0"), (3, odd * 2, None), (None, "x", None), (4, "y", ""), (5, "z", "null"), (6, "w", "a/b=c")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in flows.jsonl_round_trip_all(spark, str(tmp_path)).select("file", "n", "ids", "longest").collect()}
+    assert got == {("src0.jsonl", 2, 2, len(odd)), ("no source", 2, 1, 2 * len(odd)), (".jsonl", 1, 1, 1), ("null.jsonl", 1, 1, 1), ("a/b=c.jsonl", 1, 1, 1)}
