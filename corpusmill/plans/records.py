@@ -86,13 +86,24 @@ def reference_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", R.reference_item(k, F.col("n_name"), F.concat(F.lit("https://x.org/?a=1&b="), k.cast("string"))).alias("item"))
 
 
+def _parsed_join(cells: DataFrame, p: DataFrame) -> DataFrame:
+    a = cells.select(F.concat(F.lit("part ("), F.col("p_partkey").cast("string"), F.lit(")")).alias("cell"), "p_size")
+    a = a.select(F.regexp_extract("cell", r"\((\d+)\)$", 1).cast("long").alias("key"), "p_size")
+    return a.join(p.select(F.col("p_partkey").alias("key"), "p_brand"), "key")
+
+
 @registry.add("WITH a AS (SELECT 'part (' || p_partkey::VARCHAR || ')' AS cell, p_size FROM part WHERE p_partkey <= 100), b AS (SELECT p_partkey AS key, p_brand FROM part) SELECT key, p_size, p_brand FROM a JOIN b ON key = regexp_extract(cell, '\\((\\d+)\\)$', 1)::BIGINT")
 def join_on_parsed_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows joined on a key that is parsed from a table cell."""
+    """As join_on_parsed_key_all, for the cells that the SQL names."""
     p = table(spark, sf_dir, "part")
-    a = p.where("p_partkey <= 100").select(F.concat(F.lit("part ("), F.col("p_partkey").cast("string"), F.lit(")")).alias("cell"), "p_size")
-    a = a.select(F.regexp_extract("cell", r"\((\d+)\)$", 1).cast("long").alias("key"), "p_size")
-    return a.join(p.select(F.col("p_partkey").alias("key"), "p_brand"), "key")
+    return _parsed_join(p.where("p_partkey <= 100"), p)
+
+
+@registry.add("WITH a AS (SELECT 'part (' || p_partkey::VARCHAR || ')' AS cell, p_size FROM part), b AS (SELECT p_partkey AS key, p_brand FROM part) SELECT key, p_size, p_brand FROM a JOIN b ON key = regexp_extract(cell, '\\((\\d+)\\)$', 1)::BIGINT")
+def join_on_parsed_key_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the whole table joined on a key that is parsed from a table cell."""
+    p = table(spark, sf_dir, "part")
+    return _parsed_join(p, p)
 
 
 @registry.add("WITH u AS (SELECT doc_id, 'moire' AS term FROM documents WHERE n_chars > 1000 UNION ALL SELECT doc_id, 'moiré' FROM documents WHERE lang = 'fr') SELECT doc_id, array_to_string(list_sort(list_distinct(list(term))), ',') AS terms FROM u GROUP BY 1")

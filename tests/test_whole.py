@@ -3,7 +3,7 @@
 from conftest import SF
 from pyspark.sql import functions as F
 
-from corpusmill.plans import flows, labels
+from corpusmill.plans import flows, labels, records
 
 
 def test_retag(spark, duck, tmp_path):
@@ -27,3 +27,8 @@ def test_round_trip(spark, duck, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {tuple(r) for r in flows.jsonl_round_trip_all(spark, str(tmp_path)).select("file", "n", "ids", "longest").collect()}
     assert got == {("src0.jsonl", 2, 2, len(odd)), ("no source", 2, 1, 2 * len(odd)), (".jsonl", 1, 1, 1), ("null.jsonl", 1, 1, 1), ("a/b=c.jsonl", 1, 1, 1)}
+
+
+def test_parsed_key(spark, duck):
+    got = sorted(tuple(r) for r in records.join_on_parsed_key_all(spark, SF).select("key", "p_size", "p_brand").collect())
+    assert got == duck.sql("SELECT p_partkey, p_size, p_brand FROM part ORDER BY 1").fetchall() and got[-1][0] > 100
