@@ -32,3 +32,8 @@ def test_round_trip(spark, duck, tmp_path):
 def test_parsed_key(spark, duck):
     got = sorted(tuple(r) for r in records.join_on_parsed_key_all(spark, SF).select("key", "p_size", "p_brand").collect())
     assert got == duck.sql("SELECT p_partkey, p_size, p_brand FROM part ORDER BY 1").fetchall() and got[-1][0] > 100
+
+
+def test_supplement(spark, duck):
+    got = sorted(tuple(r) for r in flows._supplemented(spark, SF).collect())
+    assert got == duck.sql("SELECT o_orderkey, o_orderstatus FROM orders ORDER BY 1").fetchall() and len(got) > 100
