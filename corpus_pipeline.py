@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from corpusmill.llm import jaccard, mixing, packing, quality, substrings
 from corpusmill.llm.shared import fresh, mark, staged, sweep, table
 
-#: Bytes of a repeated passage: below 50 words of the languages at hand, above any single stock line.
+#: Bytes of a repeated passage, above any single stock line; and words of one that has fewer bytes: over 50.
 PASSAGE_BYTES = 256
+PASSAGE_WORDS = 51
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +31,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document (or an earlier place) has; the first copy stays."""
-    return substrings.without_repeats(docs, PASSAGE_BYTES, "first")
+    return substrings.without_repeats(docs, PASSAGE_BYTES, "first", words=PASSAGE_WORDS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,10 @@ earlier place only, so that the first copy stays (``keep="first"``; places are o
 4. An anchor with more than ``HOT`` different stretches is not brought together: 128-bit hashes of its windows, packed,
    are dealt by hash value instead, so that no task grows with the group.
 
-Null texts are empty, and nothing matches across documents.  A text shorter than ``length`` is left whole.  Rows that
+With ``words`` a string of fewer than ``length`` bytes counts too if it has that many whole words (between ASCII
+spaces, in both places; a lone symbol is none).  Each shortest such string is a stretch that only equals others.
+
+Null texts are empty, and nothing matches across documents.  A text too short for either rule is left whole.  Rows that
 repeat a doc_id should repeat the text: then each is a copy (``none``) or all stand for one document (``first``); a
 null doc_id stands for its text.  Empty tables give no rows; columns other than doc_id and text are left alone.
 """
@@ -28,12 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import BYTE_VALUE, ORDER, SECOND_VALUE, mix, powers, prefix_sums, sliding_min, texts, window_hashes
+from .kernels import BYTE_VALUE, ORDER, SECOND_VALUE, mix, powers, prefix_sums, sliding_min, texts, window_hashes, word_spans
 from .shared import fresh, shuffle_partitions, staged
 
 LENGTH, HOT, TASK_BYTES = 400, 1500, 3 << 20
 _POSITION = np.uint64((1 << 20) - 1)
 _SEGMENT = 1 << 19
+#: Texts whose stretches are in memory at a time.
+FEW = 256
+#: Bytes that make a word of what stands between spaces: letters, digits and all that isn't ASCII.
+_LETTER = np.array([chr(i).isalnum() or i > 127 for i in range(256)])
 STRETCH = "k long, anchor long, body long, span int, at array<long>"
 
 
@@ -62,13 +69,37 @@ def stretches(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _stretch_rows(length: int):
+def word_windows(b: np.ndarray, words: int, below: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, span, and two hashes of each string of ``words`` whole words of a text that has under ``below`` bytes."""
+    out, z = [], np.zeros(0, np.int64)
+    low, high = word_spans(b)
+    letters = np.concatenate([[0], np.cumsum(_LETTER[b], dtype=np.int32)])
+    real = letters[high] > letters[low]
+    low, high = low[real].astype(np.int64), high[real].astype(np.int64)
+    low, high = low[: max(len(low) - words + 1, 0)], high[words - 1 :]
+    short = high - low < below
+    low, high = low[short], high[short]
+    for s in range(0, len(b) if len(low) else 0, _SEGMENT):
+        i, j = np.searchsorted(low, [s, s + _SEGMENT])
+        if i == j:
+            continue
+        part, a, e = b[s : s + _SEGMENT + below], low[i:j] - s, high[i:j] - s
+        _, inverse = powers(len(part) + 1)
+        ends = (e - a).astype(np.uint64) * ORDER[59]
+        h1, h2 = (mix((sums[e] - sums[a]) * inverse[a] + ends) for sums in (prefix_sums(part, v) for v in (BYTE_VALUE, SECOND_VALUE)))
+        out.append((low[i:j], e - a, h1, h2))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (z, z, z.view(np.uint64), z.view(np.uint64))
+
+
+def _stretch_rows(length: int, words: int = 0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, FEW) for b in batches for i in range(0, b.num_rows, FEW)):  # so that a worker holds the stretches of few texts
             keys = batch.column("k").to_numpy(zero_copy_only=False)
             who, anchors, bodies, spans, places, sizes = [], [], [], [], [], []
             for i, b in enumerate(texts(batch.column("text"))):
                 low, span, anchor, body = stretches(b, length)
+                if words:
+                    low, span, anchor, body = (np.concatenate(x) for x in zip((low, span, anchor, body), word_windows(b, words, length)))
                 if not len(low):
                     continue
                 order = np.lexsort((low, body, anchor))
@@ -254,12 +285,13 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("k"), F.col("doc_id").cast("long"), text.alias("text"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", hot: int = HOT, words: int = 0) -> tuple[DataFrame, DataFrame]:
     """(candidates: k, doc_id, text, full: spans known already; found: k, spans from suffix order)."""
     if keep not in ("none", "first"):
         raise ValueError("keep is none or first")
     spark, source = docs.sparkSession, keyed(docs)
-    rows = staged(source.where(F.octet_length("text") >= length).select("k", "text").mapInArrow(_stretch_rows(length), STRETCH), "spans-stretches")
+    least = min(length, 2 * words - 1) if words else length
+    rows = staged(source.where(F.octet_length("text") >= least).select("k", "text").mapInArrow(_stretch_rows(length, words), STRETCH), "spans-stretches")
     same = rows.groupBy("anchor", "body").agg(F.sum(F.size("at")).alias("n"), F.min(F.struct("k", F.col("at")[0].alias("low"))).alias("first"))
     anchors = rows.groupBy("anchor").agg(F.sum(F.size("at")).alias("total")).where("total > 1").select("anchor")
     bodies = same.join(anchors, "anchor", "left_semi")
@@ -272,7 +304,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", ho
     held = staged(source.join(seen, "k"), "spans-candidates")
     part = F.expr(f"""flatten(transform(seen, s -> transform(filter(s.at, a -> s.n > 1 {'AND NOT (s.speaks AND a = s.first_low)' if keep == 'first' else ''}), a -> array(a, a + s.span))))""")
     candidates = held.select("k", "doc_id", "text", part.alias("full"))
-    asks = F.expr("filter(seen, s -> s.speaks AND s.kinds > 1)")
+    asks = F.expr(f"filter(seen, s -> s.speaks AND s.kinds > 1 AND s.span >= {length})")
     asked = held.select("k", "text", asks.alias("seen")).where(F.size("seen") > 0)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,8 +340,8 @@ def _merged(full: list, found: list) -> list[list[int]]:
     return out
 
 
-def _with_found(docs: DataFrame, length: int, keep: str, hot: int) -> DataFrame:
-    candidates, found = repeated_spans(docs, length, keep, hot)
+def _with_found(docs: DataFrame, length: int, keep: str, hot: int, words: int = 0) -> DataFrame:
+    candidates, found = repeated_spans(docs, length, keep, hot, words)
     by_doc = found.groupBy("k").agg(F.collect_list("spans").alias("found"))
     return candidates.join(by_doc, "k", "left")
 
@@ -338,9 +370,9 @@ def removal_digest(docs: DataFrame, length: int = LENGTH, keep: str = "none", ho
     return changed.unionByName(plain).drop("k")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first", hot: int = HOT) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first", hot: int = HOT, words: int = 0) -> DataFrame:
     """``docs`` with repeated spans cut out of text (at character boundaries inside them), n_chars kept in step."""
-    joined = _with_found(docs, length, keep, hot).select("k", "text", "full", "found")
+    joined = _with_found(docs, length, keep, hot, words).select("k", "text", "full", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
