@@ -7,6 +7,7 @@ the pieces it has met, up to ``MEMO`` of them.  Texts with rarer kinds of white
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -119,6 +120,7 @@ class Encoder:
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.at, self.size, self.odd = (np.zeros(1 << 12, np.int64) for _ in range(3))
         self.known = 0
+        self.words: dict[str, list[int]] = {}
 
     def _grow(self, array: np.ndarray, n: int) -> np.ndarray:
         if n <= len(array):
@@ -127,25 +129,41 @@ class Encoder:
         out[: len(array)] = array
         return out
 
-    def _by_model(self, piece: str) -> list[int] | None:
-        """Ids of a word, perhaps with closing punctuation, straight from the library's model: the same pre-tokens, found
-        without its slower pattern.  None for any other piece."""
-        lead, word = ("Ġ", piece[1:]) if piece[:1] == " " else ("", piece)
-        tail = ""
+    def _word(self, word: str, spaced: bool) -> list[int] | None:
+        """Ids of letters, perhaps with a space before them, straight from the library's model: the same pre-token, found
+        without its slower pattern.  None where the file's normaliser might do more than fold simple letters."""
+        ascii_ = word.isascii()
+        if self.folds:
+            if not ascii_ and (max(word) > "\u024f" or "\u0130" in word):
+                return None
+            word, spaced = word.lower(), False
+        if not ascii_:
+            word = word.encode().decode("latin-1").translate(_SYMBOLS)
+        return [t.id for t in self.model.tokenize("\u0120" + word if spaced else word)]
+
+    def _short_way(self, piece: str) -> list[int] | None:
+        """Ids of a word, perhaps with a space before and closing punctuation after it; None for any other piece."""
+        spaced = piece[:1] == " "
+        word, tail = piece[1:] if spaced else piece, ""
         if not word.isalpha():
             bare = word.rstrip(_CLOSING)
             word, tail = bare, word[len(bare) :]
             if not word.isalpha():
                 return None
-        if self.folds:
-            lead = ""
-            if not word.isascii() and (max(word) > "\u024f" or "İ" in word):
+            piece = piece[: len(piece) - len(tail)]
+        known = self.words
+        ids = known.get(piece)
+        if ids is None:
+            ids = self._word(word, spaced)
+            if ids is None:
                 return None
-            word = word.lower()
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(_SYMBOLS)
-        ids = [t.id for t in self.model.tokenize(lead + word)]
-        return ids + [t.id for t in self.model.tokenize(tail)] if tail else ids
+            known[piece] = ids
+        if tail:
+            after = known.get(tail)
+            if after is None:
+                after = known[tail] = [t.id for t in self.model.tokenize(tail)]
+            return ids + after
+        return ids
 
     def _settle(self) -> None:
         new, self.pieces.new = self.pieces.new, []
@@ -155,7 +173,7 @@ class Encoder:
         self.at, self.size, self.odd = (self._grow(x, n) for x in (self.at, self.size, self.odd))
         for a in range(0, len(new), 8192):
             part = new[a : a + 8192]
-            found = [self._by_model(p) for p in part] if self.plain else [None] * len(part)
+            found = list(map(self._short_way, part)) if self.plain else [None] * len(part)
             left = [i for i, x in enumerate(found) if x is None]
             for i, x in zip(left, self.tokenizer.encode_batch_fast([part[i] for i in left], add_special_tokens=False)):
                 found[i] = x.ids
@@ -163,28 +181,43 @@ class Encoder:
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             total, k = int(sizes.sum()), self.known
             self.ids = self._grow(self.ids, self.used + total)
-            self.ids[self.used : self.used + total] = list(chain.from_iterable(found))
+            self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
             self.size[k : k + len(part)] = sizes
             self.at[k : k + len(part)] = self.used + np.cumsum(sizes) - sizes
             self.used += total
             self.known += len(part)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, without added special tokens; special strings inside a text as the library has them."""
+    def flat(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, each text's followed by ``end_id``, and where each text's ids end; without added
+        special tokens, special strings inside a text as the library has them."""
         if self.known > MEMO:
             self._reset()
-        numbers = [np.array(self.pieces.numbers(t), dtype=np.int64) for t in texts]
-        self._settle()
-        out = []
-        for text, n in zip(texts, numbers):
-            if len(n) and self.odd[n].any():
-                out.append(np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32))
-                continue
-            size = self.size[n]
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if len(n) else 0
-            out.append(self.ids[np.repeat(self.at[n] - ends + size, size) + np.arange(total)])
-        return out
+        numbers: list[int] = []
+        stops = np.zeros(len(texts), np.int64)
+        collects = gc.isenabled()
+        gc.disable()  # a collection would walk the whole memo again and again, and there are no cycles
+        try:
+            for i, t in enumerate(texts):
+                numbers += self.pieces.numbers(t)
+                stops[i] = len(numbers)
+            n = np.array(numbers, dtype=np.int64)
+            del numbers
+            self._settle()
+        finally:
+            if collects:
+                gc.enable()
+        sums = np.concatenate([[0], np.cumsum(self.size[n])])
+        total, texts_end = int(sums[-1]), sums[stops]
+        ids = self.ids[np.repeat(self.at[n] - sums[:-1], self.size[n]) + np.arange(total)]
+        odd = np.concatenate([[0], np.cumsum(self.odd[n])])[stops]
+        again = np.flatnonzero(np.diff(odd, prepend=0))
+        if not len(again):
+            return np.insert(ids, texts_end, np.uint32(end_id)), texts_end + np.arange(1, len(texts) + 1)
+        parts = np.split(ids, texts_end[:-1])
+        for i, x in zip(again.tolist(), self.tokenizer.encode_batch_fast([texts[i] for i in again], add_special_tokens=False)):
+            parts[i] = np.array(x.ids, dtype=np.uint32)
+        end = np.array([end_id], np.uint32)
+        return np.concatenate([y for x in parts for y in (x, end)]), np.cumsum([len(x) + 1 for x in parts])
 
 
 def in_parts(texts: list[str | None], limit: int = 4 << 20):

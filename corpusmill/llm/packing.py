@@ -73,12 +73,14 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> D
             texts = [t or "" for t in batch.column("text").to_pylist()]
             doc_ids, rows, who = batch.column("doc_id"), [], []
             for a, b in in_parts(texts):
-                for i, ids in enumerate(encoder.encode(texts[a:b]), a):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    for start in range(0, len(ids), capacity):
-                        piece = ids[start : start + capacity]
-                        rows.append((start, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
+                ids, ends = encoder.flat(texts[a:b], end_id)
+                raw, low = memoryview(ids.astype("<u4", copy=False)).cast("B"), 0
+                for i, high in enumerate(ends.tolist(), a):
+                    for start in range(low, high, capacity):
+                        stop = min(start + capacity, high)
+                        rows.append((start - low, stop - start, zlib.crc32(raw[4 * start : 4 * stop]), high - low))
                         who.append(i)
+                    low = high
             cols = np.array(rows, dtype=np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(who, pa.int64())), *[pa.array(cols[:, j]) for j in range(4)]], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 

@@ -3,16 +3,23 @@
 Format, under one folder:
 
 * ``chunks``: address (BLAKE2b-128 of the payload), n, payload (little-endian unsigned ids of ``width`` bytes).  A
-  rolling hash over the last ``WINDOW`` ids cuts each document's ids into chunks; each distinct chunk is stored once.
+  rolling hash over the last ``WINDOW`` ids cuts each document's ids into chunks of about 600; each distinct chunk is
+  stored once.
 * ``recipes``: in ascending doc_id order, part after part: doc_id, its part and place, ids before it in its part,
-  number of ids, chunk addresses and lengths, the Merkle root over the addresses, and the running chain of roots.
-* ``manifest``: a row for each part (documents, ids, last chain value, ids before the part) under one Merkle root.
+  number of ids, chunk addresses and lengths, and the Merkle root over its number of ids and addresses.
+* ``blocks``: a row for each ``BLOCK`` documents of a part: how many, their ids, and the Merkle root over theirs.
+* ``manifest``: a row for each part (documents, ids, ids before the part, Merkle root over its blocks) and one Merkle
+  root over all parts.
 
-Reading checks every payload against its address and every recipe against its Merkle root; CRCs of documents are
-composed from those of their stored chunks, since CRC-32 is linear.  ``decode`` gives the ids themselves.
+Reading (``verify``, called by ``digest`` and ``decode``) checks the root against the parts, each part against its
+blocks and each block against the recipes, with counts; then every recipe against its own root and every payload
+against its address.  A row that is missing, added, moved or changed anywhere raises.  CRCs of documents are composed
+from those of their stored chunks, since CRC-32 is linear.  ``decode`` gives the ids themselves.
 
 Nulls are empty texts (the end id alone); repeated rows are documents of their own that share all chunks; a null
-doc_id comes first.  Empty tables give an empty store.  Only doc_id and text are read.
+doc_id comes first; ties in doc_id go by number of ids, then addresses.  A document's ids, and its row of addresses,
+must fit in memory (a cell of at most 2 GB).  Empty tables give an empty store.  Only doc_id and text are read, so
+other columns never clash.
 """
 
 from __future__ import annotations
@@ -24,46 +31,59 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .encode import Encoder, in_parts
 from .kernels import mix
 from .shared import drop, new_path, shuffle_partitions, staged
 
-WINDOW, LEAST, MEAN_BITS, MOST = 16, 128, 10, 8192
+WINDOW, LEAST, MEAN_BITS, MOST, BLOCK = 16, 64, 9, 4096, 4096
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 ENCODED = "doc_id long, n_tokens long, addresses array<binary>, sizes array<int>, payloads array<binary>"
-RECIPE = "doc_id long, part int, place long, before long, n_tokens long, addresses array<binary>, sizes array<int>, root binary, chain binary"
+RECIPE = "doc_id long, part int, place long, before long, n_tokens long, addresses array<binary>, sizes array<int>, root binary"
+BLOCKS = "part int, block long, documents long, ids long, root binary"
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document, by content alone: a function of the last WINDOW ids and the chunk's start."""
+def rolling_marks(ids: np.ndarray) -> np.ndarray:
+    """Ends, ascending, of the windows of WINDOW ids whose rolling hash asks for a cut."""
     n = len(ids)
-    if n <= LEAST:
-        return [n]
+    if n < WINDOW:
+        return np.zeros(0, np.int64)
     value = mix(ids.astype(np.uint64) + np.uint64(1))
-    rolled, power = np.zeros(n - WINDOW + 1, np.uint64), np.ones(1, np.uint64)
-    for j in range(WINDOW):
-        rolled += value[WINDOW - 1 - j : n - j] * power
-        power *= _STEP
-    marks = np.flatnonzero((mix(rolled) >> np.uint64(64 - MEAN_BITS)) == 0) + WINDOW
-    out, start = [], 0
-    for end in marks.tolist():
+    rolled, scratch, power = np.zeros(n - WINDOW + 1, np.uint64), np.empty(n - WINDOW + 1, np.uint64), np.uint64(1)
+    with np.errstate(over="ignore"):
+        for j in range(WINDOW):
+            np.multiply(value[WINDOW - 1 - j : n - j], power, out=scratch)
+            rolled += scratch
+            power = power * _STEP
+    return np.flatnonzero((mix(rolled) >> np.uint64(64 - MEAN_BITS)) == 0) + WINDOW
+
+
+def chunk_ends(marks: list[int], start: int, stop: int) -> list[int]:
+    """Ends of the chunks of the document at start:stop: the marks that leave no chunk under LEAST or over MOST.  A mark
+    that counts is at least LEAST ids into the document, so its window never reaches into another one."""
+    out = []
+    for end in marks:
         while end - start > MOST:
             start += MOST
             out.append(start)
-        if end - start >= LEAST and end < n:
+        if end - start >= LEAST and end < stop:
             out.append(end)
             start = end
-    while n - start > MOST:
+    while stop - start > MOST:
         start += MOST
         out.append(start)
-    if n > start:
-        out.append(n)
+    if stop > start:
+        out.append(stop)
     return out
 
 
+def cut_points(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one document, by content alone."""
+    return chunk_ends(rolling_marks(ids).tolist(), 0, len(ids))
+
+
 def address(payload: bytes) -> bytes:
     return hashlib.blake2b(payload, digest_size=16).digest()
 
@@ -77,6 +97,10 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+def document_root(n_tokens: int, addresses: list[bytes]) -> bytes:
+    return merkle_root([n_tokens.to_bytes(8, "little"), *addresses])
+
+
 def _encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFrame:
     dtype = f"<u{width}"
 
@@ -85,50 +109,88 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFr
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for a, b in in_parts(texts):
-                totals, addresses, sizes, payloads = [], [], [], []
-                for ids in encoder.encode(texts[a:b]):
-                    ids = np.append(ids, np.uint32(end_id))
-                    raw, start, mine, lens, data = ids.astype(dtype).tobytes(), 0, [], [], []
-                    for end in cut_points(ids):
+                ids, stops = encoder.flat(texts[a:b], end_id)
+                marks = rolling_marks(ids)
+                bound = np.searchsorted(marks, stops).tolist()
+                marks, raw = marks.tolist(), ids.astype(dtype, copy=False).tobytes()
+                names, payloads, lengths, offsets, start, low = [], [], [], [0], 0, 0
+                for stop, high in zip(stops.tolist(), bound):
+                    for end in chunk_ends(marks[low:high], start, stop):
                         payload = raw[start * width : end * width]
                         name = address(payload)
-                        mine.append(name)
-                        lens.append(end - start)
-                        data.append(None if name in met else payload)  # one task need not send a chunk twice
+                        names.append(name)
+                        lengths.append(end - start)
+                        payloads.append(None if name in met else payload)  # one task need not send a chunk twice
                         met.add(name)
                         start = end
-                    totals.append(len(ids))
-                    addresses.append(mine)
-                    sizes.append(lens)
-                    payloads.append(data)
-                    if len(met) > 500_000:
-                        met.clear()
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(totals, pa.int64()), pa.array(addresses, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int32())), pa.array(payloads, pa.list_(pa.binary()))],
-                    ["doc_id", "n_tokens", "addresses", "sizes", "payloads"],
-                )
+                    offsets.append(len(names))
+                    start, low = stop, high
+                if len(met) > 500_000:
+                    met.clear()
+                at = pa.array(offsets, pa.int32())
+                lists = [pa.ListArray.from_arrays(at, pa.array(x, t)) for x, t in ((names, pa.binary()), (lengths, pa.int32()), (payloads, pa.binary()))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(stops, prepend=0)), *lists], ["doc_id", "n_tokens", "addresses", "sizes", "payloads"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ENCODED)
 
 
 def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, place, before, chain = TaskContext.get().partitionId(), 0, 0, bytes(16)
+    part, place, before = TaskContext.get().partitionId(), 0, 0
     for batch in batches:
         n = len(batch)
-        totals = np.array(batch.column("n_tokens").to_pylist(), dtype=np.int64)
+        totals = batch.column("n_tokens").to_numpy(zero_copy_only=False)
         ends = before + np.cumsum(totals)
-        roots, chains = [], []
-        for leaves in batch.column("addresses").to_pylist():
-            roots.append(merkle_root(leaves))
-            chain = hashlib.blake2b(chain + roots[-1], digest_size=16).digest()
-            chains.append(chain)
+        roots = [document_root(t, leaves) for t, leaves in zip(totals.tolist(), batch.column("addresses").to_pylist())]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(place, place + n)), pa.array(ends - totals), batch.column("n_tokens"), batch.column("addresses"), batch.column("sizes"), pa.array(roots, pa.binary()), pa.array(chains, pa.binary())],
-            ["doc_id", "part", "place", "before", "n_tokens", "addresses", "sizes", "root", "chain"],
+            [batch.column("doc_id"), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(place, place + n)), pa.array(ends - totals), batch.column("n_tokens"), batch.column("addresses"), batch.column("sizes"), pa.array(roots, pa.binary())],
+            ["doc_id", "part", "place", "before", "n_tokens", "addresses", "sizes", "root"],
         )
         place, before = place + n, int(ends[-1]) if n else before
 
 
+def _block_roots(recipes: DataFrame) -> DataFrame:
+    """part, block, documents, ids, root from the recipes as they are; a gap in places or in running counts raises.  A
+    group has BLOCK rows of some forty bytes."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        place, before, n = (table.column(c).to_numpy() for c in ("place", "before", "n_tokens"))
+        whole = (place == key[1].as_py() * BLOCK + np.arange(len(place))).all() and (before[1:] == before[:-1] + n[:-1]).all()
+        if not whole:
+            raise ValueError(f"recipes of part {key[0].as_py()}, block {key[1].as_py()} are missing, repeated or moved")
+        root = merkle_root(table.column("root").to_pylist())
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int64()), "documents": pa.array([len(place)], pa.int64()), "ids": pa.array([int(n.sum())], pa.int64()), "root": pa.array([root], pa.binary())})
+
+    rows = recipes.select("part", F.floor(F.col("place") / BLOCK).alias("block"), "place", "before", "n_tokens", "root")
+    return rows.groupBy("part", "block").applyInArrow(run, BLOCKS)
+
+
+def _part_rows(blocks: DataFrame) -> list[tuple]:
+    """(part, documents, ids, root over its blocks), ascending.  One row a partition leaves the cluster: as many as
+    there are shuffle partitions, however large the input."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        if (table.column("block").to_numpy() != np.arange(len(table))).any():
+            raise ValueError(f"blocks of part {key[0].as_py()} are missing, repeated or moved")
+        sums = [[int(table.column(c).to_numpy().sum())] for c in ("documents", "ids")]
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "documents": pa.array(sums[0], pa.int64()), "ids": pa.array(sums[1], pa.int64()), "root": pa.array([merkle_root(table.column("root").to_pylist())], pa.binary())})
+
+    rows = blocks.groupBy("part").applyInArrow(run, "part int, documents long, ids long, root binary").collect()
+    return sorted((r.part, r.documents, r.ids, bytes(r.root)) for r in rows)
+
+
+MANIFEST = "part int, documents long, ids long, offset long, part_root binary, root binary, width int"
+
+
+def _manifest_rows(parts: list[tuple], width: int) -> list[tuple]:
+    root, offset, out = merkle_root([p[3] for p in parts]), 0, []
+    for part, documents, ids, part_root in parts:
+        out.append((part, documents, ids, offset, part_root, root, width))
+        offset += ids
+    return out
+
+
 def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, width: int = 2) -> None:
     """Write the store of ``docs`` to ``path``.  width: bytes an id, 2 if all ids are below 65536, else 4."""
     spark = docs.sparkSession
@@ -139,20 +201,26 @@ def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_
     ordered = encoded.select("doc_id", "n_tokens", "addresses", "sizes").repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first())
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "addresses").mapInArrow(_recipes, RECIPE)
     ordered.write.option("compression", "zstd").parquet(f"{path}/recipes")
-    recipes = spark.read.schema(RECIPE).parquet(f"{path}/recipes")
-    parts = recipes.groupBy("part").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("ids"), F.max_by("chain", "place").alias("chain"))
-    # One row a partition from here on: as many as there are shuffle partitions, however large the input.
-    rows = sorted(parts.collect(), key=lambda r: r.part)
-    root, offset, out = merkle_root([bytes(r.chain) for r in rows]), 0, []
-    for r in rows:
-        out.append((r.part, r.documents, r.ids, offset, bytes(r.chain), root, width))
-        offset += r.ids
-    schema = "part int, documents long, ids long, offset long, chain binary, root binary, width int"
-    spark.createDataFrame(out, schema).coalesce(1).write.parquet(f"{path}/manifest")
+    _block_roots(spark.read.schema(RECIPE).parquet(f"{path}/recipes")).write.parquet(f"{path}/blocks")
+    rows = _manifest_rows(_part_rows(spark.read.schema(BLOCKS).parquet(f"{path}/blocks")), width)
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
     for p in encoded.inputFiles()[:1]:
         drop(spark, p.rpartition("/")[0])
 
 
+def verify(spark: SparkSession, path: str) -> None:
+    """Raise unless manifest, blocks and recipes agree, from the recipes' roots up to the manifest's one root."""
+    rows = sorted(tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in manifest(spark, path).collect())
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
+    if rows != _manifest_rows(_part_rows(blocks), rows[0][-1] if rows else 2):
+        raise ValueError("the manifest does not fit the blocks")
+    found = _block_roots(spark.read.schema(RECIPE).parquet(f"{path}/recipes"))
+    ours, theirs = (d.select(F.struct(*[F.col(x.split()[0]) for x in BLOCKS.split(", ")]).alias("b")) for d in (blocks, found))
+    both = ours.withColumn("side", F.lit(1)).unionByName(theirs.withColumn("side", F.lit(-1)))
+    if both.groupBy("b").agg(F.sum("side").alias("s")).where("s <> 0").limit(1).count():
+        raise ValueError("the recipes do not fit the blocks")
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/manifest")
 
@@ -215,14 +283,18 @@ def _checked_chunks(width: int):
 def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each chunk of each recipe, the recipe checked against its Merkle root; tail: the ids after the chunk."""
     for batch in batches:
-        names, sizes = batch.column("addresses").to_pylist(), batch.column("sizes").to_pylist()
-        for leaves, root in zip(names, batch.column("root").to_pylist()):
-            if merkle_root(leaves) != root:
+        names, totals = batch.column("addresses"), batch.column("n_tokens").to_numpy(zero_copy_only=False)
+        for leaves, total, root in zip(names.to_pylist(), totals.tolist(), batch.column("root").to_pylist()):
+            if document_root(total, leaves) != root:
                 raise ValueError("a recipe does not fit its Merkle root")
-        who = np.repeat(np.arange(len(names)), [len(x) for x in names])
-        tails = np.concatenate([np.cumsum(np.array(x[::-1], dtype=np.int64))[::-1] - x for x in sizes]) if names else np.zeros(0, np.int64)
-        take = pa.array(who, pa.int64())
-        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in ("doc_id", "part", "place", "before", "n_tokens")], pa.array([a for x in names for a in x], pa.binary()), pa.array(tails)], ["doc_id", "part", "place", "before", "n_tokens", "address", "tail"])
+        counts = np.diff(names.offsets.to_numpy())
+        take = pa.array(np.repeat(np.arange(len(names)), counts))
+        upto = np.cumsum(batch.column("sizes").flatten().to_numpy().astype(np.int64))
+        whole = np.append(0, upto)[np.cumsum(counts)]  # ids of the batch up to the end of each document
+        if (np.diff(whole, prepend=0) != totals).any():
+            raise ValueError("a recipe's lengths do not add up")
+        tails = np.repeat(whole, counts) - upto
+        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in ("doc_id", "part", "place", "before", "n_tokens")], names.flatten(), pa.array(tails)], ["doc_id", "part", "place", "before", "n_tokens", "address", "tail"])
 
 
 def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +306,8 @@ def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def digest(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, from the files of the store."""
+    """doc_id, start, n_tokens, ids_crc32 of each document, from the files of the store, once they are verified."""
+    verify(spark, path)
     parts = manifest(spark, path)
     width = (parts.select("width").first() or [2])[0]
     recipes = spark.read.schema(RECIPE).parquet(f"{path}/recipes")
@@ -250,7 +323,8 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decode(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, part, place, ids (array) of each document."""
+    """doc_id, part, place, ids (array) of each document, once the files are verified."""
+    verify(spark, path)
     width = (manifest(spark, path).select("width").first() or [2])[0]
     recipes = spark.read.schema(RECIPE).parquet(f"{path}/recipes")
     rows = recipes.select("doc_id", "part", "place", F.posexplode("addresses").alias("seq", "address"))

@@ -10,8 +10,8 @@ import pytest
 from conftest import SF, rows_of
 
 from corpusmill.llm import jaccard, language, mixing, packing, quality, queries, sketch, store, substrings, tokencount, topk
-from corpusmill.llm.encode import tokenizer_path
-from corpusmill.llm.shared import new_path
+from corpusmill.llm.encode import Encoder, tokenizer_path
+from corpusmill.llm.shared import new_path, staged
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = "lorem ipsum " * 30000
@@ -87,6 +87,51 @@ def test_op2(spark, docs, rows, edge, empty):
     assert store.store_digest(empty).count() == 0
 
 
+@pytest.mark.parametrize("part", ["recipes", "chunks", "blocks", "manifest"])
+@pytest.mark.parametrize("how", ["missing", "repeated"])
+def test_op2_notices_damage(spark, docs, part, how):
+    """A row less, or a row twice, in any table of the store raises."""
+    path = new_path(spark, "store")
+    store.write(docs.limit(40), path)
+    table = spark.read.parquet(f"{path}/{part}").toPandas()
+    bad = table.iloc[1:] if how == "missing" else table.iloc[[0, *range(len(table))]]
+    schema = spark.read.parquet(f"{path}/{part}").schema
+    damaged = spark.createDataFrame([tuple(r) for r in bad.itertuples(index=False)], schema)
+    damaged.coalesce(1).write.mode("overwrite").parquet(f"{path}/{part}")
+    with pytest.raises(Exception, match="missing|repeated|moved|not fit|not whole"):
+        store.digest(spark, path).collect()
+
+
+def test_op2_notices_changes(spark, docs):
+    from pyspark.sql import functions as F
+
+    for part, column, value in (("recipes", "n_tokens", F.col("n_tokens") + 1), ("recipes", "doc_id", F.col("doc_id")), ("chunks", "payload", F.concat("payload", F.lit(b"\0\0")))):
+        path = new_path(spark, "store")
+        store.write(docs.limit(40), path)
+        changed = staged(spark.read.parquet(f"{path}/{part}").withColumn(column, value), "changed")
+        changed.write.mode("overwrite").parquet(f"{path}/{part}")
+        if column == "doc_id":  # no change: still read
+            assert store.digest(spark, path).count() == 40
+            continue
+        with pytest.raises(Exception, match="missing|repeated|moved|not fit|not whole|not hold|add up"):
+            store.digest(spark, path).collect()
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_is_the_library(name):
+    """Random texts over an awkward alphabet: ids by way of the memo equal the library's."""
+    import random
+
+    rng, tok = random.Random(11), tokenizer(name)
+    alphabet = ["a", "B", "é", "İ", "ß", "ﬁ", "Å", "e\u0301", "中", "1", "²", "½", "_", "'s", "'", ".", ",", "!?", "###", " ", " ", " ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u2003", "<|endoftext|>", "\x00", "\x1c", "🙂", "the", "The", "tion"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 30))) for _ in range(6000)]
+    ids, ends = Encoder(name).flat(texts, 7)
+    start = 0
+    for text, end, want in zip(texts, ends.tolist(), tok.encode_batch_fast(texts, add_special_tokens=False)):
+        assert ids[start:end].tolist() == want.ids + [7], text
+        start = end
+
+
 def covered(texts, length, first):
     seen = defaultdict(list)
     for i, t in texts:

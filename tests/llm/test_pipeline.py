@@ -3,7 +3,7 @@
 from collections import Counter
 
 from conftest import SF
-from test_operators import brute_components, covered
+from test_llm_operators import brute_components, covered
 
 import corpus_pipeline
 from corpusmill.llm import jaccard
