@@ -20,8 +20,9 @@ inequality.  Far from any pivot all distances are 1, so regions are not formed b
    settled over all chunks, the sets outside the region's largest component meet every chunk, again in blocks.
 
 Empty or null texts, and texts without words, have the empty set, link with nothing, and are their own component.
-Repeated rows and equal texts have equal sets and one component.  A null doc_id stands for its text; component_id is
-the least doc_id that is not null.  Only doc_id and text are read; n-gram and set hashes have 64 bits.
+Repeated rows and equal texts have equal sets and one component; two texts under one doc_id are two documents.  A null
+doc_id stands for its text; component_id is the least doc_id that is not null.  Empty tables give no rows.  Only doc_id
+and text are read, so other columns never clash; n-gram and set hashes have 64 bits.
 """
 
 from __future__ import annotations
@@ -36,9 +37,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import shingles, texts, word_hashes
-from .shared import fresh, shuffle_partitions, staged
-from .substrings import _pack, _unpack, keyed
+from .kernels import packed, shingles, texts, unpacked, word_hashes
+from .shared import fresh, identity, keyed, shuffle_partitions, staged
 
 MEMBERS, SAMPLE, COMMON, EXTRA, CELL_ENTRIES, TASK_BYTES, CHUNK_BYTES, SHARED_PIVOTS = 1024, 8000, 0.005, 0.04, 500_000, 8 << 20, 12 << 20, 16
 
@@ -82,7 +82,7 @@ def _sets(rule: Rule):
                 s = shingle_set(b, rule.words)
                 n.append(len(s))
                 sig.append(signature(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.int64())], ["k", "doc_id", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("t"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.int64())], ["k", "t", "doc_id", "n", "sig"])
 
     return run
 
@@ -103,7 +103,7 @@ class Common(NamedTuple):
 
 def common_grams(source: DataFrame, sets: DataFrame, rule: Rule) -> Common:
     """N-grams of at least COMMON of a bounded sample of distinct sets; they only steer the order of probes."""
-    chosen = sets.where("n > 0").groupBy("sig").agg(F.min("k").alias("k")).orderBy(F.xxhash64("sig")).limit(SAMPLE).select("k")
+    chosen = sets.where("n > 0").groupBy("sig").agg(F.min(F.struct("k", "t")).alias("at")).orderBy(F.xxhash64("sig")).limit(SAMPLE).select("at.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +112,7 @@ def common_grams(source: DataFrame, sets: DataFrame, rule: Rule) -> Common:
                 if len(s):
                     yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.full(len(s), signature(s)))], ["gram", "sig"])
 
-    rows = source.join(F.broadcast(chosen), "k", "left_semi").select("text").mapInArrow(run, "gram long, sig long")
+    rows = source.join(F.broadcast(chosen), ["k", "t"], "left_semi").select("text").mapInArrow(run, "gram long, sig long")
     least = max(8, int(COMMON * SAMPLE))
     found = rows.groupBy("gram").agg(F.count("*").alias("c"), F.min("sig").alias("leader")).where(F.col("c") >= least).toArrow()
     grams = found.column("gram").to_numpy().view(np.uint64)
@@ -163,9 +163,9 @@ def _probes(rule: Rule, common: Common, parts: int):
 
 def _cells(grams: list, sigs: list, sizes: list, parts: int) -> pa.RecordBatch:
     g = np.concatenate(grams)
-    packed = _pack((g % np.uint64(parts)).astype(np.int64), {"gram": g, "sig": np.concatenate(sigs), "n": np.concatenate(sizes).astype(np.int64)})
-    z = pa.array([None] * len(packed), pa.int64())
-    return pa.RecordBatch.from_arrays([*packed.columns, z, z, z, z], [x.split()[0] for x in CELLS.split(", ")])
+    cells = packed((g % np.uint64(parts)).astype(np.int64), {"gram": g, "sig": np.concatenate(sigs), "n": np.concatenate(sizes).astype(np.int64)})
+    z = pa.array([None] * len(cells), pa.int64())
+    return pa.RecordBatch.from_arrays([*cells.columns, z, z, z, z], [x.split()[0] for x in CELLS.split(", ")])
 
 
 REGION = "leader long, member long, size long, cells long"
@@ -178,7 +178,7 @@ def _company(rule: Rule):
         hot = table.filter(pc.is_null(table.column("gram"))).select(["leader", "member", "size", "cells"]).group_by(["leader", "member", "size"]).aggregate([("cells", "max")])
         hot = hot.rename_columns({"cells_max": "cells"})
         table = table.filter(pc.is_valid(table.column("gram")))
-        g, sig, n = _unpack(table, "gram", "<u8"), _unpack(table, "sig", "<i8"), _unpack(table, "n", "<i8")
+        g, sig, n = unpacked(table, "gram", "<u8"), unpacked(table, "sig", "<i8"), unpacked(table, "n", "<i8")
         order = np.lexsort((sig, n, g))
         g, sig, n = g[order], sig[order], n[order]
         keep = np.ones(len(g), bool)
@@ -302,9 +302,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def linked_components(docs: DataFrame, rule: Rule = Rule(), members: int = MEMBERS) -> DataFrame:
-    """k, doc_id, n_shingles, component_id, keeper (the k of its component's first document) of each row."""
+    """k, t, doc_id, n_shingles, component_id, and first (k and t of its component's first document) of each row."""
     spark, source = docs.sparkSession, keyed(docs)
-    sets = staged(source.mapInArrow(_sets(rule), "k long, doc_id long, n long, sig long"), "jaccard-sets")
+    sets = staged(source.mapInArrow(_sets(rule), "k long, t long, doc_id long, n long, sig long"), "jaccard-sets")
     total = sets.agg(F.sum("n").alias("n")).first().n or 0
     parts = max(shuffle_partitions(spark), int(total * (1 - rule.num / rule.den + EXTRA)) // CELL_ENTRIES + 1)
     common = common_grams(source, sets, rule)
@@ -319,7 +319,7 @@ def linked_components(docs: DataFrame, rule: Rule = Rule(), members: int = MEMBE
     chunks = F.greatest(F.ceil(F.col("m") / members), F.ceil(F.col("grams") * 8 / CHUNK_BYTES))
     regions = regions.join(big.select("leader", "m", chunks.alias("chunks")), "leader")
     regions = staged(regions, "jaccard-regions")
-    first = sets.where("n > 0").groupBy("sig").agg(F.min("k").alias("k")).withColumnRenamed("sig", "member")
+    first = sets.where("n > 0").groupBy(F.col("sig").alias("member")).agg(F.min(F.struct("k", "t")).alias("at")).select("member", "at.*")
     wanted = regions.groupBy("member").agg(F.collect_list(F.struct("leader", "chunks", "m")).alias("regions")).join(first, "member")
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,8 +328,6 @@ def linked_components(docs: DataFrame, rule: Rule = Rule(), members: int = MEMBE
             held = 0
             for b, member, own in zip(texts(batch.column("text")), batch.column("member").to_pylist(), batch.column("regions").to_pylist()):
                 s = shingle_set(b, rule.words)
-                if signature(s) != member:  # another row of the same doc_id
-                    continue
                 body, spot = s.astype("<u8").tobytes(), member % (1 << 62)
                 for r in own:
                     c = r["chunks"]
@@ -342,7 +340,7 @@ def linked_components(docs: DataFrame, rule: Rule = Rule(), members: int = MEMBE
                     out, held = [], 0
             yield _shipped(out)
 
-    shipped = source.select("k", "text").join(wanted.select("k", "member", "regions"), "k").mapInArrow(ship, SHIPPED)
+    shipped = source.select("k", "t", "text").join(wanted.select("k", "t", "member", "regions"), ["k", "t"]).mapInArrow(ship, SHIPPED)
     large = regions.where("chunks > 1").limit(1).count() > 0
     if large:
         shipped = staged(shipped, "jaccard-shipped", "lz4")
@@ -357,12 +355,13 @@ def linked_components(docs: DataFrame, rule: Rule = Rule(), members: int = MEMBE
         more = staged(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "jaccard-links")
         if not more.isEmpty():
             labels = components(edges.union(more))
-    sig = sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "k")).alias("keep"))
+    sig = sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "k", "t")).alias("first"))
     sig = sig.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    whole = sig.groupBy("label").agg(F.min("low").alias("component_id"), F.min("keep").alias("keep"))
-    sig = staged(sig.select("sig", "label").join(whole, "label").select("sig", "component_id", F.col("keep.k").alias("keeper")), "jaccard-components")
+    whole = sig.groupBy("label").agg(F.min("low").alias("component_id"), F.min("first").alias("first"))
+    sig = staged(sig.select("sig", "label").join(whole, "label").select("sig", "component_id", F.struct("first.k", "first.t").alias("first")), "jaccard-components")
     out = sets.join(sig, "sig", "left")
-    return out.select("k", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("keeper")).otherwise(F.col("k")).alias("keeper"))
+    none = F.col("n") == 0
+    return out.select("k", "t", "doc_id", F.col("n").alias("n_shingles"), F.when(none, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(none, F.struct("k", "t")).otherwise(F.col("first")).alias("first"))
 
 
 SHIPPED = "leader long, chunk long, chunks long, member long, own boolean, body binary"
@@ -392,12 +391,12 @@ def component_digest(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component, each once."""
-    found = linked_components(docs, rule)
-    key = fresh("jaccard_key", docs.columns)
-    kept = staged(found.where("k = keeper").select(F.col("k").alias(key)), "jaccard-kept")
-    own = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))))
-    out = own.join(kept.distinct(), key, "left_semi")
-    if kept.groupBy(key).count().where("count > 1").limit(1).count():  # rows that repeat a doc_id
-        out = out.dropDuplicates([key])
+    """The rows of ``docs`` that are the first of their component, each once.  Two texts under one doc_id that don't link
+    both stay."""
+    names = [fresh(f"jaccard_{c}", docs.columns) for c in ("k", "t")]
+    kept = staged(linked_components(docs, rule).where(F.col("first") == F.struct("k", "t")).groupBy("k", "t").agg(F.count("*").alias("rows")), "jaccard-kept")
+    own = docs.withColumns(dict(zip(names, identity(F.col("doc_id"), F.col("text")))))
+    out = own.join(kept.select(F.col("k").alias(names[0]), F.col("t").alias(names[1])), names, "left_semi")
+    if kept.where("rows > 1").limit(1).count():  # rows that repeat a document
+        out = out.dropDuplicates(names)
     return out.select(*docs.columns)

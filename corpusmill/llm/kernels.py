@@ -174,3 +174,19 @@ def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     left = np.minimum.accumulate(blocks, axis=1).ravel()
     right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     return np.minimum(right[: n - size + 1], left[size - 1 : n])
+
+
+def packed(part: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A row for each part: its values of each column (eight bytes a value) as one binary."""
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+    out = [pa.array(part[cut[:-1]].astype(np.int32))]
+    for x in columns.values():
+        raw = x[order].tobytes()
+        out.append(pa.array([raw[8 * a : 8 * b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())], pa.binary()))
+    return pa.RecordBatch.from_arrays(out, ["part", *columns])
+
+
+def unpacked(table: pa.Table, name: str, dtype: str) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=dtype)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..deploy import ship
 
@@ -75,3 +76,16 @@ def fresh(name: str, taken: list[str]) -> str:
     while name.lower() in used:
         name += "_"
     return name
+
+
+def identity(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """What a document is known by: its doc_id (null: a hash of the text) and a hash of its text, so that two texts under
+    one doc_id are two documents."""
+    t = F.xxhash64(F.coalesce(text, F.lit("")))
+    return F.coalesce(doc_id.cast("long"), t), t
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """k, t (see ``identity``), doc_id, text (null: empty)."""
+    k, t = identity(F.col("doc_id"), F.col("text"))
+    return docs.select(k.alias("k"), t.alias("t"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))

@@ -1,24 +1,30 @@
 """Exact removal of repeated byte strings by suffix order and longest-previous-factor arrays.
 
 A byte goes if a string of ``length`` bytes covers it that also starts elsewhere: anywhere (``keep="none"``), or at an
-earlier place only, so that the first copy stays (``keep="first"``; places are ordered by doc_id, then offset).
+earlier place only, so that the first copy stays (``keep="first"``; places are ordered by doc_id, text hash, offset).
 
-1. Every window of ``length`` bytes has an anchor, the least hash among the shorter grams in it (the leftmost of
-   equal ones).  Equal windows have equal anchors, so the windows around one anchor, a *stretch* of about one and a
-   half lengths, can only match stretches of equal anchors.  Anchors that occur once end here.
-2. Equal stretches are counted before and after a shuffle, and one of them speaks for all.
+1. Every window of ``length`` bytes has an anchor, the least hash among the shorter grams in it.  Equal windows have
+   equal anchors, so a *stretch*, the bytes of a run of windows of one anchor (about one and a half lengths), can only
+   match stretches of equal anchors.  Anchors that occur once end here.
+2. Equal stretches (128-bit BLAKE2b of their bytes) are counted before and after a shuffle; the first speaks for all,
+   so that a text copied a million times enters the suffix order once.
 3. Different stretches of one anchor meet in a task.  It sorts their suffixes by their first ``length`` bytes (prefix
    doubling, exact on the bytes) and reads from the previous and next smaller (and larger) places in suffix order
    which windows have an earlier (or later) match of full length.
-4. An anchor with more than ``HOT`` different stretches is not brought together: 128-bit hashes of its windows, packed,
-   are dealt by hash value instead, so that no task grows with the group.
+4. An anchor with more than ``CROWD`` different stretches is divided before they meet: windows with their anchor at
+   nearly the same offset have a longer string in common, which becomes their anchor; runs of such windows are
+   stretches again, equal ones fold again, and what still crowds is divided eight times finer, until the anchor is the
+   whole window.  So no task grows with a group, and nothing depends on ``CROWD`` but the division of work.
 
 With ``words`` a string of fewer than ``length`` bytes counts too if it has that many whole words (between ASCII
-spaces, in both places; a lone symbol is none).  Each shortest such string is a stretch that only equals others.
-
-Null texts are empty, and nothing matches across documents.  A text too short for either rule is left whole.  Rows that
-repeat a doc_id should repeat the text: then each is a copy (``none``) or all stand for one document (``first``); a
-null doc_id stands for its text.  Empty tables give no rows; columns other than doc_id and text are left alone.
+spaces, in both places; a lone symbol is none).  Each shortest such string is a stretch that only equals others (by
+two 64-bit hashes of its bytes).
+
+Null texts are empty, and nothing matches across documents.  A text too short for either rule is left whole; a very
+long one is read in segments.  Documents are known by doc_id and text: two texts under one doc_id are two documents;
+rows that repeat both are each a copy (``none``) or stand for one document (``first``); a null doc_id stands for its
+text.  Ties between equal strings go to the earlier place.  Empty tables give no rows; columns other than doc_id, text
+and n_chars are left alone, and names of the working columns are made fresh.
 """
 
 from __future__ import annotations
@@ -32,41 +38,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import BYTE_VALUE, ORDER, SECOND_VALUE, mix, powers, prefix_sums, sliding_min, texts, window_hashes, word_spans
-from .shared import fresh, shuffle_partitions, staged
+from .shared import fresh, identity, keyed, shuffle_partitions, staged
 
-LENGTH, HOT, TASK_BYTES = 400, 1500, 3 << 20
+LENGTH, CROWD, TASK_BYTES = 400, 1024, 1 << 20
 _POSITION = np.uint64((1 << 20) - 1)
 _SEGMENT = 1 << 19
+#: Windows of a stretch at most; a run of one anchor is longer in periodic texts only.
+_LONGEST = 4096
 #: Texts whose stretches are in memory at a time.
 FEW = 256
 #: Bytes that make a word of what stands between spaces: letters, digits and all that isn't ASCII.
 _LETTER = np.array([chr(i).isalnum() or i > 127 for i in range(256)])
-STRETCH = "k long, anchor long, body long, span int, at array<long>"
+STRETCH = "k long, t long, anchor long, body binary, low long, span int, hits int"
 
 
 def gram_size(length: int) -> int:
     return max(8, min(64, length // 5))
 
 
-def stretches(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, span in bytes, anchor hash and body hash of each stretch of a text."""
-    gram, out = gram_size(length), []
+def digest(raw: memoryview | bytes, size: int = 16) -> bytes:
+    return hashlib.blake2b(raw, digest_size=size).digest()
+
+
+def anchor_places(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the anchor (the leftmost of equal ones) of each window, and all gram hashes."""
+    gram = gram_size(length)
+    g = window_hashes(b, gram)
+    least = sliding_min((g & ~_POSITION) | np.arange(len(g), dtype=np.uint64), length - gram + 1)
+    return (least & _POSITION).astype(np.int64), g
+
+
+def stretches(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Start, span in bytes, anchor hash, number of anchor places, and digest of each stretch of a text."""
+    out, bodies = [], []
     windows = len(b) - length + 1
     for s in range(0, max(windows, 0), _SEGMENT):
         part = b[s : min(len(b), s + _SEGMENT + length - 1)]
-        g = window_hashes(part, gram)
         n = len(part) - length + 1
-        least = sliding_min((g & ~_POSITION) | np.arange(len(g), dtype=np.uint64), length - gram + 1)
-        anchor = (least & _POSITION).astype(np.int64)
-        low = np.concatenate([[0], np.flatnonzero(np.diff(anchor)) + 1])
-        end = np.append(low[1:], n) + length - 1
-        sums, (_, inverse) = prefix_sums(part, SECOND_VALUE), powers(len(part) + 1)
-        body = mix((sums[end] - sums[low]) * inverse[low] + (end - low).astype(np.uint64) * ORDER[60])
-        out.append((low + s, end - low, g[anchor[low]], body))
+        place, g = anchor_places(part, length)
+        value = g[place]
+        low = np.concatenate([[0], np.flatnonzero(value[1:] != value[:-1]) + 1])
+        size = np.diff(np.append(low, n))
+        if (size > _LONGEST).any():
+            times = -(-size // _LONGEST)
+            low = np.repeat(low, times) + _LONGEST * (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
+        end = np.append(low[1:], n)
+        moves = np.concatenate([[0], np.cumsum(place[1:] != place[:-1])])
+        raw = memoryview(np.ascontiguousarray(part))
+        bodies += [digest(raw[x : y + length - 1]) for x, y in zip(low.tolist(), end.tolist())]
+        out.append((low + s, end - low + length - 1, value[low], moves[end - 1] - moves[low] + 1))
     if not out:
         z = np.zeros(0, np.int64)
-        return z, z, z.view(np.uint64), z.view(np.uint64)
-    return tuple(np.concatenate(x) for x in zip(*out))
+        return z, z, z.view(np.uint64), z, bodies
+    return *(np.concatenate(x) for x in zip(*out)), bodies
 
 
 def word_windows(b: np.ndarray, words: int, below: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -91,33 +115,38 @@ def word_windows(b: np.ndarray, words: int, below: int) -> tuple[np.ndarray, np.
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (z, z, z.view(np.uint64), z.view(np.uint64))
 
 
+def _fixed(parts: list[bytes], width: int = 16) -> pa.Array:
+    raw = b"".join(parts)
+    return pa.Array.from_buffers(pa.binary(width), len(raw) // width, [None, pa.py_buffer(raw)]).cast(pa.binary())
+
+
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """So that a worker holds what belongs to few texts."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, FEW):
+            yield batch.slice(i, FEW)
+
+
 def _stretch_rows(length: int, words: int = 0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, FEW) for b in batches for i in range(0, b.num_rows, FEW)):  # so that a worker holds the stretches of few texts
-            keys = batch.column("k").to_numpy(zero_copy_only=False)
-            who, anchors, bodies, spans, places, sizes = [], [], [], [], [], []
+        for batch in _few(batches):
+            counts, columns, bodies = np.zeros(len(batch), np.int64), [], []
             for i, b in enumerate(texts(batch.column("text"))):
-                low, span, anchor, body = stretches(b, length)
+                low, span, anchor, hits, body = stretches(b, length)
+                bodies += body
+                counts[i] = len(low)
+                columns.append((anchor.view(np.int64), low, span, hits))
                 if words:
-                    low, span, anchor, body = (np.concatenate(x) for x in zip((low, span, anchor, body), word_windows(b, words, length)))
-                if not len(low):
-                    continue
-                order = np.lexsort((low, body, anchor))
-                low, span, anchor, body = low[order], span[order], anchor[order], body[order]
-                fresh = np.ones(len(low), bool)  # equal stretches of one text make one row
-                fresh[1:] = (anchor[1:] != anchor[:-1]) | (body[1:] != body[:-1])
-                first = np.flatnonzero(fresh)
-                who.append(np.full(len(first), keys[i]))
-                anchors.append(anchor[first])
-                bodies.append(body[first])
-                spans.append(span[first])
-                places.append(low)
-                sizes.append(np.diff(np.append(first, len(low))))
-            if who:
-                offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+                    low, span, h1, h2 = word_windows(b, words, length)
+                    bodies.append(np.stack([h1, h2], 1).tobytes())
+                    counts[i] += len(low)
+                    columns.append((h1.view(np.int64), low, span, np.ones(len(low), np.int64)))
+            if counts.any():
+                anchor, low, span, hits = (np.concatenate(x) for x in zip(*columns))
+                who = pa.array(np.repeat(np.arange(len(batch)), counts))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(who)), *[pa.array(np.concatenate(x).view(np.int64)) for x in (anchors, bodies)], pa.array(np.concatenate(spans).astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(places)))],
-                    ["k", "anchor", "body", "span", "at"],
+                    [batch.column("k").take(who), batch.column("t").take(who), pa.array(anchor), _fixed(bodies), pa.array(low), pa.array(span.astype(np.int32)), pa.array(hits.astype(np.int32))],
+                    [x.split()[0] for x in STRETCH.split(", ")],
                 )
 
     return run
@@ -171,231 +200,221 @@ def matched_windows(ranks: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, n
     return earlier, later
 
 
-def spans_of(starts: np.ndarray, length: int) -> list[list[int]]:
-    """Byte spans [a, b) that sorted window starts cover."""
-    if not len(starts):
-        return []
+def covered_runs(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Byte spans [a, e) that sorted window starts cover."""
     cut = np.flatnonzero(np.diff(starts) > length) + 1
-    low, high = np.concatenate([starts[:1], starts[cut]]), np.concatenate([starts[cut - 1], starts[-1:]]) + length
-    return np.stack([low, high], 1).tolist()
+    return starts[np.concatenate([[0], cut])], starts[np.concatenate([cut - 1, [len(starts) - 1]])] + length
+
 
+FOUND = "k long, t long, a long, e long"
+PIECE = "k long, t long, low long, anchor long, kinds long, single boolean, bytes binary"
 
-FOUND = "k long, spans array<array<long>>"
+
+def _cut(length: int):
+    """The bytes of the stretches that are asked for, text by text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _few(batches):
+            asks = batch.column("asks")
+            counts = np.diff(asks.offsets.to_numpy())
+            low, span, anchor, kinds, single = asks.flatten().flatten()
+            raw = [memoryview(np.ascontiguousarray(b)) for b in texts(batch.column("text"))]
+            who = np.repeat(np.arange(len(batch)), counts)
+            bytes_ = [bytes(raw[i][x : x + n]) for i, x, n in zip(who.tolist(), low.to_pylist(), span.to_pylist())]
+            take = pa.array(who)
+            yield pa.RecordBatch.from_arrays([batch.column("k").take(take), batch.column("t").take(take), low, anchor, kinds, single, pa.array(bytes_, pa.binary())], [x.split()[0] for x in PIECE.split(", ")])
+
+    return run
 
 
 def _suffix_task(length: int, earlier_only: bool):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("k", "ascending"), ("low", "ascending")])
-        anchor, body, k, low, single = (table.column(c).to_numpy() for c in ("anchor", "body", "k", "low", "single"))
-        bytes_ = table.column("bytes").to_pylist()
-        kept = np.sort(np.unique(np.stack([anchor, body], 1), axis=0, return_index=True)[1])
-        b = np.frombuffer(b"".join(bytes_[i] for i in kept), dtype=np.uint8)
-        sizes = np.array([len(bytes_[i]) for i in kept], dtype=np.int64)
-        ranks = prefix_ranks(b, length)
-        starts = np.cumsum(sizes) - sizes
-        counts = sizes - length + 1
-        at = np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
-        owner = np.repeat(np.arange(len(kept)), counts)
-        # Text order: stretches are sorted by document and offset; overlapping ones of a document by true offset.
-        real = low[kept][owner] + at - starts[owner]
-        doc = np.unique(k[kept], return_inverse=True)[1][owner]
-        place = np.unique(doc * (int(real.max()) + 1 if len(real) else 1) + real, return_inverse=True)[1].astype(np.int64)
+        k, t, low, single = (table.column(c).to_numpy() for c in ("k", "t", "low", "single"))
+        raw = table.column("bytes").to_pylist()
+        order = np.lexsort((low, t, k))  # text order
+        k, t, low = k[order], t[order], low[order]
+        again = np.concatenate([[False], (k[1:] == k[:-1]) & (t[1:] == t[:-1]) & (low[1:] == low[:-1])])  # rows that repeat a document
+        k, t, low, order = k[~again], t[~again], low[~again], order[~again]
+        single, raw = single[order], [raw[i] for i in order.tolist()]
+        sizes = np.array([len(x) for x in raw], dtype=np.int64)
+        ranks = prefix_ranks(np.frombuffer(b"".join(raw), dtype=np.uint8), length)
+        starts, counts = np.cumsum(sizes) - sizes, sizes - length + 1
+        first = np.cumsum(counts) - counts
+        owner = np.repeat(np.arange(len(raw)), counts)
+        at = starts[owner] + np.arange(len(owner)) - first[owner]
+        # Overlapping stretches of a document by true offset: its windows are each in one stretch alone.
+        doc = np.cumsum(np.concatenate([[0], (k[1:] != k[:-1]) | (t[1:] != t[:-1])]))[owner]
+        real = low[owner] + at - starts[owner]
+        place = np.empty(len(owner), np.int64)
+        place[np.lexsort((real, doc))] = np.arange(len(owner))
         earlier, later = matched_windows(ranks[at], place)
-        hit = earlier if earlier_only else earlier | later
-        keys, spans, begin = [], [], np.cumsum(counts) - counts
-        for j, i in enumerate(kept.tolist()):
-            if not single[i]:
-                continue
-            a = int(begin[j])
-            mine = np.flatnonzero(hit[a : a + counts[j]])
-            if len(mine):
-                keys.append(int(k[i]))
-                spans.append([[x + int(low[i]), y + int(low[i])] for x, y in spans_of(mine, length)])
-        return pa.table({"k": pa.array(keys, pa.int64()), "spans": pa.array(spans, pa.list_(pa.list_(pa.int64())))})
+        hit = np.flatnonzero((earlier if earlier_only else earlier | later) & single[owner])
+        if not len(hit):
+            return pa.table({c: pa.array([], pa.int64()) for c in ("k", "t", "a", "e")})
+        mine = owner[hit]
+        # One number line for all stretches, with gaps of more than a window between them.
+        base = np.cumsum(sizes + length + 1) - sizes
+        a, e = covered_runs(base[mine] + hit - first[mine], length)
+        who = np.searchsorted(base, a, side="right") - 1
+        return pa.table({"k": k[who], "t": t[who], "a": a - base[who] + low[who], "e": e - base[who] + low[who]})
+
+    return run
+
+
+SUB = "k long, t long, low long, anchor long, body binary, span int, single boolean, bytes binary"
+
+
+def _divide(length: int, shift: int):
+    """Runs of windows whose anchors stand at offsets that agree but for the last ``shift`` bits, each under what all
+    windows with such offsets have in common.  The bytes of equal runs are sent once a batch, with the first of them."""
+    widest = length - gram_size(length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _few(batches):
+            met, who, out = set(), [], []
+            k, t, low = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "t", "low"))
+            raw = batch.column("bytes").to_pylist()
+            for i in np.lexsort((low, t, k)).tolist():
+                b, view, base = np.frombuffer(raw[i], dtype=np.uint8), memoryview(raw[i]), int(low[i])
+                place, _ = anchor_places(b, length)
+                part = (place - np.arange(len(place))) >> shift
+                begin = np.concatenate([[0], np.flatnonzero((place[1:] != place[:-1]) | (part[1:] != part[:-1])) + 1])
+                end = np.append(begin[1:], len(place))
+                for x, y, p, c in zip(begin.tolist(), end.tolist(), place[begin].tolist(), part[begin].tolist()):
+                    near, far = c << shift, min(((c + 1) << shift) - 1, widest)
+                    common = hashlib.blake2b(view[p - near : p + length - far], digest_size=8, salt=c.to_bytes(8, "little"), person=shift.to_bytes(8, "little")).digest()
+                    body = view[x : y + length - 1]
+                    name = common + digest(body)
+                    who.append(i)
+                    out.append((base + x, int.from_bytes(common, "little", signed=True), name[8:], len(body), None if name in met else bytes(body)))
+                    met.add(name)
+            take = pa.array(who, pa.int64())
+            low_, anchor, body, span, bytes_ = (pa.array(c, ty) for c, ty in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())))
+            yield pa.RecordBatch.from_arrays([batch.column("k").take(take), batch.column("t").take(take), low_, anchor, body, span, batch.column("single").take(take), bytes_], [x.split()[0] for x in SUB.split(", ")])
 
     return run
 
 
-_PACKED = "part int, h1 binary, h2 binary, k binary, at binary"
-
-
-def _pack(part: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    order = np.argsort(part, kind="stable")
-    part = part[order]
-    cut = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
-    out = [pa.array(part[cut[:-1]].astype(np.int32))]
-    for x in columns.values():
-        raw = x[order].tobytes()
-        out.append(pa.array([raw[8 * a : 8 * b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())], pa.binary()))
-    return pa.RecordBatch.from_arrays(out, ["part", *columns])
-
-
-def _unpack(table: pa.Table, name: str, dtype: str) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=dtype)
-
-
-def _hot_windows(hot: DataFrame, length: int, earlier_only: bool, parts: int) -> DataFrame:
-    """Matched windows of hot anchors by packed 128-bit window hashes, then packed again by document."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h1, h2, ks, at = [], [], [], []
-            for k, low, raw in zip(*(batch.column(c).to_pylist() for c in ("k", "low", "bytes"))):
-                b = np.frombuffer(raw, dtype=np.uint8)
-                h1.append(window_hashes(b, length, BYTE_VALUE))
-                h2.append(window_hashes(b, length, SECOND_VALUE))
-                ks.append(np.full(len(h1[-1]), k))
-                at.append(low + np.arange(len(h1[-1])))
-            if h1:
-                a = np.concatenate(h1)
-                yield _pack((a % np.uint64(parts)).astype(np.int64), {"h1": a, "h2": np.concatenate(h2), "k": np.concatenate(ks), "at": np.concatenate(at)})
-
-    def match(key: tuple, table: pa.Table) -> pa.Table:
-        h1, h2, k, at = (_unpack(table, c, t) for c, t in (("h1", "<u8"), ("h2", "<u8"), ("k", "<i8"), ("at", "<i8")))
-        order = np.lexsort((at, k, h2, h1))
-        h1, h2, k, at = h1[order], h2[order], k[order], at[order]
-        alike = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
-        again = alike & ((k[1:] != k[:-1]) | (at[1:] != at[:-1]))  # the same place may come from two stretches
-        first = np.concatenate([[True], ~alike]) if len(h1) else np.zeros(0, bool)
-        group = np.cumsum(first) - 1
-        many = np.bincount(group[1:], weights=again, minlength=int(group[-1]) + 1 if len(group) else 0) > 0
-        hit = many[group] if len(group) else first
-        if earlier_only and len(group):
-            lead = np.flatnonzero(first)[group]
-            hit = hit & ((k != k[lead]) | (at != at[lead]))
-        k, at = k[hit], at[hit]
-        if not len(k):
-            return pa.table({"part": pa.array([], pa.int32()), "k": pa.array([], pa.binary()), "at": pa.array([], pa.binary())})
-        return pa.Table.from_batches([_pack((mix(k.view(np.uint64)) % np.uint64(parts)).astype(np.int64), {"k": k, "at": at})])
-
-    def gather(key: tuple, table: pa.Table) -> pa.Table:
-        k, at = _unpack(table, "k", "<i8"), _unpack(table, "at", "<i8")
-        order = np.lexsort((at, k))
-        k, at = k[order], at[order]
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1, [len(k)]]) if len(k) else np.zeros(1, np.int64)
-        spans = [spans_of(np.unique(at[a:b]), length) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
-        return pa.table({"k": pa.array(k[cut[:-1]], pa.int64()), "spans": pa.array(spans, pa.list_(pa.list_(pa.int64())))})
-
-    dealt = hot.select("k", "low", "bytes").mapInArrow(deal, _PACKED)
-    return dealt.groupBy("part").applyInArrow(match, "part int, k binary, at binary").groupBy("part").applyInArrow(gather, FOUND)
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("k"), F.col("doc_id").cast("long"), text.alias("text"))
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", hot: int = HOT, words: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(candidates: k, doc_id, text, full: spans known already; found: k, spans from suffix order)."""
+def _kinds(rows: DataFrame, hits: str, name: str) -> DataFrame:
+    """A row for each different stretch whose anchor has company: how many there are, the first, and the anchor's kinds."""
+    same = rows.groupBy("anchor", "body").agg(F.count("*").alias("n"), F.min(F.struct("k", "t", "low")).alias("first"), F.max("span").alias("span"), F.max(F.expr(hits)).alias("hits"))
+    per = same.groupBy("anchor").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("alone"), F.sum(F.col("n") * F.col("hits")).alias("total")).where("total > 1")
+    return staged(same.join(per, "anchor"), name)
+
+
+def _equal(rows: DataFrame, kinds: DataFrame, earlier_only: bool) -> DataFrame:
+    """Spans of the stretches that equal another one (an earlier one)."""
+    found = rows.join(kinds.where("n > 1").select("anchor", "body", "first"), ["anchor", "body"])
+    if earlier_only:
+        found = found.where(F.col("first") != F.struct("k", "t", "low"))
+    return found.select("k", "t", F.col("low").alias("a"), (F.col("low") + F.col("span")).alias("e"))
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", crowd: int = CROWD, words: int = 0) -> DataFrame:
+    """k, t, a, e: byte spans [a, e) to be removed, which may overlap, of the documents known by k and t (see ``keyed``)."""
     if keep not in ("none", "first"):
         raise ValueError("keep is none or first")
-    spark, source = docs.sparkSession, keyed(docs)
+    source, first = keyed(docs), keep == "first"
     least = min(length, 2 * words - 1) if words else length
-    rows = staged(source.where(F.octet_length("text") >= least).select("k", "text").mapInArrow(_stretch_rows(length, words), STRETCH), "spans-stretches")
-    same = rows.groupBy("anchor", "body").agg(F.sum(F.size("at")).alias("n"), F.min(F.struct("k", F.col("at")[0].alias("low"))).alias("first"))
-    anchors = rows.groupBy("anchor").agg(F.sum(F.size("at")).alias("total")).where("total > 1").select("anchor")
-    bodies = same.join(anchors, "anchor", "left_semi")
-    different = bodies.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    kinds = staged(bodies.join(different, "anchor"), "spans-kinds")
-    # Each occurrence of a repeated anchor, gathered by document: never more than a text has bytes.
-    seen = rows.join(kinds.select("anchor", "body", "n", "first", "kinds"), ["anchor", "body"])
-    speaks = (F.col("first.k") == F.col("k")).alias("speaks")
-    seen = seen.groupBy("k").agg(F.collect_list(F.struct("anchor", "body", "span", "at", "n", "kinds", F.col("first.low").alias("first_low"), speaks)).alias("seen"))
-    held = staged(source.join(seen, "k"), "spans-candidates")
-    part = F.expr(f"""flatten(transform(seen, s -> transform(filter(s.at, a -> s.n > 1 {'AND NOT (s.speaks AND a = s.first_low)' if keep == 'first' else ''}), a -> array(a, a + s.span))))""")
-    candidates = held.select("k", "doc_id", "text", part.alias("full"))
-    asks = F.expr(f"filter(seen, s -> s.speaks AND s.kinds > 1 AND s.span >= {length})")
-    asked = held.select("k", "text", asks.alias("seen")).where(F.size("seen") > 0)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for k, b, seen_ in zip(batch.column("k").to_pylist(), texts(batch.column("text")), batch.column("seen").to_pylist()):
-                for s in seen_:
-                    low = s["first_low"]
-                    out.append((k, low, s["anchor"], s["body"], s["kinds"], keep == "first" or s["n"] == 1, b[low : low + s["span"]].tobytes()))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, types)], ["k", "low", "anchor", "body", "kinds", "single", "bytes"])
-
-    cut_schema = "k long, low long, anchor long, body long, kinds long, single boolean, bytes binary"
-    pieces = staged(asked.mapInArrow(cut, cut_schema), "spans-pieces")
-    stats = pieces.agg(F.sum(F.when(F.col("kinds") <= hot, F.octet_length("bytes"))).alias("cold"), F.sum(F.when(F.col("kinds") > hot, F.octet_length("bytes"))).alias("hot")).first()
-    parts = max(shuffle_partitions(spark), -(-int(stats.cold or 0) // TASK_BYTES))
-    task = F.pmod(F.xxhash64("anchor"), F.lit(parts)).alias("task")
-    found = pieces.where(F.col("kinds") <= hot).select(task, "k", "low", "anchor", "body", "single", "bytes").groupBy("task").applyInArrow(_suffix_task(length, keep == "first"), FOUND)
-    if stats.hot:
-        hot_parts = max(shuffle_partitions(spark), -(-int(stats.hot) // TASK_BYTES))
-        found = found.unionByName(_hot_windows(pieces.where(F.col("kinds") > hot), length, keep == "first", hot_parts))
-    return candidates, found
-
-
-def _merged(full: list, found: list) -> list[list[int]]:
-    spans = sorted([*full, *(s for part in found for s in part)])
-    out: list[list[int]] = []
-    for a, b in spans:
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
-
-
-def _with_found(docs: DataFrame, length: int, keep: str, hot: int, words: int = 0) -> DataFrame:
-    candidates, found = repeated_spans(docs, length, keep, hot, words)
-    by_doc = found.groupBy("k").agg(F.collect_list("spans").alias("found"))
-    return candidates.join(by_doc, "k", "left")
-
-
-def removal_digest(docs: DataFrame, length: int = LENGTH, keep: str = "none", hot: int = HOT) -> DataFrame:
+    rows = staged(source.where(F.octet_length("text") >= least).select("k", "t", "text").mapInArrow(_stretch_rows(length, words), STRETCH), "spans-stretches")
+    kinds = _kinds(rows, "hits", "spans-kinds")
+    found = _equal(rows, kinds, first)
+    # Only a stretch that nothing equals (or the first of equal ones, if it is kept) has to ask; the others are evidence.
+    single = F.lit(True) if first else F.col("n") == 1
+    asks = kinds.where((F.col("span") >= length) & (((F.col("kinds") > 1) & (F.lit(first) | (F.col("alone") > 0))) | ((F.col("hits") > 1) & single)))
+    asks = asks.groupBy(F.col("first.k").alias("k"), F.col("first.t").alias("t")).agg(F.collect_list(F.struct(F.col("first.low").alias("low"), "span", "anchor", "kinds", single.alias("single"))).alias("asks"))
+    pieces = staged(source.select("k", "t", "text").join(asks, ["k", "t"]).mapInArrow(_cut(length), PIECE), "spans-pieces")
+    shift = (length - gram_size(length)).bit_length()
+    while True:
+        crowded = F.col("kinds") > (crowd if shift else 1 << 62)
+        size = pieces.agg(F.sum(F.when(~crowded, F.octet_length("bytes"))).alias("bytes"), F.count_if(crowded).alias("crowded")).first()
+        if size.bytes:
+            tasks = max(shuffle_partitions(docs.sparkSession), -(-int(size.bytes) // TASK_BYTES))
+            task = F.pmod(F.xxhash64("anchor"), F.lit(tasks)).alias("task")
+            found = found.unionByName(pieces.where(~crowded).select(task, "k", "t", "low", "single", "bytes").groupBy("task").applyInArrow(_suffix_task(length, first), FOUND))
+        if not size.crowded:
+            return found
+        shift = max(0, shift - 3)
+        rows = staged(pieces.where(crowded).select("k", "t", "low", "single", "bytes").mapInArrow(_divide(length, shift), SUB), "spans-divided")
+        kinds = _kinds(rows, "1", "spans-kinds")
+        found = found.unionByName(_equal(rows, kinds, first))
+        lead = rows.join(kinds.where("kinds > 1").select("anchor", "body", "n", "first", "kinds"), ["anchor", "body"]).where(F.col("first") == F.struct("k", "t", "low"))
+        alone = F.col("single") if first else F.col("single") & (F.col("n") == 1)
+        pieces = staged(lead.select("k", "t", "low", "anchor", "kinds", alone.alias("single"), "bytes"), "spans-pieces")
+
+
+def _merged(spans: pa.ListArray) -> Iterator[list[tuple[int, int]]]:
+    """Overlapping and touching spans of each row as one, ascending."""
+    low, high = (x.to_numpy() for x in spans.flatten().flatten())
+    counts = spans.value_lengths().fill_null(0).to_numpy()
+    start = 0
+    for n in counts.tolist():
+        if not n:
+            yield []
+            continue
+        order = np.argsort(low[start : start + n], kind="stable")
+        a, e = low[start : start + n][order], np.maximum.accumulate(high[start : start + n][order])
+        cut = np.flatnonzero(a[1:] > e[:-1]) + 1
+        yield list(zip(a[np.concatenate([[0], cut])].tolist(), e[np.concatenate([cut - 1, [n - 1]])].tolist()))
+        start += n
+
+
+def _by_document(found: DataFrame) -> DataFrame:
+    """A list for each document: never more spans than its text has stretches and windows."""
+    return found.groupBy("k", "t").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
+
+
+def removal_digest(docs: DataFrame, length: int = LENGTH, keep: str = "none", crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document."""
-    joined = _with_found(docs, length, keep, hot)
+    joined = keyed(docs).join(_by_document(repeated_spans(docs, length, keep, crowd)), ["k", "t"], "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             out = []
-            for b, full, found in zip(texts(batch.column("text")), batch.column("full").to_pylist(), batch.column("found").to_pylist()):
-                spans, sha, at = [[a, min(e, len(b))] for a, e in _merged(full or [], found or []) if a < len(b)], hashlib.sha256(), 0
+            for b, spans in zip(texts(batch.column("text")), _merged(batch.column("spans"))):
+                raw, sha, at = memoryview(np.ascontiguousarray(b)), hashlib.sha256(), 0
                 for a, e in spans:
-                    sha.update(b[at:a].tobytes())
+                    sha.update(raw[at:a])
                     at = e
-                sha.update(b[at:].tobytes())
+                sha.update(raw[at:])
                 out.append((len(b), sum(e - a for a, e in spans), len(spans), sha.hexdigest()))
-            cols = list(zip(*out)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.string()])]], ["k", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    changed = staged(joined.select("k", "doc_id", "text", "full", "found").mapInArrow(run, "k long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "spans-digest")
-    source = keyed(docs)
-    plain = source.select("k", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
-    plain = plain.join(changed.select("k").distinct(), "k", "left_anti")
-    return changed.unionByName(plain).drop("k")
-
-
-def without_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first", hot: int = HOT, words: int = 0) -> DataFrame:
+            cols = zip(*out) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.string()])]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def without_spans(text: pa.Array, spans: pa.Array) -> pa.Array:
+    """Texts without their spans, cut at character boundaries inside them."""
+    out = []
+    for b, own in zip(texts(text), _merged(spans)):
+        kept, at = [], 0
+        for a, e in own:
+            while a < e and b[a] & 0xC0 == 0x80:  # a character that the span only ends stays whole
+                a += 1
+            while e > a and e < len(b) and b[e] & 0xC0 == 0x80:
+                e -= 1
+            kept.append(b[at:a].tobytes())
+            at = max(at, e)
+        kept.append(b[at:].tobytes())
+        out.append(b"".join(kept).decode())
+    return pa.array(out, pa.string())
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first", crowd: int = CROWD, words: int = 0) -> DataFrame:
     """``docs`` with repeated spans cut out of text (at character boundaries inside them), n_chars kept in step."""
-    joined = _with_found(docs, length, keep, hot, words).select("k", "text", "full", "found")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for b, full, found in zip(texts(batch.column("text")), batch.column("full").to_pylist(), batch.column("found").to_pylist()):
-                kept, at = [], 0
-                for a, e in _merged(full or [], found or []):
-                    e = min(e, len(b))
-                    while a < e and b[a] & 0xC0 == 0x80:  # a character that the span only ends stays whole
-                        a += 1
-                    while e > a and e < len(b) and b[e] & 0xC0 == 0x80:
-                        e -= 1
-                    kept.append(b[at:a].tobytes())
-                    at = max(at, e)
-                kept.append(b[at:].tobytes())
-                out.append(b"".join(kept).decode())
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(out, pa.string())], ["k", "spans_text"])
-
-    changed = joined.where("size(full) > 0 OR size(found) > 0").mapInArrow(run, "k long, spans_text string").dropDuplicates(["k"])
-    key, cut = fresh("spans_key", docs.columns), fresh("spans_text", docs.columns)
-    own = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))))
-    own = own.join(changed.select(F.col("k").alias(key), F.col("spans_text").alias(cut)), key, "left")
-    new = {"text": F.coalesce(cut, "text")}
+    names = {c: fresh(f"spans_{c}", docs.columns) for c in ("k", "t", "list", "text")}
+    found = _by_document(repeated_spans(docs, length, keep, crowd, words)).toDF(names["k"], names["t"], names["list"])
+    k, t = identity(F.col("doc_id"), F.col("text"))
+    own = docs.withColumn(names["k"], k).withColumn(names["t"], t).join(found, [names["k"], names["t"]], "left")
+
+    @F.arrow_udf("string")
+    def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
+        return without_spans(text, spans)
+
+    # Where nothing was found the text passes as it is, a null one too.
+    own = own.withColumn(names["text"], F.when(F.col(names["list"]).isNotNull(), cut("text", names["list"])))
+    new = {"text": F.coalesce(names["text"], "text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col(cut).isNotNull(), F.length(cut).cast("long")).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.when(F.col(names["text"]).isNotNull(), F.length(names["text"]).cast("long")).otherwise(F.col("n_chars"))
     return own.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])

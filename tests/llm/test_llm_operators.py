@@ -148,11 +148,11 @@ def covered(texts, length, first):
     return out
 
 
-@pytest.mark.parametrize(("length", "keep", "hot"), [(400, "none", 1500), (400, "none", 0), (120, "first", 1500), (120, "first", 0)])
-def test_op3(docs, rows, length, keep, hot):
+@pytest.mark.parametrize(("length", "keep", "crowd"), [(400, "none", 1024), (400, "none", 0), (120, "first", 1024), (120, "first", 1)])
+def test_op3(docs, rows, length, keep, crowd):
     texts = [(i, t.encode()) for i, t in rows]
     want = covered(texts, length, keep == "first")
-    got = {r.doc_id: r for r in substrings.removal_digest(docs, length, keep, hot).collect()}
+    got = {r.doc_id: r for r in substrings.removal_digest(docs, length, keep, crowd).collect()}
     assert len(got) == len(texts)
     for i, t in texts:
         kept = bytes(x for x, m in zip(t, want[i]) if not m)
@@ -161,6 +161,35 @@ def test_op3(docs, rows, length, keep, hot):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(t), sum(want[i]), spans, hashlib.sha256(kept).hexdigest())
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+@pytest.mark.parametrize("crowd", [1024, 2, 0])
+def test_op3_periods_and_ids(spark, keep, crowd):
+    """Periodic texts, a passage in many contexts, two texts under one doc_id, rows that repeat a document."""
+    import random
+
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    passage, texts = noise(300), []
+    for i in range(12):
+        texts.append((i, noise(rng.randint(0, 90)) + passage + noise(rng.randint(0, 90))))
+    texts += [(20, "a" * 400), (21, "xyz" * 150 + "a" * 130), (22, noise(60) + "xy" * 200), (23, "b" * 119), (24, "b" * 120), (25, "b" * 121)]
+    texts += [(30, noise(200)), (30, noise(150) + passage[50:250]), (31, "cd" * 4000)]
+    texts += [(40, passage), (40, passage), (41, noise(250))] + [(41, texts[-1][1])]
+    if keep == "first":
+        seen = sorted(set(texts), key=lambda x: x[0])  # repeated rows stand for one document
+        by_hash = {x: r.t for x in seen for r in spark.createDataFrame([x], "doc_id long, text string").selectExpr("xxhash64(text) AS t").collect()}
+        seen.sort(key=lambda x: (x[0], by_hash[x]))
+    else:
+        seen = texts
+    want, cov = Counter(), covered([((n, i), t.encode()) for n, (i, t) in enumerate(seen)], 120, keep == "first")
+    for (n, i), c in cov.items():
+        t = seen[n][1].encode()
+        want[(i, len(t), sum(c), hashlib.sha256(bytes(x for x, m in zip(t, c) if not m)).hexdigest())] += texts.count(seen[n]) if keep == "first" else 1
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in substrings.removal_digest(df, 120, keep, crowd).collect())
+    assert got == want
+
+
 def test_op3_edges(spark, edge, empty):
     got = substrings.removal_digest(edge).collect()
     assert len(got) == len(EDGE) and {r.n_removed for r in got if r.doc_id == 5} == {len(LONG)} and sum(r.n_removed for r in got if r.doc_id != 5) == 0
@@ -279,6 +308,10 @@ def test_op8_chains_and_edges(spark, edge, empty):
     kept = jaccard.one_of_each(edge)
     assert kept.columns == edge.columns and kept.count() == len(EDGE) - 1
     assert jaccard.component_digest(empty).count() == 0
+    # Two texts under one doc_id, one of them a copy of an earlier document: the copy goes, the other stays.
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    two = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b), (3, b)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard.one_of_each(two).collect()) == [(1, a), (2, b)]
 
 
 def test_op9_edges(spark):

@@ -49,8 +49,8 @@ def test_against_brute_force(spark):
     texts = [(i, rng.choice([" ", "\n", " \n"]).join(rng.choices(pool, k=rng.randint(1, 6)))) for i in range(60)]
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
     want = brute([(i, t.encode()) for i, t in texts], 60, 14)
-    for hot in (1500, 0):
-        got = {r.doc_id: r.text for r in substrings.without_repeats(docs, 60, "first", hot, words=14).collect()}
+    for crowd in (1024, 0):
+        got = {r.doc_id: r.text for r in substrings.without_repeats(docs, 60, "first", crowd, words=14).collect()}
         # Characters that a span only ends stay whole in one and are parted in the other.
         assert {i: t.replace("é", "") for i, t in got.items()} == {i: t.decode(errors="ignore").replace("é", "") for i, t in want.items()}
     assert any(substrings.word_windows(np.frombuffer(t.encode(), np.uint8), 14, 60)[0].size for _, t in texts)
