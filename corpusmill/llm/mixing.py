@@ -1,13 +1,20 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame operations only.
 
 Targets: sources in code point order (null last) weigh ``weights`` in turn and share ``share`` times all words;
-no target passes ``cap`` times its source's words, the excess goes to the others by weight.  Each document of a
-source is taken ``floor(target / source words)`` times for certain; one more copy goes to the documents of least
-Pareto rank, random odds over inclusion odds, until their words come nearest to what is left of the target.
-
-No source is ever sorted as a whole: words are summed by rank bucket first, and only the one bucket that the target
-falls into is ranked.  Nulls: a null text has size 0, a null source is a source, a null doc_id ranks like any
-other.  Repeated rows share their rank and are taken together.  Empty tables give empty results.
+no target passes ``cap`` times its source's words, the excess goes to the others by weight.
+
+Each document of a source is taken ``floor(target / source words)`` times for certain.  What is left of the target is
+drawn as one copy more, with inclusion probabilities in proportion to size: ``min(1, alpha * size)``, where ``alpha``
+makes the expected words meet the rest.  Documents of probability 1 are whole copies for certain too; the others are
+ranked by random odds over inclusion odds, and those of least rank are taken until their words come nearest to what is
+left.  Probabilities differ from document to document, so the order of ranks is not that of the random numbers.
+
+No source is ever sorted as a whole: ``alpha`` comes from exact sums by distinct size, words are summed by rank bucket
+first, and only the one bucket that the target falls into is ranked; there are more buckets the more documents there
+are.  Nulls: a null text has size 0, a null source is a source, a null doc_id ranks like any other.  Texts of any
+length count whole.  Ties in rank go by doc_id; repeated rows share their rank and are taken together.  Documents
+without words are taken for certain or not at all.  Empty tables give empty results.  Columns named as this module's
+own keep their values: its own get underscores.
 """
 
 from __future__ import annotations
@@ -18,7 +25,7 @@ from pyspark.sql import functions as F
 from .shared import fresh, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
-RANK_BUCKETS = 4096
+BUCKET_ROWS = 4096
 BROADCAST_SOURCES = 50_000
 SEED = "mix1"
 
@@ -48,36 +55,71 @@ def source_targets(sizes: DataFrame, share: float, cap: float, weights: tuple[in
     return per.select("source", "source_size", F.least(F.lit(float(cap)) * F.col("source_size"), F.col("weight") * level).alias("target"))
 
 
+def inclusion(alpha: Column, size: Column) -> Column:
+    """The probability of one copy more."""
+    return F.least(F.lit(1.0), alpha * size)
+
+
 def pareto_rank(u: Column, share: Column) -> Column:
-    """Random odds over inclusion odds."""
-    return (u / (1 - u)) / (share / (1 - share))
+    """Random odds over inclusion odds; null where the odds are zero."""
+    return F.when(share > 0, u * (1 - share) / ((1 - u) * share))
+
+
+def _bucket(rank: Column, buckets: int | Column) -> Column:
+    """Rises with the rank."""
+    return F.floor(rank / (1 + rank) * buckets)
+
+
+def inclusion_rates(sizes: DataFrame, plan: DataFrame) -> DataFrame:
+    """A row for each source: ``alpha`` and ``certain``, the size above which a document is taken for certain.
+
+    If sizes above s are certain, alpha(s) = (rest - their words) / sum of squares of the others; the s asked for is the
+    greatest with alpha(s) * s <= 1.  The windows see one row a distinct size; the sums are exact decimals."""
+    by = sizes.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
+    words = F.col("size").cast("decimal(20,0)") * F.col("n")
+    up = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by = by.withColumn("low", F.sum(words).over(up)).withColumn("square", F.sum((words * F.col("size")).cast("decimal(38,0)")).over(up)).alias("b")
+    by = by.join(_small(plan.select(F.col("source").alias("plan_source"), "source_size", "rest")), F.col("source").eqNullSafe(F.col("plan_source")))
+    above = F.col("source_size") - F.col("low").cast("double")
+    by = by.withColumn("alpha", (F.col("rest") - above) / F.col("square").cast("double"))
+    by = by.where(F.col("alpha") * F.col("size") <= 1)
+    return by.groupBy("source").agg(F.max_by("alpha", "size").alias("alpha"), F.max("size").alias("certain"), F.max_by(above, "size").alias("above"))
 
 
 def cutoffs(sizes: DataFrame, share: float, cap: float, weights: tuple[int, ...]) -> DataFrame:
-    """A row for each source: its target, certain copies, and the rank up to which one copy more is taken."""
+    """A row for each source: its target, certain copies, inclusion rate, and the rank up to which one copy more is taken."""
     plan = source_targets(sizes, share, cap, weights)
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
-    plan = plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    plan = staged(plan, "mix-plan")
-    bucket = F.floor(F.col("u") * RANK_BUCKETS)
-    binned = sizes.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
+    plan = staged(plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "mix-plan")
+    rates = staged(inclusion_rates(sizes, plan), "mix-rates")
+    count = sizes.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
+    buckets = 1 << max(6, (count // BUCKET_ROWS).bit_length())
+    r = _small(rates.select(F.col("source").alias("rate_source"), "alpha", "certain"))
+    drawn = sizes.join(r, F.col("source").eqNullSafe(F.col("rate_source"))).where(F.col("size") <= F.col("certain"))
+    drawn = drawn.withColumn("rank", pareto_rank(F.col("u"), inclusion(F.col("alpha"), F.col("size")))).where("rank IS NOT NULL")
+    drawn = drawn.withColumn("bucket", _bucket(F.col("rank"), buckets))
     up = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    binned = drawn.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     binned = binned.withColumn("before", F.sum("words").over(up) - F.col("words")).alias("b")
-    edge = binned.join(_small(plan).alias("p"), F.col("b.source").eqNullSafe(F.col("p.source")))
-    edge = edge.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest")))
-    edge = edge.select(F.col("p.source").alias("source"), "source_size", "rest", "bucket", "before")
-    edge = staged(edge, "mix-edge")
-    e = _small(edge.withColumnRenamed("source", "edge_source").withColumnRenamed("bucket", "edge_bucket"))
-    within = sizes.join(e, F.col("source").eqNullSafe(F.col("edge_source")) & (bucket == F.col("edge_bucket")))
-    within = within.withColumn("rank", pareto_rank(F.col("u"), F.col("rest") / F.col("source_size")))
-    within = within.groupBy("source", "rest", "before", "rank", "u", "doc_id").agg(F.sum("size").alias("peers"))
+    left = plan.alias("p").join(rates.alias("r"), F.col("p.source").eqNullSafe(F.col("r.source")))
+    left = left.select(F.col("p.source").alias("left_source"), (F.col("rest") - F.col("above")).alias("left"))
+    edge = binned.join(_small(left), F.col("source").eqNullSafe(F.col("left_source")))
+    # Where all is taken the last bucket is the edge.
+    last_bucket = F.max("bucket").over(Window.partitionBy("source"))
+    edge = edge.withColumn("last", last_bucket).where((F.col("before") < F.col("left")) & ((F.col("before") + F.col("words") >= F.col("left")) | (F.col("bucket") == F.col("last"))))
+    edge = staged(edge.select(F.col("source").alias("edge_source"), "left", F.col("bucket").alias("edge_bucket"), "before"), "mix-edge")
+    within = drawn.join(_small(edge), F.col("source").eqNullSafe(F.col("edge_source")) & (F.col("bucket") == F.col("edge_bucket")))
+    within = within.groupBy("source", "left", "before", "rank", "doc_id").agg(F.sum("size").alias("peers"))
     run = Window.partitionBy("source").orderBy("rank", F.col("doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = within.withColumn("upto", F.col("before") + F.sum("peers").over(run))
-    last = within.where(2 * F.col("upto") - F.col("peers") <= 2 * F.col("rest")).groupBy("source").agg(F.max(F.struct("u", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"))).alias("last"))
-    edge, last = edge.alias("e"), last.alias("l")
-    cut = edge.join(last, F.col("e.source").eqNullSafe(F.col("l.source")), "left").select(F.col("e.source").alias("cut_source"), "bucket", "last")
-    cut = plan.join(cut, F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source", "rest")
-    return staged(cut.select(F.col("source").alias("cut_source"), "source_size", "target", "whole", "bucket", "last"), "mix-cut")
+    last = within.where(2 * F.col("upto") - F.col("peers") <= 2 * F.col("left")).groupBy(F.col("source").alias("last_source")).agg(F.max(_place(F.col("rank"))).alias("last"))
+    cut = plan.drop("rest").join(rates.select(F.col("source").alias("rate_source"), "alpha", "certain"), F.col("source").eqNullSafe(F.col("rate_source")), "left")
+    cut = cut.join(edge, F.col("source").eqNullSafe(F.col("edge_source")), "left").join(last, F.col("source").eqNullSafe(F.col("last_source")), "left")
+    return staged(cut.select(F.col("source").alias("cut_source"), "source_size", "target", "whole", "alpha", "certain", F.lit(buckets).alias("buckets"), "edge_bucket", "last"), "mix-cut")
+
+
+def _place(rank: Column) -> Column:
+    return F.struct(rank.alias("rank"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -110,9 +152,10 @@ def _apply(docs: DataFrame, size: Column, cut: DataFrame, seed: str) -> DataFram
     own = {c: fresh(f"mix_cut_{c}", names) for c in cut.columns}
     cut = cut.select(*[F.col(c).alias(n) for c, n in own.items()])
     u = uniform_of(F.col("doc_id"), seed)
-    key = F.struct(u.alias("u"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"))
-    bucket = F.floor(u * RANK_BUCKETS)
-    extra = F.coalesce((bucket < F.col(own["bucket"])) | ((bucket == F.col(own["bucket"])) & (key <= F.col(own["last"]))), F.lit(False))
+    rank = pareto_rank(u, inclusion(F.col(own["alpha"]), size))
+    bucket, edge = _bucket(rank, F.col(own["buckets"])), F.col(own["edge_bucket"])
+    drawn = (bucket < edge) | ((bucket == edge) & (_place(rank) <= F.col(own["last"])))
+    extra = F.coalesce(size > F.col(own["certain"]), F.lit(False)) | F.coalesce(drawn, F.lit(False))
     joined = docs.join(cut, F.col("source").eqNullSafe(F.col(own["cut_source"])))
     values = (size, F.col(own["source_size"]), F.col(own["target"]), (F.col(own["whole"]) + extra.cast("long")).cast("long"))
     return joined.select(*names, *[v.alias(fresh(n, names)) for n, v in zip(MIXED, values)])
@@ -138,7 +181,13 @@ l AS (SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE - 2.0::DOUBLE
 t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, weight * max(level) OVER ()) AS target FROM l),
 v AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
 e AS (SELECT *, target - whole * source_size AS rest FROM v),
-j AS (SELECT d.doc_id, d.size, d.u, e.*, (d.u / (1 - d.u)) / ((rest / source_size) / (1 - rest / source_size)) AS pareto FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
-c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY pareto, doc_id NULLS FIRST) AS upto, sum(size) OVER (PARTITION BY source, pareto, doc_id) AS peers FROM j)
-SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN 2 * upto - peers <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
+z AS (SELECT source, size, count(*) AS n FROM d WHERE size > 0 GROUP BY source, size),
+y AS (SELECT *, sum(size::HUGEINT * n) OVER up AS low, sum(size::HUGEINT * size * n) OVER up AS square FROM z WINDOW up AS (PARTITION BY source ORDER BY size)),
+x AS (SELECT y.source, y.size, source_size - low::DOUBLE AS above, (rest - (source_size - low::DOUBLE)) / square::DOUBLE AS alpha FROM y JOIN e ON y.source IS NOT DISTINCT FROM e.source),
+i AS (SELECT source, arg_max(alpha, size) AS alpha, max(size) AS certain, arg_max(above, size) AS above FROM x WHERE alpha * size <= 1 GROUP BY source),
+j AS (SELECT d.doc_id, d.size, d.u, e.*, i.certain, e.rest - i.above AS remaining, least(1.0::DOUBLE, i.alpha * d.size) AS share
+    FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source LEFT JOIN i ON d.source IS NOT DISTINCT FROM i.source),
+k AS (SELECT *, size <= certain AND share > 0 AS ranked, CASE WHEN size <= certain AND share > 0 THEN u * (1 - share) / ((1 - u) * share) END AS pareto FROM j),
+c AS (SELECT *, sum(size) OVER (PARTITION BY source, ranked ORDER BY pareto, doc_id NULLS FIRST) AS upto, sum(size) OVER (PARTITION BY source, ranked, pareto, doc_id) AS peers FROM k)
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN size > certain OR ranked AND 2 * upto - peers <= 2 * remaining THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
 """
