@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .kernels import BYTE_VALUE, ORDER, SECOND_VALUE, mix, powers, prefix_sums, sliding_min, texts, window_hashes, word_spans
 from .shared import fresh, identity, keyed, shuffle_partitions, staged
 
-LENGTH, CROWD, TASK_BYTES = 400, 1024, 1 << 20
+LENGTH, CROWD, TASK_BYTES = 400, 1024, 1 << 19
 _POSITION = np.uint64((1 << 20) - 1)
 _SEGMENT = 1 << 19
 #: Windows of a stretch at most; a run of one anchor is longer in periodic texts only.
@@ -155,24 +155,35 @@ def _stretch_rows(length: int, words: int = 0):
 def prefix_ranks(b: np.ndarray, length: int) -> np.ndarray:
     """Rank of the suffix at each byte by its first ``length`` bytes (by prefix doubling); equal prefixes share a rank.
 
-    Only ranks of places with ``length`` bytes of their own text before them mean anything."""
+    A rank is the place in suffix order of the first of its equals; what has no equal is settled and leaves.  Only ranks
+    of places with ``length`` bytes of their own text before them mean anything."""
     n = len(b)
-    wide = np.concatenate([b, np.zeros(8, np.uint8)]).astype(np.uint64)
+    rank = np.zeros(n, np.int64)
+    if not n:
+        return rank
     size = 1
     while size * 2 <= min(8, length):
         size *= 2
-    key = np.zeros(n, np.uint64)
+    wide, key = np.concatenate([b, np.zeros(size, np.uint8)]), np.zeros(n, np.uint64)
     for j in range(size):
-        key = (key << np.uint64(8)) | wide[j : j + n]
-    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-    while size < length:
+        key <<= np.uint64(8)
+        key |= wide[j : j + n]
+    open_, base = np.arange(n), np.arange(n)
+    while True:
+        order = np.argsort(key, kind="stable")
+        key, open_ = key[order], open_[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(first, len(key)))
+        rank[open_] = np.repeat(base[first], sizes)
+        more = np.repeat(sizes > 1, sizes)
+        open_, base = open_[more], base[more]
+        if size >= length or not len(open_):
+            return rank
         step = min(size, length - size)
-        after = np.zeros(n, np.int64)
-        if step < n:
-            after[: n - step] = rank[step:]
-        rank = np.unique(rank * n + after, return_inverse=True)[1].astype(np.int64)
+        after = open_ + step
+        key = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        key += rank[open_] * (n + 1)
         size += step
-    return rank
 
 
 def matched_windows(ranks: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,21 +251,24 @@ def _suffix_task(length: int, earlier_only: bool):
         ranks = prefix_ranks(np.frombuffer(b"".join(raw), dtype=np.uint8), length)
         starts, counts = np.cumsum(sizes) - sizes, sizes - length + 1
         first = np.cumsum(counts) - counts
-        owner = np.repeat(np.arange(len(raw)), counts)
-        at = starts[owner] + np.arange(len(owner)) - first[owner]
+        window = np.arange(int(counts.sum()))  # all windows, in text order of their stretches
+        own = ranks[np.repeat(starts - first, counts) + window]
+        order = np.argsort(own, kind="stable")
+        alike = own[order[1:]] == own[order[:-1]]
+        window = np.sort(order[np.concatenate([alike, [False]]) | np.concatenate([[False], alike])])  # those with company
+        owner = np.searchsorted(first, window, side="right") - 1
         # Overlapping stretches of a document by true offset: its windows are each in one stretch alone.
         doc = np.cumsum(np.concatenate([[0], (k[1:] != k[:-1]) | (t[1:] != t[:-1])]))[owner]
-        real = low[owner] + at - starts[owner]
         place = np.empty(len(owner), np.int64)
-        place[np.lexsort((real, doc))] = np.arange(len(owner))
-        earlier, later = matched_windows(ranks[at], place)
-        hit = np.flatnonzero((earlier if earlier_only else earlier | later) & single[owner])
-        if not len(hit):
+        place[np.lexsort((low[owner] + window - first[owner], doc))] = np.arange(len(owner))
+        earlier, later = matched_windows(own[window], place)
+        matched = (earlier if earlier_only else earlier | later) & single[owner]
+        if not matched.any():
             return pa.table({c: pa.array([], pa.int64()) for c in ("k", "t", "a", "e")})
-        mine = owner[hit]
+        hit, owner = window[matched], owner[matched]
         # One number line for all stretches, with gaps of more than a window between them.
         base = np.cumsum(sizes + length + 1) - sizes
-        a, e = covered_runs(base[mine] + hit - first[mine], length)
+        a, e = covered_runs(base[owner] + hit - first[owner], length)
         who = np.searchsorted(base, a, side="right") - 1
         return pa.table({"k": k[who], "t": t[who], "a": a - base[who] + low[who], "e": e - base[who] + low[who]})
 
