@@ -11,13 +11,15 @@ import gc
 import json
 import os
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MEMO = 1_000_000
 _CLOSING = ".,;:!?"
-_ENDS = ("", " ", "\n")
 _PIECES = re.compile(r"[ \n\t]*[^ \n\t]+|[ \n\t]+").findall
 _RARE = re.compile("[\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]").search
 
@@ -36,7 +38,7 @@ _SYMBOLS = {b: s for b, s in byte_symbols().items()}
 
 
 class _Index(dict):
-    """Text piece -> running number; new pieces are noted."""
+    """Text piece -> running number; new pieces are noted, with ``lead`` before them unless they start with a line break."""
 
     def __init__(self, owner: Pieces, lead: str):
         super().__init__()
@@ -45,33 +47,43 @@ class _Index(dict):
     def __missing__(self, piece: str) -> int:
         self[piece] = n = self.owner.count
         self.owner.count = n + 1
-        self.owner.new.append(self.lead + piece)
+        self.owner.new.append(piece if piece[:1] == "\n" else self.lead + piece)
         return n
 
 
 class Pieces:
-    """Numbers the pieces of texts; ``settle`` is called with the new ones and keeps what is to be known of them."""
+    """Numbers the pieces of texts; ``new`` has those that were not met before."""
 
-    def __init__(self, lead: str):
-        self.lead = lead
+    def __init__(self) -> None:
         self.clear()
 
     def clear(self) -> None:
         self.count, self.new = 0, []
-        self.first, self.rest = _Index(self, ""), _Index(self, self.lead)
-
-    def numbers(self, text: str) -> list[int]:
-        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or "\t" in text or text[:1] in _ENDS or text[-1:] in _ENDS:
-            return list(map(self.first.__getitem__, _PIECES(text)))
-        out: list[int] = []
-        first, rest = self.first, self.rest.__getitem__
-        for line in text.split("\n"):  # one line break between words is a pre-token of its own
-            words = line.split(" ")
-            if out:
-                out.append(first["\n"])
-            out.append(first[words[0]])
-            out += map(rest, words[1:])
-        return out
+        self.first, self.rest = _Index(self, ""), _Index(self, " ")
+
+    def numbers(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the pieces of all texts, and where each text's end.
+
+        Arrow cuts at spaces (and before line breaks) and finds the distinct words of the batch, so that the large table
+        is asked once for each of these.  A text with white space side by side or at an end goes by a pattern."""
+        if not len(column):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        words = pc.split_pattern(pc.replace_substring(column.cast(pa.large_string()), "\n", " \n"), " ")
+        starts = words.offsets.to_numpy()
+        starts, stops = starts[:-1] - starts[0], starts[1:] - starts[0]
+        coded = words.flatten().dictionary_encode()
+        at, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        numbers = np.fromiter(map(self.rest.__getitem__, distinct), np.int64, len(distinct))[at]
+        numbers[starts] = list(map(self.first.__getitem__, map(distinct.__getitem__, at[starts].tolist())))
+        side = np.fromiter((not w or w[0] in "\t" or w[-1] in "\n\t" for w in distinct), bool, len(distinct))
+        held = np.concatenate([[0], np.cumsum(side[at])])
+        again = np.flatnonzero(held[stops] > held[starts])
+        if len(again):
+            parts = np.split(numbers, stops[:-1])
+            for i in again.tolist():
+                parts[i] = np.array(list(map(self.first.__getitem__, _PIECES(column[i].as_py()))), dtype=np.int64)
+            numbers, stops = np.concatenate(parts), np.cumsum([len(x) for x in parts])
+        return numbers, stops
 
 
 def rare(piece: str) -> bool:
@@ -106,7 +118,7 @@ class Encoder:
         self.folds = "Lowercase" in steps
         # The short way below knows the two kinds of byte-level files: words with their space, or case-folded without.
         self.plain = spec["model"]["type"] == "BPE" and len(split) == 1 and not split[0]["add_prefix_space"] and (self.folds and steps == ["NFC", "Replace", "Lowercase"] or not spec["normalizer"] and before["type"] == "ByteLevel")
-        self.pieces = Pieces(" ")
+        self.pieces, self.line = Pieces(), self.tokenizer.encode("\n", add_special_tokens=False).ids
         self._reset()
 
     @classmethod
@@ -120,7 +132,7 @@ class Encoder:
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.at, self.size, self.odd = (np.zeros(1 << 12, np.int64) for _ in range(3))
         self.known = 0
-        self.words: dict[str, list[int]] = {}
+        self.tails: dict[str, list[int]] = {}
 
     def _grow(self, array: np.ndarray, n: int) -> np.ndarray:
         if n <= len(array):
@@ -142,28 +154,22 @@ class Encoder:
         return [t.id for t in self.model.tokenize("\u0120" + word if spaced else word)]
 
     def _short_way(self, piece: str) -> list[int] | None:
-        """Ids of a word, perhaps with a space before and closing punctuation after it; None for any other piece."""
-        spaced = piece[:1] == " "
-        word, tail = piece[1:] if spaced else piece, ""
-        if not word.isalpha():
+        """Ids of a word, perhaps with one space or line break before and closing punctuation after it; None for any
+        other piece."""
+        lead = piece[:1]
+        word = piece[1:] if lead == " " or lead == "\n" else piece
+        if word.isalpha():
+            ids = self._word(word, lead == " ")
+        else:
             bare = word.rstrip(_CLOSING)
-            word, tail = bare, word[len(bare) :]
-            if not word.isalpha():
-                return None
-            piece = piece[: len(piece) - len(tail)]
-        known = self.words
-        ids = known.get(piece)
-        if ids is None:
-            ids = self._word(word, spaced)
-            if ids is None:
+            if not bare.isalpha():
                 return None
-            known[piece] = ids
-        if tail:
-            after = known.get(tail)
-            if after is None:
-                after = known[tail] = [t.id for t in self.model.tokenize(tail)]
-            return ids + after
-        return ids
+            ids, tail = self._word(bare, lead == " "), word[len(bare) :]
+            if ids is not None:
+                if tail not in self.tails:
+                    self.tails[tail] = [t.id for t in self.model.tokenize(tail)]
+                ids = ids + self.tails[tail]
+        return self.line + ids if lead == "\n" and ids is not None else ids
 
     def _settle(self) -> None:
         new, self.pieces.new = self.pieces.new, []
@@ -187,46 +193,36 @@ class Encoder:
             self.used += total
             self.known += len(part)
 
-    def flat(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def flat(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, each text's followed by ``end_id``, and where each text's ids end; without added
-        special tokens, special strings inside a text as the library has them."""
+        special tokens, special strings inside a text as the library has them.  A null is an empty text."""
         if self.known > MEMO:
             self._reset()
-        numbers: list[int] = []
-        stops = np.zeros(len(texts), np.int64)
+        column = pc.fill_null(column, "")
         collects = gc.isenabled()
         gc.disable()  # a collection would walk the whole memo again and again, and there are no cycles
         try:
-            for i, t in enumerate(texts):
-                numbers += self.pieces.numbers(t)
-                stops[i] = len(numbers)
-            n = np.array(numbers, dtype=np.int64)
-            del numbers
+            n, stops = self.pieces.numbers(column)
             self._settle()
         finally:
             if collects:
                 gc.enable()
-        sums = np.concatenate([[0], np.cumsum(self.size[n])])
-        total, texts_end = int(sums[-1]), sums[stops]
-        ids = self.ids[np.repeat(self.at[n] - sums[:-1], self.size[n]) + np.arange(total)]
-        odd = np.concatenate([[0], np.cumsum(self.odd[n])])[stops]
-        again = np.flatnonzero(np.diff(odd, prepend=0))
+        size = self.size[n]
+        sums = np.concatenate([[0], np.cumsum(size)])
+        ends = sums[stops]
+        ids = self.ids[np.repeat(self.at[n] - sums[:-1], size) + np.arange(int(sums[-1]))]
+        again = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(self.odd[n])])[stops], prepend=0))
         if not len(again):
-            return np.insert(ids, texts_end, np.uint32(end_id)), texts_end + np.arange(1, len(texts) + 1)
-        parts = np.split(ids, texts_end[:-1])
-        for i, x in zip(again.tolist(), self.tokenizer.encode_batch_fast([texts[i] for i in again], add_special_tokens=False)):
+            return np.insert(ids, ends, np.uint32(end_id)), ends + np.arange(1, len(column) + 1)
+        parts = np.split(ids, ends[:-1])
+        for i, x in zip(again.tolist(), self.tokenizer.encode_batch_fast([column[i].as_py() for i in again.tolist()], add_special_tokens=False)):
             parts[i] = np.array(x.ids, dtype=np.uint32)
         end = np.array([end_id], np.uint32)
         return np.concatenate([y for x in parts for y in (x, end)]), np.cumsum([len(x) + 1 for x in parts])
 
 
-def in_parts(texts: list[str | None], limit: int = 4 << 20):
-    """Positions a:b of stretches of about ``limit`` characters."""
-    a, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t or "")
-        if held >= limit:
-            yield a, i + 1
-            a, held = i + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
+def in_parts(column: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    """Positions a:b of stretches of about ``limit`` bytes."""
+    sums = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // limit
+    cut = [0, *(np.flatnonzero(np.diff(sums)) + 1).tolist(), len(column)]
+    yield from ((a, b) for a, b in zip(cut, cut[1:]) if b > a)

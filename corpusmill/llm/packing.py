@@ -70,10 +70,10 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            texts = batch.column("text")
             doc_ids, rows, who = batch.column("doc_id"), [], []
             for a, b in in_parts(texts):
-                ids, ends = encoder.flat(texts[a:b], end_id)
+                ids, ends = encoder.flat(texts.slice(a, b - a), end_id)
                 raw, low = memoryview(ids.astype("<u4", copy=False)).cast("B"), 0
                 for i, high in enumerate(ends.tolist(), a):
                     for start in range(low, high, capacity):

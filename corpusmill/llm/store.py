@@ -107,9 +107,9 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, met = Encoder.of(tokenizer), set()
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            texts = batch.column("text")
             for a, b in in_parts(texts):
-                ids, stops = encoder.flat(texts[a:b], end_id)
+                ids, stops = encoder.flat(texts.slice(a, b - a), end_id)
                 marks = rolling_marks(ids)
                 bound = np.searchsorted(marks, stops).tolist()
                 marks, raw = marks.tolist(), ids.astype(dtype, copy=False).tobytes()

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ class Merger:
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pretokens = regex.compile(PATTERN).findall
-        self.pieces = Pieces(" ")
+        self.pieces = Pieces()
         self._reset()
 
     @classmethod
@@ -150,18 +151,19 @@ class Merger:
         n = self.count([w.encode() for w in words])
         return np.bincount(np.array(owner, dtype=np.int64), weights=n, minlength=len(texts)).astype(np.int64) + special
 
-    def totals(self, texts: list[str]) -> np.ndarray:
+    def totals(self, column: pa.Array) -> np.ndarray:
         if self.pieces.count > MEMO:
             self._reset()
-        numbers = [np.array(self.pieces.numbers(t), dtype=np.int64) for t in texts]
+        column = pc.fill_null(column, "")
+        n, stops = self.pieces.numbers(column)
         new, self.pieces.new = self.pieces.new, []
-        for a in range(0, len(new), 50_000):
-            self.size = np.concatenate([self.size, self._counts(new[a : a + 50_000])])
+        found = [self._counts(new[a : a + 50_000]) for a in range(0, len(new), 50_000)]
+        self.size = np.concatenate([self.size, *found])
         self.odd = np.concatenate([self.odd, np.fromiter(map(rare, new), bool, len(new))])
-        out = np.array([int(self.size[n].sum()) for n in numbers], dtype=np.int64)
-        odd = [i for i, n in enumerate(numbers) if len(n) and self.odd[n].any()]
-        if odd:
-            out[odd] = self._counts([texts[i] for i in odd])
+        out, odd = (np.diff(np.concatenate([[0], np.cumsum(x[n])])[stops], prepend=0) for x in (self.size, self.odd))
+        again = np.flatnonzero(odd).tolist()
+        if again:
+            out[again] = self._counts([column[i].as_py() for i in again])
         return out
 
 
@@ -171,8 +173,8 @@ def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = Merger.of(tokenizer)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            n = [merger.totals(texts[a:b]) for a, b in in_parts(texts)]
+            texts = batch.column("text")
+            n = [merger.totals(texts.slice(a, b - a)) for a, b in in_parts(texts)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(np.concatenate(n) if n else np.zeros(0, np.int64))], ["doc_id", "n_bytes", "n_tokens"])
 
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")

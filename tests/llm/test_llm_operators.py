@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF, rows_of
 
@@ -125,11 +126,14 @@ def test_encoder_is_the_library(name):
     rng, tok = random.Random(11), tokenizer(name)
     alphabet = ["a", "B", "é", "İ", "ß", "ﬁ", "Å", "e\u0301", "中", "1", "²", "½", "_", "'s", "'", ".", ",", "!?", "###", " ", " ", " ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u2003", "<|endoftext|>", "\x00", "\x1c", "🙂", "the", "The", "tion"]
     texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 30))) for _ in range(6000)]
-    ids, ends = Encoder(name).flat(texts, 7)
+    ids, ends = Encoder(name).flat(pa.array(texts), 7)
     start = 0
     for text, end, want in zip(texts, ends.tolist(), tok.encode_batch_fast(texts, add_special_tokens=False)):
         assert ids[start:end].tolist() == want.ids + [7], text
         start = end
+    if name.startswith("byte"):
+        want = [len(x.ids) for x in tok.encode_batch_fast(texts, add_special_tokens=False)]
+        assert tokencount.Merger(name).totals(pa.array(texts)).tolist() == want
 
 
 def covered(texts, length, first):
@@ -224,6 +228,15 @@ def test_op5(docs, edge, empty):
         most[source[r.doc_id]] = max(most[source[r.doc_id]], r.size)
     assert all(abs(taken[s] - targets[s]) <= most[s] / 2 + 1 for s in targets)
     assert got == mixing.mix_digest(docs).collect()
+    # Inclusion odds differ by document: among those that may be drawn the order of ranks is not that of the numbers.
+    u = {i: (int(hashlib.md5(f"mix1:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i in source}
+    drawn = [r for r in got if r.size and r.target < r.source_size]
+    crossed = 0
+    for s in {source[r.doc_id] for r in drawn}:
+        mine = [r for r in drawn if source[r.doc_id] == s]
+        took, left = [r for r in mine if r.taken], [r for r in mine if not r.taken]
+        crossed += bool(took and left) and max(u[r.doc_id] for r in took) > min(u[r.doc_id] for r in left)
+    assert crossed
     mixed = mixing.pareto_mix(edge)
     assert mixed.count() == len(EDGE) and mixing.repeated(mixed, edge.columns).columns == edge.columns
     assert mixing.mix_digest(empty).count() == 0
