@@ -330,11 +330,27 @@ def test_op8_chains_and_edges(spark, edge, empty):
 def test_op9_edges(spark):
     v = [(0, [1.0, 2.0]), (50, [float("nan"), 1.0]), (1, None), (2, [1.0, None]), (3, [1.0, 2.0]), (3, [1.0, 2.0]), (4, [float("inf"), 0.0]), (100, [-1.0, 0.5]), (None, [1.0, 1.0]), (7, [])]
     df = spark.createDataFrame(v, "vec_id long, embedding array<float>")
-    got = sorted(tuple(r) for r in topk.top_k(df, shard=2, block=1).collect())
-    assert got == [(0, 1, 3, 5 * 65536), (0, 2, 3, 5 * 65536), (0, 3, 100, 0), (100, 1, 0, 0), (100, 2, 3, 0), (100, 3, 3, 0)]
+    for shard, block, cells in ((2, 1, 4), (4096, 8192, 256)):
+        got = sorted(tuple(r) for r in topk.top_k(df.selectExpr("*", "1 AS size", "2 AS cell", "3 AS id"), shard=shard, block=block, cells=cells).collect())
+        assert got == [(0, 1, 3, 5 * 65536), (0, 2, 3, 5 * 65536), (0, 3, 100, 0), (100, 1, 0, 0), (100, 2, 3, 0), (100, 3, 3, 0)]
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_op9_against_brute_force(spark):
+    """Clusters, ties, many copies of one vector, two lengths, a query id with two vectors, over many small cells."""
+    rng = np.random.default_rng(9)
+    rows = [(i, (rng.integers(0, 3, 6) * 100 + rng.integers(-2, 3, 6)).tolist()) for i in range(300)]
+    rows += [(300 + i, [100] * 6) for i in range(150)] + [(500 + i, rng.integers(-5, 5, 4).tolist()) for i in range(60)] + [(50, rows[7][1])]
+    df = spark.createDataFrame([(i, [x / 256 for x in v]) for i, v in rows], "vec_id long, embedding array<double>").repartition(3)
+    want = {}
+    for i, q in rows:
+        if i % 50 == 0:
+            want.setdefault(i, []).extend((-sum(a * b for a, b in zip(q, v)), j) for j, v in rows if j != i and len(v) == len(q))
+    want = sorted((i, r, j, -s) for i, found in want.items() for r, (s, j) in enumerate(sorted(found)[:5], 1))
+    for shard, block, cells in ((16, 3, 32), (64, 2, 3), (4096, 8192, 256)):
+        assert sorted(tuple(r) for r in topk.top_k(df, shard=shard, block=block, cells=cells).collect()) == want
+
+
 def test_op10(docs, rows, edge, empty):
     got = {r.doc_id: r for r in sketch.fingerprints(docs).collect()}
     for k, (i, t) in enumerate(rows):
