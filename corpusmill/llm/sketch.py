@@ -1,13 +1,17 @@
 """Document fingerprints: threshold-scaled sketches of five-word shingles.
 
-A sketch keeps every shingle hash below a fixed fraction of the hash range, so sketches of texts of any sizes can be
-united, and containment and Jaccard estimated, from the sketches alone.  The least hash of a text is kept even above
-the threshold: the sketch of a text with words is never empty.  Texts with fewer words are one shingle.  A
-fingerprint is the sketch's hashes in ascending order as hexadecimal digits.
+A sketch keeps every shingle hash (48 bits) below a fixed fraction of the hash range, so sketches of texts of any sizes
+can be united, and containment and Jaccard estimated, from the sketches alone.  So that short texts have evidence too,
+the ``LEAST`` smallest hashes are kept even above the threshold; a text with fewer shingles keeps all.  Up to which hash
+a sketch is complete can be read off it (``reach``), and two sketches are compared up to the smaller of their reaches.
+Texts with fewer words than a shingle are one shingle.  A fingerprint is the sketch's hashes, ascending, as
+hexadecimal digits, 12 each: about a tenth of the text.
 
 Null and empty texts, and texts of white space alone, have the empty fingerprint; two empty sketches are alike (1),
-an empty and another are not (0).  Rows with the same doc_id follow each other by text, a null doc_id comes first.
-A table of one row is its own next document.  Only doc_id and text are read.
+an empty and another are not (0).  A containment is null where the larger sketch is complete up to no hash of the
+smaller: there is no evidence.  Rows with the same doc_id follow each other by text hash; null doc_ids come first and
+are spread by text hash, however many there are.  A table of one row is its own next document.  An empty table gives
+no rows.  A text and its edited form must fit in memory.  Only doc_id and text are read, so other columns never clash.
 """
 
 from __future__ import annotations
@@ -22,41 +26,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import shingles, word_hashes
-from .shared import shuffle_partitions
+from .shared import identity, shuffle_partitions
 
-FRACTION, WORDS = 0.25, 5
-SENTINEL_KEY = "k"
+FRACTION, LEAST, WORDS, BITS = 1 / 32, 20, 5, 48
+ALL = 1 << BITS
+
+
+def threshold(fraction: float) -> int:
+    return int(fraction * ALL)
+
+
+def _scaled(h: np.ndarray, fraction: float) -> np.ndarray:
+    return h[: max(min(LEAST, len(h)), int(np.searchsorted(h, threshold(fraction))))]
 
 
 def sketch(text: str | bytes, fraction: float = FRACTION, words: int = WORDS) -> np.ndarray:
     raw = text.encode() if isinstance(text, str) else text
-    h = np.unique(shingles(word_hashes(np.frombuffer(raw, dtype=np.uint8)), words))
-    return h[: max(1, int(np.searchsorted(h, np.uint64(int(fraction * 2**64)))))]
+    return _scaled(np.unique(shingles(word_hashes(np.frombuffer(raw, dtype=np.uint8)), words) >> np.uint64(64 - BITS)).astype(np.int64), fraction)
 
 
 def merge(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> np.ndarray:
     """The sketch of the union of two shingle sets."""
-    h = np.union1d(a, b)
-    return h[: max(1, int(np.searchsorted(h, np.uint64(int(fraction * 2**64)))))] if len(h) else h
+    return _scaled(np.union1d(a, b), fraction)
+
+
+def reach(a: np.ndarray, fraction: float = FRACTION) -> int:
+    """Every hash of the text up to this one is in its sketch."""
+    if len(a) < LEAST:
+        return ALL
+    return max(int(a[-1]), threshold(fraction) - 1) if len(a) == LEAST else threshold(fraction) - 1
 
 
 def hexadecimal(h: np.ndarray) -> str:
-    return h.astype(">u8").tobytes().hex()
+    return "".join(f"{x:012x}" for x in h.tolist())
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard estimate: of the hashes either sketch keeps, the part that both keep."""
+def _common(a: np.ndarray, b: np.ndarray, fraction: float) -> tuple[int, int, int]:
+    """Sizes of both and of what they share, up to the smaller reach."""
+    top = min(reach(a, fraction), reach(b, fraction))
+    a, b = a[: np.searchsorted(a, top, side="right")], b[: np.searchsorted(b, top, side="right")]
+    return len(a), len(b), len(np.intersect1d(a, b, assume_unique=True))
+
+
+def likeness(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> float:
+    """Jaccard estimate: of the hashes either text has up to the smaller reach, the part that both have."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+    x, y, both = _common(a, b, fraction)
+    return both / (x + y - both)
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimate of the part of a's shingles that b has."""
-    if not len(a):
-        return 1.0
-    return len(np.intersect1d(a, b, assume_unique=True)) / len(a)
+def containment(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> float | None:
+    """Estimate of the part of a's shingles that b has; None without evidence."""
+    if not len(a) or not len(b):
+        return float(not len(a))
+    x, _, both = _common(a, b, fraction)
+    return both / x if x else None
 
 
 def edit(text: str, after: str) -> str:
@@ -64,16 +89,24 @@ def edit(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
-def _split_points(ids: DataFrame, parts: int) -> list[int]:
-    """About ``parts`` quantiles of the keys: as many numbers as there are partitions."""
-    found = ids.where(F.col("k") > -(2**63)).approxQuantile("k_num", [i / parts for i in range(1, parts)], 1 / (4 * parts)) if parts > 1 else []
-    return sorted({int(x) for x in found})
+def _splits(ids: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """About ``parts`` quantiles: of the text hashes of null doc_ids, and of the others' doc_ids.  As many numbers as
+    there are partitions."""
+    counts = ids.agg(F.count("*").alias("n"), F.count("doc_id").alias("known")).first()
+    nulls, out = counts.n - counts.known, []
+    for rows, column, n in ((ids.where("doc_id IS NULL"), "t", nulls), (ids.where("doc_id IS NOT NULL"), "doc_id", counts.known)):
+        own = -(-parts * n // max(counts.n, 1))
+        found = rows.select(F.col(column).cast("double").alias("q")).approxQuantile("q", [i / own for i in range(1, own)], 1 / (4 * own)) if own > 1 else []
+        out.append(np.array(sorted({int(x) for x in found}), dtype=np.int64))
+    return out[0], out[1]
 
 
-def _parted(batches: Iterator[pa.RecordBatch], splits: np.ndarray, column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    for batch in batches:
-        keys = batch.column(column).to_numpy(zero_copy_only=False).astype(np.int64)
-        yield batch, keys, np.searchsorted(splits, keys, side="right").astype(np.int32)
+def _parts_of(batch: pa.RecordBatch, splits: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Part of each row; the parts of null doc_ids come first."""
+    null = pc.is_null(batch.column("doc_id")).to_numpy(zero_copy_only=False)
+    ids = pc.fill_null(batch.column("doc_id"), 0).to_numpy(zero_copy_only=False)
+    by_text = np.searchsorted(splits[0], batch.column("t").to_numpy(zero_copy_only=False), side="right")
+    return np.where(null, by_text, len(splits[0]) + 1 + np.searchsorted(splits[1], ids, side="right")).astype(np.int32)
 
 
 def fingerprints(docs: DataFrame, fraction: float = FRACTION, words: int = WORDS) -> DataFrame:
@@ -83,33 +116,41 @@ def fingerprints(docs: DataFrame, fraction: float = FRACTION, words: int = WORDS
     part, the first of all) is also sent to the part before, so that each part knows its last document's next.
     """
     spark = docs.sparkSession
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = keyed.select("k", F.col("k").cast("double").alias("k_num"))
-    splits = np.array(_split_points(ids, shuffle_partitions(spark)), dtype=np.int64)
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(F.col("doc_id").cast("long"), identity(F.col("doc_id"), text)[1].alias("t"), text.alias("text"))
+    ids = keyed.select("doc_id", "t")
+    splits = _splits(ids, shuffle_partitions(spark))
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, int] = {}
-        for _, keys, part in _parted(batches, splits, "k"):
-            for p in np.unique(part).tolist():
-                low = int(keys[part == p].min())
-                found[p] = min(found.get(p, low), low)
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.int64())], ["part", "k"])
-
-    first = {r.part: r.k for r in ids.select("k").mapInArrow(least, "part int, k long").groupBy("part").agg(F.min("k").alias("k")).collect()}
-    order = sorted(first)
-    before = {first[p]: order[i - 1] for i, p in enumerate(order)}  # key of a part's first document -> the part before
+        found: dict[int, tuple] = {}
+        for batch in batches:
+            part = _parts_of(batch, splits)
+            order = pc.sort_indices(pa.table([batch.column("doc_id"), batch.column("t")], names=["doc_id", "t"]), sort_keys=[("doc_id", "ascending"), ("t", "ascending")]).to_numpy()
+            for i in order[np.unique(part[order], return_index=True)[1]].tolist():
+                low = (batch.column("doc_id")[i].as_py(), batch.column("t")[i].as_py())
+                found[int(part[i])] = min(found.get(int(part[i]), low), low, key=lambda x: (x[0] or 0, x[1]))
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x[0] for x in found.values()], pa.int64()), pa.array([x[1] for x in found.values()], pa.int64())], ["part", "doc_id", "t"])
+
+    # One row a part: the place of its first document.
+    firsts = ids.mapInArrow(least, "part int, doc_id long, t long").groupBy("part").agg(F.min(F.struct("doc_id", "t")).alias("f")).collect()
+    order = sorted(r.part for r in firsts)
+    number = {p: i for i, p in enumerate(order)}
+    before = {(r.f.doc_id, r.f.t): (number[r.part] - 1) % len(order) for r in firsts}  # a part's first document -> the part before
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        firsts = pa.array(list(before), pa.int64())
-        for batch, keys, part in _parted(batches, splits, "k"):
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.zeros(len(batch), np.int8)), *[batch.column(c) for c in ("k", "doc_id", "text")]], ["part", "guest", "k", "doc_id", "text"])
-            guests = batch.filter(pc.is_in(batch.column("k"), value_set=firsts))
+        names, dense = ["part", "guest", "doc_id", "t", "text"], np.array(order, dtype=np.int32)
+        hashes = pa.array([t for _, t in before], pa.int64())
+        for batch in batches:
+            part = np.searchsorted(dense, _parts_of(batch, splits)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.zeros(len(batch), np.int8)), *batch.columns], names)
+            likely = batch.filter(pc.is_in(batch.column("t"), value_set=hashes))
+            to = [before.get(x) for x in zip(likely.column("doc_id").to_pylist(), likely.column("t").to_pylist())]
+            guests = likely.filter(pa.array([x is not None for x in to], pa.bool_()))
             if len(guests):
-                to = [before[x] for x in guests.column("k").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(np.ones(len(guests), np.int8)), *[guests.column(c) for c in ("k", "doc_id", "text")]], ["part", "guest", "k", "doc_id", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array([x for x in to if x is not None], pa.int32()), pa.array(np.ones(len(guests), np.int8)), *guests.columns], names)
 
-    dealt = keyed.mapInArrow(deal, "part int, guest byte, k long, doc_id long, text string")
-    dealt = dealt.repartition(max(1, len(order)), "part").sortWithinPartitions("part", "guest", "k", "text")
+    dealt = keyed.mapInArrow(deal, "part int, guest byte, doc_id long, t long, text string")
+    dealt = dealt.repartitionById(max(1, len(order)), "part").sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_first(), "t", "text")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "contained_in_edited", "contained_in_next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +164,7 @@ def fingerprints(docs: DataFrame, fraction: float = FRACTION, words: int = WORDS
                     changed = edit(held[2], text)
                     raw = changed.encode()
                     other = sketch(raw, fraction, words)
-                    rows.append((held[1], len(held[2]), hashlib.sha256(raw).hexdigest(), hexadecimal(held[3]), hexadecimal(other), likeness(held[3], other), likeness(held[3], own), containment(held[3], other), containment(held[3], own)))
+                    rows.append((held[1], len(held[2]), hashlib.sha256(raw).hexdigest(), hexadecimal(held[3]), hexadecimal(other), likeness(held[3], other, fraction), likeness(held[3], own, fraction), containment(held[3], other, fraction), containment(held[3], own, fraction)))
                     weight += len(rows[-1][3]) + len(rows[-1][4])
                 held = None if guest else (part, doc_id, text, own)
                 if weight > 8 << 20:

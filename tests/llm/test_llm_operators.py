@@ -351,18 +351,72 @@ def test_op9_against_brute_force(spark):
         assert sorted(tuple(r) for r in topk.top_k(df, shard=shard, block=block, cells=cells).collect()) == want
 
 
+def exact_shingles(text):
+    w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in WORD.findall(text)]
+    return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+
+
+def read_back(fingerprint):
+    """Hashes of a fingerprint, and up to which value they are all that the text has."""
+    assert len(fingerprint) % 12 == 0
+    h = [int(fingerprint[i : i + 12], 16) for i in range(0, len(fingerprint), 12)]
+    assert h == sorted(set(h))
+    line = 2**48 // 32
+    return h, 2**48 if len(h) < 20 else max(h[-1], line - 1) if len(h) == 20 else line - 1
+
+
+def compared(a, b):
+    (x, top), (y, other) = read_back(a), read_back(b)
+    x, y = ({v for v in h if v <= min(top, other)} for h in (x, y))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
 def test_op10(docs, rows, edge, empty):
+    """Against exact shingle sets and fingerprints read back from their digits."""
     got = {r.doc_id: r for r in sketch.fingerprints(docs).collect()}
+    assert len(got) == len(rows)
+    errors, by_text = [], {}
     for k, (i, t) in enumerate(rows):
-        after = rows[(k + 1) % len(rows)][1]
-        changed = sketch.edit(t, after)
-        a, b, c = sketch.sketch(t), sketch.sketch(changed), sketch.sketch(after)
-        r = got[i]
-        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), hashlib.sha256(changed.encode()).hexdigest(), sketch.hexadecimal(a), sketch.hexadecimal(b))
-        assert (r.near_edited, r.near_next) == (sketch.likeness(a, b), sketch.likeness(a, c))
+        after, r = rows[(k + 1) % len(rows)][1], got[i]
+        half = len(t) // 2
+        changed = t[: len(t) - half] + after[:half]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(changed.encode()).hexdigest())
+        own, other = exact_shingles(t), exact_shingles(changed)
+        h, top = read_back(r.fingerprint)
+        assert len(h) == len(own) if len(own) <= 20 else len(h) >= 20 and all(v < 2**48 // 32 for v in h[20:])
+        assert abs(len(h) - max(20, len(own) / 32)) <= 5 * (len(own) / 32) ** 0.5 or len(own) <= 20
+        assert by_text.setdefault(t, r.fingerprint) == r.fingerprint
+        assert r.near_edited == compared(r.fingerprint, r.edited_fingerprint)
+        assert r.near_next == compared(r.fingerprint, got[rows[(k + 1) % len(rows)][0]].fingerprint)
+        if own | other:
+            errors.append(r.near_edited - len(own & other) / len(own | other))
+    assert abs(np.mean(errors)) < 0.02 and np.mean(np.abs(errors)) < 0.1
+    assert len({f for f in by_text.values()}) > 0.9 * len(by_text)
+    assert sum(len(r.fingerprint) for r in got.values()) < 0.13 * sum(len(t.encode()) for _, t in rows)
     out = sketch.fingerprints(edge).collect()
     assert len(out) == len(EDGE) and {r.fingerprint for r in out if r.doc_id in (1, 2, 3)} == {""}
     first = next(r for r in out if r.doc_id is None)
     assert first.near_next == 0 and next(r for r in out if r.doc_id == 7).edited_sha256 == hashlib.sha256(sketch.edit(EDGE[8][1], "null id text here").encode()).hexdigest()
     assert sketch.fingerprints(empty).count() == 0
     assert sketch.fingerprints(docs.limit(1)).first().near_next == 1
+
+
+def test_op10_nulls_and_repeated_ids(spark):
+    """Many null doc_ids, and two texts under one doc_id: a ring of next documents in all."""
+    rows = [(None, f"null {i} " * 9) for i in range(40)] + [(5, "one text here"), (5, "another text"), (9, "last of all"), (9, "last of all")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    order = [(r.doc_id, r.text) for r in df.selectExpr("*", "xxhash64(text) AS h").collect() for _ in [0]]
+    hashes = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) AS h").collect()}
+    order.sort(key=lambda x: (x[0] is not None, x[0] or 0, hashes[x[1]]))
+    want = Counter()
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
+        want[(i, len(t), hashlib.sha256(sketch.edit(t, after).encode()).hexdigest())] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in sketch.fingerprints(df).collect()) == want
+
+
+def test_containment_of_unequal_texts():
+    words = [f"w{i}" for i in range(20000)]
+    whole, part = sketch.sketch(" ".join(words)), sketch.sketch(" ".join(words[500:3500]))
+    assert sketch.containment(part, whole) == 1 and abs(sketch.containment(whole, part) - 0.15) < 0.05
+    found = [sketch.containment(sketch.sketch(" ".join(words[i : i + 12])), whole) for i in range(0, 2000, 50)]
+    assert set(found) <= {1.0, None}  # never a false zero
