@@ -263,6 +263,7 @@ def top_k(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, sca
 
     located = staged(base.select("size", "id", "v", "asks").mapInArrow(locate, "size int, id long, v array<double>, asks boolean, cell int"), "topk-located")
     counts = located.groupBy("size", "cell").agg(F.ceil(F.count("*") / shard).alias("shards"), F.ceil(F.greatest(F.count_if("asks"), F.lit(1)) / block).alias("blocks"))
+    counts = F.broadcast(staged(counts, "topk-counts"))  # at most ``cells`` rows a length of vectors
     dealt = located.join(counts, ["size", "cell"]).withColumn("shard", F.pmod(F.xxhash64("id", F.lit("s"), "v"), "shards").cast("int"))
     built = staged(dealt.groupBy("size", "cell", "shard").applyInArrow(_built(k), f"{SHARED}, {TREE}, {ASK}"), "topk-trees")
     shards, asks = built.where("id IS NULL"), built.where("id IS NOT NULL")
@@ -283,7 +284,9 @@ def top_k(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, sca
     asked = asks.select("size", "cell", "shard", "id", "floor", "v").join(counts, ["size", "cell"])
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit("q"), "v"), "blocks"))
     visits = asked.groupBy("size", "cell", "block").applyInArrow(_visits(boxes), VISIT)
-    pairs = visits.join(shards.select("size", "cell", "shard", *Tree.PARTS), ["size", "cell"])
+    # One row for each shard of the cell, so that a cell of many shards is joined by many tasks.
+    each = visits.join(counts.select("size", "cell", "shards"), ["size", "cell"]).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards").cast("int") - 1))).drop("shards")
+    pairs = each.join(shards.select("size", "cell", "shard", *Tree.PARTS), ["size", "cell", "shard"])
     more = pairs.groupBy("size", "cell", "shard", "block").applyInArrow(_searched(k), "query_id long, vec_id long, score long")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
