@@ -73,10 +73,12 @@ class Pieces:
         starts, stops = starts[:-1] - starts[0], starts[1:] - starts[0]
         coded = words.flatten().dictionary_encode()
         at, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        side = pc.equal(coded.dictionary, "")
+        for test, space in ((pc.starts_with, "\t"), (pc.ends_with, "\t"), (pc.ends_with, "\n")):
+            side = pc.or_(side, test(coded.dictionary, space))
         numbers = np.fromiter(map(self.rest.__getitem__, distinct), np.int64, len(distinct))[at]
         numbers[starts] = list(map(self.first.__getitem__, map(distinct.__getitem__, at[starts].tolist())))
-        side = np.fromiter((not w or w[0] in "\t" or w[-1] in "\n\t" for w in distinct), bool, len(distinct))
-        held = np.concatenate([[0], np.cumsum(side[at])])
+        held = np.concatenate([[0], np.cumsum(side.to_numpy(zero_copy_only=False)[at])])
         again = np.flatnonzero(held[stops] > held[starts])
         if len(again):
             parts = np.split(numbers, stops[:-1])
@@ -109,7 +111,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
-        self.model = self.tokenizer.model
         with open(tokenizer_path(name), encoding="utf-8") as f:
             spec = {k: v for k, v in json.load(f).items() if k in ("normalizer", "pre_tokenizer", "model")}
         steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
@@ -118,7 +119,8 @@ class Encoder:
         self.folds = "Lowercase" in steps
         # The short way below knows the two kinds of byte-level files: words with their space, or case-folded without.
         self.plain = spec["model"]["type"] == "BPE" and len(split) == 1 and not split[0]["add_prefix_space"] and (self.folds and steps == ["NFC", "Replace", "Lowercase"] or not spec["normalizer"] and before["type"] == "ByteLevel")
-        self.pieces, self.line = Pieces(), self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.pieces, self.model = Pieces(), self.tokenizer.model
+        self.line, self.tails = self.tokenizer.encode("\n", add_special_tokens=False).ids, {}
         self._reset()
 
     @classmethod
@@ -132,7 +134,6 @@ class Encoder:
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.at, self.size, self.odd = (np.zeros(1 << 12, np.int64) for _ in range(3))
         self.known = 0
-        self.tails: dict[str, list[int]] = {}
 
     def _grow(self, array: np.ndarray, n: int) -> np.ndarray:
         if n <= len(array):
@@ -141,9 +142,18 @@ class Encoder:
         out[: len(array)] = array
         return out
 
-    def _word(self, word: str, spaced: bool) -> list[int] | None:
-        """Ids of letters, perhaps with a space before them, straight from the library's model: the same pre-token, found
-        without its slower pattern.  None where the file's normaliser might do more than fold simple letters."""
+    def _short_way(self, piece: str) -> list[int] | None:
+        """Ids of a word, perhaps with one space or line break before and closing punctuation after it, straight from the
+        library's model: the same pre-tokens, found without its slower pattern.  None for any other piece, and where the
+        file's normaliser might do more than fold simple letters."""
+        lead, tail = piece[:1], ""
+        spaced = lead == " "
+        word = piece[1:] if spaced or lead == "\n" else piece
+        if not word.isalpha():
+            bare = word.rstrip(_CLOSING)
+            word, tail = bare, word[len(bare) :]
+            if not word.isalpha():
+                return None
         ascii_ = word.isascii()
         if self.folds:
             if not ascii_ and (max(word) > "\u024f" or "\u0130" in word):
@@ -151,30 +161,22 @@ class Encoder:
             word, spaced = word.lower(), False
         if not ascii_:
             word = word.encode().decode("latin-1").translate(_SYMBOLS)
-        return [t.id for t in self.model.tokenize("\u0120" + word if spaced else word)]
-
-    def _short_way(self, piece: str) -> list[int] | None:
-        """Ids of a word, perhaps with one space or line break before and closing punctuation after it; None for any
-        other piece."""
-        lead = piece[:1]
-        word = piece[1:] if lead == " " or lead == "\n" else piece
-        if word.isalpha():
-            ids = self._word(word, lead == " ")
-        else:
-            bare = word.rstrip(_CLOSING)
-            if not bare.isalpha():
-                return None
-            ids, tail = self._word(bare, lead == " "), word[len(bare) :]
-            if ids is not None:
-                if tail not in self.tails:
-                    self.tails[tail] = [t.id for t in self.model.tokenize(tail)]
-                ids = ids + self.tails[tail]
-        return self.line + ids if lead == "\n" and ids is not None else ids
+        ids = [t.id for t in self.model.tokenize("\u0120" + word if spaced else word)]
+        if tail:
+            if tail not in self.tails:
+                self.tails[tail] = [t.id for t in self.model.tokenize(tail)]
+            ids += self.tails[tail]
+        return self.line + ids if lead == "\n" else ids
+
+    def _add(self, numbers: slice, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.ids = self._grow(self.ids, self.used + len(ids))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.size[numbers] = sizes
+        self.at[numbers] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
 
     def _settle(self) -> None:
         new, self.pieces.new = self.pieces.new, []
-        if not new:
-            return
         n = self.known + len(new)
         self.at, self.size, self.odd = (self._grow(x, n) for x in (self.at, self.size, self.odd))
         for a in range(0, len(new), 8192):
@@ -183,15 +185,10 @@ class Encoder:
             left = [i for i, x in enumerate(found) if x is None]
             for i, x in zip(left, self.tokenizer.encode_batch_fast([part[i] for i in left], add_special_tokens=False)):
                 found[i] = x.ids
-            self.odd[[self.known + i for i in left]] = [rare(part[i]) for i in left]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            total, k = int(sizes.sum()), self.known
-            self.ids = self._grow(self.ids, self.used + total)
-            self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
-            self.size[k : k + len(part)] = sizes
-            self.at[k : k + len(part)] = self.used + np.cumsum(sizes) - sizes
-            self.used += total
-            self.known += len(part)
+            first = self.known + a
+            self.odd[[first + i for i in left]] = [rare(part[i]) for i in left]
+            self._add(slice(first, first + len(part)), np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+        self.known = n
 
     def flat(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, each text's followed by ``end_id``, and where each text's ids end; without added
@@ -221,7 +218,7 @@ class Encoder:
         return np.concatenate([y for x in parts for y in (x, end)]), np.cumsum([len(x) + 1 for x in parts])
 
 
-def in_parts(column: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def in_parts(column: pa.Array, limit: int = 12 << 20) -> Iterator[tuple[int, int]]:
     """Positions a:b of stretches of about ``limit`` bytes."""
     sums = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // limit
     cut = [0, *(np.flatnonzero(np.diff(sums)) + 1).tolist(), len(column)]
