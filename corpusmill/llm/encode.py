@@ -11,6 +11,7 @@ import gc
 import json
 import os
 import re
+import string
 from collections.abc import Iterator
 from itertools import chain
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 MEMO = 1_000_000
-_CLOSING = ".,;:!?"
+_CLOSING = string.punctuation
 _PIECES = re.compile(r"[ \n\t]*[^ \n\t]+|[ \n\t]+").findall
 _RARE = re.compile("[\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]").search
 
@@ -37,53 +38,64 @@ def byte_symbols() -> dict[int, str]:
 _SYMBOLS = {b: s for b, s in byte_symbols().items()}
 
 
-class _Index(dict):
-    """Text piece -> running number; new pieces are noted, with ``lead`` before them unless they start with a line break."""
-
-    def __init__(self, owner: Pieces, lead: str):
-        super().__init__()
-        self.owner, self.lead = owner, lead
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = n = self.owner.count
-        self.owner.count = n + 1
-        self.owner.new.append(piece if piece[:1] == "\n" else self.lead + piece)
-        return n
-
-
 class Pieces:
-    """Numbers the pieces of texts; ``new`` has those that were not met before."""
+    """Numbers the pieces of texts; ``new`` has those that were not met before.
+
+    Words after a space are held as one Arrow array, a few bytes each, and looked up there by the distinct words of a
+    batch; what starts a text, or stands in a text of odd spacing, goes by a dictionary."""
 
     def __init__(self) -> None:
         self.clear()
 
     def clear(self) -> None:
         self.count, self.new = 0, []
-        self.first, self.rest = _Index(self, ""), _Index(self, " ")
+        self.words, self.word_numbers = pa.array([], pa.large_string()), np.zeros(0, np.int32)
+        self.others: dict[str, int] = {}
+
+    def _other(self, piece: str) -> int:
+        n = self.others.get(piece)
+        if n is None:
+            n = self.others[piece] = self.count
+            self.count += 1
+            self.new.append(piece)
+        return n
 
-    def numbers(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the pieces of all texts, and where each text's end.
+    def _of_words(self, distinct: pa.Array) -> np.ndarray:
+        found = pc.index_in(distinct, value_set=self.words)
+        fresh = found.is_null().to_numpy(zero_copy_only=False)
+        place = found.fill_null(0).to_numpy().astype(np.int64)
+        more = int(fresh.sum())
+        if more:
+            added = distinct.filter(pa.array(fresh))
+            place[fresh] = len(self.words) + np.arange(more)
+            self.words = pa.concat_arrays([self.words, added])
+            self.word_numbers = np.concatenate([self.word_numbers, np.arange(self.count, self.count + more, dtype=np.int32)])
+            self.count += more
+            self.new += [w if w[:1] == "\n" else " " + w for w in added.to_pylist()]
+        return self.word_numbers[place]
 
-        Arrow cuts at spaces (and before line breaks) and finds the distinct words of the batch, so that the large table
-        is asked once for each of these.  A text with white space side by side or at an end goes by a pattern."""
+    def numbers(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the pieces of all texts, and where each text's end.  Arrow cuts at spaces and before line breaks; a
+        text with white space side by side or at an end goes by a pattern."""
         if not len(column):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
         words = pc.split_pattern(pc.replace_substring(column.cast(pa.large_string()), "\n", " \n"), " ")
         starts = words.offsets.to_numpy()
         starts, stops = starts[:-1] - starts[0], starts[1:] - starts[0]
         coded = words.flatten().dictionary_encode()
-        at, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        side = pc.equal(coded.dictionary, "")
+        del words
+        at, distinct = coded.indices.to_numpy(), coded.dictionary
+        side = pc.equal(distinct, "")
         for test, space in ((pc.starts_with, "\t"), (pc.ends_with, "\t"), (pc.ends_with, "\n")):
-            side = pc.or_(side, test(coded.dictionary, space))
-        numbers = np.fromiter(map(self.rest.__getitem__, distinct), np.int64, len(distinct))[at]
-        numbers[starts] = list(map(self.first.__getitem__, map(distinct.__getitem__, at[starts].tolist())))
-        held = np.concatenate([[0], np.cumsum(side.to_numpy(zero_copy_only=False)[at])])
+            side = pc.or_(side, test(distinct, space))
+        numbers = self._of_words(distinct)[at]
+        numbers[starts] = list(map(self._other, distinct.take(pa.array(at[starts])).to_pylist()))
+        held = np.concatenate([[0], np.cumsum(side.to_numpy(zero_copy_only=False)[at], dtype=np.int32)])
         again = np.flatnonzero(held[stops] > held[starts])
         if len(again):
             parts = np.split(numbers, stops[:-1])
             for i in again.tolist():
-                parts[i] = np.array(list(map(self.first.__getitem__, _PIECES(column[i].as_py()))), dtype=np.int64)
+                parts[i] = np.array(list(map(self._other, _PIECES(column[i].as_py()))), dtype=np.int32)
             numbers, stops = np.concatenate(parts), np.cumsum([len(x) for x in parts])
         return numbers, stops
 
@@ -119,6 +131,7 @@ class Encoder:
         self.folds = "Lowercase" in steps
         # The short way below knows the two kinds of byte-level files: words with their space, or case-folded without.
         self.plain = spec["model"]["type"] == "BPE" and len(split) == 1 and not split[0]["add_prefix_space"] and (self.folds and steps == ["NFC", "Replace", "Lowercase"] or not spec["normalizer"] and before["type"] == "ByteLevel")
+        self.plain = self.plain and all(any(map(str.isalnum, t.content)) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.pieces, self.model = Pieces(), self.tokenizer.model
         self.line, self.tails = self.tokenizer.encode("\n", add_special_tokens=False).ids, {}
         self._reset()
@@ -132,7 +145,7 @@ class Encoder:
     def _reset(self) -> None:
         self.pieces.clear()
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.at, self.size, self.odd = (np.zeros(1 << 12, np.int64) for _ in range(3))
+        self.at, self.size, self.odd = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 12, bool)
         self.known = 0
 
     def _grow(self, array: np.ndarray, n: int) -> np.ndarray:
@@ -143,7 +156,7 @@ class Encoder:
         return out
 
     def _short_way(self, piece: str) -> list[int] | None:
-        """Ids of a word, perhaps with one space or line break before and closing punctuation after it, straight from the
+        """Ids of a word, perhaps with one space or line break before and ASCII punctuation after it, straight from the
         library's model: the same pre-tokens, found without its slower pattern.  None for any other piece, and where the
         file's normaliser might do more than fold simple letters."""
         lead, tail = piece[:1], ""
@@ -205,10 +218,10 @@ class Encoder:
             if collects:
                 gc.enable()
         size = self.size[n]
-        sums = np.concatenate([[0], np.cumsum(size)])
+        sums = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         ends = sums[stops]
         ids = self.ids[np.repeat(self.at[n] - sums[:-1], size) + np.arange(int(sums[-1]))]
-        again = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(self.odd[n])])[stops], prepend=0))
+        again = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(self.odd[n], dtype=np.int32)])[stops], prepend=0))
         if not len(again):
             return np.insert(ids, ends, np.uint32(end_id)), ends + np.arange(1, len(column) + 1)
         parts = np.split(ids, ends[:-1])
@@ -218,7 +231,7 @@ class Encoder:
         return np.concatenate([y for x in parts for y in (x, end)]), np.cumsum([len(x) + 1 for x in parts])
 
 
-def in_parts(column: pa.Array, limit: int = 12 << 20) -> Iterator[tuple[int, int]]:
+def in_parts(column: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, int]]:
     """Positions a:b of stretches of about ``limit`` bytes."""
     sums = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // limit
     cut = [0, *(np.flatnonzero(np.diff(sums)) + 1).tolist(), len(column)]
