@@ -193,10 +193,10 @@ def _manifest_rows(parts: list[tuple], width: int) -> list[tuple]:
 def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, width: int = 2) -> None:
     """Write the store of ``docs`` to ``path``.  width: bytes an id, 2 if all ids are below 65536, else 4."""
     spark = docs.sparkSession
-    encoded = staged(_encoded(docs, tokenizer, end_id, width), "store-encoded")
+    encoded = staged(_encoded(docs, tokenizer, end_id, width), "store-encoded", "lz4")
     pair = F.explode(F.arrays_zip("addresses", "sizes", "payloads")).alias("c")
     chunks = encoded.select(pair).where("c.payloads IS NOT NULL").select(F.col("c.addresses").alias("address"), F.col("c.sizes").alias("n"), F.col("c.payloads").alias("payload"))
-    chunks.repartition("address").dropDuplicates(["address"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    chunks.dropDuplicates(["address"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
     ordered = encoded.select("doc_id", "n_tokens", "addresses", "sizes").repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first())
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "addresses").mapInArrow(_recipes, RECIPE)
     ordered.write.option("compression", "zstd").parquet(f"{path}/recipes")
