@@ -14,20 +14,25 @@ from pyspark.sql import functions as F
 ELEMENTS = frozenset(
     """H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Br Kr Rb Sr Y Zr Nb Mo Tc Ru Rh Pd Ag
     Cd In Sn Sb Te I Xe Cs Ba La Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu Hf Ta W Re Os Ir Pt Au Hg Tl Pb Bi Po At Rn Fr Ra Ac Th Pa U Np
-    Pu Am Cm Bk Cf Es Fm Md No Lr Rf Db Sg Bh Hs Mt Ds Rg Cn Nh Fl Mc Lv Ts Og""".split()
+    Pu Am Cm Bk Cf Es Fm Md No Lr""".split()
 )
 RATIO, PREFIX_WORDS, LOOK_BACK = 0.92, 5, 80
 
 
 @dataclass(frozen=True)
 class TwoTier:
-    """strong: enough without a hedge before it; weak: enough ``weak_least`` times with a context cue."""
+    """strong: enough without a hedge before it; weak: ``weak_least`` times without one, in a context that has a cue.
+
+    A context is one with a match of ``cue``, or of ``reliable`` (patterns that are trusted on their own), or, if
+    ``theory`` is given, one without a match of that."""
 
     strong: str
-    weak: str
+    weak: str | None
     cue: str
     hedge: str
-    weak_least: int = 2
+    weak_least: int = 1
+    reliable: tuple[str, ...] = ()
+    theory: str | None = None
 
 
 def unhedged(pattern: re.Pattern, hedge: re.Pattern, text: str) -> int:
@@ -36,35 +41,55 @@ def unhedged(pattern: re.Pattern, hedge: re.Pattern, text: str) -> int:
 
 
 def two_tier(text: Column, rule: TwoTier) -> Column:
-    """struct(strong_hits, weak_hits, has_cue, matched)."""
+    """struct(strong_hits, weak_hits, in_context, matched); both kinds of hits are without a hedge."""
 
     def run(s: pd.Series) -> pd.DataFrame:
-        strong, weak, cue, hedge = (re.compile(p) for p in (rule.strong, rule.weak, rule.cue, rule.hedge))
+        strong, cue, hedge = (re.compile(p) for p in (rule.strong, rule.cue, rule.hedge))
+        weak, theory = (re.compile(p) if p else None for p in (rule.weak, rule.theory))
+        trusted = [re.compile(p) for p in rule.reliable]
         rows = []
         for t in s:
             t = t or ""
-            a, b, c = unhedged(strong, hedge, t), len(weak.findall(t)), bool(cue.search(t))
-            rows.append((a, b, c, a > 0 or (b >= rule.weak_least and c)))
-        return pd.DataFrame(rows, columns=["strong_hits", "weak_hits", "has_cue", "matched"])
-
-    return F.pandas_udf(run, "strong_hits int, weak_hits int, has_cue boolean, matched boolean")(text)
-
-
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9])(?:[A-Z][a-z]?\d{0,2}){2,}(?![A-Za-z0-9])")
-_PART = re.compile(r"([A-Z][a-z]?)(\d{0,2})")
-
-
-def formula_of(token: str) -> str | None:
-    """The token if it is a formula: real elements, two at least, and a count or a two-letter symbol among them."""
-    parts = _PART.findall(token)
-    names = [n for n, _ in parts]
-    if "".join(n + c for n, c in parts) != token or any(n not in ELEMENTS for n in names) or len(set(names)) < 2:
+            context = bool(cue.search(t)) or any(p.search(t) for p in trusted) or (theory is not None and not theory.search(t))
+            a, b = unhedged(strong, hedge, t), unhedged(weak, hedge, t) if weak else 0
+            rows.append((a, b, context, a > 0 or (context and b >= max(rule.weak_least, 1))))
+        return pd.DataFrame(rows, columns=["strong_hits", "weak_hits", "in_context", "matched"])
+
+    return F.pandas_udf(run, "strong_hits int, weak_hits int, in_context boolean, matched boolean")(text)
+
+
+#: Counts of a symbol, phase prefixes, and what looks like a formula but names no compound under study.
+_COUNT = r"(?:\d+(?:\.\d+)?|[-+]?[xyδ])*"
+_CANDIDATE = re.compile(rf"(?<![A-Za-z0-9])(?:(?:[1-6][TRH]'?|Td|[αβγδεκλ])-)?((?:[A-Z][a-z]?{_COUNT}){{2,}})(?![A-Za-z0-9])")
+_PART = re.compile(rf"([A-Z][a-z]?)({_COUNT})")
+GENERIC = frozenset("H2O D2O CO2 CO NH3 CH4 HCl NaCl LiF CaF2 N2O SiO2 Al2O3 MgO Si3N4 SiN TiO2 Ta2O5 CaH2".split())
+ACRONYMS = frozenset("SU2 SU3 SO3 SO5 CP1 CP2 SYK2 HC2 SC1 SC2 SC3".split())
+_UNIT = re.compile(r"(?:[A-Z][a-z]?O[3-6]|CuO2|NiO2)")
+_TYPE_AFTER = re.compile(r"[- ](?:type|structure|structured)\b")
+_PLURAL = re.compile(r"[A-Z]+s")
+
+
+def formula_of(body: str) -> str | None:
+    """The canonical formula (an open stoichiometry at the end dropped) if there are real elements, two at least, no
+    count of three digits, and a count or a two-letter symbol among them."""
+    body = re.sub(r"[-+][xyδ]$|δ$", "", body)
+    if body in GENERIC or body in ACRONYMS or _UNIT.fullmatch(body) or _PLURAL.fullmatch(body):
+        return None
+    parts = _PART.findall(body)
+    names, counts = {n for n, _ in parts}, [c for _, c in parts]
+    if "".join(n + c for n, c in parts) != body or len(names) < 2 or not names <= ELEMENTS or re.search(r"\d{3}", " ".join(counts)):
         return None
-    return token if any(c for _, c in parts) or any(len(n) == 2 for n in names) else None
+    return body if any(counts) or any(len(n) == 2 for n in names) else None
 
 
 def formulas_in(text: str | None) -> list[str]:
-    return list(dict.fromkeys(f for f in map(formula_of, _CANDIDATE.findall(text or "")) if f))
+    """Formulas of a text, each once, in order; pieces of parenthesised ones and names of structure types aside."""
+    text, found = text or "", []
+    for m in _CANDIDATE.finditer(text):
+        after = text[m.end() : m.end() + 12]
+        if text[m.start() - 1 : m.start()] != "(" and not after.startswith(("(", ")")) and not _TYPE_AFTER.match(after):
+            found.append(formula_of(m[1]))
+    return list(dict.fromkeys(f for f in found if f))
 
 
 def _formulas(s: pd.Series) -> pd.Series:

@@ -71,3 +71,21 @@ def snippet(text: Column, pattern: str, around: int = 50) -> Column:
     at, n = F.regexp_instr(text, F.lit(pattern)), F.length(F.regexp_substr(text, F.lit(pattern)))
     begin = F.greatest(at - around, F.lit(1))
     return F.when(at > 0, F.substr(text, begin, at - begin + n + around))
+
+
+def cs(pattern: str) -> str:
+    """A pattern that keeps case, whatever stands around it."""
+    return f"(?-i:{pattern})"
+
+
+def ci(pattern: str) -> str:
+    return f"(?i:{pattern})"
+
+
+def join(*patterns: str) -> str:
+    return "|".join(patterns)
+
+
+def formula_group(formulas: list[str]) -> str:
+    """Any of the formulas (patterns), standing on its own."""
+    return cs(r"(?<![A-Za-z0-9])(?:" + join(*formulas) + r")(?![A-Za-z0-9])")

@@ -56,8 +56,8 @@ def ols(y: Column, x: Column) -> dict[str, Column]:
     return {"n": n, "slope": slope, "se": se, "t": F.when(se > 0, F.try_divide(slope, se)).when(se == 0, F.lit(0.0))}
 
 
-def slope_sign(t: Column, bound: float = 2.0) -> Column:
-    return F.when(t >= bound, 1).when(t <= -bound, -1).otherwise(0)
+def slope_sign(slope: Column) -> Column:
+    return F.signum(slope).cast("int")
 
 
 def contradicts(label: Column, sign: Column) -> Column:

@@ -11,10 +11,17 @@ from pyspark.sql import functions as F
 
 #: Stand-ins of the normaliser.
 SUBSCRIPTS, SUPERSCRIPTS, DIGITS = "₀₁₂₃₄₅₆₇₈₉", "⁰¹²³⁴⁵⁶⁷⁸⁹", "0123456789"
-DASHES = "‐‑‒–—−"
-GREEK = {"alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "epsilon": "ε", "kappa": "κ", "lambda": "λ", "mu": "μ", "nu": "ν", "omega": "ω", "pi": "π", "rho": "ρ", "sigma": "σ", "tau": "τ", "theta": "θ"}
-FONT_MACROS = ("mathrm", "mathbf", "mathit", "mathcal", "text", "rm", "bf", "it")
-ACCENT_MARKS = {"'": "́", "`": "̀", "^": "̂", '"': "̈", "~": "̃"}
+SIGNS, PLAIN_SIGNS = "₊₋⁺⁻", "+-+-"
+DASHES = "−‐‑‒–—"
+GREEK = {
+    "delta": "δ", "Delta": "Δ", "alpha": "α", "beta": "β", "gamma": "γ", "kappa": "κ", "lambda": "λ", "mu": "μ", "nu": "ν", "pi": "π",
+    "sigma": "σ", "tau": "τ", "phi": "φ", "chi": "χ", "psi": "ψ", "omega": "ω", "theta": "θ", "epsilon": "ε", "varepsilon": "ε",
+}
+FONT_MACROS = ("mathrm", "mathit", "mathbf", "textrm", "textit", "textbf", "text", "rm", "it", "bf")
+ACCENTED = (("'", "e", "é"), ('"', "o", "ö"), ('"', "u", "ü"))
+#: Tail characters that a cited identifier may drag along, and words that titles are compared without.
+TRAILING = ").,;]|`"
+TITLE_STOP = tuple("a an the of in on and or for to with by from at as via is are its into under using based between near".split())
 
 
 def _unescaped(s: pd.Series) -> pd.Series:
@@ -38,11 +45,10 @@ def strip_accents(text: Column) -> Column:
 
 
 def compose_accents(text: Column) -> Column:
-    r"""LaTeX accents such as \'e on a letter become the accented letter."""
-    for mark, base in ((m, b) for m in ACCENT_MARKS for b in "aeiouAEIOUnN"):
-        made = unicodedata.normalize("NFC", base + ACCENT_MARKS[mark])
-        if len(made) == 1:
-            text = F.replace(F.replace(text, F.lit("\\" + mark + "{" + base + "}"), F.lit(made)), F.lit("\\" + mark + base), F.lit(made))
+    r"""LaTeX accents such as {\'e}, \'{e} or \'e become the accented letter."""
+    for mark, base, made in ACCENTED:
+        for spelt in ("{\\" + mark + base + "}", "\\" + mark + "{" + base + "}", "\\" + mark + base):
+            text = F.replace(text, F.lit(spelt), F.lit(made))
     return text
 
 
@@ -54,32 +60,53 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\r\n\f]+", " "))
 
 
+def collapse_unicode(text: Column) -> Column:
+    """White space of any kind, the separators x1C to x1F too, as single spaces; none at the ends."""
+    return F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
+
+
 def normalize_markup(text: Column, entities: bool = True) -> Column:
     """Plain text of a title or abstract: entities, tags, LaTeX, digits and dashes brought to one form; case is kept."""
     out = F.coalesce(text, F.lit(""))
     if entities:
         out = unescape_html(out)
-    out = F.regexp_replace(out, r"</?[A-Za-z][^<>]*>", "")
-    out = compose_accents(out)
-    out = F.regexp_replace(out, r"\\(" + "|".join(FONT_MACROS) + r")\b\s*", "")
+    out = compose_accents(F.regexp_replace(out, r"<[^>]+>", " "))
+    out = F.regexp_replace(out, r"\\(?:" + "|".join(FONT_MACROS) + r")\b", "")
     for name, letter in GREEK.items():
-        out = F.regexp_replace(out, rf"\\{name}(?![A-Za-z])\s*", letter)
-    out = F.regexp_replace(out, r"[$_^{}]", "")
-    out = F.translate(out, SUBSCRIPTS + SUPERSCRIPTS + "µ" + DASHES, DIGITS + DIGITS + "μ" + "-" * len(DASHES))
-    return collapse(out)
+        out = F.replace(out, F.lit("\\" + name), F.lit(letter))
+    # One pass for all single characters; what has no stand-in goes.
+    gone = "$_^{}"
+    out = F.translate(out, SUBSCRIPTS + SUPERSCRIPTS + SIGNS + "µ" + DASHES + gone, DIGITS + DIGITS + PLAIN_SIGNS + "μ" + "-" * len(DASHES))
+    return collapse_unicode(out)
+
+
+def record_text(title: Column, abstract: Column) -> Column:
+    """'title. abstract' as plain text."""
+    return normalize_markup(F.concat(F.coalesce(title, F.lit("")), F.lit(". "), F.coalesce(abstract, F.lit(""))))
 
 
 def matching_form(text: Column) -> Column:
     """For comparing phrases: no accents, lower case, dashes as spaces, single spaces."""
-    return collapse(F.regexp_replace(F.lower(strip_accents(F.coalesce(text, F.lit("")))), "[-" + DASHES + "]", " "))
+    return collapse(F.regexp_replace(F.lower(strip_accents(F.coalesce(text, F.lit("")))), r"[-\x{2010}-\x{2015}_/" + DASHES + "]", " "))
 
 
 def title_identity(text: Column) -> Column:
-    """Letters and digits in lower case, everything else one space."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"\\[A-Za-z]+|\$", "")
+    """Lower-case ASCII letters and digits of the text without accents and LaTeX commands, everything else one space."""
+    plain = F.regexp_replace(strip_accents(F.coalesce(text, F.lit(""))), r"\\[a-zA-Z]+|\$", " ")
+    return F.trim(F.regexp_replace(F.lower(plain), r"[^a-z0-9]+", " "))
+
+
+def title_form(text: Column) -> Column:
+    """The other form of titles: tags and entities off, lower case, letters and digits of any script kept."""
+    plain = F.regexp_replace(unescape_html(F.coalesce(text, F.lit(""))), r"<[^>]+>", " ")
     return F.trim(F.regexp_replace(F.lower(plain), r"[^\p{L}\p{N}]+", " "))
 
 
+def title_tokens(identity_: Column) -> Column:
+    """Distinct words of a title identity without stop words."""
+    return F.array_distinct(F.filter(F.split(identity_, " "), lambda t: (t != "") & ~t.isin(*TITLE_STOP)))
+
+
 def slugify(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(strip_accents(F.coalesce(text, F.lit("")))), "[^a-z0-9]+", "_"), F.lit("_"))
 
@@ -91,12 +118,48 @@ def phrase_pattern(phrase: str, loose_left: bool = False) -> str:
 
 
 def canonical_id(raw: Column) -> Column:
-    """Trailing punctuation off, prefix in lower case; no version on arXiv ids, lower case DOIs."""
-    bare = F.rtrim(raw, F.lit(").,;]|`"))
-    prefix = F.lower(F.regexp_extract(bare, "^([A-Za-z]+):", 1))
-    rest = F.regexp_replace(bare, "^[A-Za-z]+:", "")
-    rest = F.when(prefix == "arxiv", F.regexp_replace(rest, r"v\d+$", "")).when(prefix == "doi", F.lower(rest)).otherwise(rest)
-    return F.concat(F.when(prefix == "arxiv", "arXiv").otherwise(prefix), F.lit(":"), rest)
+    """Trailing punctuation off, prefix in lower case; no version on arXiv ids, the other kinds in lower case; null for
+    an unknown prefix or none."""
+    bare = F.ltrim(F.rtrim(F.trim(raw), F.lit(TRAILING)), F.lit("`"))
+    at = F.instr(bare, ":")
+    prefix, rest = F.lower(F.substr(bare, F.lit(1), at - 1)), F.substr(bare, at + 1)
+    arxiv = F.concat(F.lit("arxiv:"), F.regexp_replace(rest, r"(?i)v\d+$", ""))
+    return F.when(at > 0, F.when(prefix == "arxiv", arxiv).when(prefix.isin("doi", "hal", "osti"), F.concat(prefix, F.lit(":"), F.lower(rest))))
+
+
+#: The four shapes of a cited identifier.
+CITED = r"(?i)\b(?:arXiv:\d{4}\.\d{4,5}(?:v\d+)?|doi:10\.\d{4,9}/[^\s`<>\"'\]|]+|hal:hal-\d+|osti:\d+)"
+
+
+def citations(text: Column) -> Column:
+    """Canonical identifiers cited in a text, each once, in order of first appearance."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CITED), F.lit(0))
+    return F.array_distinct(F.array_compact(F.transform(found, canonical_id)))
+
+
+def citation_groups(text: Column) -> Column:
+    """Keys of all groups [@key] or [@key1; @key2] in a text, in order, repeats kept."""
+    key = r"[\w:./-]+"
+    groups = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"\[\s*@{key}(?:\s*;\s*@{key})*\s*\]"), F.lit(0))
+    return F.flatten(F.transform(groups, lambda g: F.regexp_extract_all(g, F.lit(f"@({key})"), F.lit(1))))
+
+
+def arxiv_number(text: Column) -> Column:
+    """The bare number in an arXiv id, URL or DOI, new style before old, without version; null if there is none."""
+    bare = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"(?i)^(arxiv:|https?://arxiv\.org/(abs|pdf)/|10\.48550/arxiv\.)", "")
+    new, old = F.regexp_extract(bare, r"(?:^|\D)(\d{4}\.\d{4,5})(?:\D|$)", 1), F.regexp_extract(bare, r"(?:^|[^a-z\-])([a-z\-]+(?:\.[A-Z]{2})?/\d{7})(?:\D|$)", 1)
+    return F.coalesce(F.nullif(new, F.lit("")), F.nullif(old, F.lit("")))
+
+
+def arxiv_of_record(relations: Column, abstract: Column) -> Column:
+    """The first number among related identifiers, or else one that the abstract names."""
+    named = arxiv_number(F.regexp_extract(F.coalesce(abstract, F.lit("")), r"(?i)arxiv:\s*\S+", 0))
+    return F.coalesce(F.try_element_at(F.array_compact(F.transform(relations, arxiv_number)), F.lit(1)), named)
+
+
+def ids_between(ids: Column, first: int, last: int) -> Column:
+    """Those of an array of new-style numbers whose YYMM stands in a closed range."""
+    return F.filter(ids, lambda x: x.rlike(r"^\d{4}\.\d{4,5}$") & F.coalesce(F.substring(x, 1, 4).try_cast("int").between(first, last), F.lit(False)))
 
 
 def split_version(doi: Column) -> Column:
@@ -133,6 +196,16 @@ def short_authors(names: Column, most: int = 3) -> Column:
     return F.when(F.size(names) > most, F.concat(listed, F.lit(" et al."))).otherwise(listed)
 
 
+def author_names(given: Column, family: Column, name: Column) -> Column:
+    """'given family', or the name as it is where there is no family name."""
+    return F.coalesce(F.when(F.coalesce(F.trim(family), F.lit("")) != "", F.trim(F.concat_ws(" ", given, family))), F.trim(name))
+
+
+def bare_author(name: Column) -> Column:
+    """A name without the ORCID and affiliation behind it."""
+    return F.trim(F.regexp_replace(F.regexp_replace(name, r"\s*[\[(](?i:orcid)[^\])]*[\])]", ""), r"\s*\[[^\]]*\]\s*$", ""))
+
+
 def date_from_parts(parts: Column) -> Column:
     """[year, month?, day?] as a date, missing parts 1, null without a year."""
     return F.make_date(F.try_element_at(parts, F.lit(1)), F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(1)), F.coalesce(F.try_element_at(parts, F.lit(3)), F.lit(1)))

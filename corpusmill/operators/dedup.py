@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,18 +18,51 @@ def keep_last(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return best.select("row.*")
 
 
-def collapse_versions(rows: DataFrame, base: str, version: str, date: str, title: str, terms: str) -> DataFrame:
-    """One row a work: version 1 if there is one, else the earliest; its date is the earliest of all; an empty title
-    comes from the highest version; terms of all versions, in version order, each once."""
-    first = F.struct((F.col(version) != 1).cast("int").alias("other"), F.coalesce(date, F.lit("9999")).alias("date"), version, title)
+def number_versions(rows: DataFrame, base: str, version: str) -> DataFrame:
+    """A row without a version number is version 1 if its work has other rows."""
+    w = Window.partitionBy(base)
+    return rows.withColumn(version, F.when(F.col(version).isNull() & (F.count("*").over(w) > 1), F.lit(1)).otherwise(F.col(version)))
+
+
+def first_version_ids(rows: DataFrame, base: str, version: str, separator: str) -> DataFrame:
+    """base, place, id: where version 1 of a work that lacks it may be found: under the work's separator and 'v1', and
+    with '-' under its bare id too (older works have no suffix)."""
+    works = rows.groupBy(base).agg(F.max(separator).alias("sep"), F.count(version).alias("numbered"), F.count_if(F.col(version) == 1).alias("ones"))
+    works = works.where((F.col("numbered") > 0) & (F.col("ones") == 0))
+    ids = F.array_compact(F.array(F.concat(F.col(base), F.col("sep"), F.lit("v1")), F.when(F.col("sep") == "-", F.col(base))))
+    return works.select(base, F.posexplode(ids).alias("place", "id"))
+
+
+def fetched_first_versions(rows: DataFrame, works: DataFrame, base: str, version: str, separator: str, id_: str) -> DataFrame:
+    """Version 1 of each work that lacks it, from a table of single works: the first candidate that exists."""
+    wanted = first_version_ids(rows, base, version, separator).join(works.withColumnRenamed(id_, "id"), "id")
+    first = wanted.groupBy(base).agg(F.min_by(F.struct(*[c for c in wanted.columns if c != base]), "place").alias("w"))
+    return first.select(base, "w.*").drop("place")
+
+
+def collapse_versions(rows: DataFrame, base: str, version: str, date: str, texts: tuple[str, ...], lists: tuple[str, ...] = ()) -> DataFrame:
+    """One row a work: version 1 if there is one (a row without a number among others counts as that), else the
+    earliest; its date is the earliest of all; an empty text comes from the highest version; the lists of all versions
+    in order of date and version, each item once; and the versions themselves, ascending."""
+    rows = number_versions(rows, base, version)
+    first = F.struct((~F.coalesce(F.col(version) == 1, F.lit(False))).alias("other"), F.coalesce(F.nullif(F.col(date), F.lit("")), F.lit("9999")).alias("date"), F.coalesce(version, F.lit(0)).alias("v"), *texts)
+    place = F.struct(F.coalesce(F.nullif(F.col(date), F.lit("")), F.lit("9999")).alias("d"), F.coalesce(version, F.lit(0)).alias("v"))
     out = rows.groupBy(base).agg(
-        F.min_by(F.struct(version, title), first).alias("chosen"),
-        F.max_by(title, F.struct(version, title)).alias("latest_title"),
-        F.min(date).alias("first_date"),
+        F.min_by(F.struct(version, *texts), first).alias("chosen"),
+        F.max_by(F.struct(*texts), F.struct(F.coalesce(version, F.lit(0)), *texts)).alias("latest"),
+        F.min(F.nullif(F.col(date), F.lit(""))).alias(date),
         F.count("*").alias("n_versions"),
-        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(version, terms))), lambda x: x[terms]))).alias("all_terms"),
+        F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce(version, F.lit(0)).alias("v"), date))), lambda x: x["v"]).alias("versions"),
+        *[F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("p"), F.col(c).alias("x")))), lambda x: x["x"]))).alias(c) for c in lists],
     )
-    return out.select(base, F.col(f"chosen.{version}").alias("version"), F.coalesce(F.nullif(F.col(f"chosen.{title}"), F.lit("")), "latest_title").alias("title"), F.col("first_date").alias("date"), "n_versions", "all_terms")
+    whole = [F.coalesce(F.nullif(F.col(f"chosen.{t}"), F.lit("")), F.col(f"latest.{t}")).alias(t) for t in texts]
+    return out.select(base, F.col(f"chosen.{version}").alias(version), *whole, date, "n_versions", "versions", *lists)
+
+
+def highest_record(rows: DataFrame, concept: str, record: str, terms: str) -> DataFrame:
+    """The row of the highest record id of each concept, with the terms of all its rows, each once, in id order."""
+    best = rows.groupBy(concept).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (concept, terms)]), F.col(record)).alias("row"), F.transform(F.array_sort(F.collect_list(F.struct(record, terms))), lambda x: x[terms]).alias("all"))
+    return best.select(concept, "row.*", F.array_distinct(F.flatten("all")).alias(terms))
 
 
 def merge_identities(rows: DataFrame, identity: str, key: str, lane: str) -> tuple[DataFrame, DataFrame]:

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Elements without an end tag.
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: Elements without an end tag, and those whose text is not shown.
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HIDDEN = ("script", "style")
 NODE = "page_id long, node_id int, parent_id int, depth int, path array<int>, tag string, elem_id string, classes array<string>, attrs map<string,string>, text string"
 
 
@@ -71,8 +72,8 @@ def inside(nodes: DataFrame, ancestors: DataFrame) -> DataFrame:
 
 
 def text_of(nodes: DataFrame) -> DataFrame:
-    """page_id, node_id and all text inside each node, in document order."""
-    up = nodes.select("page_id", F.col("node_id").alias("at"), "text", F.explode("path").alias("node_id")).where("text <> ''")
+    """page_id, node_id and all text shown inside each node, in document order; scripts and styles are not shown."""
+    up = nodes.where(F.col("text") != "").where(~F.col("tag").isin(*HIDDEN)).select("page_id", F.col("node_id").alias("at"), "text", F.explode("path").alias("node_id"))
     return up.groupBy("page_id", "node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), " ").alias("whole"))
 
 
@@ -107,7 +108,80 @@ def strip_markdown(text: Column) -> Column:
 
 def numbered(mentions: DataFrame, doc: str, position: str, key: str) -> DataFrame:
     """Numbers of keys by first mention: doc, key, first position, number."""
-    from pyspark.sql import Window
-
     first = mentions.groupBy(doc, key).agg(F.min(position).alias("first"), F.count("*").alias("mentions"))
     return first.withColumn("number", F.dense_rank().over(Window.partitionBy(doc).orderBy("first", key)))
+
+
+def with_class(nodes: DataFrame, name: str) -> DataFrame:
+    return nodes.where(F.array_contains("classes", name))
+
+
+def by_id(nodes: DataFrame, elem_id: str) -> DataFrame:
+    """The first element of each page with that id."""
+    return nodes.where(F.col("elem_id") == elem_id).groupBy("page_id").agg(F.min_by(F.struct(*nodes.columns), "node_id").alias("n")).select("n.*")
+
+
+def cite_links(nodes: DataFrame) -> DataFrame:
+    """page_id, node_id, cited (has class cite), number of each link to #ref-N."""
+    href = F.trim(F.element_at("attrs", F.lit("href")))
+    links = nodes.where((F.col("tag") == "a") & href.rlike(r"^#ref-\d+$"))
+    return links.select("page_id", "node_id", F.array_contains("classes", "cite").alias("cited"), F.regexp_extract(href, r"^#ref-(\d+)$", 1).cast("int").alias("number"))
+
+
+def expected_link(kind: Column, ref_id: Column) -> Column:
+    """Where a reference of a kind should link to."""
+    doi = F.concat(F.lit("https://doi.org/"), F.lower(ref_id))
+    arxiv = F.concat(F.lit("https://arxiv.org/abs/"), F.lower(F.regexp_replace(ref_id, r"(?i)^arxiv:|v\d+$", "")))
+    return F.when(kind == "doi", doi).when(kind == "arxiv", arxiv).otherwise(ref_id)
+
+
+def reference_items(nodes: DataFrame) -> DataFrame:
+    """page_id, position, elem_id, number, kind, ref_id, title of the items of the first references list in #references."""
+    section = by_id(nodes, "references")
+    lists = inside(with_class(nodes.where("tag = 'ol'"), "references"), section)
+    first = lists.groupBy("page_id").agg(F.min("node_id").alias("list"))
+    items = nodes.where("tag = 'li'").join(first, "page_id").where(F.col("parent_id") == F.col("list"))
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("node_id"))
+    at = lambda name: F.trim(F.coalesce(F.element_at("attrs", F.lit(name)), F.lit("")))
+    items = items.select("page_id", "node_id", place.alias("position"), "elem_id", F.regexp_extract(F.coalesce("elem_id", F.lit("")), r"^ref-(\d+)$", 1).try_cast("int").alias("number"), F.lower(at("data-kind")).alias("kind"), at("data-id").alias("ref_id"))
+    spans = with_class(nodes.where("tag = 'span'"), "ref-title").select("page_id", F.col("node_id").alias("span"), F.explode("path").alias("node_id"))
+    title = spans.groupBy("page_id", "node_id").agg(F.min("span").alias("span")).join(text_of(nodes).select("page_id", F.col("node_id").alias("span"), "whole"), ["page_id", "span"], "left")
+    return items.join(title.select("page_id", "node_id", F.col("whole").alias("title")), ["page_id", "node_id"], "left")
+
+
+def list_position_problems(items: DataFrame) -> DataFrame:
+    """Items whose id is not ref-N for their place N."""
+    wrong = ~F.coalesce(F.col("number") == F.col("position"), F.lit(False))
+    return items.where(wrong).select("page_id", "position", "elem_id")
+
+
+def citation_closure(items: DataFrame, links: DataFrame, section_nodes: DataFrame) -> DataFrame:
+    """page_id, number, problem: items that are never cited outside the list (uncited), and numbers that are linked to
+    but not listed (dangling)."""
+    outside = links.where("cited").join(section_nodes.select("page_id", "node_id"), ["page_id", "node_id"], "left_anti")
+    listed = items.select("page_id", "number")
+    uncited = listed.where("number IS NOT NULL").join(outside.select("page_id", "number"), ["page_id", "number"], "left_anti").withColumn("problem", F.lit("uncited"))
+    dangling = links.select("page_id", "number").distinct().join(listed, ["page_id", "number"], "left_anti").withColumn("problem", F.lit("dangling"))
+    return uncited.unionByName(dangling)
+
+
+def item_links(nodes: DataFrame, items: DataFrame) -> DataFrame:
+    """page_id, node_id, links (in order) of list items."""
+    href = F.element_at("attrs", F.lit("href"))
+    up = nodes.where((F.col("tag") == "a") & href.isNotNull()).select("page_id", F.col("node_id").alias("at"), href.alias("href"), F.explode("path").alias("node_id"))
+    own = up.join(items.select("page_id", "node_id"), ["page_id", "node_id"], "left_semi")
+    return own.groupBy("page_id", "node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "href"))), lambda x: x["href"]).alias("links"))
+
+
+def reference_problem(kind: Column, ref_id: Column, title: Column, links: Column) -> Column:
+    """The first thing that is wrong with a reference, or ''."""
+    shape = F.when(kind == "doi", ref_id.rlike(r"^10\.\d{1,9}/\S+$")).when(kind == "arxiv", ref_id.rlike(r"(?i)^(arxiv:)?\d{4}\.\d{4,5}(v\d+)?$")).otherwise(ref_id.rlike(r"^https?://\S+$"))
+    target = F.lower(expected_link(kind, ref_id))
+    linked = F.exists(F.coalesce(links, F.array().cast("array<string>")), lambda x: F.lower(F.trim(F.url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))))) == target)
+    return (
+        F.when(~kind.isin("doi", "arxiv", "url"), "kind")
+        .when(~F.coalesce(shape, F.lit(False)), "id")
+        .when(F.coalesce(title, F.lit("")) == "", "title")
+        .when(~linked, F.concat(F.lit("no link to "), target))
+        .otherwise("")
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -21,7 +22,8 @@ def hash_sample(rows: DataFrame, group: list[str], id_: str, seed: int, k: int)
 
 
 def twister_sample(rows: DataFrame, group: str, id_: str, seed: int, k: int) -> DataFrame:
-    """Python's random.Random(seed).sample over the group's sorted ids: bit-exact.  Ids alone go to the group's task."""
+    """Python's random.Random(seed).sample over the group's sorted ids: bit-exact.  Ids alone go to the group's
+    task: the generator draws places in the whole sorted list, so a group of ids must fit in memory."""
 
     def draw(part: pd.DataFrame) -> pd.DataFrame:
         ids = sorted(part["id"].tolist())
@@ -31,22 +33,41 @@ def twister_sample(rows: DataFrame, group: str, id_: str, seed: int, k: int) ->
     return rows.select(F.col(group).alias("group"), F.col(id_).alias("id")).groupBy("group").applyInPandas(draw, "group string, place int, id long")
 
 
-def greedy_exemplars(candidates: DataFrame, k: int = 3) -> DataFrame:
-    """candidates: grp, score, term, id.  Terms by falling score each take their least id that no other has taken;
-    at most k.  The choice is sequential, so it runs once a group, on the group's best few candidates a term."""
-
-    def pick(part: pd.DataFrame) -> pd.DataFrame:
-        used: set[int] = set()
-        out = []
-        for (score, term), ids in part.sort_values(["score", "term", "id"], ascending=[False, False, True]).groupby(["score", "term"], sort=False):
-            free = next((i for i in ids["id"] if i not in used), None)
-            if free is not None:
-                used.add(free)
-                out.append((part["grp"].iloc[0], len(out) + 1, term, int(free)))
-            if len(out) == k:
-                break
-        return pd.DataFrame(out, columns=["grp", "place", "term", "id"])
-
-    few = top_per_group(candidates, ["grp", "term"], [F.col("id").asc()], k).drop("rank")
-    few = top_per_group(few.withColumn("by", F.dense_rank().over(Window.partitionBy("grp").orderBy(F.desc("score"), F.desc("term")))).where(F.col("by") <= 4 * k).drop("by"), ["grp"], [F.desc("score"), F.desc("term"), F.col("id").asc()], 4 * k * k).drop("rank")
-    return few.groupBy("grp").applyInPandas(pick, "grp string, place int, term string, id long")
+def twister_shuffle(rows: DataFrame, group: str, id_: str, seed: int, k: int) -> DataFrame:
+    """The first k of random.Random(seed).shuffle over the group's sorted ids: bit-exact, bounds as in twister_sample."""
+
+    def draw(part: pd.DataFrame) -> pd.DataFrame:
+        ids = sorted(part["id"].tolist())
+        random.Random(seed).shuffle(ids)
+        return pd.DataFrame({"group": part["group"].iloc[0], "place": range(1, len(ids[:k]) + 1), "id": ids[:k]})
+
+    return rows.select(F.col(group).alias("group"), F.col(id_).alias("id")).groupBy("group").applyInPandas(draw, "group string, place int, id long")
+
+
+def greedy_exemplars(candidates: DataFrame, k: int = 3, pool: DataFrame | None = None, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
+    """grp, place, term, id.  candidates (grp, score, term, id): terms by falling score, then falling term, each take
+    their least id that no other has taken, k at most; with ``pool`` (grp, id) what is then missing is filled with its
+    least free ids, without a term.
+
+    What was passed over stays taken, so each choice is the best of all that is free: k rounds of one aggregation that
+    combines before its shuffle, exact for any number of candidates.  ``keep`` may write what is read again."""
+    rows = candidates.select("grp", F.lit(1).alias("named"), F.col("score").cast("double").alias("score"), "term", "id")
+    if pool is not None:
+        rows = rows.unionByName(pool.select("grp", F.lit(0).alias("named"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("term"), "id"))
+    rows = keep(rows, "exemplar-candidates")
+    best = F.max_by(F.struct("term", "id"), F.struct("named", "score", "term", -F.col("id"))).alias("b")
+    picks = keep(rows.groupBy("grp").agg(best).select("grp", F.lit(1).alias("place"), "b.*"), "exemplar-picks")
+    for place in range(2, k + 1):
+        # k rows a group at most have been picked.
+        free = rows.join(picks.select("grp", "id"), ["grp", "id"], "left_anti").alias("f")
+        free = free.join(picks.select("grp", "term").where("term IS NOT NULL"), ["grp", "term"], "left_anti")
+        picks = keep(picks.unionByName(free.groupBy("grp").agg(best).select("grp", F.lit(place).alias("place"), "b.*")), "exemplar-picks")
+    return picks
+
+
+def first_of_leading(rows: DataFrame, group: str, label: str, id_: str, most: int = 3) -> DataFrame:
+    """group, label, id, is_leading: the first row by id of the most frequent label that has one (rows where ``fits``),
+    among the ``most`` most frequent labels of the group, ties by label."""
+    counts = rows.groupBy(group, label).agg(F.count("*").alias("n"), F.min(F.when(F.col("fits"), F.col(id_))).alias(id_))
+    top = top_per_group(counts, [group], [F.desc("n"), F.col(label)], most).where(F.col(id_).isNotNull())
+    return top.groupBy(group).agg(F.min_by(F.struct(label, id_, (F.col("rank") == 1).alias("is_leading")), "rank").alias("b")).select(group, "b.*")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import html
+import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 
 def by_server(server: Column, cases: dict[str, Column], default: Column | bool = False) -> Column:
@@ -37,6 +39,44 @@ def project(rows: DataFrame, body: str, paths: dict[str, str], required: str) ->
     return rows.select("*", *[c.alias(n) for n, c in cols.items()]), F.col(required).isNotNull()
 
 
+def projected(rows: DataFrame, body: str, server: str) -> DataFrame:
+    """id, title, date, authors of records of three layouts, each by its own schema; a row of a wrong kind is left out.
+    The union is of filters over one input, so each row's JSON is parsed once, by its own projection."""
+    from ..functions import text as T
+
+    others = [c for c in rows.columns if c != body]
+
+    def of(name: str, schema: str, columns: dict[str, Column], wanted: Column) -> DataFrame:
+        r = rows.where(F.col(server) == name).select(*others, F.from_json(body, schema).alias("r")).where(wanted)
+        return r.select(*others, *[c.alias(n) for n, c in columns.items()])
+
+    r = F.col("r")
+    crossref = of(
+        "crossref",
+        "DOI string, title array<string>, posted struct<`date-parts`: array<array<int>>>, author array<struct<given: string, family: string, name: string>>",
+        {
+            "id": F.concat(F.lit("doi:"), F.lower(r["DOI"])),
+            "title": F.try_element_at(r["title"], F.lit(1)),
+            "date": F.date_format(T.date_from_parts(F.try_element_at(r["posted"]["date-parts"], F.lit(1))), "yyyy-MM-dd"),
+            "authors": F.transform(r["author"], lambda a: T.author_names(a["given"], a["family"], a["name"])),
+        },
+        r["DOI"].isNotNull(),
+    )
+    zenodo = of(
+        "zenodo",
+        "doi string, metadata struct<title: string, publication_date: string, creators: array<struct<name: string>>, resource_type: struct<type: string>>",
+        {"id": F.concat(F.lit("doi:"), F.lower(r["doi"])), "title": r["metadata"]["title"], "date": r["metadata"]["publication_date"], "authors": r["metadata"]["creators"]["name"]},
+        r["metadata"]["resource_type"]["type"] == "publication",
+    )
+    osti = of(
+        "osti",
+        "osti_id long, title string, publication_date string, authors array<string>",
+        {"id": F.concat(F.lit("osti:"), r["osti_id"].cast("string")), "title": r["title"], "date": F.substring(r["publication_date"], 1, 10), "authors": F.transform(r["authors"], T.bare_author)},
+        r["osti_id"].isNotNull(),
+    )
+    return crossref.unionByName(zenodo).unionByName(osti)
+
+
 def reconcile(slices: DataFrame, expected: str, parsed: str) -> DataFrame:
     """A slice is reconciled if it parsed what was announced and something was."""
     return slices.withColumn("reconciled", (F.col(expected) == F.col(parsed)) & (F.col(expected) > 0))
@@ -86,3 +126,51 @@ def report_page(template: str, title: str, tables: dict[str, DataFrame], limit:
         body = "".join("<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in r) + "</tr>" for r in df.limit(limit).collect())
         page = page.replace("{{" + name + "}}", f"<table><tr>{head}</tr>{body}</table>".replace("</script", "<\\/script"))
     return page
+
+
+def round_floats(rows: DataFrame, digits: int) -> DataFrame:
+    """Every floating number rounded, however deep it stands in structs, arrays and maps: a walk over the schema."""
+    return rows.select(*[_rounded(F.col(f"`{f.name}`"), f.dataType, digits).alias(f.name) for f in rows.schema.fields])
+
+
+def _rounded(c: Column, kind: DataType, digits: int) -> Column:
+    if isinstance(kind, DoubleType | FloatType):
+        return F.round(c, digits)
+    if isinstance(kind, StructType):
+        return F.when(c.isNotNull(), F.struct(*[_rounded(c[f.name], f.dataType, digits).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: _rounded(x, kind.elementType, digits))
+    if isinstance(kind, MapType):
+        return F.transform_values(c, lambda _, v: _rounded(v, kind.valueType, digits))
+    return c
+
+
+def document(sections: dict[str, DataFrame], texts: dict[str, str] | None = None, limit: int = 10_000) -> str:
+    """One JSON document of small result tables and static texts: what an analysis publishes."""
+    out: dict[str, object] = dict(texts or {})
+    for name, df in sections.items():
+        out[name] = [json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).limit(limit).collect()]
+    return json.dumps(out, ensure_ascii=False, indent=1)
+
+
+def markdown_table(rows: DataFrame, limit: int = 1000) -> str:
+    cells = [[("" if v is None else str(v)).replace("|", "\\|") for v in r] for r in rows.limit(limit).collect()]
+    return "\n".join("| " + " | ".join(r) + " |" for r in [rows.columns, ["---"] * len(rows.columns), *cells])
+
+
+def registry_markdown(title: str, note: str, rows: DataFrame, heading: str, limit: int = 1000) -> str:
+    """A registry as Markdown: a title, a note, and a section for each row with its fields as bullets."""
+    parts = [f"# {title}", note]
+    for r in rows.limit(limit).collect():
+        parts.append("\n".join([f"## {r[heading]}", *[f"- {k}: {v}" for k, v in r.asDict().items() if k != heading and v is not None]]))
+    return "\n\n".join(parts) + "\n"
+
+
+def console_table(rows: DataFrame, limit: int = 100) -> str:
+    """Columns of even width, numbers to the right."""
+    found = rows.limit(limit).collect()
+    cells = [[("-" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)) for v in r] for r in found]
+    right = [bool(found) and all(isinstance(r[i], int | float) or r[i] is None for r in found) for i in range(len(rows.columns))]
+    widths = [max(map(len, column)) for column in zip(rows.columns, *cells)]
+    lines = [[c.rjust(w) if r else c.ljust(w) for c, w, r in zip(row, widths, right)] for row in [rows.columns, *cells]]
+    return "\n".join("  ".join(row).rstrip() for row in lines)

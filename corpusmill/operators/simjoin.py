@@ -9,23 +9,44 @@ from ..functions import stats
 
 
 def token_sets(rows: DataFrame, id_: str, tokens: str) -> DataFrame:
-    """(id, tokens rarest first): the order in which prefixes are shortest to probe."""
-    flat = rows.select(id_, F.explode(F.array_distinct(tokens)).alias("token"))
+    """(id, set): each row's distinct tokens as hashes, rarest first: the order in which prefixes are shortest to probe.
+    Equal document frequencies are ordered by the hash, the same for all rows."""
+    flat = rows.select(id_, F.explode(F.array_distinct(tokens)).alias("t")).select(id_, F.xxhash64("t").alias("token"))
     df = flat.groupBy("token").agg(F.count("*").alias("df"))
     return flat.join(df, "token").groupBy(id_).agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("set"))
 
 
-def near_matches(sets: DataFrame, queries: DataFrame, id_: str, threshold: float) -> DataFrame:
+def near_matches(sets: DataFrame, queries: DataFrame, id_: str, threshold: float, both: bool = False, asked: DataFrame | None = None) -> DataFrame:
     """query, match, jaccard of the best match of each query with another set, ties to the smaller id.
 
-    Two sets at the threshold share a token in their prefixes (the rarest n - ceil(t n) + 1); sizes must agree too.
-    The overlap is counted once for each candidate pair."""
-    prefix = sets.select(F.col(id_).alias("match"), F.size("set").alias("m"), F.explode(F.slice("set", F.lit(1), stats.prefix_length(F.size("set"), threshold))).alias("token"))
-    probes = prefix.join(queries.select(F.col(id_).alias("match")), "match", "left_semi").withColumnsRenamed({"match": "query", "m": "n"})
-    fits = (F.col("m") >= F.col("n") * threshold) & (F.col("n") >= F.col("m") * threshold) & (F.col("query") != F.col("match"))
-    pairs = probes.join(prefix, "token").where(fits).select("query", "match").distinct()
-    a, b = sets.select(F.col(id_).alias("query"), F.col("set").alias("qs")), sets.select(F.col(id_).alias("match"), F.col("set").alias("ms"))
-    scored = pairs.join(a, "query").join(b, "match").withColumn("jaccard", stats.set_jaccard(F.col("qs"), F.col("ms"))).where(F.col("jaccard") >= threshold)
+    Two sets at the threshold share a token in their prefixes (the rarest n - ceil(t n) + 1).  A pair that meets at a
+    token can only have what is left of both behind it in common, so its sizes and places must still allow the
+    threshold.  If every set is a query, ``both`` makes each pair once, the smaller set first, and counts it for both;
+    ``asked`` has the sets of the queries where they are not among those searched.  Each candidate pair is verified once,
+    on the two sets of hashes."""
+    size = F.size("set")
+
+    def prefixes(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col(id_).alias("match"), size.alias("m"), F.posexplode(F.slice("set", F.lit(1), stats.prefix_length(size, threshold))).alias("j", "token"))
+
+    prefix, asked = prefixes(sets), sets if asked is None else asked
+    probes = prefixes(asked).withColumnsRenamed({"match": "query", "m": "n", "j": "i"})
+    if both:
+        fits = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("query") < F.col("match")))
+    else:
+        probes = probes.join(queries.select(F.col(id_).alias("query")), "query", "left_semi")
+        fits = F.col("query") != F.col("match")
+    # At the first common token at places i and j at most 1 + what follows in the shorter rest is shared.
+    n, m = F.col("n"), F.col("m")
+    needed = F.ceil((n + m) * F.lit(threshold / (1 + threshold)) - 1e-9)
+    left = 1 + F.least(n - F.col("i") - 1, m - F.col("j") - 1)
+    pairs = probes.join(prefix, "token").where(fits & (F.least(n, m) >= F.greatest(n, m) * F.lit(threshold) - 1e-9))
+    pairs = pairs.groupBy("query", "match", "n", "m").agg(F.min(left + F.least("i", "j")).alias("most")).where(F.col("most") >= needed).select("query", "match")
+    a, b = asked.select(F.col(id_).alias("query"), F.col("set").alias("qs")), sets.select(F.col(id_).alias("match"), F.col("set").alias("ms"))
+    scored = pairs.join(a, "query").join(b, "match").select("query", "match", stats.set_jaccard(F.col("qs"), F.col("ms")).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    if both:
+        way = F.explode(F.array(F.struct("query", "match"), F.struct(F.col("match").alias("query"), F.col("query").alias("match")))).alias("w")
+        scored = scored.select(way, "jaccard").select("w.*", "jaccard").join(queries.select(F.col(id_).alias("query")), "query", "left_semi")
     return scored.groupBy("query").agg(F.max_by(F.struct("match", "jaccard"), F.struct("jaccard", -F.col("match"))).alias("b")).select("query", F.col("b.match").alias("match"), F.col("b.jaccard").alias("jaccard"))
 
 
@@ -36,14 +57,44 @@ def best_matches(rows: DataFrame, id_: str, norm: str, tokens: str, threshold: f
     distinct = rows.groupBy(norm).agg(F.min(id_).alias(id_), F.min_by(tokens, id_).alias(tokens))
     exact = rows.join(distinct.select(norm, F.col(id_).alias("first")), norm)
     sets = token_sets(distinct, id_, tokens)
-    near = near_matches(sets, sets.where(F.size("set") >= least_tokens), id_, threshold)
+    near = near_matches(sets, sets.where(F.size("set") >= least_tokens), id_, threshold, both=True)
     out = exact.where(F.col(id_) != F.col("first")).select(F.col(id_).alias("query"), F.col("first").alias("match"), F.lit("exact").alias("how"), F.lit(1.0).alias("jaccard"))
     return out.unionByName(near.select("query", "match", F.lit("near").alias("how"), "jaccard"))
 
 
+def index_matches(index: DataFrame, queries: DataFrame, id_: str, norm: str, tokens: str, threshold: float = 0.8, least_tokens: int = 4) -> DataFrame:
+    """query, match, how, jaccard: for each query the first index row of the same normalised text, or else the nearest."""
+    known = index.where(F.col(norm) != "").groupBy(norm).agg(F.min(id_).alias("match"))
+    exact = queries.where(F.col(norm) != "").join(known, norm).select(F.col(id_).alias("query"), "match", F.lit("exact").alias("how"), F.lit(1.0).alias("jaccard"))
+    left = queries.join(known, norm, "left_anti")
+    key = F.struct(F.col("asks"), F.col(id_)).alias("key")
+    both = index.select(F.lit(False).alias("asks"), id_, tokens).unionByName(left.select(F.lit(True).alias("asks"), id_, tokens)).select(key, tokens)
+    sets = token_sets(both, "key", tokens).select("key.asks", F.col(f"key.{id_}").alias(id_), "set")
+    asked = sets.where(F.col("asks") & (F.size("set") >= least_tokens))
+    near = near_matches(sets.where(~F.col("asks")), asked.select(id_), id_, threshold, asked=asked)
+    return exact.unionByName(near.select("query", "match", F.lit("near").alias("how"), "jaccard"))
+
+
+def overlap(queries: DataFrame, index: DataFrame, id_: str, declared: str, norm: str, tokens: str) -> DataFrame:
+    """queries with match, how, jaccard, declared_found (the id that they declare is in the index) and found (either)."""
+    matches = index_matches(index, queries, id_, norm, tokens).withColumnRenamed("query", id_)
+    ids = index.select(F.col(id_).alias(declared)).distinct().withColumn("declared_found", F.lit(True))
+    out = queries.join(matches, id_, "left").join(ids, declared, "left")
+    return out.withColumn("declared_found", F.coalesce("declared_found", F.lit(False))).withColumn("found", F.col(declared).isNotNull() | F.col("how").isNotNull())
+
+
 def contained(queries: DataFrame, index: DataFrame, id_: str, key: str, tokens: str, threshold: float) -> DataFrame:
-    """Queries that hold at least ``threshold`` of the distinct tokens of an index item: query, item, share."""
-    q = queries.select(F.col(id_), F.explode(F.array_distinct(tokens)).alias("token"))
-    items = index.select(F.col(key), F.size(F.array_distinct(tokens)).alias("size"), F.explode(F.array_distinct(tokens)).alias("token"))
-    hits = q.join(items, "token").groupBy(id_, key, "size").agg(F.count("*").alias("n"))
-    return hits.where(F.col("n") >= threshold * F.col("size")).select(id_, key, (F.col("n") / F.col("size")).alias("share"))
+    """Queries that hold at least ``threshold`` of the distinct tokens of an index item: query, item, share.
+
+    A query that does holds one of the item's size - ceil(t size) + 1 tokens that are rarest among the queries, so only
+    those are probed; a pair found so is verified on the whole sets."""
+    q = queries.select(F.col(id_), F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t))).alias("held"))
+    flat = q.select(id_, F.explode("held").alias("token"))
+    items = index.select(F.col(key), F.explode(F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t)))).alias("token"))
+    df = flat.join(items.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    sets = items.join(df, "token", "left").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))), lambda x: x["token"]).alias("set"))
+    probes = sets.select(key, F.explode(F.slice("set", F.lit(1), stats.prefix_length(F.size("set"), threshold))).alias("token"))
+    pairs = flat.join(probes, "token").select(id_, key).distinct()
+    share = F.size(F.array_intersect("set", "held")) / F.size("set")
+    found = pairs.join(sets, key).join(q, id_).select(id_, key, share.alias("share"), F.size("set").alias("size"))
+    return found.where(F.round(F.col("share") * F.col("size")) >= threshold * F.col("size")).select(id_, key, "share")

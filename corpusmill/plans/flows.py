@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,14 +16,14 @@ registry = Registry()
 def stream_dedup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: a stream over the events, late duplicates dropped, daily counts; equal to the batch."""
     schema = table(spark, sf_dir, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"events_{uuid.uuid4().hex}"
-    return S.run_available(S.dedup_counts(source, "event_id", "ts", "event_type"), name, scratch(spark, "stream"))
+    source = S.read_stream(spark, sf_dir, schema, glob="events.parquet")
+    counts = S.run_available(S.dedup_counts(source, "event_id", "ts", "event_type"), scratch(spark, "stream-counts"), scratch(spark, "stream"), ["start", "event_type"])
+    return counts.select(F.col("start").cast("date").alias("day"), "event_type", "n")
 
 
 @registry.add("SELECT ts::DATE AS day, event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1, 2")
 def batch_dedup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.dedup_counts(table(spark, sf_dir, "events"), "event_id", "ts", "event_type")
+    return S.dedup_counts(table(spark, sf_dir, "events"), "event_id", "ts", "event_type").select(F.col("start").cast("date").alias("day"), "event_type", "n")
 
 
 def _round_trip(spark: SparkSession, d: DataFrame) -> DataFrame:

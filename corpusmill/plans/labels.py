@@ -193,26 +193,64 @@ def characteristic_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.orderBy(F.desc("score"), F.desc("c_n"), F.desc("bigram")).limit(15)
 
 
-@registry.add()
+def _keep(spark: SparkSession):
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        path = scratch(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return keep
+
+
+_PICK = "row_number() OVER (PARTITION BY grp ORDER BY named DESC, score DESC, term DESC, id)"
+
+
+@registry.add(
+    f"""{_BI}, m AS (SELECT b.bigram, d.lang, b.doc_id FROM b JOIN documents d USING (doc_id) WHERE d.lang IS NOT NULL), s AS (SELECT lang, bigram, count(*)::DOUBLE AS score FROM m GROUP BY 1, 2 HAVING count(*) >= 3),
+c AS (SELECT lang AS grp, 1 AS named, score, bigram AS term, doc_id AS id FROM m JOIN s USING (lang, bigram) UNION ALL SELECT lang, 0, NULL, NULL, doc_id FROM documents WHERE lang IS NOT NULL AND n_chars < 400),
+p1 AS (SELECT grp, 1 AS place, term, id FROM c QUALIFY {_PICK} = 1),
+p2 AS (SELECT grp, 2 AS place, term, id FROM c WHERE NOT EXISTS (FROM p1 p WHERE p.grp = c.grp AND (p.id = c.id OR p.term = c.term)) QUALIFY {_PICK} = 1),
+p3 AS (SELECT grp, 3 AS place, term, id FROM c WHERE NOT EXISTS (FROM (FROM p1 UNION ALL FROM p2) p WHERE p.grp = c.grp AND (p.id = c.id OR p.term = c.term)) QUALIFY {_PICK} = 1)
+FROM p1 UNION ALL FROM p2 UNION ALL FROM p3"""
+)
 def greedy_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each language, one document for each of its best bigrams, none twice."""
-    d = docs(spark, sf_dir).select("doc_id", "lang")
-    b = _bigrams(spark, sf_dir).join(d, "doc_id").where("lang IS NOT NULL")
+    """For each language, one document for each of its best bigrams, none twice, three at most; short documents fill
+    what is missing."""
+    d = docs(spark, sf_dir).select("doc_id", "lang", "n_chars").where("lang IS NOT NULL")
+    b = _bigrams(spark, sf_dir).join(d, "doc_id")
     scored = b.groupBy("lang", "bigram").agg(F.count("*").cast("double").alias("score")).where("score >= 3")
-    top = ranking.top_per_group(scored, ["lang"], [F.desc("score"), F.desc("bigram")], 12).drop("rank")
-    found = b.join(F.broadcast(top), ["lang", "bigram"]).select(F.col("lang").alias("grp"), "score", F.col("bigram").alias("term"), F.col("doc_id").alias("id"))
-    return ranking.greedy_exemplars(found)
+    found = b.join(scored, ["lang", "bigram"]).select(F.col("lang").alias("grp"), "score", F.col("bigram").alias("term"), F.col("doc_id").alias("id"))
+    return ranking.greedy_exemplars(found, 3, d.where("n_chars < 400").select(F.col("lang").alias("grp"), F.col("doc_id").alias("id")), _keep(spark))
 
 
 _SWEEP = [("notice", r"Copyright|[Ll]icen[sc]e"), ("junk", r"!!|[#$%&*]{3}"), ("table", r" \| ")]
 _ALSO = ("contact", r"@")
 
 
-@registry.add(f"SELECT part AS category, count(*) AS n FROM (SELECT unnest(string_split(CASE {' '.join(f'WHEN {_hit(p)} THEN {chr(39)}{n}{chr(39)}' for n, p in _SWEEP)} ELSE 'plain' END || CASE WHEN {_hit('@')} THEN '+contact' ELSE '' END, '+')) AS part FROM (SELECT coalesce(text, '') AS text FROM documents)) GROUP BY 1")
+_CATEGORY = f"CASE {' '.join(f'WHEN {_hit(p)} THEN {chr(39)}{n}{chr(39)}' for n, p in _SWEEP)} ELSE 'plain' END || CASE WHEN {_hit('@')} THEN '+contact' ELSE '' END"
+_SIZE_WINDOW = "CASE WHEN n_chars >= 1500 THEN 'trailing' WHEN n_chars >= 500 THEN 'preceding' END"
+
+
+def size_window():
+    """A stand-in for dates, which documents lack: long ones are of the trailing window."""
+    return F.when(F.col("n_chars") >= 1500, "trailing").when(F.col("n_chars") >= 500, "preceding")
+
+
+@registry.add(f"SELECT part AS category, count(*) AS n, count(*) FILTER (w = 'trailing') AS trailing, count(*) FILTER (w = 'preceding') AS preceding FROM (SELECT unnest(string_split({_CATEGORY}, '+')) AS part, {_SIZE_WINDOW} AS w FROM (SELECT coalesce(text, '') AS text, n_chars FROM documents)) GROUP BY 1")
 def sweep_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first matching category, and one that is added to it."""
+    """The first matching category, and one that is added to it, by window."""
     cat = L.first_match(F.col("text"), _SWEEP, "plain", _ALSO)
-    return docs(spark, sf_dir).select(F.explode(F.split(cat, r"\+")).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
+    c = docs(spark, sf_dir).select(F.explode(F.split(cat, r"\+")).alias("category"), size_window().alias("w")).groupBy("category")
+    return c.agg(F.count("*").alias("n"), *[F.count_if(F.col("w") == w).alias(w) for w in ("trailing", "preceding")])
+
+
+@registry.add(f"{_L}, k AS (SELECT doc_id, {_CATEGORY} AS cat FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)) SELECT coalesce(labels[1], 'unclassified') AS label, count(*) AS n FROM l JOIN k USING (doc_id) WHERE cat <> 'plain' AND NOT starts_with(cat, 'table') GROUP BY 1 ORDER BY n DESC, label LIMIT 10")
+def sweep_top_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten commonest labels of what the sweep found, one of its categories left out."""
+    cat = L.first_match(F.col("text"), _SWEEP, "plain", _ALSO)
+    d = docs(spark, sf_dir).select(F.explode(F.array(F.struct(cat.alias("cat"), LABELS.labels(F.col("text")).alias("labels")))).alias("x")).select("x.*")
+    found = d.where((F.col("cat") != "plain") & ~F.col("cat").startswith("table"))
+    return found.groupBy(F.coalesce(L.primary(F.col("labels")), F.lit("unclassified")).alias("label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(10)
 
 
 @registry.add("SELECT doc_id, substr(text, greatest(pos - 50, 1), pos - greatest(pos - 50, 1) + len(m) + 50) AS context FROM (SELECT doc_id, text, regexp_extract(text, '[Ll]icen[sc]e') AS m, instr(text, regexp_extract(text, '[Ll]icen[sc]e')) AS pos FROM documents WHERE regexp_matches(text, '[Ll]icen[sc]e'))")
@@ -232,10 +270,28 @@ def phrase_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.size("terms") > 0).select("doc_id", F.array_join("terms", ",").alias("terms"))
 
 
-@registry.add(f"{_L}, e AS (SELECT x.label, min(x.doc_id) AS first_id, count(*) AS n FROM x GROUP BY 1) SELECT * FROM e")
+_TITLED = "CASE label " + " ".join(f"WHEN '{r.key}' THEN {_hit(r.pattern, 'title')}" for r in LABELS.rules) + " ELSE false END"
+_FITS = f"{_L}, t AS (SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS title FROM documents), f AS (SELECT x.*, {_TITLED} AS fits FROM x JOIN t USING (doc_id))"
+
+
+def _fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, label, doc_id, and whether the label's pattern is in the title (the first line)."""
+    title = F.split_part("text", F.lit("\n"), F.lit(1))
+    named = F.map_from_arrays(F.array(*[F.lit(r.key) for r in LABELS.rules]), F.array(*[title.rlike(r.pattern) for r in LABELS.rules]))
+    rows = docs(spark, sf_dir).select("doc_id", "source", F.explode(F.array(F.struct(L.or_unclassified(LABELS.labels(F.col("text"))).alias("labels"), named.alias("named")))).alias("x"))
+    return rows.select("doc_id", "source", "x.named", F.explode("x.labels").alias("label")).withColumn("fits", F.coalesce(F.try_element_at("named", F.col("label")), F.lit(False))).drop("named")
+
+
+@registry.add(f"{_FITS} SELECT label, min(doc_id) FILTER (fits) AS first_id, count(*) AS n FROM f GROUP BY 1")
 def title_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first document, by id, of each label."""
-    return exploded(spark, sf_dir).groupBy("label").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+    """The first document, by id, of each label whose title names it; null if none does."""
+    return _fits(spark, sf_dir).groupBy("label").agg(F.min(F.when(F.col("fits"), F.col("doc_id"))).alias("first_id"), F.count("*").alias("n"))
+
+
+@registry.add(f"{_FITS}, c AS (SELECT source, label, count(*) AS n, min(doc_id) FILTER (fits) AS doc_id FROM f GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, label) AS rank FROM c) SELECT source, label, doc_id, rank = 1 AS is_leading FROM r WHERE rank <= 3 AND doc_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source ORDER BY rank) = 1")
+def leading_exemplar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each source, the first titled document of its leading label, or else of the next two."""
+    return ranking.first_of_leading(_fits(spark, sf_dir), "source", "label", "doc_id")
 
 
 def store_labels(d: DataFrame, path: str) -> None:

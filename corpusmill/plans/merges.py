@@ -29,16 +29,50 @@ def last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.keep_last(o, ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
 
 
+_VERSIONS = """v0 AS (SELECT l_orderkey AS work, CASE WHEN l_linenumber = 1 AND l_orderkey % 2 = 0 THEN NULL ELSE l_linenumber END AS version, CASE WHEN l_partkey % 9 > 0 THEN strftime(l_shipdate, '%Y-%m-%d') ELSE '' END AS date, CASE WHEN l_linenumber % 2 = 0 THEN 'part ' || l_partkey::VARCHAR ELSE '' END AS title, l_returnflag AS term, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+v AS (SELECT * REPLACE (CASE WHEN version IS NULL AND n > 1 THEN 1 ELSE version END AS version), coalesce(nullif(date, ''), '9999') AS d FROM v0)"""
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li, n = table(spark, sf_dir, "lineitem"), F.col("l_linenumber")
+    version = F.when(~((n == 1) & (F.col("l_orderkey") % 2 == 0)), n)
+    date = F.when(F.col("l_partkey") % 9 > 0, F.date_format("l_shipdate", "yyyy-MM-dd")).otherwise("")
+    return li.select(F.col("l_orderkey").alias("work"), version.alias("version"), date.alias("date"), F.when(n % 2 == 0, F.concat(F.lit("part "), F.col("l_partkey").cast("string"))).otherwise("").alias("title"), F.array("l_returnflag").alias("terms"))
+
+
 @registry.add(
-    """WITH v AS (SELECT l_orderkey AS work, l_linenumber AS version, strftime(l_shipdate, '%Y-%m-%d') AS date, CASE WHEN l_linenumber % 2 = 0 THEN 'part ' || l_partkey::VARCHAR ELSE '' END AS title, l_returnflag AS term FROM lineitem),
-c AS (SELECT work, arg_min({'v': version, 't': title}, (CASE WHEN version = 1 THEN 0 ELSE 1 END, date, version, title)) AS chosen, arg_max(title, (version, title)) AS latest, min(date) AS date, count(*) AS n_versions, list(term ORDER BY version, term) AS terms FROM v GROUP BY 1)
-SELECT work, chosen.v AS version, coalesce(nullif(chosen.t, ''), latest) AS title, date, n_versions, array_to_string(list_sort(list_distinct(terms)), ',') AS all_terms FROM c"""
+    f"""WITH {_VERSIONS},
+c AS (SELECT work, arg_min({{'v': version, 't': title}}, (CASE WHEN version = 1 THEN 0 ELSE 1 END, d, coalesce(version, 0), title)) AS chosen, arg_max(title, (coalesce(version, 0), title)) AS latest, min(nullif(date, '')) AS date, count(*) AS n_versions, list(coalesce(version, 0) ORDER BY coalesce(version, 0)) AS versions, list(term ORDER BY d, coalesce(version, 0), term) AS terms FROM v GROUP BY 1)
+SELECT work, chosen.v AS version, coalesce(nullif(chosen.t, ''), latest) AS title, date, n_versions, array_to_string(versions, ',') AS versions, array_to_string(list_sort(list_distinct(terms)), ',') AS all_terms FROM c"""
 )
 def version_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a work from its versions."""
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("work"), F.col("l_linenumber").alias("version"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("part "), F.col("l_partkey").cast("string"))).otherwise("").alias("title"), F.array("l_returnflag").alias("terms"))
-    out = D.collapse_versions(li, "work", "version", "date", "title", "terms")
-    return out.withColumn("all_terms", F.array_join(F.array_sort("all_terms"), ","))
+    """One row a work from its versions; a row without a number among others is version 1."""
+    out = D.collapse_versions(_versions(spark, sf_dir), "work", "version", "date", ("title",), ("terms",))
+    return out.select("work", "version", "title", "date", "n_versions", F.array_join("versions", ",").alias("versions"), F.array_join(F.array_sort("terms"), ",").alias("all_terms"))
+
+
+@registry.add(
+    """WITH v AS (SELECT l_orderkey AS work, l_linenumber AS version FROM lineitem WHERE NOT (l_linenumber = 1 AND l_orderkey % 3 > 0)),
+g AS (SELECT work, CASE WHEN work % 2 = 0 THEN '-' ELSE '/' END AS sep, count(*) FILTER (version = 1) AS ones FROM v GROUP BY 1),
+w AS (SELECT DISTINCT o_orderkey AS work, CASE o_orderkey % 5 WHEN 0 THEN 'w' || o_orderkey::VARCHAR ELSE 'w' || o_orderkey::VARCHAR || CASE WHEN o_orderkey % 2 = 0 THEN '-' ELSE '/' END || 'v1' END AS id, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders)
+SELECT 'w' || g.work::VARCHAR AS work, w.id, w.date FROM g JOIN w USING (work) WHERE g.ones = 0 AND (w.id LIKE '%v1' OR g.sep = '-')"""
+)
+def first_version_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Version 1 of works that lack it, from a table of single works: under 'v1', or with '-' under the bare id."""
+    li, k = table(spark, sf_dir, "lineitem"), F.col("l_orderkey")
+    v = li.where(~((F.col("l_linenumber") == 1) & (k % 3 > 0))).select(F.concat(F.lit("w"), k.cast("string")).alias("work"), F.col("l_linenumber").alias("version"), F.when(k % 2 == 0, "-").otherwise("/").alias("sep"))
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    bare = F.concat(F.lit("w"), k.cast("string"))
+    works = o.select(F.when(k % 5 == 0, bare).otherwise(F.concat(bare, F.when(k % 2 == 0, "-").otherwise("/"), F.lit("v1"))).alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date")).distinct()
+    return D.fetched_first_versions(v, works, "work", "version", "sep", "id")
+
+
+@registry.add("SELECT l_partkey AS concept, max(l_orderkey * 8 + l_linenumber) AS record, arg_max(l_quantity, l_orderkey * 8 + l_linenumber) AS quantity, array_to_string(list_sort(list_distinct(list(l_returnflag))), ',') AS terms FROM lineitem GROUP BY 1")
+def highest_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The highest record of each concept, with the terms of all."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("concept"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("record"), F.col("l_quantity").alias("quantity"), F.array("l_returnflag").alias("terms"))
+    out = D.highest_record(li, "concept", "record", "terms")
+    return out.withColumn("terms", F.array_join(F.array_sort("terms"), ","))
 
 
 _LANES = "SELECT 'c' || c_custkey AS key, c_nationkey::VARCHAR || ':' || c_mktsegment || ':' || (c_custkey % 7)::VARCHAR AS identity, c_custkey % 5 AS lane FROM customer"
@@ -105,18 +139,6 @@ def benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.contained(d, b, "doc_id", "item_id", "tokens", 0.8).withColumn("share", r6(F.col("share")))
 
 
-@registry.add("WITH n AS (SELECT doc_id, source, md5(coalesce(text, '')) AS h, n_chars FROM documents), i AS (SELECT h, min(doc_id) AS first FROM n WHERE source = 'src0' GROUP BY 1) SELECT n.source, count(*) AS n, count(i.h) AS in_index, count(i.h) FILTER (n.n_chars < 500) AS short_in_index, round(count(i.h) / count(*), 4) AS share, array_to_string((list(n.doc_id ORDER BY n.doc_id) FILTER (i.h IS NOT NULL))[1:5], ',') AS examples FROM n LEFT JOIN i USING (h) WHERE n.source <> 'src0' GROUP BY 1")
-def overlap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of each source the index source has, with the first five examples."""
-    n = table(spark, sf_dir, "documents").select("doc_id", "source", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("h"), "n_chars")
-    i = n.where("source = 'src0'").groupBy("h").agg(F.min("doc_id").alias("first"))
-    j = n.where("source <> 'src0'").join(i, "h", "left").withColumn("found", F.col("first").isNotNull())
-    # Five examples a source come from a rank, so no list grows with the source.
-    rank = F.row_number().over(Window.partitionBy("source", "found").orderBy("doc_id"))
-    j = j.withColumn("example", F.when(F.col("found") & (rank <= 5), F.col("doc_id")))
-    return j.groupBy("source").agg(F.count("*").alias("n"), F.count_if("found").alias("in_index"), F.count_if(F.col("found") & (F.col("n_chars") < 500)).alias("short_in_index"), stats.safe_share(F.count_if("found"), F.count("*")).alias("share"), F.nullif(F.array_join(F.array_sort(F.collect_list("example")), ","), F.lit("")).alias("examples"))
-
-
 @registry.add("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids without a counterpart."""
@@ -235,7 +257,7 @@ def rule_score_with_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("WITH d AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR || '|42'), doc_id) AS rank FROM documents) SELECT lang, doc_id, rank::INT AS rank FROM d WHERE rank <= 15")
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K7 K8: fifteen documents a language, by a seeded hash."""
+    """K7: fifteen documents a language, by a seeded hash."""
     return ranking.hash_sample(table(spark, sf_dir, "documents").select("lang", "doc_id"), ["lang"], "doc_id", 42, 15)
 
 
@@ -245,27 +267,67 @@ def seeded_sample_mt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.twister_sample(table(spark, sf_dir, "documents").where("lang IS NOT NULL"), "lang", "doc_id", 42, 15)
 
 
-@registry.add("WITH c AS (SELECT coalesce(split_part(p_type, ' ', 1), '') AS stage, p_size % 4 + 1 AS level, p_brand FROM part) SELECT coalesce(stage, 'all') AS stage, coalesce('L' || level::VARCHAR, 'all') AS level, count(*) AS n, count(DISTINCT p_brand) AS brands FROM c GROUP BY CUBE (stage, level)")
+@registry.add()
+def seeded_shuffle_mt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K8: the first five of a seeded shuffle, bit for bit."""
+    return ranking.twister_shuffle(table(spark, sf_dir, "documents").where("lang IS NOT NULL"), "lang", "doc_id", 7, 5)
+
+
+_LEVELS = ("L1", "L2", "L3", "L4")
+
+
+@registry.add(
+    "WITH c AS (SELECT coalesce(split_part(p_type, ' ', 1), '') AS stage, 'L' || (p_size % 4 + 1)::VARCHAR AS level, p_brand FROM part), d AS (SELECT DISTINCT * FROM c) SELECT coalesce(stage, 'all') AS stage, "
+    + ", ".join(f"coalesce(array_to_string(list_sort(list(DISTINCT p_brand) FILTER (level = '{x}')), ','), '') AS {x}" for x in _LEVELS)
+    + ", (SELECT count(*) FROM c WHERE coalesce(c.stage = d.stage, true)) AS n, count(DISTINCT p_brand) AS brands FROM d GROUP BY ROLLUP (stage)"
+)
 def stage_autonomy_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stage by level with row and column totals in one pass."""
+    """Stage by level, each cell the sorted names in it, with totals; names are distinct before they are listed."""
     p = table(spark, sf_dir, "part").select(F.coalesce(F.split_part("p_type", F.lit(" "), F.lit(1)), F.lit("")).alias("stage"), F.concat(F.lit("L"), (F.col("p_size") % 4 + 1).cast("string")).alias("level"), "p_brand")
-    out = p.cube("stage", "level").agg(F.count("*").alias("n"), F.count_distinct("p_brand").alias("brands"))
-    return out.select(F.coalesce("stage", F.lit("all")).alias("stage"), F.coalesce("level", F.lit("all")).alias("level"), "n", "brands")
+    few = p.groupBy("stage", "level", "p_brand").agg(F.count("*").alias("c"))
+    cells = [F.array_join(F.array_sort(F.collect_set(F.when(F.col("level") == x, F.col("p_brand")))), ",").alias(x) for x in _LEVELS]
+    out = few.rollup("stage").agg(*cells, F.sum("c").alias("n"), F.count_distinct("p_brand").alias("brands"))
+    return out.withColumn("stage", F.coalesce("stage", F.lit("all")))
 
 
-@registry.add("SELECT p_partkey, row_number() OVER (ORDER BY list_position(['PROMO', 'ECONOMY', 'STANDARD'], upper(split_part(p_type, ' ', 1))) NULLS LAST, p_size, lower(p_name), p_partkey)::INT AS place FROM part QUALIFY place <= 50")
+@registry.add("SELECT p_partkey, row_number() OVER (ORDER BY list_position(['PROMO', 'ECONOMY', 'STANDARD'], upper(split_part(p_type, ' ', 1))) NULLS LAST, CASE WHEN p_size % 7 = 0 THEN 9999 ELSE p_size END, lower(p_name), p_partkey)::INT AS place FROM part")
 def catalog_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K6: catalogue order: known stages first, then size and name; the first fifty."""
+    """K6: catalogue order: known stages first, then year (9999 if it is none), then name.
+
+    Places come from a count for each stage and year and ranks within them, so no task sorts the whole table."""
     stage = F.nullif(F.array_position(F.array(*map(F.lit, ("PROMO", "ECONOMY", "STANDARD"))), F.upper(F.split_part("p_type", F.lit(" "), F.lit(1)))), F.lit(0).cast("long"))
-    top = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.lower("p_name").alias("name"), stage.alias("stage")).orderBy(F.col("stage").asc_nulls_last(), "p_size", "name", "p_partkey").limit(50)
-    return top.select("p_partkey", F.row_number().over(Window.orderBy(F.col("stage").asc_nulls_last(), "p_size", "name", "p_partkey")).alias("place"))
+    year = F.coalesce(F.when(F.col("p_size") % 7 == 0, "n.d.").otherwise(F.col("p_size").cast("string")).try_cast("int"), F.lit(9999))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("name"), F.coalesce(stage, F.lit(99)).alias("stage"), year.alias("year"))
+    groups = rows.groupBy("stage", "year").agg(F.count("*").alias("n"))  # stages x years
+    before = groups.withColumn("before", F.sum("n").over(Window.orderBy("stage", "year")) - F.col("n")).drop("n")
+    within = F.row_number().over(Window.partitionBy("stage", "year").orderBy("name", "p_partkey"))
+    return rows.withColumn("within", within).join(F.broadcast(before), ["stage", "year"]).select("p_partkey", (F.col("before") + F.col("within")).cast("int").alias("place"))
+
 
+_CAP = 100
 
-@registry.add("SELECT 'b' || (user_id % 8)::VARCHAR AS server, round(sum(value) FILTER (event_type = 'click'), 4) AS kept, count(*) AS fetched, count(DISTINCT event_type) AS terms, bool_or(value > 450) AS truncated FROM events GROUP BY 1")
+
+@registry.add(
+    f"""WITH t AS (SELECT 'b' || (user_id % 8)::VARCHAR AS server, event_type AS term, count(*) AS total, least(count(*), {_CAP}) AS fetched FROM events GROUP BY ALL),
+k AS (SELECT server, term, count(*) FILTER (value >= 50) AS kept FROM (SELECT 'b' || (user_id % 8)::VARCHAR AS server, event_type AS term, value, row_number() OVER (PARTITION BY user_id % 8, event_type ORDER BY ts, event_id) AS r FROM events) WHERE r <= {_CAP} GROUP BY ALL),
+j AS (SELECT *, total > fetched AND fetched >= {_CAP} AS truncated, row_number() OVER (PARTITION BY server ORDER BY kept DESC, term) AS rank FROM t JOIN k USING (server, term))
+SELECT server, sum(total)::BIGINT AS total, sum(fetched)::BIGINT AS fetched, sum(kept)::BIGINT AS kept, round(sum(kept) / sum(fetched), 4) AS ratio, coalesce(string_agg(term, ',' ORDER BY term) FILTER (truncated), '') AS truncated, string_agg(term || ':' || kept::VARCHAR, ',' ORDER BY rank) FILTER (rank <= 3 AND kept > 0) AS top_terms FROM j GROUP BY 1"""
+)
 def yield_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums, distinct terms and truncation flag of each server."""
-    e = table(spark, sf_dir, "events")
-    return e.groupBy(F.concat(F.lit("b"), (F.col("user_id") % 8).cast("string")).alias("server")).agg(F.round(F.sum(F.when(F.col("event_type") == "click", F.col("value"))), 4).alias("kept"), F.count("*").alias("fetched"), F.count_distinct("event_type").alias("terms"), F.bool_or(F.col("value") > 450).alias("truncated"))
+    """Rows of each server and term up to a cap, truncation flags, what was kept, and the best terms."""
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("b"), (F.col("user_id") % 8).cast("string")).alias("server"), F.col("event_type").alias("term"), "ts", "event_id", "value")
+    t = e.groupBy("server", "term").agg(F.count("*").alias("total"))
+    t = t.withColumn("fetched", F.least("total", F.lit(_CAP))).withColumn("truncated", (F.col("total") > F.col("fetched")) & (F.col("fetched") >= _CAP))
+    first = ranking.top_per_group(e, ["server", "term"], [F.col("ts"), F.col("event_id")], _CAP)
+    j = t.join(first.groupBy("server", "term").agg(F.count_if(F.col("value") >= 50).alias("kept")), ["server", "term"])
+    j = j.withColumn("rank", F.row_number().over(Window.partitionBy("server").orderBy(F.desc("kept"), "term")))  # the terms of a server are few
+    best = F.when((F.col("rank") <= 3) & (F.col("kept") > 0), F.struct("rank", F.concat_ws(":", "term", F.col("kept").cast("string")).alias("t")))
+    return j.groupBy("server").agg(
+        *[F.sum(c).alias(c) for c in ("total", "fetched", "kept")],
+        stats.safe_share(F.sum("kept"), F.sum("fetched")).alias("ratio"),
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("truncated"), F.col("term")))), ",").alias("truncated"),
+        F.nullif(F.array_join(F.transform(F.array_sort(F.collect_list(best)), lambda x: x["t"]), ","), F.lit("")).alias("top_terms"),
+    )
 
 
 @registry.add("SELECT label, count(*) AS n FROM embeddings GROUP BY 1")
@@ -274,8 +336,16 @@ def vector_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
 
 
-@registry.add("SELECT count(*) AS total, count(DISTINCT source) AS sources, arg_min(source, (-n, source)) AS largest FROM (SELECT source, count(*) OVER (PARTITION BY source) AS n FROM documents)")
+@registry.add(
+    """WITH n AS (SELECT 'server' AS part, coalesce(source, 'unknown') AS name, count(*) AS n FROM documents GROUP BY 2),
+w AS (SELECT 'window' AS part, CASE WHEN n_chars >= 1500 THEN 'trailing' WHEN n_chars >= 500 THEN 'preceding' ELSE 'outside' END AS name, count(*) AS n FROM documents WHERE source = 'src0' GROUP BY 2),
+u AS (SELECT * FROM n UNION ALL SELECT * FROM w UNION ALL SELECT 'total', 'all', count(*) FROM documents) SELECT part, name, n, row_number() OVER (PARTITION BY part ORDER BY n DESC, name)::INT AS place FROM u"""
+)
 def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals and the largest source."""
-    per = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
-    return per.agg(F.sum("n").alias("total"), F.count("source").alias("sources"), F.min_by("source", F.struct(-F.col("n"), "source")).alias("largest"))
+    """The total, each server by falling count, and the windows of one of them, in one pass."""
+    d = table(spark, sf_dir, "documents")
+    window = F.when(F.col("n_chars") >= 1500, "trailing").when(F.col("n_chars") >= 500, "preceding").otherwise("outside")
+    row = lambda part, name: F.struct(F.lit(part).alias("part"), name.alias("name"))
+    parts = F.array_compact(F.array(row("total", F.lit("all")), row("server", F.coalesce("source", F.lit("unknown"))), F.when(F.col("source") == "src0", row("window", window))))
+    counts = d.select(F.explode(parts).alias("p")).groupBy("p.part", "p.name").agg(F.count("*").alias("n"))
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("n"), "name")))

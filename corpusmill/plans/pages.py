@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import markup as M
 from ..operators import scoring
-from .common import Registry, spread, table
+from .common import Registry, scratch, spread, table
 
 registry = Registry()
 
@@ -56,6 +56,71 @@ def contract_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("SELECT page_id, array_to_string(list_filter([CASE WHEN NOT regexp_matches(url, '^https?://') THEN 'scheme' END, CASE WHEN length(url) > 60 THEN 'long' END, CASE WHEN NOT contains(html, '<h1') THEN 'heading' END], lambda x: x IS NOT NULL), ',') AS problems FROM pages")
 def reference_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is wrong with each reference, in order."""
+    """What is wrong with each URL, in order."""
     bad = F.array_compact(F.array(F.when(~F.col("url").rlike("^https?://"), "scheme"), F.when(F.length("url") > 60, "long"), F.when(~F.col("html").contains("<h1"), "heading")))
     return pages(spark, sf_dir).select("page_id", F.array_join(bad, ",").alias("problems"))
+
+
+#: A made page for each row: numbered references with one of several faults, and links to them.
+_ITEMS = """i AS (SELECT page_id AS p, unnest(generate_series(1, 4 + page_id % 3)) AS i FROM pages),
+r AS (SELECT p, i, CASE WHEN p % 5 = 0 AND i = 2 THEN 9 ELSE i END AS number, CASE WHEN p % 4 = 0 AND i = 3 THEN 'book' ELSE ['doi', 'arxiv', 'url'][(i % 3 + 1)::INT] END AS kind, CASE i % 3 WHEN 0 THEN '10.1/P-' || i::VARCHAR WHEN 1 THEN '2401.0000' || i::VARCHAR ELSE 'https://x.org/' || p::VARCHAR || '/' || i::VARCHAR END AS ref_id,
+    CASE WHEN p % 6 = 0 AND i = 1 THEN '' ELSE 'Title ' || i::VARCHAR END AS title FROM i),
+c AS (SELECT p, i AS number FROM i WHERE NOT (p % 2 = 0 AND i = 4 + p % 3) UNION ALL SELECT DISTINCT p, 99 FROM i WHERE p % 3 = 0)"""
+
+
+def _reference_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("page_id")
+
+    def item(i):
+        kind = F.when((p % 4 == 0) & (i == 3), "book").when(i % 3 == 0, "doi").when(i % 3 == 1, "arxiv").otherwise("url")
+        ref = F.when(i % 3 == 0, F.concat(F.lit("10.1/P-"), i.cast("string"))).when(i % 3 == 1, F.concat(F.lit("2401.0000"), i.cast("string"))).otherwise(F.concat(F.lit("https://x.org/"), p.cast("string"), F.lit("/"), i.cast("string")))
+        number = F.when((p % 5 == 0) & (i == 2), 9).otherwise(i).cast("string")
+        title = F.when((p % 6 == 0) & (i == 1), "").otherwise(F.concat(F.lit("Title <i>"), i.cast("string"), F.lit("</i>")))
+        link = F.when((p % 7 == 0) & (i == 2), "https://wrong.org/").otherwise(M.expected_link(F.when(kind == "book", "doi").otherwise(kind), ref))
+        return F.concat(F.lit('<li id="ref-'), number, F.lit('" data-kind="'), kind, F.lit('" data-id="'), ref, F.lit('"><span class="ref-title">'), title, F.lit('</span><script>hidden()</script> <a href="'), link, F.lit('">link</a></li>'))
+
+    places = F.sequence(F.lit(1), (4 + p % 3).cast("int"))
+    cites = F.transform(F.filter(places, lambda i: ~((p % 2 == 0) & (i == 4 + p % 3))), lambda i: F.concat(F.lit('<a class="cite x" href=" #ref-'), i.cast("string"), F.lit(' ">n</a><br>')))
+    html = F.concat(F.lit("<body><p>"), F.array_join(cites, ""), F.when(p % 3 == 0, '<a href="#ref-99">x</a>').otherwise(""), F.lit('</p><ol class="references"><li id="ref-0"></ol><section id="references"><h2>R</h2><ol class="a references">'), F.array_join(F.transform(places, item), ""), F.lit("</ol></section></body>"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", html.alias("html"))
+
+
+def _page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "reference-nodes")
+    M.html_nodes(_reference_pages(spark, sf_dir)).write.parquet(path)  # read several times
+    return spark.read.parquet(path)
+
+
+@registry.add(f"WITH {_ITEMS} SELECT p AS page_id, i::INT AS position, 'ref-' || number::VARCHAR AS elem_id FROM r WHERE number <> i")
+def list_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of the reference list whose id does not give their place."""
+    return M.list_position_problems(M.reference_items(_page_nodes(spark, sf_dir)))
+
+
+@registry.add(f"WITH {_ITEMS} SELECT r.p AS page_id, r.number::INT AS number, 'uncited' AS problem FROM r ANTI JOIN c ON c.p = r.p AND c.number = r.number UNION ALL SELECT c.p, c.number::INT, 'dangling' FROM c ANTI JOIN r ON c.p = r.p AND c.number = r.number")
+def citation_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References that nothing outside the list cites, and links to references that are not there."""
+    nodes = _page_nodes(spark, sf_dir)
+    return M.citation_closure(M.reference_items(nodes), M.cite_links(nodes), M.inside(nodes, M.by_id(nodes, "references")))
+
+
+@registry.add(
+    f"""WITH {_ITEMS}, t AS (SELECT *, lower(CASE kind WHEN 'doi' THEN 'https://doi.org/' || ref_id WHEN 'arxiv' THEN 'https://arxiv.org/abs/' || ref_id ELSE ref_id END) AS target FROM r)
+SELECT p AS page_id, i::INT AS position, kind, title, CASE WHEN kind = 'book' THEN 'kind' WHEN title = '' THEN 'title' WHEN p % 7 = 0 AND i = 2 THEN 'no link to ' || target ELSE '' END AS problem FROM t"""
+)
+def reference_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each listed reference with what is wrong with it: kind, id, title or link target."""
+    nodes = _page_nodes(spark, sf_dir)
+    items = M.reference_items(nodes)
+    r = items.join(M.item_links(nodes, items), ["page_id", "node_id"], "left").withColumn("title", F.coalesce("title", F.lit("")))
+    return r.select("page_id", "position", "kind", "title", M.reference_problem(F.col("kind"), F.col("ref_id"), F.col("title"), F.col("links")).alias("problem"))
+
+
+@registry.add(f"WITH {_ITEMS} SELECT p AS page_id, (SELECT count(*) FROM r WHERE r.p = x.page_id) AS items, (SELECT count(*) FROM c WHERE c.p = x.page_id AND number < 99) AS cites FROM (SELECT DISTINCT p, p AS page_id FROM i) x")
+def selector_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements by tag, class and place: items inside #references, and links of class cite outside it."""
+    nodes = _page_nodes(spark, sf_dir)
+    section = M.inside(nodes, M.by_id(nodes, "references"))
+    items = section.where("tag = 'li'").groupBy("page_id").agg(F.count("*").alias("items"))
+    cites = M.with_class(nodes, "cite").join(section.select("page_id", "node_id"), ["page_id", "node_id"], "left_anti").groupBy("page_id").agg(F.count("*").alias("cites"))
+    return items.join(cites, "page_id", "left").fillna(0)

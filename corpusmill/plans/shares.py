@@ -57,7 +57,7 @@ _VARIANTS = ratio_sql(f"SELECT variant, event_type, count(*) FILTER (w = 'traili
 
 @registry.add(_VARIANTS)
 def share_ratio_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table for the full and the narrower scope."""
+    """The table for the full and the narrower scope."""
     return _variants(spark, sf_dir)
 
 
@@ -68,12 +68,6 @@ def order_ratio_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.share_table(o.withColumn("variant", F.explode(named)), ["variant", "o_orderpriority"], ["variant"])
 
 
-@registry.add(f"WITH v AS ({_VARIANTS}) SELECT event_type, string_agg(variant || '=' || label, ',' ORDER BY variant) AS labels FROM v GROUP BY event_type HAVING count(DISTINCT label) > 1")
-def label_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys whose label depends on the variant."""
-    return R.label_flips(_variants(spark, sf_dir), "event_type", "variant")
-
-
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.share_series(table(spark, sf_dir, "events").withColumn("day", F.col("ts").cast("date")), "event_type", "day")
 
@@ -114,15 +108,15 @@ def trend_fit_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registry.add(
-    f"""WITH a AS ({registry.sql["window_share_ratio"]}), b AS ({_fit_sql("y")}), j AS (SELECT a.event_type, a.label, CASE WHEN b.t >= 2 THEN 1 WHEN b.t <= -2 THEN -1 ELSE 0 END AS sign FROM a JOIN b USING (event_type))
-SELECT event_type, label, sign::INT AS sign, (label = 'rising' AND sign < 0) OR (label = 'declining' AND sign > 0) AS contradicts FROM j"""
+    f"""WITH a AS ({registry.sql["window_share_ratio"]}), b AS ({_fit_sql("y")}), z AS ({registry.sql["trend_fit_trimmed"]}),
+j AS (SELECT a.event_type, a.label, sign(b.slope)::INT AS sign, sign(z.slope)::INT AS inner_sign FROM a JOIN b USING (event_type) JOIN z USING (event_type))
+SELECT event_type, label, sign, (label = 'rising' AND sign < 0) OR (label = 'declining' AND sign > 0) AS contradicts, (label = 'rising' AND inner_sign < 0) OR (label = 'declining' AND inner_sign > 0) AS contradicts_inner FROM j"""
 )
 def trend_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Does the sign of the fit contradict the window label?"""
-    a, b = window_share_ratio(spark, sf_dir), trend_fit(spark, sf_dir)
-    j = a.join(b.select("event_type", F.col("t").alias("fit_t")), "event_type")
-    sign = stats.slope_sign(F.col("fit_t"))
-    return j.select("event_type", "label", sign.alias("sign"), stats.contradicts(F.col("label"), sign).alias("contradicts"))
+    """Does the sign of the fit, over all or over the whole buckets, contradict the window label?"""
+    a, b, z = window_share_ratio(spark, sf_dir), trend_fit(spark, sf_dir), trend_fit_trimmed(spark, sf_dir)
+    j = a.join(b.select("event_type", stats.slope_sign(F.col("slope")).alias("sign")), "event_type").join(z.select("event_type", stats.slope_sign(F.col("slope")).alias("inner")), "event_type")
+    return j.select("event_type", "label", "sign", stats.contradicts(F.col("label"), F.col("sign")).alias("contradicts"), stats.contradicts(F.col("label"), F.col("inner")).alias("contradicts_inner"))
 
 
 @registry.add(
@@ -151,6 +145,31 @@ def leave_one_bucket_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.leave_one_out(orders(spark, sf_dir), "o_orderpriority", "month", "window")
 
 
+_KEPT = "CASE WHEN strftime(o_orderdate, '%Y-%m') = (SELECT max(strftime(o_orderdate, '%Y-%m')) FROM orders) THEN 1 ELSE 0 END AS in_last, CASE WHEN o_orderdate::DATE < DATE '1995-07-01' THEN 1 ELSE 0 END AS in_first"
+
+
+@registry.add(
+    "WITH t AS ("
+    + ratio_sql(
+        f"""SELECT variant, o_orderpriority, count(*) FILTER (w = 'trailing') AS t, count(*) FILTER (w = 'preceding') AS p FROM (SELECT o_orderpriority, {_OW} AS w, unnest(list_filter(['base', CASE WHEN in_last = 0 THEN 'without_last' END, CASE WHEN in_first = 0 THEN 'without_first' END, CASE WHEN in_last + in_first = 0 THEN 'without_both' END], lambda x: x IS NOT NULL)) AS variant FROM (SELECT *, {_KEPT} FROM orders)) GROUP BY 1, 2""",
+        "variant, o_orderpriority",
+        "PARTITION BY variant",
+    )
+    + ") SELECT a.variant, a.o_orderpriority, a.t, a.p, a.scope_t, a.scope_p, a.ratio, a.ci_low, a.ci_high, a.label, a.label <> b.label AS changed FROM t a JOIN t b ON a.o_orderpriority = b.o_orderpriority AND b.variant = 'base' WHERE a.variant <> 'base'"
+)
+def exclusion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share table without the last month, without the first weeks, and without both, against the whole one:
+    each row counts for every variant that it belongs to, so the orders are read once."""
+    o = orders(spark, sf_dir)
+    last = o.agg(F.max("month").alias("last_month"))  # one row
+    in_last, in_first = F.col("month") == F.col("last_month"), F.col("o_orderdate") < F.lit("1995-07-01").cast("timestamp")
+    variants = F.array_compact(F.array(F.lit("base"), F.when(~in_last, "without_last"), F.when(~in_first, "without_first"), F.when(~in_last & ~in_first, "without_both")))
+    t = R.share_table(o.crossJoin(F.broadcast(last)).withColumn("variant", F.explode(variants)), ["variant", "o_orderpriority"], ["variant"])
+    base = t.where("variant = 'base'").select("o_orderpriority", F.col("label").alias("base_label"))
+    out = t.where("variant <> 'base'").join(base, "o_orderpriority").withColumn("changed", F.col("label") != F.col("base_label"))
+    return out.select("variant", "o_orderpriority", "t", "p", "scope_t", "scope_p", "ratio", "ci_low", "ci_high", "label", "changed")
+
+
 @registry.add("SELECT year(l_shipdate) || 'Q' || quarter(l_shipdate) AS quarter, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS flagged, round(count(*) FILTER (l_returnflag = 'R') / count(*), 4) AS share FROM lineitem GROUP BY 1")
 def quarter_dup_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagged share of each calendar quarter."""
@@ -195,14 +214,6 @@ def partial_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.agg(F.min(F.when(F.col("window") == "preceding", day)).alias("first_preceding"), F.max(F.when(F.col("window") == "trailing", day)).alias("last_trailing"), F.count_if(F.dayofmonth("o_orderdate") <= 7).alias("first_week"))
 
 
-@registry.add(f"""WITH a AS ({registry.sql["window_share_ratio"]}), b AS (SELECT event_type, count(*) FILTER (value >= 10 AND {_W} = 'trailing') AS v FROM events GROUP BY 1)
-SELECT coalesce(a.event_type, b.event_type) AS event_type, a.t AS left_value, b.v AS right_value, CASE WHEN b.v IS NULL THEN 'missing' WHEN a.t IS NULL THEN 'extra' ELSE 'value' END AS mismatch FROM a FULL JOIN b ON a.event_type = b.event_type WHERE a.t IS NULL OR b.v IS NULL OR abs(a.t - b.v) > 0.01""")
-def recount_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table held against an independent recount, both ways."""
-    recount = events(spark, sf_dir).groupBy("event_type").agg(F.count_if((F.col("value") >= 10) & (F.col("window") == "trailing")).alias("t"))
-    return R.two_sided_diff(window_share_ratio(spark, sf_dir), recount, "event_type", "t", 0.01)
-
-
 @registry.add(ratio_sql(f"SELECT o_orderpriority, count(*) FILTER (w = 'trailing') AS t, count(*) FILTER (w = 'preceding') AS p FROM (SELECT *, {_OW} AS w FROM orders) GROUP BY 1", "o_orderpriority", "") + " WHERE t + p >= 30 ORDER BY ci_low DESC NULLS LAST, o_orderpriority LIMIT 3")
 def fastest_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K3: keys with support, by the lower bound of their ratio."""
@@ -212,7 +223,7 @@ def fastest_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add(f"SELECT o_custkey AS customer, count(*) FILTER ({_OW} = 'trailing') AS t, count(*) FILTER ({_OW} = 'preceding') AS p FROM orders GROUP BY 1 ORDER BY -(t + p), customer LIMIT 10")
 def most_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most frequent keys, ties to the smaller."""
+    """K1 K2 A4: the most frequent keys, ties to the smaller."""
     o = orders(spark, sf_dir).groupBy(F.col("o_custkey").alias("customer")).agg(F.count_if(F.col("window") == "trailing").alias("t"), F.count_if(F.col("window") == "preceding").alias("p"))
     return o.orderBy(F.desc(F.col("t") + F.col("p")), "customer").limit(10)
 
@@ -226,8 +237,3 @@ def over_represented(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_type", "grp", "c_t", "c_p", r6(stats.over_representation(F.col("c_t"), F.col("n_t"), F.col("c_p"), F.col("n_p"))).alias("over"))
 
 
-@registry.add("SELECT min_by_event.event_type, argmax_type.top_type FROM (SELECT event_type, row_number() OVER (ORDER BY count(*) DESC, event_type) AS r FROM events GROUP BY 1) min_by_event CROSS JOIN (SELECT arg_max(event_type, n) AS top_type FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)) argmax_type WHERE r = 1")
-def leading_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K5: the key of the greatest count."""
-    c = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    return c.agg(F.max_by("event_type", "n").alias("event_type"), F.max_by("event_type", "n").alias("top_type"))

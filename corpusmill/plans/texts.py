@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import evidence as E
+from ..functions import rules as L
 from ..functions import text as T
 from ..operators import markup as M
 from .common import Registry, spread, table
@@ -13,15 +14,54 @@ from .common import Registry, spread, table
 registry = Registry()
 
 
-@registry.add()
+_MARKUP = (
+    r" La$_{3}$Ni$_2$O$_{7-\delta}$ &amp; x₊y⁻ \phi \Delta \varepsilon",
+    r" <i>TaSe<sub>2</sub></i> &lt;b&gt; Schr\"{o}dinger {\'e} \mathrm{d}x µ—",
+    " a\u00a0b\u2003c ¹² −5 \x1f\n\t end",
+    "",
+)
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _plain_sql(text: str) -> str:
+    """The normaliser in SQL, for texts whose only entities are those of _MARKUP."""
+    out = f"replace(replace(replace({text}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+    out = f"regexp_replace({out}, '<[^>]+>', ' ', 'g')"
+    for mark, base, made in T.ACCENTED:
+        for spelt in ("{\\" + mark + base + "}", "\\" + mark + "{" + base + "}", "\\" + mark + base):
+            out = f"replace({out}, {_q(spelt)}, '{made}')"
+    out = f"regexp_replace({out}, '\\\\(?:{'|'.join(T.FONT_MACROS)})\\b', '', 'g')"
+    for name, letter in T.GREEK.items():
+        out = f"replace({out}, {_q(chr(92) + name)}, '{letter}')"
+    out = f"translate({out}, '₀₁₂₃₄₅₆₇₈₉⁰¹²³⁴⁵⁶⁷⁸⁹₊₋⁺⁻µ−‐‑‒–—$_^{{}}', '01234567890123456789+-+-μ------')"
+    return f"trim(regexp_replace({out}, '[\\s\\x0b\\x1c-\\x1f\\x85\\xa0\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'))"
+
+
+_MARKED_SQL = "coalesce(text, '') || CASE doc_id % 4 " + " ".join(f"WHEN {i} THEN {_q(m)}" for i, m in enumerate(_MARKUP)) + " END"
+
+
+@registry.add(f"SELECT doc_id, {_plain_sql(_MARKED_SQL)} AS plain FROM documents")
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F1 F2: plain form of every text, entities included."""
-    return spread(table(spark, sf_dir, "documents")).select("doc_id", T.normalize_markup(F.col("text")).alias("plain"))
+    """plain form of every text with LaTeX, tags, entities, signs and odd spaces put behind it."""
+    d = spread(table(spark, sf_dir, "documents"))
+    tail = F.element_at(F.array(*map(F.lit, _MARKUP)), (F.col("doc_id") % 4 + 1).cast("int"))
+    return d.select("doc_id", T.normalize_markup(F.concat(F.coalesce("text", F.lit("")), tail)).alias("plain"))
+
+
+@registry.add(f"WITH t AS (SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS title, substr(coalesce(text, ''), length(split_part(coalesce(text, ''), chr(10), 1)) + 2) AS abstract FROM documents) SELECT doc_id, {_plain_sql('title')} AS title, {_plain_sql(chr(116) + 'itle || ' + _q('. ') + ' || abstract')} AS whole FROM t")
+def record_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """plain title (the first line), and 'title. abstract'."""
+    text = F.coalesce("text", F.lit(""))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", F.split_part(text, F.lit("\n"), F.lit(1)).alias("title"), text.alias("text"))
+    return d.select("doc_id", T.normalize_markup(F.col("title")).alias("title"), T.record_text(F.col("title"), F.substr("text", F.length("title") + 2)).alias("whole"))
 
 
 @registry.add("SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^<>]*>', ' ', 'g'), '[ \\t\\r\\n\\f]+', ' ', 'g')) AS plain FROM pages")
 def strip_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text of a page without its tags."""
+    """text of a page without its tags."""
     return table(spark, sf_dir, "pages").select("page_id", T.strip_tags(F.col("html")).alias("plain"))
 
 
@@ -31,30 +71,54 @@ def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.slugify(F.col("url")).alias("slug"))
 
 
-@registry.add("SELECT doc_id, trim(regexp_replace(lower(regexp_replace(coalesce(text, ''), '\\\\[A-Za-z]+|\\$', '', 'g')), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS norm FROM documents")
+@registry.add("SELECT doc_id, trim(regexp_replace(lower(regexp_replace(strip_accents(coalesce(text, '')), '\\\\[a-zA-Z]+|\\$', ' ', 'g')), '[^a-z0-9]+', ' ', 'g')) AS norm FROM documents")
 def title_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The form in which titles are compared."""
+    """The form in which titles are compared: no accents, commands or punctuation."""
     return spread(table(spark, sf_dir, "documents")).select("doc_id", T.title_identity(F.col("text")).alias("norm"))
 
 
-_RAW = "CASE page_id % 4 WHEN 0 THEN 'ARXIV:2401.' || lpad(page_id::VARCHAR, 5, '0') || 'v2).' WHEN 1 THEN 'DOI:10.1000/ABC.' || page_id::VARCHAR || ',' WHEN 2 THEN 'Hal:hal-' || page_id::VARCHAR ELSE 'osti:' || page_id::VARCHAR || ';' END"
+@registry.add("SELECT page_id, trim(regexp_replace(lower(regexp_replace(regexp_replace(html, '&(quot|amp|copy|middot);?', ' ', 'g'), '<[^>]+>', ' ', 'g')), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS form FROM pages")
+def title_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F6, the second form: tags and entities off, letters of any script kept."""
+    return spread(table(spark, sf_dir, "pages")).select("page_id", T.title_form(F.col("html")).alias("form"))
+
+
+_RAWS = ("'ARXIV:2401.' || lpad(page_id::VARCHAR, 5, '0') || 'v2).'", "'DOI:10.1000/ABC.' || page_id::VARCHAR || ','", "'`Hal:hal-X' || page_id::VARCHAR || '`'", "'osti:' || page_id::VARCHAR || ';'", "'foo:ABC' || page_id::VARCHAR", "'no prefix ' || page_id::VARCHAR")
+_RAW = "CASE page_id % 6 " + " ".join(f"WHEN {i} THEN {r}" for i, r in enumerate(_RAWS)) + " END"
 
 
 def raw_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.col("page_id")
-    raw = F.when(p % 4 == 0, F.concat(F.lit("ARXIV:2401."), F.lpad(p.cast("string"), 5, "0"), F.lit("v2)."))).when(p % 4 == 1, F.concat(F.lit("DOI:10.1000/ABC."), p.cast("string"), F.lit(","))).when(p % 4 == 2, F.concat(F.lit("Hal:hal-"), p.cast("string"))).otherwise(F.concat(F.lit("osti:"), p.cast("string"), F.lit(";")))
+    n = F.col("page_id").cast("string")
+    forms = [("ARXIV:2401.", F.lpad(n, 5, "0"), "v2)."), ("DOI:10.1000/ABC.", n, ","), ("`Hal:hal-X", n, "`"), ("osti:", n, ";"), ("foo:ABC", n, ""), ("no prefix ", n, "")]
+    raw = F.element_at(F.array(*[F.concat(F.lit(a), b, F.lit(c)) for a, b, c in forms]), (F.col("page_id") % 6 + 1).cast("int"))
     return table(spark, sf_dir, "pages").select("page_id", "url", raw.alias("raw"))
 
 
 @registry.add(
-    f"""WITH r AS (SELECT page_id, rtrim({_RAW}, ').,;]|`') AS b FROM pages), s AS (SELECT page_id, lower(regexp_extract(b, '^([A-Za-z]+):', 1)) AS p, regexp_replace(b, '^[A-Za-z]+:', '') AS v FROM r)
-SELECT page_id, CASE p WHEN 'arxiv' THEN 'arXiv' ELSE p END || ':' || CASE p WHEN 'arxiv' THEN regexp_replace(v, 'v\\d+$', '') WHEN 'doi' THEN lower(v) ELSE v END AS id FROM s"""
+    f"""WITH r AS (SELECT page_id, ltrim(rtrim(trim({_RAW}), ').,;]|`'), '`') AS b FROM pages), s AS (SELECT page_id, CASE WHEN contains(b, ':') THEN lower(split_part(b, ':', 1)) END AS p, substr(b, strpos(b, ':') + 1) AS v FROM r)
+SELECT page_id, CASE WHEN p = 'arxiv' THEN 'arxiv:' || regexp_replace(v, '(?i)v\\d+$', '') WHEN p IN ('doi', 'hal', 'osti') THEN p || ':' || lower(v) END AS id FROM s"""
 )
 def canonical_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identifiers in their canonical form."""
+    """F8: identifiers in their canonical form; null for unknown kinds."""
     return raw_ids(spark, sf_dir).select("page_id", T.canonical_id(F.col("raw")).alias("id"))
 
 
+_LINKED = "[CASE page_id % 5 WHEN 0 THEN 'https://arxiv.org/abs/2309.' || lpad((page_id % 9999)::VARCHAR, 5, '0') || 'v3' WHEN 1 THEN '10.48550/arXiv.2310.01234' WHEN 2 THEN 'cond-mat/9901' || lpad((page_id % 1000)::VARCHAR, 3, '0') ELSE '10.1103/PhysRev' END, '10.5281/zenodo.77']"
+
+
+@registry.add(
+    f"""WITH r AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN '2309.' || lpad((page_id % 9999)::VARCHAR, 5, '0') WHEN 1 THEN '2310.01234' WHEN 2 THEN 'cond-mat/9901' || lpad((page_id % 1000)::VARCHAR, 3, '0') WHEN 3 THEN '2412.00007' END AS id FROM pages)
+SELECT page_id, id, coalesce(id LIKE '23__.%', false) AS in_range FROM r"""
+)
+def arxiv_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number that related identifiers, or else the abstract, name; and is it of the years 2023?"""
+    n = F.col("page_id")
+    form = F.when(n % 5 == 0, F.concat(F.lit("https://arxiv.org/abs/2309."), F.lpad((n % 9999).cast("string"), 5, "0"), F.lit("v3"))).when(n % 5 == 1, "10.48550/arXiv.2310.01234").when(n % 5 == 2, F.concat(F.lit("cond-mat/9901"), F.lpad((n % 1000).cast("string"), 3, "0"))).otherwise("10.1103/PhysRev")
+    abstract = F.when(n % 5 == 3, "as shown in arXiv:2412.00007v2, we")
+    found = table(spark, sf_dir, "pages").select("page_id", T.arxiv_of_record(F.array(form, F.lit("10.5281/zenodo.77")), abstract).alias("id"))
+    return found.select("page_id", "id", (F.size(T.ids_between(F.array(F.coalesce("id", F.lit(""))), 2300, 2399)) > 0).alias("in_range"))
+
+
 @registry.add("WITH d AS (SELECT page_id, '10.1/x' || (page_id // 3)::VARCHAR || CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN '/v1' ELSE '.v2' END AS doi FROM pages) SELECT page_id, CASE WHEN regexp_matches(doi, '^(.*)([/.\\-])v(\\d+)$') THEN regexp_extract(doi, '^(.*)([/.\\-])v(\\d+)$', 1) ELSE doi END AS base, CASE WHEN regexp_matches(doi, '^(.*)([/.\\-])v(\\d+)$') THEN regexp_extract(doi, '^(.*)([/.\\-])v(\\d+)$', 3)::INT END AS number, CASE WHEN regexp_matches(doi, '^(.*)([/.\\-])v(\\d+)$') THEN regexp_extract(doi, '^(.*)([/.\\-])v(\\d+)$', 2) END AS separator FROM d")
 def split_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """base, number and separator of a versioned id."""
@@ -90,11 +154,31 @@ def date_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", T.date_from_parts(parts).alias("day"))
 
 
-@registry.add("SELECT key, count(*) AS mentions, count(DISTINCT conv_id) AS conversations FROM (SELECT conv_id, unnest(regexp_extract_all(text, '(^|[^A-Za-z])([A-Z][a-z]{5,})', 2)) AS key FROM conversations) GROUP BY 1")
+_CITING = "text || ' see arXiv:2401.' || lpad((conv_id % 50)::VARCHAR, 5, '0') || 'v' || (turn + 1)::VARCHAR || ', DOI:10.1000/ABC.' || (turn % 3)::VARCHAR || '. and (HAL:hal-77) osti:' || (conv_id % 4)::VARCHAR || '; [@k' || (turn % 2)::VARCHAR || '; @z:1/x-' || (conv_id % 3)::VARCHAR || '] [@k0]'"
+
+
+def _citing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, v, t = table(spark, sf_dir, "conversations"), F.col("conv_id"), F.col("turn")
+    text = F.concat("text", F.lit(" see arXiv:2401."), F.lpad((v % 50).cast("string"), 5, "0"), F.lit("v"), (t + 1).cast("string"), F.lit(", DOI:10.1000/ABC."), (t % 3).cast("string"), F.lit(". and (HAL:hal-77) osti:"), (v % 4).cast("string"), F.lit("; [@k"), (t % 2).cast("string"), F.lit("; @z:1/x-"), (v % 3).cast("string"), F.lit("] [@k0]"))
+    return c.select("conv_id", "turn", text.alias("text"))
+
+
+@registry.add(
+    f"""WITH c AS (SELECT conv_id, turn, regexp_extract_all({_CITING}, '(?i)\\b(?:arXiv:\\d{{4}}\\.\\d{{4,5}}(?:v\\d+)?|doi:10\\.\\d{{4,9}}/[^\\s`<>"''\\]|]+|hal:hal-\\d+|osti:\\d+)') AS found FROM conversations),
+e AS (SELECT conv_id, lower(rtrim(unnest(found), ').,;]|`')) AS raw FROM c), n AS (SELECT conv_id, CASE WHEN raw LIKE 'arxiv:%' THEN regexp_replace(raw, 'v\\d+$', '') ELSE raw END AS id FROM e)
+SELECT conv_id, count(DISTINCT id) AS ids, count(DISTINCT id) FILTER (id LIKE 'doi:%') AS dois, min(id) AS least FROM n GROUP BY 1"""
+)
 def citation_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys mentioned in the text, and in how many conversations."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", F.explode(F.regexp_extract_all("text", F.lit("(^|[^A-Za-z])([A-Z][a-z]{5,})"), F.lit(2))).alias("key"))
-    return c.groupBy("key").agg(F.count("*").alias("mentions"), F.count_distinct("conv_id").alias("conversations"))
+    """Distinct identifiers of the four kinds that each conversation cites."""
+    e = _citing(spark, sf_dir).select("conv_id", F.explode(T.citations(F.col("text"))).alias("id"))
+    return e.groupBy("conv_id").agg(F.count_distinct("id").alias("ids"), F.count_distinct(F.when(F.col("id").startswith("doi:"), F.col("id"))).alias("dois"), F.min("id").alias("least"))
+
+
+@registry.add(f"SELECT key, count(*) AS mentions, count(DISTINCT conv_id) AS conversations FROM (SELECT conv_id, unnest(regexp_extract_all(g, '@([\\w:./-]+)', 1)) AS key FROM (SELECT conv_id, unnest(regexp_extract_all({_CITING}, '\\[\\s*@[\\w:./-]+(?:\\s*;\\s*@[\\w:./-]+)*\\s*\\]')) AS g FROM conversations)) GROUP BY 1")
+def citation_group_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """keys of the citation groups, and in how many conversations each is."""
+    e = _citing(spark, sf_dir).select("conv_id", F.explode(T.citation_groups(F.col("text"))).alias("key"))
+    return e.groupBy("key").agg(F.count("*").alias("mentions"), F.count_distinct("conv_id").alias("conversations"))
 
 
 @registry.add(
@@ -123,18 +207,63 @@ def json_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count(k).alias("with_k"), F.count_distinct(k).alias("kinds"))
 
 
-@registry.add()
+_STRONG, _WEAK, _HEDGE, _CUE, _RELIABLE, _THEORY = r"\b[Ll]icen[sc]e", r"\bCopyright\b", r"\b(not|may|could|the)\b", r"[Vv]ersion", r"@", r"[Rr]ights"
+
+
+def _unhedged_sql(text: str, pattern: str) -> str:
+    """Matches with no hedge in the 80 characters before them: the text up to a match is put together from the parts
+    between matches."""
+    parts, found = f"regexp_split_to_array({text}, '{pattern}')", f"regexp_extract_all({text}, '{pattern}')"
+    before = f"right(array_to_string(list_transform(range(1, i + 1), lambda j: ({parts})[j] || CASE WHEN j < i THEN ({found})[j] ELSE '' END), ''), 80)"
+    return f"len(list_filter(range(1, len({found}) + 1), lambda i: NOT regexp_matches({before}, '{_HEDGE}')))"
+
+
+_RULE_TEXT = "coalesce(text, '') || CASE doc_id % 4 WHEN 0 THEN ' License. Not Copyright, Copyright; Version' WHEN 1 THEN ' not Copyright, and not Copyright Version' WHEN 2 THEN repeat(' filler', 20) || ' Copyright' || repeat(' filler', 20) || ' Copyright Rights' ELSE ' not a License' END"
+
+
+@registry.add(
+    f"""WITH t AS (SELECT doc_id, {_RULE_TEXT} AS t FROM documents), h AS (SELECT doc_id, {_unhedged_sql("t", _STRONG)} AS strong_hits, {_unhedged_sql("t", _WEAK)} AS weak_hits, regexp_matches(t, '{_CUE}') OR regexp_matches(t, '{_RELIABLE}') OR NOT regexp_matches(t, '{_THEORY}') AS in_context FROM t)
+SELECT doc_id, strong_hits::INT AS strong_hits, weak_hits::INT AS weak_hits, in_context, strong_hits > 0 OR (in_context AND weak_hits >= 2) AS matched FROM h"""
+)
 def hedged_match_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches that no hedge word precedes, context cues, and the two-tier rule."""
-    rule = E.TwoTier(strong=r"\b[Ll]icen[sc]e", weak=r"\bCopyright\b", cue=r"[Vv]ersion|[Rr]eleased", hedge=r"\b(not|may|could|the)\b", weak_least=2)
-    return spread(table(spark, sf_dir, "documents")).select("doc_id", E.two_tier(F.col("text"), rule).alias("r")).select("doc_id", "r.*")
+    """Matches that no hedge word precedes, contexts by cue, by reliable probe or by no theory, and the two-tier
+    rule."""
+    rule = E.TwoTier(_STRONG, _WEAK, _CUE, _HEDGE, 2, (_RELIABLE,), _THEORY)
+    filler = " filler" * 20
+    tails = (" License. Not Copyright, Copyright; Version", " not Copyright, and not Copyright Version", f"{filler} Copyright{filler} Copyright Rights", " not a License")
+    text = F.concat(F.coalesce("text", F.lit("")), F.element_at(F.array(*map(F.lit, tails)), (F.col("doc_id") % 4 + 1).cast("int")))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", E.two_tier(text, rule).alias("r")).select("doc_id", "r.*")
 
 
-@registry.add()
+_FORMULAS = ("La3Ni2O7-δ and 1T-TaSe2, not THST2 or Q4Zz; Sr2RuO4-x films", "MnTe2 on SiO2, BICs, CuO2 planes and NiAs-type MnTe", "SrCu2(BO3)2 under La0.7Sr0.3MnO3; SC2024, SU2")
+_FOUND = ("La3Ni2O7,TaSe2,Sr2RuO4", "MnTe2,MnTe", "La0.7Sr0.3MnO3")
+
+
+def with_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.element_at(F.array(*map(F.lit, _FORMULAS)), (F.col("doc_id") % 3 + 1).cast("int")))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", E.formulas(text).alias("formulas"))
+
+
+@registry.add("SELECT doc_id, CASE doc_id % 3 " + " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(_FOUND)) + " END AS formulas FROM documents")
 def token_formula_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chemical formulas of valid element symbols."""
-    sample = F.concat(F.coalesce("text", F.lit("")), F.lit(" La3Ni2O7 and MnTe, not THST2 or Q4Zz; Sr2RuO4-x films"))
-    return spread(table(spark, sf_dir, "documents")).select("doc_id", E.formulas(sample).alias("formulas"))
+    """Chemical formulas of real elements, without generic ones, acronyms, units, structure types and pieces of
+    parenthesised ones; the prose has none of its own."""
+    return with_formulas(spark, sf_dir).select("doc_id", F.array_join("formulas", ",").alias("formulas"))
+
+
+#: Own families for the samples; base families first, then what extends them.
+FAMILIES = (("nickelates", L.formula_group(["La3Ni2O7", r"La4Ni3O10"])), ("manganites", L.formula_group([r"La0\.\d+Sr0\.\d+MnO3"])))
+MORE_FAMILIES = (("dichalcogenides", L.join(L.formula_group(["TaSe2", "MoTe2"]), L.ci(r"\bdichalcogenides?\b"))),)
+
+
+@registry.add("WITH f AS (SELECT unnest(string_split(CASE doc_id % 3 " + " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(_FOUND)) + " END, ',')) AS formula FROM documents) SELECT formula, count(*) AS n FROM f WHERE formula IN ('Sr2RuO4', 'MnTe2', 'MnTe') GROUP BY 1")
+def uncovered_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas that no base or extended family names, with their counts."""
+    counts = with_formulas(spark, sf_dir).select(F.explode("formulas").alias("formula")).groupBy("formula").agg(F.count("*").alias("n"))
+    covered = F.lit(False)
+    for _, pattern in FAMILIES + MORE_FAMILIES:
+        covered = covered | F.col("formula").rlike(pattern)
+    return counts.where(~covered)
 
 
 @registry.add()
@@ -142,3 +271,30 @@ def sequence_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Does a document's first line match its second, by sequence ratio or word prefix?"""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     return spread(table(spark, sf_dir, "documents")).select("doc_id", E.titles_match(lines[0], F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit(""))).alias("same"))
+
+
+_BIGRAM_STOP = ["the", "of", "and", "in", "to", "for", "with", "on", "by"]
+
+
+@registry.add(
+    f"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(split_part({_plain_sql("coalesce(text, '')")}, '. ', 1)), '[a-z][a-z0-9''-]+'), lambda t: NOT list_contains([{', '.join(f"'{x}'" for x in _BIGRAM_STOP)}], t)) AS k FROM documents),
+b AS (SELECT unnest(list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1])) AS bigram FROM w WHERE len(k) > 1) SELECT bigram, count(*) AS n FROM b GROUP BY 1 HAVING count(*) >= 2"""
+)
+def title_bigrams_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F13, the second variant: bigrams of the normalised title (the first sentence), repeats counted."""
+    title = F.lower(F.split_part(T.normalize_markup(F.col("text")), F.lit(". "), F.lit(1)))
+    tokens = F.regexp_extract_all(title, F.lit("[a-z][a-z0-9'-]+"), F.lit(0))
+    b = spread(table(spark, sf_dir, "documents")).select(F.explode(T.bigrams(tokens, _BIGRAM_STOP)).alias("bigram"))
+    return b.groupBy("bigram").agg(F.count("*").alias("n")).where("n >= 2")
+
+
+@registry.add(
+    r"""WITH s AS (SELECT s_suppkey, s_nationkey, CASE WHEN s_suppkey % 3 = 0 THEN s_name || ' [ORCID:0000-' || s_suppkey::VARCHAR || ']' WHEN s_suppkey % 3 = 1 THEN 'S. ' || replace(s_name, '#', '') || ' (ORCID 1)' ELSE s_name || ' [CERN, Geneva]' END AS raw FROM supplier)
+SELECT s_suppkey, trim(regexp_replace(regexp_replace(raw, '\s*[\[(](?i:orcid)[^\])]*[\])]', ''), '\s*\[[^\]]*\]\s*$', '')) AS name FROM s"""
+)
+def author_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """names from given and family parts, ORCID and affiliation tails off."""
+    k = F.col("s_suppkey")
+    plain = T.author_names(F.when(k % 3 == 1, "S."), F.when(k % 3 == 1, F.replace("s_name", F.lit("#"), F.lit(""))), F.col("s_name"))
+    tail = F.when(k % 3 == 0, F.concat(F.lit(" [ORCID:0000-"), k.cast("string"), F.lit("]"))).when(k % 3 == 1, " (ORCID 1)").otherwise(" [CERN, Geneva]")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", T.bare_author(F.concat(plain, tail)).alias("name"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CORPUS = "id string, server string, title string, abstract string, date string, window string, authors array<string>, categories array<string>, primary_category string, doi string, url string, matched_terms array<string>, arxiv_id string, extra string"
@@ -21,7 +23,7 @@ def windowed(rows: DataFrame) -> DataFrame:
     """In a window, server from the file name where it is missing, the first of each (server, id)."""
     from ..operators.dedup import keep_first
 
-    named = rows.where("window IN ('trailing', 'preceding')").withColumn("server", F.coalesce("server", F.regexp_replace("file", r"\.jsonl$", "")))
+    named = rows.where("window IN ('trailing', 'preceding')").withColumn("server", F.coalesce("server", F.regexp_replace("file", r"(-\d+)?\.jsonl$", "")))
     return keep_first(named, ["server", "id"], ["file", "date", "title"])
 
 
@@ -30,12 +32,48 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
-def read_atom(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of Atom pages: id, title, summary, published, authors; error entries (no published date) are left out."""
-    schema = "id string, title string, summary string, published string, author array<struct<name string>>"
-    rows = spark.read.format("xml").option("rowTag", "entry").schema(schema.replace("name string", "name: string")).load(path)
+ENTRY = "id: string, title: string, summary: string, published: string, author: array<struct<name: string>>"
+
+
+def read_feeds(spark: SparkSession, path: str) -> DataFrame:
+    """Atom pages: total (what the service has), n_entries, error (the text of an error entry, which has no published
+    date), and entries: id, title, summary, date, authors."""
+    rows = spark.read.format("xml").option("rowTag", "feed").schema(f"`opensearch:totalResults` long, entry array<struct<{ENTRY}>>").load(path)
     clean = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    return rows.where("published IS NOT NULL").select("id", clean(F.col("title")).alias("title"), clean(F.col("summary")).alias("summary"), F.substring("published", 1, 10).alias("date"), F.col("author.name").alias("authors"))
+    entry = F.coalesce("entry", F.array().cast(f"array<struct<{ENTRY}>>"))
+    good = F.transform(F.filter(entry, lambda e: e["published"].isNotNull()), lambda e: F.struct(e["id"].alias("id"), clean(e["title"]).alias("title"), clean(e["summary"]).alias("summary"), F.substring(e["published"], 1, 10).alias("date"), e["author"]["name"].alias("authors")))
+    error = F.try_element_at(F.filter(entry, lambda e: e["published"].isNull()), F.lit(1))
+    return rows.select(F.col("opensearch:totalResults").alias("total"), F.size(entry).alias("n_entries"), F.coalesce(error["summary"], error["title"]).alias("error"), good.alias("entries"))
+
+
+def read_atom(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of Atom pages: id, title, summary, date, authors; error entries are left out."""
+    return read_feeds(spark, path).select(F.explode("entries").alias("e")).select("e.*")
+
+
+def publish(rows: DataFrame, folder: str, by: str, text: bool = False) -> int:
+    """Write rows as JSON Lines (or their one text column as lines) into ``folder/<by>-NNNNN.jsonl``: all at once, by
+    renaming finished files, so that a reader never sees half a file.  Returns how many files there are."""
+    spark = rows.sparkSession
+    held = f"{folder}/_held-{uuid.uuid4().hex}"
+    writer = rows.write.partitionBy(by)
+    (writer.text if text else writer.json)(held)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(held).getFileSystem(spark._jsc.hadoopConfiguration())
+    n = 0
+    for part in fs.listStatus(path(held)):
+        name = part.getPath().getName()
+        if not part.isDirectory() or "=" not in name:
+            continue
+        files = sorted(str(f.getPath()) for f in fs.listStatus(part.getPath()) if not f.getPath().getName().startswith((".", "_")))
+        for i, f in enumerate(files):
+            target = path(f"{folder}/{name.partition('=')[2]}-{i:05d}.jsonl")
+            fs.delete(target, False)
+            if not fs.rename(path(f), target):
+                raise OSError(f"{f} could not be renamed")
+            n += 1
+    fs.delete(path(held), True)
+    return n
 
 
 def write_ordered(rows: DataFrame, path: str, order: tuple[str, ...] = ("date", "id")) -> None:
@@ -45,11 +83,10 @@ def write_ordered(rows: DataFrame, path: str, order: tuple[str, ...] = ("date",
 
 
 def append_new(rows: DataFrame, path: str, key: str) -> int:
-    """Append the rows whose key the table lacks; returns how many."""
+    """Append the rows whose key the table lacks; returns how many.  The anti-join reads keys alone, and what is appended
+    is counted while it is written."""
     spark = rows.sparkSession
-    known = spark.read.parquet(path).select(key)
-    fresh = rows.dropDuplicates([key]).join(known, key, "left_anti").cache()
-    n = fresh.count()
+    known, counted = spark.read.parquet(path).select(key), Observation()
+    fresh = rows.dropDuplicates([key]).join(known, key, "left_anti").observe(counted, F.count(F.lit(1)).alias("n"))
     fresh.write.mode("append").parquet(path)
-    fresh.unpersist()
-    return n
+    return int(counted.get["n"])

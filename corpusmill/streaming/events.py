@@ -4,26 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 
-def read_stream(spark: SparkSession, path: str, schema: StructType, files_a_trigger: int = 50) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(path)
+def read_stream(spark: SparkSession, path: str, schema: StructType, glob: str = "*", files_a_trigger: int = 50) -> DataFrame:
+    return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_a_trigger).parquet(path)
 
 
 def dedup_counts(events: DataFrame, id_: str, ts: str, kind: str, late: str = "40 days", window: str = "1 day") -> DataFrame:
-    """Events of each kind in each window, every id once; works on a stream and on a table."""
+    """Events of each kind in each window, every id once; works on a stream and on a table.
+
+    On a stream the window and the duplicates hang on the column that has the watermark, so that state older than
+    ``late`` goes, and a window is final once the watermark has passed it."""
+    at = "event_time" if events.isStreaming else ts
     if events.isStreaming:
-        events = events.withColumn("event_time", F.col(ts).cast("timestamp"))  # watermarks need a zoned type
-        events = events.withWatermark("event_time", late).dropDuplicatesWithinWatermark([id_])
+        events = events.withColumn(at, F.col(ts).cast("timestamp"))  # watermarks need a zoned type
+        events = events.withWatermark(at, late).dropDuplicatesWithinWatermark([id_])
     else:
         events = events.dropDuplicates([id_])
-    return events.groupBy(F.window(ts, window).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").cast("date").alias("day"), kind, "n")
+    return events.groupBy(F.window(at, window).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), kind, "n")
+
+
+def run_available(result: DataFrame, path: str, checkpoint: str, key: list[str]) -> DataFrame:
+    """Run a stream over all that is there: each micro-batch writes the windows that it changed as Parquet under its
+    number (again, if it is run again); the last state of each window is the result."""
 
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number:08d}")
 
-def run_available(result: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Run a stream over all that is there, into a table in memory."""
-    spark = result.sparkSession
-    query = result.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = result.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    rows = result.sparkSession.read.option("basePath", path).schema(StructType([*result.schema.fields, StructField("batch", LongType())])).parquet(f"{path}/batch=*")
+    values = [c for c in result.columns if c not in key]
+    return rows.groupBy(*key).agg(*[F.max_by(c, "batch").alias(c) for c in values])

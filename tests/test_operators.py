@@ -1,5 +1,4 @@
 import json
-import os
 import random
 
 import pandas as pd
@@ -33,10 +32,39 @@ def test_twister_sample(spark):
     assert got == random.Random(42).sample(list(range(50)), 15)
 
 
+def test_twister_shuffle(spark):
+    df = spark.createDataFrame([("g", i) for i in range(50)], "g string, id long")
+    want = list(range(50))
+    random.Random(7).shuffle(want)
+    assert [r.id for r in ranking.twister_shuffle(df, "g", "id", 7, 5).orderBy("place").collect()] == want[:5]
+
+
 def test_greedy(spark):
-    rows = [("g", 3.0, "a", 1), ("g", 2.0, "b", 1), ("g", 2.0, "b", 2), ("g", 1.0, "c", 2)]
-    got = ranking.greedy_exemplars(spark.createDataFrame(rows, "grp string, score double, term string, id long")).orderBy("place").collect()
-    assert [(r.term, r.id) for r in got] == [("a", 1), ("b", 2)]
+    """Against the sequential choice, with many terms that share one id."""
+    rng = random.Random(4)
+    rows = [("g", 3.0, f"t{i:02d}", 1) for i in range(13)] + [("g", 2.0, "u", 1), ("g", 2.0, "u", 2), ("g", 1.0, "v", 3)]
+    for g in "abcdef":
+        rows += list({(g, float(rng.randint(1, 4)), f"t{rng.randint(0, 6)}", rng.randint(1, 5)) for _ in range(rng.randint(1, 25))})
+    scores = {}
+    rows = [(g, scores.setdefault((g, t), s), t, i) for g, s, t, i in rows]  # one score a term
+    pool = [(g, i) for g in "gabcdef" for i in range(3, 9)]
+    want = set()
+    for g in "gabcdef":
+        used, place = set(), 0
+        for _, t in sorted({(s, t) for gg, s, t, _ in rows if gg == g}, reverse=True):
+            free = sorted({i for gg, _, tt, i in rows if (gg, tt) == (g, t)} - used)
+            if free and place < 3:
+                place += 1
+                used.add(free[0])
+                want.add((g, place, t, free[0]))
+        for i in sorted(i for gg, i in pool if gg == g):
+            if place < 3 and i not in used:
+                place += 1
+                used.add(i)
+                want.add((g, place, None, i))
+    df = spark.createDataFrame(rows, "grp string, score double, term string, id long")
+    got = ranking.greedy_exemplars(df, 3, spark.createDataFrame(pool, "grp string, id long")).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
 def test_edits(spark):
@@ -95,16 +123,55 @@ def test_atom(spark, tmp_path):
     assert [(r.id, r.title, r.date, r.authors) for r in rows] == [("x1", "A b", "2025-01-02", ["Ann", "Bo"])]
 
 
-def test_paged(spark, tmp_path):
-    for s, n in (("a", 5), ("b", 2)):
-        os.makedirs(tmp_path / s)
-        for off in range(0, n, 2):
-            (tmp_path / s / f"{off}.json").write_text(json.dumps({"total": n, "items": [{"id": f"{s}{i}"} for i in range(off, min(n, off + 2))]}))
+def test_paged_source(spark):
     spark.dataSource.register(paged.PagedSource)
-    df = spark.read.format("paged").option("folder", str(tmp_path)).option("slices", "a,b").option("page", 2).load()
-    assert sorted(r.id for r in df.collect()) == ["a0", "a1", "a2", "a3", "a4", "b0", "b1"]
-    waits = []
-    calls = iter([OSError(), {"total": 1, "items": [{"id": 1}]}])
+    read = spark.read.format("paged").option("slices", "a:5,b:2,none,c:0")
+    assert sorted(r.id for r in read.load().collect()) == ["a-0", "a-1", "a-2", "a-3", "a-4", "b-0", "b-1"]
+    assert read.option("cap", 3).load().count() == 5
+
+
+class Clock:
+    def __init__(self):
+        self.now, self.waits = 0.0, []
+
+    def sleep(self, seconds):
+        self.waits.append(seconds)
+        self.now += seconds
+
+
+def polite(clock, **kw):
+    return paged.Politeness(sleep=clock.sleep, clock=lambda: clock.now, **kw)
+
+
+def test_paging_styles():
+    items = [{"id": i} for i in range(23)]
+    asked = []
+
+    def service(style):
+        def fetch(_, at):
+            asked.append(at)
+            begin = {"offset": lambda: at, "number": lambda: (at - 1) * 5, "cursor": lambda: 0 if at == "*" else int(at[1:])}[style]()
+            return {"total": 23, "items": items[begin : begin + 5], "next": f"c{begin + 5}"}
+
+        return fetch
+
+    for style in ("offset", "number", "cursor"):
+        assert [x["id"] for x in paged.fetch_all(service(style), "s", 5, style=style)] == list(range(23))
+        assert [x["id"] for x in paged.fetch_all(service(style), "s", 5, cap=12, style=style)] == list(range(12))
+    assert asked[:5] == [0, 5, 10, 15, 20] and asked[8:10] == [1, 2]
+    assert list(paged.fetch_all(lambda *_: None, "s", 5)) == []
+    assert paged.count_only(lambda *_: {"total": 7, "items": []}, "s") == 7 and paged.count_only(lambda *_: None, "s") == 0
+    for items_ in ([], [{"id": 1}]):
+        try:
+            list(paged.fetch_all(lambda *_, x=items_: {"total": 3, "items": x}, "s", 10))
+            raise AssertionError("a short page must fail")
+        except ValueError:
+            pass
+
+
+def test_retries_and_gaps():
+    clock = Clock()
+    calls = iter([OSError(), paged.TransientError(503), paged.TransientError(429, after=500), {"total": 1, "items": [{"id": 1}]}])
 
     def flaky(*_):
         x = next(calls)
@@ -112,12 +179,90 @@ def test_paged(spark, tmp_path):
             raise x
         return x
 
-    assert len(list(paged.fetch_all(flaky, "s", 10, sleep=waits.append))) == 1 and waits == [2.0]
+    assert len(list(paged.fetch_all(flaky, "s", 10, polite=polite(clock, gap=3.0)))) == 1
+    assert [w for w in clock.waits if w] == [2.0, 1.0, 4.0, 60.0]  # a wait after each failure, and what is missing to the gap
     try:
-        list(paged.fetch_all(lambda *_: {"total": 3, "items": []}, "s", 10))
-        raise AssertionError("a short page must fail")
-    except ValueError:
+        list(paged.fetch_all(lambda *_: (_ for _ in ()).throw(OSError()), "s", 10, polite=polite(Clock())))
+        raise AssertionError("the last failure must be raised")
+    except OSError:
         pass
+    assert paged.checked_status(200) and not paged.checked_status(404)
+    for status, kind in ((429, paged.TransientError), (502, paged.TransientError), (400, ValueError)):
+        try:
+            paged.checked_status(status)
+            raise AssertionError(status)
+        except kind:
+            pass
+
+
+def test_recorded_pages(spark):
+    rows = [("a", 0, "*", "x", 5, ["0", "1"]), ("a", 2, "x", "y", 5, ["2", "3"]), ("a", 4, "y", None, 5, ["4"]), ("b", 0, "*", None, 3, ["0"])]
+    pages = spark.createDataFrame(rows, paged.RECORDED)
+    assert [(r.slice, r.position, r.held, r.due) for r in paged.page_problems(pages, 2).orderBy("slice", "position").collect()] == [("b", 0, 1, 2), ("b", 2, None, None)]
+    log = {r.slice: (r.fetched, r.truncated, r.done) for r in paged.slice_log(pages, 4).collect()}
+    assert log == {"a": (4, True, True), "b": (1, False, False)}
+    items = paged.page_items(paged.ordered_by_cursor(pages, 3), 2, None, "cursor").where("slice = 'a'").orderBy("place").collect()
+    assert [(r.place, r.body) for r in items] == [(i, str(i)) for i in range(5)]
+    assert [r.slice for r in paged.unfinished(pages.select("slice").distinct(), paged.slice_log(pages)).collect()] == ["b"]
+    again = spark.createDataFrame([*rows, ("b", 0, "*", None, 3, ["0", "1"])], paged.RECORDED)
+    assert paged.keep_latest_pages(again).where("slice = 'b'").first()["items"] == ["0", "1"]
+    months = paged.month_slices(spark, ["c"], "2024-01-20", "2024-03-05").orderBy("slice").collect()
+    assert [(r.slice, str(r.begin), str(r.end)) for r in months] == [("c/2024-01", "2024-01-20", "2024-01-31"), ("c/2024-02", "2024-02-01", "2024-02-29"), ("c/2024-03", "2024-03-01", "2024-03-05")]
+
+
+def test_json_array_is_checked(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "a.json").write_text('[\n {"k": 1},\n {"k": 2}\n]')
+    (tmp_path / "b.json").write_text('[{"k": "x"}]')
+    assert sorted(r.k for r in jsonl.read_json_array(spark, str(tmp_path / "a.json"), "k int").collect()) == [1, 2]
+    with pytest.raises(Exception, match="(?i)malformed|parse|convert|FAILED_READ_FILE"):
+        jsonl.read_json_array(spark, str(tmp_path / "b.json"), "k int").collect()
+
+
+def test_versions(spark):
+    rows = [("a", None, "2024-02-01", "", ["x"]), ("a", 2, "2024-01-01", "second", ["y", "x"]), ("b", None, "", "only", []), ("c", 3, "2024-05-01", "third", ["z"]), ("c", 2, None, "two", ["z", "w"])]
+    df = spark.createDataFrame(rows, "base string, version int, date string, title string, terms array<string>")
+    got = {r.base: r for r in dedup.collapse_versions(df, "base", "version", "date", ("title",), ("terms",)).collect()}
+    assert (got["a"].version, got["a"].title, got["a"].date, got["a"].terms, got["a"].versions) == (1, "second", "2024-01-01", ["y", "x"], [1, 2])
+    assert (got["b"].version, got["b"].title, got["b"].date, got["b"].terms) == (None, "only", None, [])
+    assert (got["c"].version, got["c"].title, got["c"].date, got["c"].terms) == (3, "third", "2024-05-01", ["z", "w"])
+    named = spark.createDataFrame([("a", 2, "-"), ("b", 3, "/"), ("c", 1, "-"), ("d", None, None)], "base string, version int, sep string")
+    works = spark.createDataFrame([("a", "bare"), ("bv1", "none"), ("b/v1", "first"), ("cv1", "x")], "id string, title string")
+    assert sorted((r.base, r.id, r.title) for r in dedup.fetched_first_versions(named, works, "base", "version", "sep", "id").collect()) == [("a", "a", "bare"), ("b", "b/v1", "first")]
+
+
+def test_index_matches(spark):
+    index = [(1, "alpha beta gamma delta epsilon"), (2, "one two three four"), (3, "alpha beta gamma delta epsilon"), (4, "")]
+    asked = [(11, "alpha beta gamma delta epsilon"), (12, "alpha beta gamma delta epsilon zeta"), (13, "one two three"), (14, ""), (15, "none of these words here")]
+    frame = lambda rows: spark.createDataFrame([(i, t, t.split()) for i, t in rows], "id long, norm string, tokens array<string>")
+    got = {r["query"]: (r["match"], r["how"], round(r["jaccard"], 3)) for r in simjoin.index_matches(frame(index), frame(asked), "id", "norm", "tokens").collect()}
+    assert got == {11: (1, "exact", 1.0), 12: (1, "near", 0.833)}
+
+
+def test_contained(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(30)]
+    queries = [(i, rng.choices(words, k=rng.randint(0, 25))) for i in range(60)]
+    items = [(i, rng.sample(words[:20], rng.randint(1, 6))) for i in range(25)]
+    q, x = spark.createDataFrame(queries, "id long, t array<string>"), spark.createDataFrame(items, "item long, t array<string>")
+    for threshold in (0.5, 0.8, 1.0):
+        want = {(i, j): len(set(a) & set(b)) / len(set(b)) for i, a in queries for j, b in items if len(set(a) & set(b)) >= threshold * len(set(b))}
+        got = {(r.id, r["item"]): r.share for r in simjoin.contained(q, x, "id", "item", "t", threshold).collect()}
+        assert got == want
+
+
+def test_reports(spark):
+    from corpusmill.operators import records
+
+    df = spark.createDataFrame([("a|b", 1, 0.12345, [1.23456], {"k": 2.34567})], "name string, n int, x double, l array<double>, m map<string,double>")
+    r = records.round_floats(df, 2).first()
+    assert (r.name, r.n, r.x, r.l, r.m) == ("a|b", 1, 0.12, [1.23], {"k": 2.35})
+    small = df.select("name", "n", "x")
+    assert records.markdown_table(small).split("\n")[2] == "| a\\|b | 1 | 0.12345 |"
+    assert records.console_table(small).split("\n") == ["name  n      x", "a|b   1  0.123"]
+    assert "## a|b\n- n: 1\n- x: 0.12345" in records.registry_markdown("T", "n", small, "name")
+    assert json.loads(records.document({"t": small}, {"note": "x"})) == {"note": "x", "t": [{"name": "a|b", "n": 1, "x": 0.12345}]}
 
 
 def test_entry(spark):
