@@ -1,28 +1,31 @@
 """Exact self-join of documents by Jaccard similarity of word n-gram sets, in a metric space with pivots.
 
-Jaccard distance is a metric.  Documents gather in regions around pivots, boundary documents stand in several regions,
-and each region is joined exactly, its own members serving as pivots whose distances bound all others by the triangle
-inequality.  Far from any pivot all distances are 1, so regions are not formed by distance to a few global pivots
-(nothing would be told apart) but around leaders that share rare n-grams:
+Jaccard distance is a metric.  Documents gather in Voronoi regions around pivots, boundary documents stand in several
+regions, and each region is joined exactly, its own members serving as pivots whose distances bound all others by the
+triangle inequality.  Far from any pivot all distances are 1, so a few global pivots would tell nothing apart; the
+first division is therefore around leaders that share rare n-grams:
 
 1. Equal sets become one.  The least hashes of a set, ``n - ceil(t n) + l`` of them, are its probe: two linked sets
-   have their least common n-grams, ``l`` at least, in both probes.  N-grams that a sample shows to be common rank
-   last, so a probe seldom holds them.
+   have their least common n-grams, ``l`` at least, in both probes.  N-grams that a sample of the table shows to be
+   common rank last, so a probe seldom holds them.
 2. Per n-gram, sets of compatible sizes with it in their probes form a cell; the cell's leader is its least set.  A set
    whose cells with company are fewer than ``l`` has no link and leaves.  The others belong to the regions of their
    cells' leaders, but for those of fewest cells, ``(l - 1) / 2`` cells in all: two linked sets share ``l`` cells and
    lose fewer, so they keep a region in common.  Cells of common n-grams take their leader from the sample, so that
    their members need not meet to choose it.
-3. In a region pivots are taken in turn: the set with most open pairs is compared with all others; links unite
+3. A region above ``MEMBERS`` sets is divided (``_divided``): distances to ``PIVOTS`` of its members give links at once;
+   each set goes to its nearest pivot, and to every other whose distance is within twice the threshold of that, so that
+   linked sets meet in the Voronoi cell of either.  Cells in which all are one component already are done, small ones are
+   joined, large ones are divided again with new pivots.  Where pivots do not tell the sets apart (windows that would
+   replicate each set ``SPREAD`` times), what is outside the largest component meets all, block by block.
+4. In a small region pivots are taken in turn: the set with most open pairs is compared with all others; links unite
    components; a pair is open while its components differ, its sizes allow a link and every pivot leaves
    ``|d(x, p) - d(y, p)|`` within the threshold.  The region ends when no pair is open, which is exact.
-4. Regions above ``MEMBERS`` sets are cut into chunks that share some members as pivots.  When components have been
-   settled over all chunks, the sets outside the region's largest component meet every chunk, again in blocks.
 
 Empty or null texts, and texts without words, have the empty set, link with nothing, and are their own component.
 Repeated rows and equal texts have equal sets and one component; two texts under one doc_id are two documents.  A null
 doc_id stands for its text; component_id is the least doc_id that is not null.  Empty tables give no rows.  Only doc_id
-and text are read, so other columns never clash; n-gram and set hashes have 64 bits.
+and text are read, so other columns never clash; n-gram and set hashes have 64 bits.  A text's set must fit in memory.
 """
 
 from __future__ import annotations
@@ -40,7 +43,10 @@ from pyspark.sql import functions as F
 from .kernels import packed, shingles, texts, unpacked, word_hashes
 from .shared import fresh, identity, keyed, shuffle_partitions, staged
 
-MEMBERS, SAMPLE, COMMON, EXTRA, CELL_ENTRIES, TASK_BYTES, CHUNK_BYTES, SHARED_PIVOTS = 1024, 8000, 0.005, 0.04, 500_000, 8 << 20, 12 << 20, 16
+MEMBERS, EXTRA, CELL_ENTRIES, TASK_BYTES, CHUNK_BYTES = 1024, 0.04, 500_000, 8 << 20, 12 << 20
+#: Sets in the sample (a share of all distinct ones), and the number of them that makes an n-gram common: about 0.02 %.
+SAMPLE, COMMON = 65_536, 16
+PIVOTS, SPREAD, HOT_LEADER, FEW_LEADERS = 32, 3, 4096, 100_000
 
 
 class Rule(NamedTuple):
@@ -101,20 +107,26 @@ class Common(NamedTuple):
         return np.where(self.grams[at] == s, at, -1)
 
 
-def common_grams(source: DataFrame, sets: DataFrame, rule: Rule) -> Common:
-    """N-grams of at least COMMON of a bounded sample of distinct sets; they only steer the order of probes."""
-    chosen = sets.where("n > 0").groupBy("sig").agg(F.min(F.struct("k", "t")).alias("at")).orderBy(F.xxhash64("sig")).limit(SAMPLE).select("at.*")
+def common_grams(source: DataFrame, sets: DataFrame, rule: Rule, distinct: int) -> Common:
+    """N-grams of at least COMMON of a sample of distinct sets; they only steer the order of probes.  The sample is by
+    hash, so it needs no sort, and bounded by SAMPLE however many sets there are."""
+    share = min(1.0, SAMPLE / max(distinct, 1))
+    drawn = sets.where("n > 0").where(F.pmod(F.xxhash64("sig"), F.lit(1 << 31)) < int(share * (1 << 31)))
+    chosen = drawn.groupBy("sig").agg(F.min(F.struct("k", "t")).alias("at")).select("at.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held: list[np.ndarray] = []
             for b in texts(batch.column("text")):
                 s = shingle_set(b, rule.words)
                 if len(s):
-                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.full(len(s), signature(s)))], ["gram", "sig"])
+                    held.append(np.stack([s.view(np.int64), np.full(len(s), signature(s))]))
+            if held:
+                grams, sigs = np.concatenate(held, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(sigs)], ["gram", "sig"])
 
     rows = source.join(F.broadcast(chosen), ["k", "t"], "left_semi").select("text").mapInArrow(run, "gram long, sig long")
-    least = max(8, int(COMMON * SAMPLE))
-    found = rows.groupBy("gram").agg(F.count("*").alias("c"), F.min("sig").alias("leader")).where(F.col("c") >= least).toArrow()
+    found = rows.groupBy("gram").agg(F.count("*").alias("c"), F.min("sig").alias("leader")).where(F.col("c") >= COMMON).toArrow()
     grams = found.column("gram").to_numpy().view(np.uint64)
     order = np.argsort(grams)
     return Common(grams[order], found.column("leader").to_numpy()[order])
@@ -249,43 +261,153 @@ class Region:
         return self.links
 
 
+def _bodies(table: pa.Table, name: str = "body") -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype="<u8") for x in table.column(name).to_pylist()]
+
+
+EDGE = "a long, b long"
+
+
+def _edges(left: list[int], right: list[int]) -> pa.Table:
+    return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+
 def _region_task(rule: Rule):
+    """Regions of one task, each joined on its own; where there is a label, equal ones are linked already."""
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("leader", "ascending"), ("chunk", "ascending"), ("member", "ascending")])
-        leader, chunk, member = (table.column(c).to_numpy() for c in ("leader", "chunk", "member"))
-        body = table.column("body").combine_chunks() if len(table) else None
-        cut = np.concatenate([[0], np.flatnonzero((np.diff(leader) != 0) | (np.diff(chunk) != 0)) + 1, [len(table)]])
+        table = table.sort_by([("region", "ascending"), ("member", "ascending")])
+        region, member = (table.column(c).to_numpy() for c in ("region", "member"))
+        label = table.column("label").to_numpy() if "label" in table.column_names else member
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(region)) + 1, [len(table)]])
         left, right = [], []
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
             at = a + np.unique(member[a:b], return_index=True)[1]
             if len(at) < 2:
                 continue
-            region = Region([np.frombuffer(body[i].as_py(), dtype="<u8") for i in at.tolist()], rule)
-            for i, j in region.settle():
+            for i, j in Region(_bodies(table.take(pa.array(at))), rule, label[at]).settle():
                 left.append(int(member[at[i]]))
                 right.append(int(member[at[j]]))
-        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+        return _edges(left, right)
 
     return run
 
 
 def _block_task(rule: Rule):
-    """A chunk of a large region against some of the sets outside its largest component."""
+    """A chunk of a region against some of the sets outside its largest component."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("outside", "descending"), ("member", "ascending")])
         member, label, outside = (table.column(c).to_numpy(zero_copy_only=False) for c in ("member", "label", "outside"))
         at = np.sort(np.unique(member, return_index=True)[1])
         if len(at) < 2:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        body = table.column("body").combine_chunks()
-        region = Region([np.frombuffer(body[i].as_py(), dtype="<u8") for i in at.tolist()], rule, label[at])
-        found = region.settle(outside[at].astype(bool))
-        return pa.table({"a": pa.array([int(member[at[i]]) for i, _ in found], pa.int64()), "b": pa.array([int(member[at[j]]) for _, j in found], pa.int64())})
+            return _edges([], [])
+        found = Region(_bodies(table.take(pa.array(at))), rule, label[at]).settle(outside[at].astype(bool))
+        return _edges([int(member[at[i]]) for i, _ in found], [int(member[at[j]]) for _, j in found])
 
     return run
 
 
+PLACED = "region long, member long, label long, cells array<int>, links array<long>"
+
+
+def _placed(rule: Rule):
+    """Links of some members of a region to its pivots, and the Voronoi cells that each belongs to."""
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        member, pivots = left.column("member").to_numpy(), right.column("pivots")[0].as_py() if len(right) else []
+        if not len(member) or not pivots:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))], names=[x.split()[0] for x in PLACED.split(", ")])
+        ids, k = np.array([p["member"] for p in pivots]), len(pivots)
+        region = Region([*(np.frombuffer(p["body"], dtype="<u8") for p in pivots), *_bodies(left)], rule)
+        far, linked, among = np.empty((k, len(member))), np.zeros((k, len(member)), bool), np.zeros((k, k), bool)
+        for i in range(k):
+            both = region.overlaps(i)
+            union = region.n + region.n[i] - both
+            near = rule.den * both >= rule.num * union
+            far[i], linked[i], among[i] = 1 - both[k:] / union[k:], near[k:], near[:k]
+        for _ in range(k):  # the least pivot of each component of pivots, the same in every chunk
+            ids_ = np.where(among, ids, np.iinfo(np.int64).max).min(axis=1)
+            among = among | (ids_[:, None] == ids_)
+        label = np.where(linked.any(axis=0), ids_[linked.argmax(axis=0)], member)
+        inside = far <= far.min(axis=0) + 2 * (1 - rule.num / rule.den) + 1e-9
+        cells = [np.flatnonzero(x).astype(np.int32) for x in inside.T]
+        links = [ids[x & (ids != m)] for x, m in zip(linked.T, member)]
+        return pa.table([left.column("region"), pa.array(member), pa.array(label), pa.array(cells, pa.list_(pa.int32())), pa.array(links, pa.list_(pa.int64()))], names=[x.split()[0] for x in PLACED.split(", ")])
+
+    return run
+
+
+def _exhaustive(rows: DataFrame, rule: Rule, members: int) -> DataFrame:
+    """Links of the sets outside each region's largest component with all its sets, in blocks.  rows: region, member,
+    label, body."""
+    count = rows.groupBy("region", "label").agg(F.count("*").alias("c"))
+    main = count.groupBy("region").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("most")).where("m > most")
+    main = main.select("region", "main", F.ceil((F.col("m") - F.col("most")) / members).alias("blocks"), F.ceil(F.col("m") / members).alias("chunks"))
+    own = _with_region(rows, main, "blocks * chunks").withColumn("outside", F.col("label") != F.col("main"))
+    spot = F.xxhash64("member", F.lit(1))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asked = own.where("outside").select("region", F.pmod(spot, F.col("blocks")).alias("block"), every("chunks").alias("chunk"), "member", "label", "outside", "body")
+    rest = own.select("region", every("blocks").alias("block"), F.pmod(F.xxhash64("member"), F.col("chunks")).alias("chunk"), "member", "label", F.lit(False).alias("outside"), "body")
+    return asked.unionByName(rest).groupBy("region", "chunk", "block").applyInArrow(_block_task(rule), EDGE)
+
+
+def _with_region(rows: DataFrame, regions: DataFrame, hot: str, key: str = "region") -> DataFrame:
+    """rows joined with what is known of their regions (one row each).  Regions of many rows (``hot`` is above
+    HOT_LEADER) are broadcast if there are few of them, so that their rows stay where they are."""
+    large = regions.where(F.expr(hot) > HOT_LEADER)
+    if not 0 < large.limit(FEW_LEADERS + 1).count() <= FEW_LEADERS:
+        return rows.join(regions, key)
+    small = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(regions.where(F.expr(hot) <= HOT_LEADER), key)
+    return rows.join(F.broadcast(large), key).unionByName(small)
+
+
+def _divided(rows: DataFrame, rule: Rule, members: int, pivots: int) -> DataFrame:
+    """Links of large regions (region, member, body) by Voronoi cells of pivots, again and again until cells are small."""
+    found, depth = [], 0
+    while True:
+        sizes = rows.groupBy("region").agg(F.count("*").alias("m"), F.sum(F.octet_length("body")).alias("bytes"))
+        sizes = staged(sizes.select("region", "m", F.greatest(F.ceil(F.col("m") / members), F.ceil(F.col("bytes") / CHUNK_BYTES)).alias("chunks")), "jaccard-sizes")
+        rank = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("member", F.lit(depth)), "member"))
+        picks = rows.select("region", "member").withColumn("rank", rank).where(F.col("rank") <= pivots).drop("rank")
+        chosen = rows.join(picks, ["region", "member"]).groupBy("region").agg(F.array_sort(F.collect_list(F.struct("member", "body"))).alias("pivots"))
+        chosen = staged(chosen, "jaccard-pivots")
+        dealt = _with_region(rows, sizes, "m").withColumn("chunk", F.pmod(F.xxhash64("member", F.lit(~depth)), F.col("chunks")))
+        each = chosen.join(sizes, "region").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        keys = ("region", "chunk")
+        placed = dealt.select("region", "chunk", "member", "body").groupBy(*keys).cogroup(each.select("region", "chunk", "pivots").groupBy(*keys)).applyInArrow(_placed(rule), PLACED)
+        placed = staged(placed, "jaccard-placed")
+        found.append(placed.select(F.col("member").alias("a"), F.explode("links").alias("b")))
+        cells = placed.select("region", "member", "label", F.explode("cells").alias("cell"))
+        per = cells.groupBy("region", "cell").agg(F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high"))
+        spread = per.groupBy("region").agg(F.sum("c").alias("stood")).join(sizes, "region").withColumn("told_apart", F.col("stood") <= SPREAD * F.col("m"))
+        per = staged(per.where("low <> high").join(spread, "region"), "jaccard-cells")
+        name = F.xxhash64("region", "cell", F.lit(depth)).alias("next")
+        live = per.where("told_apart").select("region", "cell", name, (F.col("c") > members).alias("large"), (F.col("c") > 0.7 * F.col("m")).alias("whole"))
+        inner = cells.join(live, ["region", "cell"]).join(rows.select("region", "member", "body"), ["region", "member"])
+        inner = staged(inner.select(F.col("next").alias("region"), "member", "label", "large", "whole", "body"), "jaccard-inner", "lz4")
+        small = inner.where("NOT large")
+        tasks = max(shuffle_partitions(rows.sparkSession), int(small.agg(F.sum(F.octet_length("body")).alias("n")).first().n or 0) // TASK_BYTES)
+        task = F.pmod(F.xxhash64("region"), F.lit(tasks)).alias("task")
+        found.append(small.select(task, "region", "member", "label", "body").groupBy("task").applyInArrow(_region_task(rule), EDGE))
+        found.append(_exhaustive(inner.where("large AND whole").select("region", "member", "label", "body"), rule, members))
+        alike = per.where("NOT told_apart").select("region").distinct()
+        stuck = rows.join(placed.join(alike, "region", "left_semi").select("region", "member", "label"), ["region", "member"])
+        found.append(_exhaustive(stuck.select("region", "member", "label", "body"), rule, members))
+        found = [staged(f.select("a", "b"), "jaccard-links") for f in found]
+        rows, depth = inner.where("large AND NOT whole").select("region", "member", "body"), depth + 1
+        if rows.limit(1).count() == 0:
+            return _union(found)
+        found = [_union(found)]
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """sig, label of every end of the edges: each round every vertex takes the least of its neighbours, edges between
     what has become one vanish; rounds grow with the logarithm of the number of vertices."""
@@ -301,60 +423,50 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def linked_components(docs: DataFrame, rule: Rule = Rule(), members: int = MEMBERS) -> DataFrame:
+def linked_components(docs: DataFrame, rule: Rule = Rule(), members: int = MEMBERS, pivots: int = PIVOTS) -> DataFrame:
     """k, t, doc_id, n_shingles, component_id, and first (k and t of its component's first document) of each row."""
     spark, source = docs.sparkSession, keyed(docs)
     sets = staged(source.mapInArrow(_sets(rule), "k long, t long, doc_id long, n long, sig long"), "jaccard-sets")
-    total = sets.agg(F.sum("n").alias("n")).first().n or 0
-    parts = max(shuffle_partitions(spark), int(total * (1 - rule.num / rule.den + EXTRA)) // CELL_ENTRIES + 1)
-    common = common_grams(source, sets, rule)
+    total = sets.agg(F.sum("n").alias("n"), F.approx_count_distinct("sig").alias("sets")).first()
+    parts = max(shuffle_partitions(spark), int((total.n or 0) * (1 - rule.num / rule.den + EXTRA)) // CELL_ENTRIES + 1)
+    common = common_grams(source, sets, rule, total.sets)
     cells = source.select("text").mapInArrow(_probes(rule, common, parts), CELLS)
     shared = staged(cells.groupBy("part").applyInArrow(_company(rule), REGION), "jaccard-shared")
     needed = 1 + F.floor(F.lit(EXTRA) * F.ceil(F.col("size") * rule.num / rule.den))
     whole = shared.groupBy("member", "leader").agg(F.sum("cells").alias("cells"), F.max("size").alias("size"))
     rising = Window.partitionBy("member").orderBy("cells", "leader").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = whole.withColumn("upto", F.sum("cells").over(rising)).withColumn("all", F.sum("cells").over(Window.partitionBy("member")))
-    regions = ranked.where((F.col("all") >= needed) & (F.col("upto") > F.floor((needed - 1) / 2))).select("leader", "member", "size")
+    regions = staged(ranked.where((F.col("all") >= needed) & (F.col("upto") > F.floor((needed - 1) / 2))).select("leader", "member", "size"), "jaccard-members")
     big = regions.groupBy("leader").agg(F.count("*").alias("m"), F.sum("size").alias("grams")).where("m > 1")
-    chunks = F.greatest(F.ceil(F.col("m") / members), F.ceil(F.col("grams") * 8 / CHUNK_BYTES))
-    regions = regions.join(big.select("leader", "m", chunks.alias("chunks")), "leader")
-    regions = staged(regions, "jaccard-regions")
+    big = staged(big.select("leader", "m", ((F.col("m") > members) | (F.col("grams") * 8 > CHUNK_BYTES)).alias("large")), "jaccard-leaders")
+    regions = staged(_with_region(regions, big, "m", "leader"), "jaccard-regions")
     first = sets.where("n > 0").groupBy(F.col("sig").alias("member")).agg(F.min(F.struct("k", "t")).alias("at")).select("member", "at.*")
-    wanted = regions.groupBy("member").agg(F.collect_list(F.struct("leader", "chunks", "m")).alias("regions")).join(first, "member")
+    wanted = regions.groupBy("member").agg(F.collect_list(F.struct("leader", "large")).alias("regions")).join(first, "member")
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             held = 0
             for b, member, own in zip(texts(batch.column("text")), batch.column("member").to_pylist(), batch.column("regions").to_pylist()):
-                s = shingle_set(b, rule.words)
-                body, spot = s.astype("<u8").tobytes(), member % (1 << 62)
+                body = shingle_set(b, rule.words).astype("<u8").tobytes()
                 for r in own:
-                    c = r["chunks"]
-                    mine = [spot % c] if c == 1 or spot // c % max(1, r["m"] // SHARED_PIVOTS) else range(c)
-                    for x in mine:
-                        out.append((r["leader"], x, c, member, x == spot % c, body))
-                        held += len(body)
+                    out.append((r["leader"], member, r["large"], body))
+                    held += len(body)
                 if held > 8 << 20:
                     yield _shipped(out)
                     out, held = [], 0
             yield _shipped(out)
 
     shipped = source.select("k", "t", "text").join(wanted.select("k", "t", "member", "regions"), ["k", "t"]).mapInArrow(ship, SHIPPED)
-    large = regions.where("chunks > 1").limit(1).count() > 0
+    large = big.where("large").limit(1).count() > 0
     if large:
         shipped = staged(shipped, "jaccard-shipped", "lz4")
     tasks = max(shuffle_partitions(spark), int(regions.agg(F.sum("size").alias("g")).first().g or 0) * 8 // TASK_BYTES)
-    task = F.pmod(F.xxhash64("leader", "chunk"), F.lit(tasks)).alias("task")
-    edges = shipped.select(task, "leader", "chunk", "member", "body").groupBy("task").applyInArrow(_region_task(rule), "a long, b long")
-    edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    edges = staged(edges, "jaccard-links")
-    labels = components(edges)
+    task = F.pmod(F.xxhash64("region"), F.lit(tasks)).alias("task")
+    edges = shipped.where("NOT large").select(task, "region", "member", "body").groupBy("task").applyInArrow(_region_task(rule), EDGE)
     if large:
-        more = _across(shipped.where("chunks > 1"), labels, rule, members)
-        more = staged(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "jaccard-links")
-        if not more.isEmpty():
-            labels = components(edges.union(more))
+        edges = edges.unionByName(_divided(shipped.where("large").select("region", "member", "body"), rule, members, pivots))
+    labels = components(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     sig = sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "k", "t")).alias("first"))
     sig = sig.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     whole = sig.groupBy("label").agg(F.min("low").alias("component_id"), F.min("first").alias("first"))
@@ -364,25 +476,12 @@ def linked_components(docs: DataFrame, rule: Rule = Rule(), members: int = MEMBE
     return out.select("k", "t", "doc_id", F.col("n").alias("n_shingles"), F.when(none, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(none, F.struct("k", "t")).otherwise(F.col("first")).alias("first"))
 
 
-SHIPPED = "leader long, chunk long, chunks long, member long, own boolean, body binary"
+SHIPPED = "region long, member long, large boolean, body binary"
 
 
 def _shipped(out: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64()] * 4 + [pa.bool_(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, types)], [x.split()[0] for x in SHIPPED.split(", ")])
-
-
-def _across(shipped: DataFrame, labels: DataFrame, rule: Rule, members: int) -> DataFrame:
-    """Links between chunks of large regions that leave components apart."""
-    own = shipped.where("own").join(labels.withColumnRenamed("sig", "member"), "member", "left").withColumn("label", F.coalesce("label", "member"))
-    count = own.groupBy("leader", "label").agg(F.count("*").alias("c"))
-    main = count.groupBy("leader").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("most")).where("m > most")
-    main = main.withColumn("blocks", F.ceil((F.col("m") - F.col("most")) / members))
-    own = own.join(main, "leader").withColumn("outside", F.col("label") != F.col("main"))
-    block = F.pmod(F.xxhash64("member", F.lit(1)), F.col("blocks"))
-    asked = own.where("outside").select("leader", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "member", "label", "outside", "body")
-    rest = own.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "chunk", "member", "label", F.lit(False).alias("outside"), "body")
-    return asked.unionByName(rest).groupBy("leader", "chunk", "block").applyInArrow(_block_task(rule), "a long, b long")
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, types)], [x.split()[0] for x in SHIPPED.split(", ")])
 
 
 def component_digest(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:

@@ -297,9 +297,9 @@ def brute_components(rows, rule):
 
 
 @pytest.mark.parametrize("rule", [jaccard.Rule(), jaccard.Rule(5, 80, 100), jaccard.Rule(2, 30, 100)])
-@pytest.mark.parametrize("members", [1024, 3])
-def test_op8(docs, rows, rule, members):
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked_components(docs, rule, members).collect()}
+@pytest.mark.parametrize(("members", "pivots"), [(1024, 32), (3, 2)])
+def test_op8(docs, rows, rule, members, pivots):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked_components(docs, rule, members, pivots).collect()}
     assert got == brute_components(rows, rule)
 
 
@@ -312,8 +312,8 @@ def test_op8_chains_and_edges(spark, edge, empty):
         words[int(rng.integers(0, 400))] = f"n{i}"
     rows += [(100 + i, " ".join(f"u{i}x{j}" for j in range(50))) for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for members in (1024, 7):
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked_components(df, jaccard.Rule(), members).collect()}
+    for members, pivots in ((1024, 32), (7, 2), (7, 5)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked_components(df, jaccard.Rule(), members, pivots).collect()}
         assert got == brute_components(rows, jaccard.Rule())
     out = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.component_digest(edge).collect()]
     assert len(out) == len(EDGE)
@@ -327,6 +327,27 @@ def test_op8_chains_and_edges(spark, edge, empty):
     assert sorted(tuple(r) for r in jaccard.one_of_each(two).collect()) == [(1, a), (2, b)]
 
 
+@pytest.mark.parametrize("spread", [3, 0, 1000])
+def test_op8_divides_regions(spark, monkeypatch, spread):
+    """Families of near copies that share half of their text with all others: one region, several cells, some links
+    across them; divided by cells, or block by block."""
+    monkeypatch.setattr(jaccard, "SPREAD", spread)
+    rng, rows = np.random.default_rng(18), []
+    stock = [f"s{i}" for i in range(120)]
+    for f in range(9):
+        own = [f"f{f // 2}x{i}" for i in range(150)]
+        for c in range(14):
+            words = stock + own
+            for j in rng.integers(0, len(words), int(rng.integers(0, 5 + 2 * c))).tolist():
+                words[j] = f"n{f}-{c}-{j}"
+            rows.append((len(rows), " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    rule = jaccard.Rule(2, 80, 100)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked_components(df, rule, 10, 4).collect()}
+    want = brute_components(rows, rule)
+    assert got == want and 5 < len({c for _, c in want.values()}) < 100
+
+
 def test_op9_edges(spark):
     v = [(0, [1.0, 2.0]), (50, [float("nan"), 1.0]), (1, None), (2, [1.0, None]), (3, [1.0, 2.0]), (3, [1.0, 2.0]), (4, [float("inf"), 0.0]), (100, [-1.0, 0.5]), (None, [1.0, 1.0]), (7, [])]
     df = spark.createDataFrame(v, "vec_id long, embedding array<float>")
