@@ -7,8 +7,11 @@ coordinate descent.  Margins become probabilities by a sigmoid fitted to cross-v
 
 The fit sees at most ``SAMPLE`` labelled rows, chosen by a hash of their ids from those whose crc32(doc_id) mod 4 is
 not 2; scoring sees every text whole.  Null and empty texts have no features and score by the bias alone.  Labels
-that are null are ignored; a doc_id labelled twice counts with its lower label; repeated rows score alike.  With
-fewer than two classes to learn from, every text scores that class's rate (0.5 without any label).
+that are null are ignored; a doc_id labelled twice counts with its lower label, one with several texts with the least of
+them; repeated rows score alike.  With fewer than two classes to learn from, every text scores that class's rate (0.5
+without any label).  Ties among ids in the sample go to the smaller id, a score equal to the threshold passes.  Empty
+tables give no rows.  A text of any length is read in blocks; its distinct features must fit in memory.  Other columns
+are kept, and the two new ones get fresh names where theirs are taken.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import ORDER, cuts, mix, shingles, word_hashes, word_spans
+from .shared import fresh
 
 SAMPLE, LEAST_DOCS, THRESHOLD = 6000, 4, 0.7
 
@@ -171,14 +175,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", samp
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "y", "f"])
 
     # At most ``sample`` rows of two numbers are broadcast, and as many feature lists come to the driver.
-    joined = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", F.col("y").cast("int"))
+    joined = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").cast("int").alias("y"))
     found = joined.mapInArrow(run, "doc_id long, y int, f array<long>").toArrow().sort_by("doc_id")
     rows = [np.array(x.values.to_numpy(zero_copy_only=False)).view(np.uint64) if x.values is not None else np.zeros(0, np.uint64) for x in found.column("f")]
     return fit(rows, found.column("y").to_numpy())
 
 
-def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD, names: tuple[str, str] = ("quality_score", "quality_pass")) -> DataFrame:
-    """``docs`` with two columns more: the score, and 1 if it reaches ``threshold``, else 0."""
+def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD, names: tuple[str, str] | None = None) -> DataFrame:
+    """``docs`` with two columns more: the score, and 1 if it reaches ``threshold``, else 0; unless they are given, their
+    names are quality_score and quality_pass, made fresh where ``docs`` has them."""
+    names = names or (fresh("quality_score", docs.columns), fresh("quality_pass", docs.columns))
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the fitting sample
     schema = ["`" + f.name.replace("`", "``") + "` " + f.dataType.simpleString() for f in docs.schema.fields]
 
