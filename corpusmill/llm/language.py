@@ -8,7 +8,10 @@ with that proportion as score.
 
 A text that is null or has no letter is ``und`` with score 0; so is every text if there is nothing to learn from.
 Null lang values are not learned.  Repeated rows are predicted alike; texts of any length are counted whole, in
-stretches.  Only text, and lang of documents whose crc32(doc_id) mod 4 is not 2, are inputs.
+stretches of 1 MB, into 65,536 counts.  Only text, and lang of documents whose crc32(doc_id) mod 4 is not 2, are
+inputs; other columns are not read.  Ties between languages go to the name that sorts first.  Empty tables give no
+rows.  A model has 512 KB a language and goes to every worker, so there may be MOST_LANGUAGES of them; a table with more
+values of lang is an error, not a smaller model.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from .kernels import BLOCK, texts
 from .quality import held_out
 
-BITS, SMOOTH, PENALTY, ROUNDS = 16, 0.5, 4.0, 25
+BITS, SMOOTH, PENALTY, ROUNDS, MOST_LANGUAGES = 16, 0.5, 4.0, 25, 500
 UNKNOWN = "und"
 
 _FOLD = np.full(256, 0x20, dtype=np.uint8)
@@ -119,6 +122,8 @@ def fit_languages(docs: DataFrame) -> Model:
 
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text")
     # As many rows as there are languages times 65,536 at most, whatever the number of documents.
+    if known.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} values of lang: these are not language codes")
     found = known.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(found.column("lang").to_pylist()))
     table = np.zeros((1 << BITS, len(names)))
