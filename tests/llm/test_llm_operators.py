@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,79 @@ def test_op1(spark, docs, edge, empty):
     assert [r.score for r in none] == [0.5]
 
 
+def plain_features(text):
+    """Words, pairs, and runs of one to three word shapes, as plain tuples."""
+    words = [w.decode("latin-1") for w in re.findall(rb"[^\x20\x09-\x0D]+", text.encode())]
+    low = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words]
+    shape = []
+    for i, w in enumerate(words):
+        kinds = min(sum("A" <= c <= "Z" for c in w), 2), any("a" <= c <= "z" or c > "\x7f" for c in w), any(c.isdigit() and c < "\x7f" for c in w)
+        shape.append((kinds, tuple(sorted(c for c in w if 32 < ord(c) < 127 and not c.isalnum())), i > 0 and low[i] == low[i - 1]))
+    run = lambda x, k: {tuple(x)} if 0 < len(x) < k else {tuple(x[i : i + k]) for i in range(len(x) - k + 1)}
+    return {("w", w) for w in low} | {("p", *p) for p in run(low, 2)} | {("s", k, *r) for k in (1, 2, 3) for r in run(shape, k)}
+
+
+def solved(x, y, cost=1.0):
+    """Hinge-loss weights (the bias is a feature of one) by projected gradient on the whole dual."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    q = (x @ x.T) * y[:, None] * y
+    alpha, step = np.zeros(len(y)), 1 / np.linalg.eigvalsh(q).max()
+    for _ in range(20000):
+        alpha = np.clip(alpha - step * (q @ alpha - 1), 0, cost)
+    return (alpha * y) @ x
+
+
+def test_op1_against_brute_force(spark, monkeypatch):
+    """Every score from plain feature sets, log-count ratios, a dense solver and a logistic fit, with epochs enough to
+    converge."""
+    monkeypatch.setattr(quality, "dual_coordinate_descent", partial(quality.dual_coordinate_descent, epochs=3000))
+    rng = np.random.default_rng(21)
+    good, bad, stock = ["calm", "clear", "plain", "fair"], ["BUY", "now!!", "$$$", "free"], ["the", "of", "a", "Été", "x1", "so"]
+    rows = [(i, " ".join(rng.choice((good if i % 2 else bad) + stock * 2, int(rng.integers(3, 14))))) for i in range(60)]
+    rows += [(100, ""), (101, None), (102, "unseen words alone")]
+    labels = [(i, int(i % 2 if i % 11 else 1 - i % 2), 0) for i in range(60)] + [(7, None, 0)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    fitted = [(i, q) for i, q, _ in labels if q is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    sets = {i: plain_features(t or "") for i, t in rows}
+    for i, t in rows:
+        assert len(quality.features(np.frombuffer((t or "").encode(), np.uint8))) == len(sets[i])
+    y = np.array([1.0 if q else -1.0 for _, q in fitted])
+    names = sorted((f for f, n in Counter(f for i, _ in fitted for f in sets[i]).items() if n >= quality.LEAST_DOCS), key=repr)
+    x = np.array([[f in sets[i] for f in names] for i, _ in fitted], dtype=float)
+
+    def model(at):
+        p, n = (1 + x[at][y[at] == side].sum(axis=0) for side in (1, -1))
+        r = np.log(p / p.sum()) - np.log(n / n.sum())
+        scale = lambda v: v * r / np.maximum(np.linalg.norm(v * r, axis=-1, keepdims=True), 1e-9)
+        w = solved(scale(x[at]), y[at])
+        return lambda v: scale(v) @ w[:-1] + w[-1]
+
+    fold, margin = np.arange(len(y)) % 3, np.zeros(len(y))
+    for k in range(3):
+        margin[fold == k] = model(np.flatnonzero(fold != k))(x[fold == k])
+    target = np.where(y > 0, ((y > 0).sum() + 1) / ((y > 0).sum() + 2), 1 / ((y < 0).sum() + 2))
+    ab = np.array([1.0, 0.0])
+    for _ in range(50000):
+        p = 1 / (1 + np.exp(-(ab[0] * margin + ab[1])))
+        ab += 0.02 * np.array([(target - p) @ margin, (target - p).sum()])
+    final = model(np.arange(len(y)))
+    got = {r.doc_id: r.score for r in quality.quality_digest(docs, known).collect()}
+    for i, _ in rows:
+        want = 1 / (1 + np.exp(-(ab[0] * final(np.array([[f in sets[i] for f in names]], dtype=float))[0] + ab[1])))
+        assert abs(got[i] - want) < 0.02, (i, got[i], want)
+
+
+def test_op1_columns_and_repeated_ids(spark, docs):
+    from pyspark.sql import functions as F
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit_quality(docs.unionByName(docs), labels)
+    same = quality.fit_quality(docs, labels)
+    assert (model.vocabulary == same.vocabulary).all() and np.allclose(model.weight, same.weight)
+    out = quality.score_quality(docs.limit(5).withColumn("quality_score", F.lit("mine")), same)
+    assert out.columns[-2:] == ["quality_score_", "quality_pass"] and {r.quality_score for r in out.collect()} == {"mine"}
+
+
 def test_op2(spark, docs, rows, edge, empty):
     tok, start = tokenizer("byte_bpe_50k.json"), 0
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in store.store_digest(docs).collect()}
@@ -217,6 +291,55 @@ def test_op4(docs, edge, empty):
     assert sum(s for _, s in model.infer(np.frombuffer(two.encode(), np.uint8))) == pytest.approx(1, abs=1e-6)
 
 
+def test_op4_against_brute_force(spark):
+    """Counts, proportions and the selected set of languages from plain loops; all sets are tried."""
+    from itertools import combinations
+    from math import log
+
+    rng = np.random.default_rng(22)
+    letters = {"aa": "abcde", "bb": "defgh", "cc": "ghijk", "dd": "abfgk"}
+    word = lambda lang: "".join(rng.choice(list(letters[lang]), int(rng.integers(2, 6))))
+    rows = [(i, " ".join(word(lang) for _ in range(60)), lang) for i, lang in enumerate(sorted(letters) * 8)]
+    rows += [(100 + i, " ".join([word(a) for _ in range(80)] + [word(b) for _ in range(50)]), None) for i, (a, b) in enumerate(combinations(sorted(letters), 2))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    grams = lambda t: Counter(language.trigrams(np.frombuffer(t.encode(), np.uint8)).tolist())
+    total = {lang: Counter() for lang in sorted(letters)}
+    for i, t, lang in rows:
+        if lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            total[lang].update(grams(t))
+    space = 1 << language.BITS
+    p = {lang: lambda g, c=c: (c[g] + language.SMOOTH) / (sum(c.values()) + language.SMOOTH * space) for lang, c in total.items()}
+
+    def mixed(n, langs):
+        table, share = {g: [p[x](g) for x in langs] for g in n}, [1 / len(langs)] * len(langs)
+        for _ in range(300):
+            new = [0.0] * len(langs)
+            for g, c in n.items():
+                whole = sum(a * b for a, b in zip(table[g], share))
+                new = [v + c * a * b / whole for v, a, b in zip(new, table[g], share)]
+            share = [v / sum(n.values()) for v in new]
+        return share, sum(c * log(sum(a * b for a, b in zip(table[g], share))) for g, c in n.items())
+
+    model = language.fit_languages(docs)
+    assert model.names == sorted(letters)
+    predicted = {r.doc_id: (r.lang_pred, r.score) for r in language.predict_languages(docs, model).collect()}
+    for i, t, _ in rows[::5] + rows[32:]:
+        n = grams(t)
+        best = max(((mixed(n, s)[1] - language.PENALTY * (len(s) - 1) * log(sum(n.values())), s) for k in (1, 2, 3) for s in combinations(sorted(letters), k)))[1]
+        share = sorted(zip([-v for v in mixed(n, best)[0]], best))
+        found = model.infer(np.frombuffer(t.encode(), np.uint8))
+        assert {x for x, _ in found} == set(best) and predicted[i][0] == share[0][1], (i, found, best)
+        assert abs(predicted[i][1] + share[0][0]) < 0.02
+
+
+def test_op4_repeated_rows_and_too_many_languages(spark, docs):
+    twice = language.language_digest(docs.unionByName(docs)).groupBy("doc_id").count().where("count <> 2").count()
+    assert twice == 0
+    many = spark.createDataFrame([(i, "text here", f"l{i}") for i in range(900)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="lang"):
+        language.fit_languages(many)
+
+
 def test_op5(docs, edge, empty):
     got = mixing.mix_digest(docs).collect()
     taken, targets, most = Counter(), {}, Counter()
@@ -261,6 +384,37 @@ def test_op6(docs, rows, edge, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_op6_bins_and_padding(spark, docs):
+    """Whole tables: every group's bins are those of plain first-fit decreasing, and little is padded."""
+    many = docs.unionByName(docs).unionByName(docs)
+    pieces = packing.pack(many, group=64).collect()
+    groups = defaultdict(list)
+    for p in pieces:
+        groups[p.sequence_id >> 32].append(p)
+    assert len(groups) > 5
+    for mine in groups.values():
+        room, want = [], Counter()
+        for size in sorted((p.length for p in mine), reverse=True):
+            at = next((i for i, r in enumerate(room) if r >= size), None)
+            if at is None:
+                room.append(4096)
+                at = len(room) - 1
+            want[(size, at, 4096 - room[at])] += 1
+            room[at] -= size
+        assert Counter((p.length, p.sequence_id & (2**32 - 1), p.offset) for p in mine) == want
+    fill = Counter()
+    for p in pieces:
+        fill[p.sequence_id] += p.length
+    for p in pieces:
+        n = fill[p.sequence_id]
+        assert p.padded == (n if n & (n - 1) == 0 else 4096)
+    whole = packing.pack(many).collect()
+    sequences = {p.sequence_id: p.padded for p in whole}
+    assert sum(sequences.values()) / sum(p.length for p in whole) < 1.01
+    half = spark.createDataFrame([(1, " ".join(["a"] * 2047))], "doc_id long, text string")
+    assert {(p.doc_tokens, p.padded) for p in packing.pack(half).collect()} == {(2048, 2048)}
+
+
 def test_op7(docs, rows, edge, empty):
     tok = tokenizer("byte_bpe_50k.json")
     for df, texts in ((docs, rows), (edge, [(e[0], e[1] or "") for e in EDGE])):
