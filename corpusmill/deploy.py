@@ -1,4 +1,4 @@
-"""Sends this package to the executors, which need not have it installed."""
+"""Sends this package to the executors, which need not have it installed, and names the folder that all share."""
 
 from __future__ import annotations
 
@@ -23,3 +23,15 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(target))
         _shipped.add(sc.applicationId)
     return spark
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a temporary one only on a local master where it is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    root = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
+    spark.conf.set("spark.checkpoint.dir", root)
+    return root

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..deploy import ship
+from ..deploy import shared_root, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,13 +35,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; a local one only on a local master without that folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def r6(c: Column) -> Column:
@@ -50,6 +44,13 @@ def r6(c: Column) -> Column:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows over all cores where the scan has fewer splits than those (a small table in one file); else as they are."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    """Rows over all cores where a scan has fewer splits than those, as a small table in one file has; else as they are.
+    Sizes of at most as many files as there are cores are asked for; nothing is planned or read."""
+    spark = rows.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, rows.inputFiles()
+    if len(files) >= cores:
+        return rows
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    size = sum(path(f).getFileSystem(conf).getFileStatus(path(f)).getLen() for f in files)
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return rows.repartition(cores) if size < cores * split else rows
