@@ -47,3 +47,25 @@ def test_stages(spark):
             packed[r["doc_id"]] += 1
     assert packed == copies
     assert corpus_pipeline.run(spark, SF).count() == len(table[5])
+
+
+def test_awkward_tables(spark):
+    """Nulls in every column, empty and long texts, repeated rows and ids, clashing names, and empty tables, stage by
+    stage: no row is lost that the stage has no reason to drop, and columns stay as they are."""
+    from pyspark.sql import functions as F
+    from test_llm_operators import EDGE, SCHEMA
+
+    rows = [*EDGE, (4, "another text under the same id as before, long enough for shingles", "en", "b", 70), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for c in ("k", "t", "part", "size", "spans_text", "jaccard_k", "quality_score", "mix_copies", "region"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    for table, some in ((docs, True), (docs.limit(0), False)):
+        for name, stage in corpus_pipeline.STAGES:
+            got = staged(stage(spark, table, SF), "awkward")
+            assert (got.count() > 0) == some, name
+            if name != "packing":
+                assert got.columns == table.columns and got.schema.simpleString() == table.schema.simpleString(), name
+    one = corpus_pipeline.one_of_each_group(spark, docs, SF)
+    assert one.count() == len(rows) - 1 and one.where("doc_id = 4").count() == 2  # the repeated row is one
+    assert corpus_pipeline.cut_repeated_passages(spark, docs, SF).count() == len(rows)
+    assert corpus_pipeline.pack_sequences(spark, docs, SF).where("start = 0").count() == len(rows)
