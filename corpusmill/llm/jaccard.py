@@ -44,8 +44,9 @@ from .kernels import packed, shingles, texts, unpacked, word_hashes
 from .shared import fresh, identity, keyed, shuffle_partitions, staged
 
 MEMBERS, EXTRA, CELL_ENTRIES, TASK_BYTES, CHUNK_BYTES = 1024, 0.04, 500_000, 8 << 20, 12 << 20
-#: Sets in the sample (a share of all distinct ones), and the number of them that makes an n-gram common: about 0.02 %.
-SAMPLE, COMMON = 65_536, 16
+#: Sets in the sample at most; an n-gram is common if it is in about COMMON sets of the whole table, and in LEAST_HITS of
+#: the sample, which is more where the sample is a small share (one set in a thousand).
+SAMPLE, COMMON, LEAST_HITS = 16_384, 1000, 16
 PIVOTS, SPREAD, HOT_LEADER, FEW_LEADERS = 32, 3, 4096, 100_000
 
 
@@ -108,25 +109,22 @@ class Common(NamedTuple):
 
 
 def common_grams(source: DataFrame, sets: DataFrame, rule: Rule, distinct: int) -> Common:
-    """N-grams of at least COMMON of a sample of distinct sets; they only steer the order of probes.  The sample is by
-    hash, so it needs no sort, and bounded by SAMPLE however many sets there are."""
+    """Common n-grams by a sample of distinct sets; they only steer the order of probes.  The sample is by hash, so it
+    needs no sort, and bounded by SAMPLE however many sets there are."""
     share = min(1.0, SAMPLE / max(distinct, 1))
+    least = max(LEAST_HITS, int(COMMON * share))
     drawn = sets.where("n > 0").where(F.pmod(F.xxhash64("sig"), F.lit(1 << 31)) < int(share * (1 << 31)))
     chosen = drawn.groupBy("sig").agg(F.min(F.struct("k", "t")).alias("at")).select("at.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: list[np.ndarray] = []
             for b in texts(batch.column("text")):
                 s = shingle_set(b, rule.words)
                 if len(s):
-                    held.append(np.stack([s.view(np.int64), np.full(len(s), signature(s))]))
-            if held:
-                grams, sigs = np.concatenate(held, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(sigs)], ["gram", "sig"])
+                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.full(len(s), signature(s)))], ["gram", "sig"])
 
     rows = source.join(F.broadcast(chosen), ["k", "t"], "left_semi").select("text").mapInArrow(run, "gram long, sig long")
-    found = rows.groupBy("gram").agg(F.count("*").alias("c"), F.min("sig").alias("leader")).where(F.col("c") >= COMMON).toArrow()
+    found = rows.groupBy("gram").agg(F.count("*").alias("c"), F.min("sig").alias("leader")).where(F.col("c") >= least).toArrow()
     grams = found.column("gram").to_numpy().view(np.uint64)
     order = np.argsort(grams)
     return Common(grams[order], found.column("leader").to_numpy()[order])
