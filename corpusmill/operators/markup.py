@@ -103,7 +103,53 @@ def table_rows(text: Column) -> Column:
 
 def strip_markdown(text: Column) -> Column:
     out = F.regexp_replace(text, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    return F.regexp_replace(out, r"[*_`#]+", "")
+    return F.trim(F.regexp_replace(out, r"[*_`#]+", ""))
+
+
+def strip_marks(text: Column) -> Column:
+    """Bold marks and backticks off, words and underscores kept."""
+    return F.trim(F.replace(F.replace(text, F.lit("**"), F.lit("")), F.lit("`"), F.lit("")))
+
+
+def section(text: Column, heading: str, level: str = "## ") -> Column:
+    """What stands under the first heading that begins so, up to the next one of its level; null if there is none."""
+    found = F.try_element_at(F.filter(sections(text, rf"(?m)^(?={level})"), lambda x: x.startswith(level + heading)), F.lit(1))
+    return F.regexp_replace(found, r"^[^\n]*\n?", "")
+
+
+def labelled_line(text: Column, label: str) -> Column:
+    """The text after '**label:**' on its line, or ''."""
+    return F.coalesce(strip_marks(F.regexp_extract(text, rf"(?m)^\*\*{label}:\*\*\s*(.+)$", 1)), F.lit(""))
+
+
+def bullets(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^\s*[-*] (.+)$"), F.lit(1)), strip_marks)
+
+
+def table_records(text: Column, first_header: str) -> Column:
+    """Rows, as maps by header, of the pipe table whose header begins with a cell; empty if there is none."""
+    # The lines from the header on, as long as they are rows.
+    body = F.regexp_extract(F.concat(text, F.lit("\n")), rf"(?m)^(\| *{first_header} *\|[^\n]*\n(?:\|[^\n]*\n)*)", 1)
+    rows = F.transform(table_rows(body), lambda r: F.transform(r, strip_marks))
+    head = F.try_element_at(rows, F.lit(1))
+    return F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), lambda r: F.map_from_arrays(head, r))
+
+
+def named_cell(cell: Column) -> Column:
+    """struct(name, key) of 'Name (key)'; both the cell where it has no key."""
+    shape = r"^(.*) \(([a-z0-9_]+)\)$"
+    keyed = cell.rlike(shape)
+    return F.struct(F.when(keyed, F.regexp_extract(cell, shape, 1)).otherwise(cell).alias("name"), F.when(keyed, F.regexp_extract(cell, shape, 2)).otherwise(cell).alias("key"))
+
+
+def interval_cell(cell: Column) -> Column:
+    """struct(low, high) of 'low-high'."""
+    return F.struct(F.split_part(cell, F.lit("-"), F.lit(1)).try_cast("double").alias("low"), F.split_part(cell, F.lit("-"), F.lit(2)).try_cast("double").alias("high"))
+
+
+def count_cell(cell: Column) -> Column:
+    """A whole number with thousands separators."""
+    return F.replace(cell, F.lit(","), F.lit("")).try_cast("long")
 
 
 def numbered(mentions: DataFrame, doc: str, position: str, key: str) -> DataFrame:

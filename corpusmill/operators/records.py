@@ -86,15 +86,22 @@ def age_days(date: Column, run_date: str) -> Column:
     return F.datediff(F.lit(run_date).cast("date"), date)
 
 
-def resolve(refs: DataFrame, lookups: dict[str, DataFrame]) -> DataFrame:
-    """refs (kind, id, title) against a lookup (id, found_title) for each kind: missing, title or ok."""
+def resolve(refs: DataFrame, lookups: dict[str, list[DataFrame]]) -> DataFrame:
+    """refs (kind, id, title) against the lookups of each kind in turn (id, found_title, status): the first that has the
+    id with a status of 200 to 399 answers.  place: which one; verdict: missing, title (another one) or ok; a lookup
+    without titles only says that the thing is there."""
     from ..functions.text import title_identity
 
     parts = []
-    for kind, known in lookups.items():
-        j = refs.where(F.col("kind") == kind).join(known, "id", "left")
-        same = title_identity(F.col("title")) == title_identity(F.col("found_title"))
-        parts.append(j.withColumn("verdict", F.when(F.col("found_title").isNull(), "missing").when(same, "ok").otherwise("title")))
+    for kind, tables in lookups.items():
+        known = None
+        for place, t in enumerate(tables, 1):
+            one = t.where("status BETWEEN 200 AND 399").select("id", F.struct(F.lit(place).alias("place"), "found_title").alias("answer"))
+            known = one if known is None else known.unionByName(one)
+        first = known.groupBy("id").agg(F.min("answer").alias("answer"))
+        j = refs.where(F.col("kind") == kind).join(first, "id", "left").select(*refs.columns, F.col("answer.place").alias("place"), F.col("answer.found_title").alias("found_title"))
+        same = F.col("found_title").isNull() | (title_identity(F.col("title")) == title_identity(F.col("found_title")))
+        parts.append(j.withColumn("verdict", F.when(F.col("place").isNull(), "missing").when(same, "ok").otherwise("title")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

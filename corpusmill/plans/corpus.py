@@ -80,6 +80,14 @@ def atom_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select((F.col("total") - 40).alias("region"), F.col("total").cast("int").alias("total"), "n_entries", "error", F.array_join(F.transform("entries", lambda e: e["title"]), ",").alias("titles"))
 
 
+@registry.add("WITH f AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') ORDER BY k LIMIT 200), n AS (SELECT k, (row_number() OVER (ORDER BY k) - 1) // 20 AS request FROM f) SELECT request, array_to_string(list(k ORDER BY k), ',') AS ids FROM n GROUP BY 1")
+def id_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests by id for what is cited and not known yet, twenty ids each, ten at most."""
+    cited = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"))
+    known = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k"))
+    return paged.id_batches(cited, known, "k").select("request", F.array_join("ids", ",").alias("ids"))
+
+
 _PAGE, _CAP = 50, 180
 
 
@@ -177,6 +185,20 @@ def analysis_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c.event_type", "c.counts.t", "c.counts.p", *[F.col("c.interval")[i].alias(n) for i, n in enumerate(("ratio", "ci_low", "ci_high"))], "c.label", "method")
 
 
+@registry.add("SELECT 'clusters' AS section, count(DISTINCT event_type) AS n FROM events UNION ALL SELECT 'monthly', count(DISTINCT strftime(o_orderdate, '%Y-%m')) FROM orders UNION ALL SELECT 'servers', count(DISTINCT user_id % 8) FROM events UNION ALL SELECT 'claims', count(*) FROM nation UNION ALL SELECT 'caveats', 2")
+def report_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The data of a report, put together from several analyses with static texts; rows of each section."""
+    from . import merges, reviews, shares
+
+    sections = {"clusters": share_table(spark, sf_dir), "monthly": shares.monthly_diagnostics(spark, sf_dir), "servers": merges.yield_rollup(spark, sf_dir), "claims": reviews.claim_scores(spark, sf_dir)}
+    text = P.document({n: P.round_floats(d, 4) for n, d in sections.items()}, {"caveats": ["dates are those of posting", "titles are compared without accents"]})
+    path = scratch(spark, "report")
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    names = [*sections, "caveats"]
+    read = jsonl.read_json_array(spark, path, ", ".join(f"{n} array<string>" for n in names))
+    return read.select(F.explode(F.array(*[F.struct(F.lit(n).alias("section"), F.size(n).cast("long").alias("n")) for n in names])).alias("s")).select("s.*")
+
+
 @registry.add(f"WITH s AS ({_SHARES}) SELECT 'console' AS form, count(*) + 1 AS lines FROM s UNION ALL SELECT 'markdown', count(*) + 2 FROM s UNION ALL SELECT 'page', count(*) + 1 FROM s UNION ALL SELECT 'registry', count(*) FROM s")
 def report_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small result as a console table, a Markdown table and registry, and a page; the rows of each."""

@@ -305,7 +305,14 @@ def differing(stored: DataFrame) -> DataFrame:
     return again.agg(F.count("*").alias("n"), F.count_if(~F.col("labels").eqNullSafe(F.col("again"))).alias("differs"))
 
 
-@registry.add(f"{_L} SELECT count(*) AS n, count(*) FILTER (labels[1] IS DISTINCT FROM (CASE WHEN len(labels) > 0 THEN labels[1] END)) AS differs FROM l")
+def _chained_sql() -> str:
+    """The label list again, by joined strings of cases."""
+    case = lambda r: f"CASE WHEN len(regexp_extract_all(text, '{q(r.pattern)}')) > 0{f' AND len(regexp_extract_all(text, {chr(39)}{q(r.exclude)}{chr(39)})) = 0' if r.exclude else ''} THEN '{r.key},' ELSE '' END"
+    regular, rest = (" || ".join(map(case, [r for r in LABELS.rules if r.residual == side])) for side in (False, True))
+    return f"CASE WHEN {regular} <> '' THEN {regular} ELSE CASE WHEN {rest} <> '' THEN split_part({rest}, ',', 1) || ',' ELSE '' END END"
+
+
+@registry.add(f"{_L}, a AS (SELECT doc_id, {_chained_sql()} AS again FROM l0) SELECT count(*) AS n, count(*) FILTER (array_to_string(labels, ',') || CASE WHEN len(labels) > 0 THEN ',' ELSE '' END IS DISTINCT FROM again) AS differs FROM l JOIN a USING (doc_id)")
 def retag_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose stored label list and the one recomputed from the whole text differ (none)."""
     path = scratch(spark, "labels")

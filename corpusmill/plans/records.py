@@ -67,16 +67,20 @@ def caveat_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registry.add(
-    """WITH r AS (SELECT CASE n_nationkey % 2 WHEN 0 THEN 'doi' ELSE 'url' END AS kind, n_nationkey AS id, n_name AS title FROM nation),
-j AS (SELECT r.*, CASE WHEN n_nationkey < 20 THEN CASE WHEN n_nationkey % 5 = 0 THEN lower(n_name) || '.' WHEN n_nationkey % 5 = 1 THEN 'other' ELSE n_name END END AS f FROM r JOIN nation ON id = n_nationkey)
-SELECT kind, id, CASE WHEN f IS NULL THEN 'missing' WHEN trim(regexp_replace(lower(f), '[^\\p{L}\\p{N}]+', ' ', 'g')) = trim(regexp_replace(lower(title), '[^\\p{L}\\p{N}]+', ' ', 'g')) THEN 'ok' ELSE 'title' END AS verdict FROM j"""
+    """WITH r AS (SELECT n_nationkey AS id, ['doi', 'arxiv', 'url'][n_nationkey % 3 + 1] AS kind, n_name AS title FROM nation),
+a AS (SELECT *, CASE WHEN kind = 'doi' AND id < 15 AND id % 2 = 0 THEN 1 WHEN kind = 'doi' AND id < 20 THEN 2 WHEN kind = 'arxiv' AND id <> 7 THEN 1 WHEN kind = 'url' AND id % 4 <> 1 THEN 1 END AS place FROM r)
+SELECT kind, id, place, CASE WHEN place IS NULL THEN 'missing' WHEN kind <> 'url' AND id % 5 = 1 THEN 'title' ELSE 'ok' END AS verdict FROM a"""
 )
 def resolve_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References looked up by kind, titles compared."""
+    """References looked up by kind: DOIs in one service and then in another, batches of arXiv ids, URLs by status;
+    titles compared."""
     n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
-    refs = n.select(F.when(k % 2 == 0, "doi").otherwise("url").alias("kind"), k.alias("id"), F.col("n_name").alias("title"))
-    known = n.where("n_nationkey < 20").select(k.alias("id"), F.when(k % 5 == 0, F.concat(F.lower("n_name"), F.lit("."))).when(k % 5 == 1, "other").otherwise(F.col("n_name")).alias("found_title"))
-    return R.resolve(refs, {"doi": known, "url": known}).select("kind", "id", "verdict")
+    refs = n.select(F.element_at(F.array(*map(F.lit, ("doi", "arxiv", "url"))), (k % 3 + 1).cast("int")).alias("kind"), k.alias("id"), F.col("n_name").alias("title"))
+    title = F.when(k % 5 == 0, F.concat(F.lower("n_name"), F.lit("."))).when(k % 5 == 1, "other").otherwise(F.col("n_name"))
+    known = n.select(k.alias("id"), title.alias("found_title"), F.lit(200).alias("status"))
+    pages = n.select(k.alias("id"), F.lit(None).cast("string").alias("found_title"), F.when(k % 4 == 1, 404).otherwise(302).alias("status"))
+    doi = [known.where("id < 15 AND id % 2 = 0"), known.where("id < 20")]
+    return R.resolve(refs, {"doi": doi, "arxiv": [known.where("id <> 7")], "url": [pages]}).select("kind", "id", "place", "verdict")
 
 
 @registry.add("SELECT n_nationkey, '<li id=\"ref-' || n_nationkey::VARCHAR || '\">' || n_name || '. <a href=\"https://x.org/?a=1&amp;b=' || n_nationkey::VARCHAR || '\">https://x.org/?a=1&amp;b=' || n_nationkey::VARCHAR || '</a></li>' AS item FROM nation")

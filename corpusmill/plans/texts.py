@@ -200,6 +200,18 @@ def markdown_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.count("*").alias("tables"), F.count_distinct("heading").alias("headings"), F.sum(M.strip_markdown(F.col("cells")[1]).cast("long")).alias("chars"))
 
 
+@registry.add("SELECT c_nationkey AS nation, 'Segment ' || c_mktsegment AS name, lower(c_mktsegment) AS key, count(*) AS n, 0.5::DOUBLE AS low, 1.0 + c_nationkey / 4 AS high, 'a_b of ' || c_nationkey::VARCHAR AS note, 2 AS caveats FROM customer GROUP BY c_nationkey, c_mktsegment")
+def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a report's sections, labelled lines, bullets and tables, with named, interval and count cells."""
+    c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"))
+    row = F.concat(F.lit("| **Segment "), "segment", F.lit("** ("), F.lower("segment"), F.lit(") | "), F.format_number("n", 0), F.lit(" | 0.50-"), F.format_string("%.2f", 1 + F.col("nation") / 4), F.lit(" |"))
+    text = F.concat(F.lit("# T\n\n## Q1 counts\n**Note:** `a_b` of "), F.col("nation").cast("string"), F.lit("\n\n- one **two**\n* three\n\n| Other | x |\n|---|---|\n| y | z |\n\n| Cluster | Count | 95% CI |\n|---|:-:|---:|\n"), F.array_join(F.array_sort(F.collect_list(row)), "\n"), F.lit("\n\n## Q2 rest\n| Cluster | Count | 95% CI |\n|---|---|---|\n| no | 1 | 2-3 |\n"))
+    q1 = c.groupBy("nation").agg(text.alias("text")).select("nation", F.explode(F.array(M.section(F.col("text"), "Q1"))).alias("q1"))
+    rows = q1.select("nation", M.labelled_line(F.col("q1"), "Note").alias("note"), F.size(M.bullets(F.col("q1"))).alias("caveats"), F.explode(M.table_records(F.col("q1"), "Cluster")).alias("r"))
+    named, interval = M.named_cell(F.col("r")["Cluster"]), M.interval_cell(F.col("r")["95% CI"])
+    return rows.select("nation", named["name"].alias("name"), named["key"].alias("key"), M.count_cell(F.col("r")["Count"]).alias("n"), interval["low"].alias("low"), interval["high"].alias("high"), "note", "caveats")
+
+
 @registry.add("SELECT user_id, count(*) AS n, count(json_extract_string(props, '$.k')) AS with_k, count(DISTINCT json_extract_string(props, '$.k')) AS kinds FROM events GROUP BY 1")
 def json_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of JSON text, null where they are missing."""

@@ -92,6 +92,25 @@ def fetch_all(fetch: Fetcher, slice_: str, page: int, cap: int | None = None, st
             position = seen if style == "offset" else position + 1
 
 
+def id_batches(ids: DataFrame, known: DataFrame, key: str, size: int = 20, most: int = 10) -> DataFrame:
+    """request, ids: what to ask for by id: those not known yet, ascending, ``size`` a request, ``most`` requests."""
+    fresh = ids.select(key).distinct().join(known.select(key), key, "left_anti").orderBy(key).limit(size * most)
+    place = F.row_number().over(Window.orderBy(key)) - 1  # size * most rows at most
+    return fresh.withColumn("request", F.floor(place / size)).groupBy("request").agg(F.array_sort(F.collect_list(key)).alias("ids"))
+
+
+def fetch_ids(fetch: Fetcher, batches: list[list], polite: Politeness | None = None) -> Iterator[dict]:
+    """Items of requests by id.  A batch that comes back short is asked for one by one, so that one bad id loses no other."""
+    polite = polite or Politeness()
+    for batch in batches:
+        got = polite.call("", lambda b=batch: fetch(",".join(map(str, b)), None))
+        items = [] if got is None else got["items"]
+        if len(items) < len(batch) and len(batch) > 1:
+            yield from fetch_ids(fetch, [[x] for x in batch], polite)
+        else:
+            yield from items
+
+
 def count_only(fetch: Fetcher, slice_: str, polite: Politeness | None = None) -> int:
     """What a service says it has, without its items."""
     got = (polite or Politeness()).call("", lambda: fetch(slice_, None))

@@ -210,6 +210,33 @@ def test_recorded_pages(spark):
     assert [(r.slice, str(r.begin), str(r.end)) for r in months] == [("c/2024-01", "2024-01-20", "2024-01-31"), ("c/2024-02", "2024-02-01", "2024-02-29"), ("c/2024-03", "2024-03-01", "2024-03-05")]
 
 
+def test_requests_by_id(spark):
+    asked = []
+
+    def fetch(ids, _):
+        asked.append(ids)
+        return None if ids == "3" else {"total": 1, "items": [{"id": x} for x in ids.split(",") if x != "3"]}
+
+    assert [x["id"] for x in paged.fetch_ids(fetch, [[1, 2], [3, 4], [5]])] == ["1", "2", "4", "5"]
+    assert asked == ["1,2", "3,4", "3", "4", "5"]
+
+
+def test_title_search(spark):
+    frame = lambda rows: spark.createDataFrame([(i, t.split()) for i, t in rows], "id long, tokens array<string>")
+    index = frame([(1, "red cat on mat"), (2, "red dog"), (3, "blue whale song"), (4, "red cat")])
+    got = simjoin.title_search(frame([(11, "red cat"), (12, "whale"), (13, "none")]), index, "id", "tokens", 2).orderBy("query", "rank").collect()
+    assert [(r["query"], r["match"], r.shared) for r in got] == [(11, 4, 2), (11, 1, 2), (12, 3, 1)]
+
+
+def test_resolve(spark):
+    from corpusmill.operators import records
+
+    refs = spark.createDataFrame([("doi", 1, "A b"), ("doi", 2, "C"), ("doi", 3, "D"), ("url", 4, "x")], "kind string, id long, title string")
+    table = lambda *rows: spark.createDataFrame(rows, "id long, found_title string, status int")
+    found = records.resolve(refs, {"doi": [table((1, "a B.", 200), (2, "z", 500)), table((2, "other", 302), (1, "no", 200))], "url": [table((4, None, 404))]})
+    assert sorted((r.id, r.place, r.verdict) for r in found.collect()) == [(1, 1, "ok"), (2, 2, "title"), (3, None, "missing"), (4, None, "missing")]
+
+
 def test_json_array_is_checked(spark, tmp_path):
     import pytest
 
