@@ -75,20 +75,17 @@ def index_matches(index: DataFrame, queries: DataFrame, id_: str, norm: str, tok
     return exact.unionByName(near.select("query", "match", F.lit("near").alias("how"), "jaccard"))
 
 
-def title_search(queries: DataFrame, index: DataFrame, id_: str, tokens: str, k: int = 3, probes: int = 4) -> DataFrame:
-    """query, match, shared, rank: the k index titles that share most words with each query, more by Jaccard, then by id.
-
-    A query probes its ``probes`` rarest words, so a word that every title has is not joined unless a query has no other;
-    titles that share none of these are not found, as in any search by keywords."""
+def title_search(queries: DataFrame, index: DataFrame, id_: str, tokens: str, k: int = 3, common: int = 1000) -> DataFrame:
+    """query, match, shared, rank: the k index titles that share most words with each query, more by Jaccard, then by id,
+    among those that share a word which at most ``common`` titles have: a search by keywords, where a word that every
+    title has finds nothing on its own."""
     q = queries.select(F.col(id_).alias("query"), F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t))).alias("asked"))
     held = index.select(F.col(id_).alias("match"), F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t))).alias("held"))
     flat = held.select("match", F.explode("held").alias("token"))
-    df = flat.groupBy("token").agg(F.count("*").alias("df"))
-    rare = q.select("query", F.explode("asked").alias("token")).join(df, "token")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("df", "token"))
-    rare = rare.withColumn("r", rank).where(F.col("r") <= probes).select("query", "token")
-    pairs = rare.join(flat, "token").select("query", "match").distinct().where("query <> match")
-    both = pairs.join(q, "query").join(held, "match").select("query", "match", F.size(F.array_intersect("asked", "held")).alias("shared"), stats.set_jaccard(F.col("asked"), F.col("held")).alias("jaccard"))
+    rare = flat.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") <= common).select("token")
+    pairs = q.select("query", F.explode("asked").alias("token")).join(rare, "token").join(flat, "token").select("query", "match").distinct()
+    both = pairs.where("query <> match").join(q, "query").join(held, "match")
+    both = both.select("query", "match", F.size(F.array_intersect("asked", "held")).alias("shared"), stats.set_jaccard(F.col("asked"), F.col("held")).alias("jaccard"))
     best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("shared"), F.desc("jaccard"), "match"))
     return both.withColumn("rank", best).where(F.col("rank") <= k).drop("jaccard")
 

@@ -172,12 +172,12 @@ def fk_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("partkey")), "partkey", "left_anti")
 
 
-@registry.add("SELECT o_orderkey AS id, o_totalprice AS price, NULL::VARCHAR AS note FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, NULL, o_orderpriority FROM orders WHERE o_orderstatus = 'P'")
+@registry.add("SELECT o_orderkey AS id, o_totalprice AS price, NULL::VARCHAR AS note FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, NULL, o_orderpriority FROM orders WHERE o_orderstatus <> 'F'")
 def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O1-O3: union of tables of different columns."""
     o = table(spark, sf_dir, "orders")
     a = o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
-    b = o.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("note"))
+    b = o.where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("note"))
     return a.unionByName(b, allowMissingColumns=True)
 
 

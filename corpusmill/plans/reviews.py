@@ -97,6 +97,12 @@ b AS (SELECT doc_id, match, j FROM p WHERE j >= 0.8 QUALIFY row_number() OVER (P
 m AS (SELECT q.source, q.doc_id, q.declared, q.declared IN (SELECT 'arXiv:' || doc_id::VARCHAR FROM i) AS declared_found, CASE WHEN e.match IS NOT NULL THEN 'exact' WHEN b.match IS NOT NULL THEN 'near' END AS how, coalesce(e.match, b.match) AS match, coalesce(CASE WHEN e.match IS NOT NULL THEN 1.0 END, b.j) AS jaccard FROM q LEFT JOIN e ON e.norm = q.norm AND q.norm <> '' LEFT JOIN b USING (doc_id))"""
 
 
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    norm = T.title_identity(F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)))
+    return d.select("doc_id", "source", F.explode(F.array(norm)).alias("norm")).withColumn("tokens", T.title_tokens(F.col("norm")))
+
+
 def _overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     norm = T.title_identity(F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)))
@@ -138,3 +144,15 @@ def overlap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_distinct("match").alias("matched_index_rows"),
         F.array_join(F.transform(F.array_sort(F.collect_list("example")), lambda x: x["t"]), ",").alias("near_examples"),
     )
+
+
+@registry.add(
+    f"""WITH t AS (SELECT doc_id, source, {_TITLE} AS norm FROM documents), z AS (SELECT doc_id, source, {_WORDS} AS k FROM t), i AS (SELECT * FROM z WHERE source = 'src0'), q AS (SELECT * FROM z WHERE source = 'src1'),
+f AS (SELECT doc_id, unnest(k) AS w FROM i), c AS (SELECT w, count(*) AS df FROM f GROUP BY 1), r AS (SELECT doc_id, w FROM (SELECT doc_id, unnest(k) AS w FROM q) JOIN c USING (w) WHERE df <= 2),
+p AS (SELECT DISTINCT r.doc_id, f.doc_id AS match FROM r JOIN f USING (w)), s AS (SELECT p.doc_id AS query, p.match, len(list_intersect(q.k, i.k)) AS shared, len(q.k) AS a, len(i.k) AS b FROM p JOIN q ON q.doc_id = p.doc_id JOIN i ON i.doc_id = p.match),
+o AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY shared DESC, shared / (a + b - shared) DESC, match)::INT AS rank FROM s) SELECT query, match, shared::INT AS shared, rank FROM o WHERE rank <= 3"""
+)
+def title_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each title of one server, the three titles of the index that share most words, by way of its rare words."""
+    rows = _titles(spark, sf_dir)
+    return J.title_search(rows.where("source = 'src1'"), rows.where("source = 'src0'"), "doc_id", "tokens", 3, 2)

@@ -20,17 +20,17 @@ def test_retag(spark, duck, tmp_path):
 
 
 def test_round_trip(spark, duck, tmp_path):
-    got = {r.file: r.n for r in flows.jsonl_round_trip_all(spark, SF).collect()}
+    got = {r.file: r.n for r in flows.jsonl_round_trip(spark, SF).collect()}
     assert got == {f"{s}.jsonl": n for s, n in duck.sql("SELECT source, count(*) FROM documents GROUP BY 1").fetchall()} and "src0.jsonl" in got
     odd = 'a "b"\n{c}\r\u2028\\ é\x00'
     rows = [(1, odd, "src0"), (2, None, "src0"), (3, odd * 2, None), (None, "x", None), (4, "y", ""), (5, "z", "null"), (6, "w", "a/b=c")]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {tuple(r) for r in flows.jsonl_round_trip_all(spark, str(tmp_path)).select("file", "n", "ids", "longest").collect()}
+    got = {tuple(r) for r in flows.jsonl_round_trip(spark, str(tmp_path)).select("file", "n", "ids", "longest").collect()}
     assert got == {("src0.jsonl", 2, 2, len(odd)), ("no source", 2, 1, 2 * len(odd)), (".jsonl", 1, 1, 1), ("null.jsonl", 1, 1, 1), ("a/b=c.jsonl", 1, 1, 1)}
 
 
 def test_parsed_key(spark, duck):
-    got = sorted(tuple(r) for r in records.join_on_parsed_key_all(spark, SF).select("key", "p_size", "p_brand").collect())
+    got = sorted(tuple(r) for r in records.join_on_parsed_key(spark, SF).select("key", "p_size", "p_brand").collect())
     assert got == duck.sql("SELECT p_partkey, p_size, p_brand FROM part ORDER BY 1").fetchall() and got[-1][0] > 100
 
 
