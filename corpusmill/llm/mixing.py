@@ -151,8 +151,11 @@ def _apply(docs: DataFrame, size: Column, cut: DataFrame, seed: str) -> DataFram
     names = list(docs.columns)
     own = {c: fresh(f"mix_cut_{c}", names) for c in cut.columns}
     cut = cut.select(*[F.col(c).alias(n) for c, n in own.items()])
-    u = uniform_of(F.col("doc_id"), seed)
-    rank = pareto_rank(u, inclusion(F.col(own["alpha"]), size))
+    # One item exploded, so that the words are counted once a text and not in each place that uses the number.
+    held = fresh("mix_held", names)
+    docs = docs.withColumn(held, F.explode(F.array(F.struct(size.alias("size"), uniform_of(F.col("doc_id"), seed).alias("u")))))
+    size = F.col(held)["size"]
+    rank = pareto_rank(F.col(held)["u"], inclusion(F.col(own["alpha"]), size))
     bucket, edge = _bucket(rank, F.col(own["buckets"])), F.col(own["edge_bucket"])
     drawn = (bucket < edge) | ((bucket == edge) & (_place(rank) <= F.col(own["last"])))
     extra = F.coalesce(size > F.col(own["certain"]), F.lit(False)) | F.coalesce(drawn, F.lit(False))
