@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import packed, shingles, texts, unpacked, word_hashes
+from .kernels import lean, packed, shingles, texts, unpacked, word_hashes
 from .shared import fresh, identity, keyed, shuffle_partitions, staged
 
 MEMBERS, EXTRA, CELL_ENTRIES, TASK_BYTES, CHUNK_BYTES = 1024, 0.04, 500_000, 8 << 20, 12 << 20
@@ -123,7 +123,7 @@ def common_grams(source: DataFrame, sets: DataFrame, rule: Rule, distinct: int)
                 if len(s):
                     yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.full(len(s), signature(s)))], ["gram", "sig"])
 
-    rows = source.join(F.broadcast(chosen), ["k", "t"], "left_semi").select("text").mapInArrow(run, "gram long, sig long")
+    rows = source.join(F.broadcast(chosen), ["k", "t"], "left_semi").select("text").mapInArrow(lean(run), "gram long, sig long")
     found = rows.groupBy("gram").agg(F.count("*").alias("c"), F.min("sig").alias("leader")).where(F.col("c") >= least).toArrow()
     grams = found.column("gram").to_numpy().view(np.uint64)
     order = np.argsort(grams)
@@ -424,11 +424,11 @@ def components(edges: DataFrame) -> DataFrame:
 def linked_components(docs: DataFrame, rule: Rule = Rule(), members: int = MEMBERS, pivots: int = PIVOTS) -> DataFrame:
     """k, t, doc_id, n_shingles, component_id, and first (k and t of its component's first document) of each row."""
     spark, source = docs.sparkSession, keyed(docs)
-    sets = staged(source.mapInArrow(_sets(rule), "k long, t long, doc_id long, n long, sig long"), "jaccard-sets")
+    sets = staged(source.mapInArrow(lean(_sets(rule)), "k long, t long, doc_id long, n long, sig long"), "jaccard-sets")
     total = sets.agg(F.sum("n").alias("n"), F.approx_count_distinct("sig").alias("sets")).first()
     parts = max(shuffle_partitions(spark), int((total.n or 0) * (1 - rule.num / rule.den + EXTRA)) // CELL_ENTRIES + 1)
     common = common_grams(source, sets, rule, total.sets)
-    cells = source.select("text").mapInArrow(_probes(rule, common, parts), CELLS)
+    cells = source.select("text").mapInArrow(lean(_probes(rule, common, parts)), CELLS)
     shared = staged(cells.groupBy("part").applyInArrow(_company(rule), REGION), "jaccard-shared")
     needed = 1 + F.floor(F.lit(EXTRA) * F.ceil(F.col("size") * rule.num / rule.den))
     whole = shared.groupBy("member", "leader").agg(F.sum("cells").alias("cells"), F.max("size").alias("size"))
@@ -455,7 +455,7 @@ def linked_components(docs: DataFrame, rule: Rule = Rule(), members: int = MEMBE
                     out, held = [], 0
             yield _shipped(out)
 
-    shipped = source.select("k", "t", "text").join(wanted.select("k", "t", "member", "regions"), ["k", "t"]).mapInArrow(ship, SHIPPED)
+    shipped = source.select("k", "t", "text").join(wanted.select("k", "t", "member", "regions"), ["k", "t"]).mapInArrow(lean(ship), SHIPPED)
     large = big.where("large").limit(1).count() > 0
     if large:
         shipped = staged(shipped, "jaccard-shipped", "lz4")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import BLOCK, texts
+from .kernels import BLOCK, lean, texts
 from .quality import held_out
 
 BITS, SMOOTH, PENALTY, ROUNDS, MOST_LANGUAGES = 16, 0.5, 4.0, 25, 500
@@ -124,7 +124,7 @@ def fit_languages(docs: DataFrame) -> Model:
     # As many rows as there are languages times 65,536 at most, whatever the number of documents.
     if known.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
         raise ValueError(f"over {MOST_LANGUAGES} values of lang: these are not language codes")
-    found = known.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    found = known.mapInArrow(lean(run), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(found.column("lang").to_pylist()))
     table = np.zeros((1 << BITS, len(names)))
     place = {x: i for i, x in enumerate(names)}
@@ -146,7 +146,7 @@ def predict_languages(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     asked = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    out = asked.mapInArrow(run, "doc_id long, lang_pred string, score double, langs array<string>")
+    out = asked.mapInArrow(lean(run), "doc_id long, lang_pred string, score double, langs array<string>")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "langs")
 
 

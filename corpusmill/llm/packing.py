@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encode import Encoder, in_parts
+from .kernels import lean
 from .shared import staged
 
 GROUP = 8192
@@ -92,7 +93,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> D
             yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(who, pa.int64())), *[pa.array(cols[:, j]) for j in range(4)], pa.array(seen + np.array(who, dtype=np.int64))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row"])
             seen += len(batch)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECE + ROW)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), PIECE + ROW)
 
 
 def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, capacity: int = 4096, group: int = GROUP) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import ORDER, cuts, mix, shingles, word_hashes, word_spans
+from .kernels import ORDER, cuts, lean, mix, shingles, word_hashes, word_spans
 from .shared import fresh
 
 SAMPLE, LEAST_DOCS, THRESHOLD = 6000, 4, 0.7
@@ -176,7 +176,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", samp
 
     # At most ``sample`` rows of two numbers are broadcast, and as many feature lists come to the driver.
     joined = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").cast("int").alias("y"))
-    found = joined.mapInArrow(run, "doc_id long, y int, f array<long>").toArrow().sort_by("doc_id")
+    found = joined.mapInArrow(lean(run), "doc_id long, y int, f array<long>").toArrow().sort_by("doc_id")
     rows = [np.array(x.values.to_numpy(zero_copy_only=False)).view(np.uint64) if x.values is not None else np.zeros(0, np.uint64) for x in found.column("f")]
     return fit(rows, found.column("y").to_numpy())
 
@@ -195,7 +195,7 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD, n
             score = np.array([held.value.score(t) for t in texts(batch.column("text"))], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, ", ".join([*schema, f"`{names[0]}` double", f"`{names[1]}` int"]))
+    return docs.mapInArrow(lean(run), ", ".join([*schema, f"`{names[0]}` double", f"`{names[1]}` int"]))
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

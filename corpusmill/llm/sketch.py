@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import shingles, word_hashes
+from .kernels import lean, shingles, word_hashes
 from .shared import identity, shuffle_partitions
 
 FRACTION, LEAST, WORDS, BITS = 1 / 32, 20, 5, 48
@@ -132,7 +132,7 @@ def fingerprints(docs: DataFrame, fraction: float = FRACTION, words: int = WORDS
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x[0] for x in found.values()], pa.int64()), pa.array([x[1] for x in found.values()], pa.int64())], ["part", "doc_id", "t"])
 
     # One row a part: the place of its first document.
-    firsts = ids.mapInArrow(least, "part int, doc_id long, t long").groupBy("part").agg(F.min(F.struct("doc_id", "t")).alias("f")).collect()
+    firsts = ids.mapInArrow(lean(least), "part int, doc_id long, t long").groupBy("part").agg(F.min(F.struct("doc_id", "t")).alias("f")).collect()
     order = sorted(r.part for r in firsts)
     number = {p: i for i, p in enumerate(order)}
     before = {(r.f.doc_id, r.f.t): (number[r.part] - 1) % len(order) for r in firsts}  # a part's first document -> the part before
@@ -149,7 +149,7 @@ def fingerprints(docs: DataFrame, fraction: float = FRACTION, words: int = WORDS
             if len(guests):
                 yield pa.RecordBatch.from_arrays([pa.array([x for x in to if x is not None], pa.int32()), pa.array(np.ones(len(guests), np.int8)), *guests.columns], names)
 
-    dealt = keyed.mapInArrow(deal, "part int, guest byte, doc_id long, t long, text string")
+    dealt = keyed.mapInArrow(lean(deal), "part int, guest byte, doc_id long, t long, text string")
     dealt = dealt.repartitionById(max(1, len(order)), "part").sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_first(), "t", "text")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "contained_in_edited", "contained_in_next"]
 
@@ -173,7 +173,7 @@ def fingerprints(docs: DataFrame, fraction: float = FRACTION, words: int = WORDS
         yield _rows(rows, names)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, contained_in_edited double, contained_in_next double"
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(lean(run), schema)
 
 
 def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:

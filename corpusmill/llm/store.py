@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .encode import Encoder, in_parts
-from .kernels import mix
+from .kernels import lean, mix
 from .shared import drop, new_path, shuffle_partitions, staged
 
 WINDOW, LEAST, MEAN_BITS, MOST, BLOCK = 16, 64, 9, 4096, 4096
@@ -130,7 +130,7 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFr
                 lists = [pa.ListArray.from_arrays(at, pa.array(x, t)) for x, t in ((names, pa.binary()), (lengths, pa.int32()), (payloads, pa.binary()))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(stops, prepend=0)), *lists], ["doc_id", "n_tokens", "addresses", "sizes", "payloads"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ENCODED)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), ENCODED)
 
 
 def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +198,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_
     chunks = encoded.select(pair).where("c.payloads IS NOT NULL").select(F.col("c.addresses").alias("address"), F.col("c.sizes").alias("n"), F.col("c.payloads").alias("payload"))
     chunks.dropDuplicates(["address"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
     ordered = encoded.select("doc_id", "n_tokens", "addresses", "sizes").repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first())
-    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "addresses").mapInArrow(_recipes, RECIPE)
+    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "addresses").mapInArrow(lean(_recipes), RECIPE)
     ordered.write.option("compression", "zstd").parquet(f"{path}/recipes")
     _block_roots(spark.read.schema(RECIPE).parquet(f"{path}/recipes")).write.parquet(f"{path}/blocks")
     rows = _manifest_rows(_part_rows(spark.read.schema(BLOCKS).parquet(f"{path}/blocks")), width)
@@ -311,10 +311,10 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
     width = (parts.select("width").first() or [2])[0]
     recipes = spark.read.schema(RECIPE).parquet(f"{path}/recipes")
     key = "doc_id long, part int, place long, before long, n_tokens long"
-    positions = recipes.select("doc_id", "part", "place", "before", "n_tokens", "addresses", "sizes", "root").mapInArrow(_positions, key + ", address binary, tail long")
-    chunks = spark.read.parquet(f"{path}/chunks").select("address", "payload").mapInArrow(_checked_chunks(width), "address binary, n long, crc long")
+    positions = recipes.select("doc_id", "part", "place", "before", "n_tokens", "addresses", "sizes", "root").mapInArrow(lean(_positions), key + ", address binary, tail long")
+    chunks = spark.read.parquet(f"{path}/chunks").select("address", "payload").mapInArrow(lean(_checked_chunks(width)), "address binary, n long, crc long")
     joined = positions.join(chunks, "address", "left").select("doc_id", "part", "place", "before", "n_tokens", F.expr("coalesce(n, raise_error('a chunk is missing'))").alias("n"), "tail", "crc")
-    parted = joined.mapInArrow(_contributions, key + ", n long, crc long")
+    parted = joined.mapInArrow(lean(_contributions), key + ", n long, crc long")
     docs = parted.groupBy("part", "place", "before", "doc_id", "n_tokens").agg(F.sum("n").alias("read"), F.bit_xor("crc").alias("ids_crc32"))
     docs = docs.where(F.expr("if(read = n_tokens, true, raise_error('a document is not whole'))"))
     docs = docs.join(F.broadcast(parts.select("part", "offset")), "part")
@@ -339,7 +339,7 @@ def decode(spark: SparkSession, path: str) -> DataFrame:
                 out.append(np.frombuffer(b"".join(c["payload"] for c in chunks), dtype=f"<u{width}").astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), batch.column("place"), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "part", "place", "ids"])
 
-    return whole.select("doc_id", "part", "place", "c").mapInArrow(run, "doc_id long, part int, place long, ids array<long>")
+    return whole.select("doc_id", "part", "place", "c").mapInArrow(lean(run), "doc_id long, part int, place long, ids array<long>")
 
 
 def store_digest(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0) -> DataFrame:

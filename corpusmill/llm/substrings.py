@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import BYTE_VALUE, ORDER, SECOND_VALUE, mix, powers, prefix_sums, sliding_min, texts, window_hashes, word_spans
+from .kernels import BYTE_VALUE, ORDER, SECOND_VALUE, lean, mix, powers, prefix_sums, sliding_min, texts, window_hashes, word_spans
 from .shared import fresh, identity, keyed, shuffle_partitions, staged
 
 LENGTH, CROWD, TASK_BYTES = 400, 1024, 1 << 19
@@ -330,14 +330,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", cr
         raise ValueError("keep is none or first")
     source, first = keyed(docs), keep == "first"
     least = min(length, 2 * words - 1) if words else length
-    rows = staged(source.where(F.octet_length("text") >= least).select("k", "t", "text").mapInArrow(_stretch_rows(length, words), STRETCH), "spans-stretches")
+    rows = staged(source.where(F.octet_length("text") >= least).select("k", "t", "text").mapInArrow(lean(_stretch_rows(length, words)), STRETCH), "spans-stretches")
     kinds = _kinds(rows, "hits", "spans-kinds")
     found = _equal(rows, kinds, first)
     # Only a stretch that nothing equals (or the first of equal ones, if it is kept) has to ask; the others are evidence.
     single = F.lit(True) if first else F.col("n") == 1
     asks = kinds.where((F.col("span") >= length) & (((F.col("kinds") > 1) & (F.lit(first) | (F.col("alone") > 0))) | ((F.col("hits") > 1) & single)))
     asks = asks.groupBy(F.col("first.k").alias("k"), F.col("first.t").alias("t")).agg(F.collect_list(F.struct(F.col("first.low").alias("low"), "span", "anchor", "kinds", single.alias("single"))).alias("asks"))
-    pieces = staged(source.select("k", "t", "text").join(asks, ["k", "t"]).mapInArrow(_cut(length), PIECE), "spans-pieces")
+    pieces = staged(source.select("k", "t", "text").join(asks, ["k", "t"]).mapInArrow(lean(_cut(length)), PIECE), "spans-pieces")
     shift = (length - gram_size(length)).bit_length()
     while True:
         crowded = F.col("kinds") > (crowd if shift else 1 << 62)
@@ -349,7 +349,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", cr
         if not size.crowded:
             return found
         shift = max(0, shift - 3)
-        rows = staged(pieces.where(crowded).select("k", "t", "low", "single", "bytes").mapInArrow(_divide(length, shift), SUB), "spans-divided")
+        rows = staged(pieces.where(crowded).select("k", "t", "low", "single", "bytes").mapInArrow(lean(_divide(length, shift)), SUB), "spans-divided")
         kinds = _kinds(rows, "1", "spans-kinds")
         found = found.unionByName(_equal(rows, kinds, first))
         lead = rows.join(kinds.where("kinds > 1").select("anchor", "body", "n", "first", "kinds"), ["anchor", "body"]).where(F.col("first") == F.struct("k", "t", "low"))
@@ -395,7 +395,7 @@ def removal_digest(docs: DataFrame, length: int = LENGTH, keep: str = "none", cr
             cols = zip(*out) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.string()])]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_spans(text: pa.Array, spans: pa.Array) -> pa.Array:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encode import MEMO, Pieces, byte_symbols, in_parts, rare, tokenizer_path
+from .kernels import lean
 
 #: The pre-token pattern of byte-level BPE files: a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -178,5 +179,5 @@ def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(np.concatenate(n) if n else np.zeros(0, np.int64))], ["doc_id", "n_bytes", "n_tokens"])
 
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
-    counted = docs.select(F.col("doc_id").cast("long"), "text", size).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    counted = docs.select(F.col("doc_id").cast("long"), "text", size).mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

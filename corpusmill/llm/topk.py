@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kernels import lean
 from .shared import staged
 
 SHARD, BLOCK, LEAF, CELLS, SAMPLE_BYTES = 4096, 8192, 64, 256, 16 << 20
@@ -261,7 +262,7 @@ def top_k(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, sca
                     cell[who] = trees[v.shape[1]].locate(v)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], [*batch.schema.names, "cell"])
 
-    located = staged(base.select("size", "id", "v", "asks").mapInArrow(locate, "size int, id long, v array<double>, asks boolean, cell int"), "topk-located")
+    located = staged(base.select("size", "id", "v", "asks").mapInArrow(lean(locate), "size int, id long, v array<double>, asks boolean, cell int"), "topk-located")
     counts = located.groupBy("size", "cell").agg(F.ceil(F.count("*") / shard).alias("shards"), F.ceil(F.greatest(F.count_if("asks"), F.lit(1)) / block).alias("blocks"))
     counts = F.broadcast(staged(counts, "topk-counts"))  # at most ``cells`` rows a length of vectors
     dealt = located.join(counts, ["size", "cell"]).withColumn("shard", F.pmod(F.xxhash64("id", F.lit("s"), "v"), "shards").cast("int"))
@@ -295,7 +296,7 @@ def top_k(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, sca
             who = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), [len(x) // 8 for x in ids])
             yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.frombuffer(b"".join(ids), dtype=np.int64)), pa.array(np.frombuffer(b"".join(scores)).astype(np.int64))], ["query_id", "vec_id", "score"])
 
-    first = asks.select("id", "best_ids", "best_scores").mapInArrow(own, "query_id long, vec_id long, score long")
+    first = asks.select("id", "best_ids", "best_scores").mapInArrow(lean(own), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return first.unionByName(more).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
