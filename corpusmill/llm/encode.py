@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO = 1_000_000
+MEMO = 600_000
 _CLOSING = string.punctuation
 _PIECES = re.compile(r"[ \n\t]*[^ \n\t]+|[ \n\t]+").findall
 _RARE = re.compile("[\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]").search
@@ -231,7 +231,7 @@ class Encoder:
         return np.concatenate([y for x in parts for y in (x, end)]), np.cumsum([len(x) + 1 for x in parts])
 
 
-def in_parts(column: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def in_parts(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Positions a:b of stretches of about ``limit`` bytes."""
     sums = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // limit
     cut = [0, *(np.flatnonzero(np.diff(sums)) + 1).tolist(), len(column)]
