@@ -50,9 +50,17 @@ def greedy_exemplars(candidates: DataFrame, k: int = 3, pool: DataFrame | None =
     least free ids, without a term.
 
     What was passed over stays taken, so each choice is the best of all that is free: k rounds of one aggregation that
-    combines before its shuffle, exact for any number of candidates.  ``keep`` may write what is read again."""
-    rows = candidates.select("grp", F.lit(1).alias("named"), F.col("score").cast("double").alias("score"), "term", "id")
+    combines before its shuffle, exact for any number of candidates.  A term with k ids or more always has a free one, so
+    what ranks below the k-th such term of its group cannot be chosen, and of each term its k least ids are enough.
+    ``keep`` may write what is read again."""
+    rows = candidates.select("grp", F.col("score").cast("double").alias("score"), "term", "id")
+    terms = rows.groupBy("grp", "score", "term").agg(F.count_distinct("id").alias("ids"))
+    floor = top_per_group(terms.where(F.col("ids") >= k), ["grp"], [F.desc("score"), F.desc("term")], k).where(F.col("rank") == k)
+    floor = floor.select("grp", F.struct("score", "term").alias("floor"))
+    rows = rows.join(floor, "grp", "left").where(F.col("floor").isNull() | (F.struct("score", "term") >= F.col("floor"))).drop("floor")
+    rows = top_per_group(rows.distinct(), ["grp", "score", "term"], [F.col("id")], k).select("grp", F.lit(1).alias("named"), "score", "term", "id")
     if pool is not None:
+        pool = top_per_group(pool.select("grp", "id").distinct(), ["grp"], [F.col("id")], k)
         rows = rows.unionByName(pool.select("grp", F.lit(0).alias("named"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("term"), "id"))
     rows = keep(rows, "exemplar-candidates")
     best = F.max_by(F.struct("term", "id"), F.struct("named", "score", "term", -F.col("id"))).alias("b")
