@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import ORDER, cuts, lean, mix, shingles, word_hashes, word_spans
+from .kernels import ORDER, cuts, give_back, lean, mix, shingles, word_hashes, word_spans
 from .shared import fresh
 
 SAMPLE, LEAST_DOCS, THRESHOLD = 6000, 4, 0.7
@@ -131,15 +131,20 @@ def locate(vocabulary: np.ndarray, found: np.ndarray) -> np.ndarray:
     return at[vocabulary[at] == found]
 
 
-def fit(features_: list[np.ndarray], labels: np.ndarray, folds: int = 3) -> Model:
+def vocabulary(found: np.ndarray, least: int = LEAST_DOCS) -> np.ndarray:
+    """Sorted features that at least ``least`` documents have; ``found``: each document's, once each."""
+    found = np.sort(found)
+    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
+    return found[first[np.diff(np.append(first, len(found))) >= least]]
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, names: np.ndarray, folds: int = 3) -> Model:
+    """rows: places in the vocabulary ``names`` of each document's features."""
     y = np.where(labels > 0, 1.0, -1.0)
     none = np.zeros(0)
     if not len(y) or (y > 0).all() or (y < 0).all():
         rate = float((y > 0).mean()) if len(y) else 0.5
         return Model(np.zeros(0, np.uint64), none, none, 0.0, 1.0, float(np.clip(np.log((rate + 1e-9) / (1 - rate + 1e-9)), -30, 30)))
-    names, n = np.unique(np.concatenate(features_), return_counts=True)
-    names = names[n >= LEAST_DOCS]
-    rows = [locate(names, f) for f in features_]
 
     def train(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         r = log_count_ratios([rows[i] for i in at], y[at], len(names))
@@ -176,9 +181,19 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", samp
 
     # At most ``sample`` rows of two numbers are broadcast, and as many feature lists come to the driver.
     joined = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").cast("int").alias("y"))
-    found = joined.mapInArrow(lean(run), "doc_id long, y int, f array<long>").toArrow().sort_by("doc_id")
-    rows = [np.array(x.values.to_numpy(zero_copy_only=False)).view(np.uint64) if x.values is not None else np.zeros(0, np.uint64) for x in found.column("f")]
-    return fit(rows, found.column("y").to_numpy())
+    found = joined.mapInArrow(lean(run), "doc_id long, y int, f array<long>").toArrow()
+    order, y = np.argsort(found.column("doc_id").to_numpy()), found.column("y").to_numpy()
+    lists = found.column("f").combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.chunk(0) if lists.num_chunks else pa.array([], lists.type)
+    del found
+    values, ends = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    names = vocabulary(values)
+    rows = [locate(names, values[ends[i - 1] if i else 0 : ends[i]]) for i in order.tolist()]
+    del lists, values  # the driver holds one form of the features at a time
+    model = fit(rows, y[order], names)
+    give_back()
+    return model
 
 
 def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD, names: tuple[str, str] | None = None) -> DataFrame:

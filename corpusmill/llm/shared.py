@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..deploy import shared_root, ship
+from .kernels import give_back
 
 
 _created: list[tuple[str, str]] = []
@@ -32,6 +34,8 @@ def sweep(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) ->
     for entry in gone:
         drop(spark, entry[1])
         _created.remove(entry)
+    gc.collect()  # plans of the tables that went, which the JVM keeps as long as Python refers to them
+    give_back()
     return len(gone)
 
 
@@ -40,6 +44,7 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = ship(df.sparkSession)
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
+    give_back()
     return spark.read.schema(df.schema).parquet(path)
 
 
