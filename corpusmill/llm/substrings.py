@@ -41,6 +41,7 @@ from .kernels import BYTE_VALUE, ORDER, SECOND_VALUE, lean, mix, powers, prefix_
 from .shared import fresh, identity, keyed, shuffle_partitions, staged
 
 LENGTH, CROWD, TASK_BYTES = 400, 1024, 1 << 19
+HOT_COPIES, FEW_HOT = 1000, 20_000
 _POSITION = np.uint64((1 << 20) - 1)
 _SEGMENT = 1 << 19
 #: Windows of a stretch at most; a run of one anchor is longer in periodic texts only.
@@ -316,12 +317,48 @@ def _kinds(rows: DataFrame, hits: str, name: str) -> DataFrame:
     return staged(same.join(per, "anchor"), name)
 
 
+def _match_hot(hot: dict[tuple[int, bytes], tuple[int, int, int]], earlier_only: bool):
+    """Spans of the occurrences of stretches that very many places share; overlapping ones of a text as one."""
+    anchors = np.unique(np.array([a for a, _ in hot], dtype=np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            likely = np.flatnonzero(np.isin(batch.column("anchor").to_numpy(zero_copy_only=False), anchors))
+            out: list[list[int]] = []
+            for anchor, body, k, t, low, span in zip(*(batch.column(c).take(pa.array(likely)).to_pylist() for c in ("anchor", "body", "k", "t", "low", "span"))):
+                first = hot.get((anchor, body))
+                if first is None or (earlier_only and first == (k, t, low)):
+                    continue
+                if out and out[-1][:2] == [k, t] and out[-1][2] <= low <= out[-1][3]:
+                    out[-1][3] = max(out[-1][3], low + span)
+                else:
+                    out.append([k, t, low, low + span])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["k", "t", "a", "e"])
+
+    return run
+
+
 def _equal(rows: DataFrame, kinds: DataFrame, earlier_only: bool) -> DataFrame:
-    """Spans of the stretches that equal another one (an earlier one)."""
-    found = rows.join(kinds.where("n > 1").select("anchor", "body", "first"), ["anchor", "body"])
+    """Spans of the stretches that equal another one (an earlier one).
+
+    Stretches of more than HOT_COPIES places are few; unless there are more than FEW_HOT, which is looked at first, they
+    go to where the rows are, so that no task reads all places of one stretch."""
+    rows, more = rows.select("k", "t", "anchor", "body", "low", "span"), kinds.where("n > 1").select("anchor", "body", "n", "first")
+    hot = more.where(F.col("n") > HOT_COPIES)
+    held = {(r.anchor, bytes(r.body)): tuple(r["first"]) for r in hot.limit(FEW_HOT + 1).collect()}
+    parts = []
+    if 0 < len(held) <= FEW_HOT:
+        parts.append(rows.mapInArrow(lean(_match_hot(held, earlier_only)), FOUND))
+        rows = rows.join(F.broadcast(hot.select("anchor", "body")), ["anchor", "body"], "left_anti")
+        more = more.where(F.col("n") <= HOT_COPIES)
+    found = rows.join(more, ["anchor", "body"])
     if earlier_only:
         found = found.where(F.col("first") != F.struct("k", "t", "low"))
-    return found.select("k", "t", F.col("low").alias("a"), (F.col("low") + F.col("span")).alias("e"))
+    out = found.select("k", "t", F.col("low").alias("a"), (F.col("low") + F.col("span")).alias("e"))
+    for p in parts:
+        out = out.unionByName(p)
+    return out
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", crowd: int = CROWD, words: int = 0) -> DataFrame:

@@ -240,11 +240,13 @@ def test_op3(docs, rows, length, keep, crowd):
 
 
 @pytest.mark.parametrize("keep", ["none", "first"])
-@pytest.mark.parametrize("crowd", [1024, 2, 0])
-def test_op3_periods_and_ids(spark, keep, crowd):
+@pytest.mark.parametrize(("crowd", "hot"), [(1024, 1000), (2, 3), (0, 1)])
+def test_op3_periods_and_ids(spark, monkeypatch, keep, crowd, hot):
     """Periodic texts, a passage in many contexts, two texts under one doc_id, rows that repeat a document."""
     import random
 
+    monkeypatch.setattr(substrings, "HOT_COPIES", hot)
+
     rng = random.Random(12)
     noise = lambda n: "".join(rng.choices("abcdefghij ", k=n))
     passage, texts = noise(300), []
