@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, language, mixing, packing, quality, sketch, store, substrings, tokencount, topk
+from . import centroids, jaccard, language, mixing, packing, quality, runs, sketch, store, substrings, tokencount, topk
 from .shared import table
 
 
@@ -50,5 +50,13 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_token_store, op3_repeated_spans, op4_language, op5_mix_sources, op6_pack_sequences, op7_count_tokens, op8_jaccard_components, op9_top_k, op10_fingerprints)}
-SQL: dict[str, str] = {"op5_mix_sources": mixing.DIGEST_SQL, "op9_top_k": topk.TOP_K_SQL}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.runs_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_digest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_token_store, op3_repeated_spans, op4_language, op5_mix_sources, op6_pack_sequences, op7_count_tokens, op8_jaccard_components, op9_top_k, op10_fingerprints, op11_periodic_runs, op12_centroid_clusters)}
+SQL: dict[str, str] = {"op5_mix_sources": mixing.DIGEST_SQL, "op9_top_k": topk.TOP_K_SQL, "op12_centroid_clusters": centroids.DIGEST_SQL}
