@@ -87,9 +87,12 @@ def _assigned(centers: list[list[int]], width: int, known: bool):
                 v = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, width)
                 best, least, _ = ring.nearest(v, part.column("cluster").to_numpy(zero_copy_only=False) if known else None)
                 n += np.bincount(best, minlength=k)
-                np.add.at(sums, best, v)
-                for j in np.unique(best).tolist():
-                    inertia[j] += sum(least[best == j].tolist())  # of any size
+                order = np.argsort(best, kind="stable")
+                met, first = np.unique(best[order], return_index=True)
+                if len(met):
+                    sums[met] += np.add.reduceat(v[order], first, axis=0)
+                for j, mine in zip(met.tolist(), np.split(least[order], first[1:])):
+                    inertia[j] += sum(mine.tolist())  # of any size
                 nulls = [pa.nulls(len(part), t) for t in (pa.int64(), pa.list_(pa.int64()), pa.decimal128(38, 0))]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), pa.array(best.astype(np.int32)), pa.array(least), *nulls], names)
         mine = np.flatnonzero(n).tolist()

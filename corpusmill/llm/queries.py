@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, jaccard, language, mixing, packing, quality, runs, sketch, store, substrings, tokencount, topk
+from . import centroids, extract, jaccard, language, mixing, packing, quality, runs, sketch, store, substrings, tokencount, topk
 from .shared import table
 
 
@@ -58,5 +58,9 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_digest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_token_store, op3_repeated_spans, op4_language, op5_mix_sources, op6_pack_sequences, op7_count_tokens, op8_jaccard_components, op9_top_k, op10_fingerprints, op11_periodic_runs, op12_centroid_clusters)}
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_digest(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_token_store, op3_repeated_spans, op4_language, op5_mix_sources, op6_pack_sequences, op7_count_tokens, op8_jaccard_components, op9_top_k, op10_fingerprints, op11_periodic_runs, op12_centroid_clusters, op13_main_text)}
 SQL: dict[str, str] = {"op5_mix_sources": mixing.DIGEST_SQL, "op9_top_k": topk.TOP_K_SQL, "op12_centroid_clusters": centroids.DIGEST_SQL}
