@@ -9,8 +9,8 @@ hexadecimal digits, 12 each: about a tenth of the text.
 
 Null and empty texts, and texts of white space alone, have the empty fingerprint; two empty sketches are alike (1),
 an empty and another are not (0).  A containment is null where the larger sketch is complete up to no hash of the
-smaller: there is no evidence.  Rows with the same doc_id follow each other by text hash; null doc_ids come first and
-are spread by text hash, however many there are.  A table of one row is its own next document.  An empty table gives
+smaller: there is no evidence.  Rows with the same doc_id follow each other by text hash; null doc_ids come first.  A
+doc_id with more rows than a part has, null included, is divided by text hash; rows that repeat both stay together.  A table of one row is its own next document.  An empty table gives
 no rows.  A text and its edited form must fit in memory.  Only doc_id and text are read, so other columns never clash.
 """
 
@@ -89,24 +89,36 @@ def edit(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
-def _splits(ids: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """About ``parts`` quantiles: of the text hashes of null doc_ids, and of the others' doc_ids.  As many numbers as
-    there are partitions."""
-    counts = ids.agg(F.count("*").alias("n"), F.count("doc_id").alias("known")).first()
-    nulls, out = counts.n - counts.known, []
-    for rows, column, n in ((ids.where("doc_id IS NULL"), "t", nulls), (ids.where("doc_id IS NOT NULL"), "doc_id", counts.known)):
-        own = -(-parts * n // max(counts.n, 1))
-        found = rows.select(F.col(column).cast("double").alias("q")).approxQuantile("q", [i / own for i in range(1, own)], 1 / (4 * own)) if own > 1 else []
-        out.append(np.array(sorted({int(x) for x in found}), dtype=np.int64))
-    return out[0], out[1]
+LEAST_LONG = -(2**63)
 
 
-def _parts_of(batch: pa.RecordBatch, splits: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def _splits(ids: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where about ``parts`` parts begin: text hashes for null doc_ids; doc_id and text hash for the others.  A doc_id with
+    more rows than a part has is divided by text hash (hashes are spread evenly); of the others, doc_ids are quantiles.
+    As many numbers as there are partitions, about."""
+    total = ids.count()
+    often = ids.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") * parts > total).collect()
+    own = {r.doc_id: -(-parts * r.n // total) for r in often}
+    begin = {i: [LEAST_LONG + (j << 64) // n for j in range(1, n)] for i, n in own.items()}
+    heavy = [i for i in own if i is not None]
+    rest, n = ids.where(F.col("doc_id").isNotNull() & ~F.col("doc_id").isin(heavy)), total - sum(r.n for r in often)
+    cells = -(-parts * n // max(total, 1))
+    found = rest.select(F.col("doc_id").cast("double").alias("q")).approxQuantile("q", [i / cells for i in range(1, cells)], 1 / (4 * cells)) if cells > 1 else []
+    pairs = sorted({(int(x), LEAST_LONG) for x in found} | {(i, LEAST_LONG) for i in heavy} | {(i, t) for i in heavy for t in begin[i]})
+    return tuple(np.array(x, dtype=np.int64) for x in (begin.get(None, []), [i for i, _ in pairs], [t for _, t in pairs]))
+
+
+def _parts_of(batch: pa.RecordBatch, splits: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     """Part of each row; the parts of null doc_ids come first."""
+    nulls, starts, hashes = splits
     null = pc.is_null(batch.column("doc_id")).to_numpy(zero_copy_only=False)
-    ids = pc.fill_null(batch.column("doc_id"), 0).to_numpy(zero_copy_only=False)
-    by_text = np.searchsorted(splits[0], batch.column("t").to_numpy(zero_copy_only=False), side="right")
-    return np.where(null, by_text, len(splits[0]) + 1 + np.searchsorted(splits[1], ids, side="right")).astype(np.int32)
+    ids, t = pc.fill_null(batch.column("doc_id"), 0).to_numpy(zero_copy_only=False), batch.column("t").to_numpy(zero_copy_only=False)
+    below, upto = (np.searchsorted(starts, ids, side=x) for x in ("left", "right"))
+    for a in np.unique(below[upto > below]).tolist():  # doc_ids that begin a part, or several
+        mine = (below == a) & (upto > below)
+        e = int(np.searchsorted(starts, starts[a], side="right"))
+        below[mine] = a + np.searchsorted(hashes[a:e], t[mine], side="right")
+    return np.where(null, np.searchsorted(nulls, t, side="right"), len(nulls) + 1 + below).astype(np.int32)
 
 
 def fingerprints(docs: DataFrame, fraction: float = FRACTION, words: int = WORDS) -> DataFrame:

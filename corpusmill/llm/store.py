@@ -17,7 +17,8 @@ against its address.  A row that is missing, added, moved or changed anywhere ra
 from those of their stored chunks, since CRC-32 is linear.  ``decode`` gives the ids themselves.
 
 Nulls are empty texts (the end id alone); repeated rows are documents of their own that share all chunks; a null
-doc_id comes first; ties in doc_id go by number of ids, then addresses.  A document's ids, and its row of addresses,
+doc_id comes first; ties in doc_id go by number of ids, then a hash of the addresses, then the place where they were
+read, and parts may divide them, so no doc_id is too frequent.  An id that ``width`` cannot hold raises.  A document's ids, and its row of addresses,
 must fit in memory (a cell of at most 2 GB).  Empty tables give an empty store.  Only doc_id and text are read, so
 other columns never clash.
 """
@@ -109,6 +110,8 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFr
             texts = batch.column("text")
             for a, b in in_parts(texts):
                 ids, stops = encoder.flat(texts.slice(a, b - a), end_id)
+                if len(ids) and int(ids.max()) >> (8 * width):
+                    raise ValueError(f"id {int(ids.max())} does not fit {width} bytes")
                 marks = rolling_marks(ids)
                 bound = np.searchsorted(marks, stops).tolist()
                 marks, raw = marks.tolist(), ids.astype(dtype, copy=False).tobytes()
@@ -197,8 +200,9 @@ def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_
     pair = F.explode(F.arrays_zip("addresses", "sizes", "payloads")).alias("c")
     chunks = encoded.select(pair).where("c.payloads IS NOT NULL").select(F.col("c.addresses").alias("address"), F.col("c.sizes").alias("n"), F.col("c.payloads").alias("payload"))
     chunks.dropDuplicates(["address"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
-    ordered = encoded.select("doc_id", "n_tokens", "addresses", "sizes").repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first())
-    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "addresses").mapInArrow(lean(_recipes), RECIPE)
+    order = (F.col("doc_id").asc_nulls_first(), "n_tokens", "sum", "at")
+    ordered = encoded.select("doc_id", "n_tokens", "addresses", "sizes", F.xxhash64("addresses").alias("sum"), F.monotonically_increasing_id().alias("at"))
+    ordered = ordered.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).drop("sum", "at").mapInArrow(lean(_recipes), RECIPE)
     ordered.write.option("compression", "zstd").parquet(f"{path}/recipes")
     _block_roots(spark.read.schema(RECIPE).parquet(f"{path}/recipes")).write.parquet(f"{path}/blocks")
     rows = _manifest_rows(_part_rows(spark.read.schema(BLOCKS).parquet(f"{path}/blocks")), width)

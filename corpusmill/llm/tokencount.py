@@ -4,8 +4,10 @@ Pre-tokens are held as one ragged array of symbols.  In each round every sequenc
 and merges all its occurrences, left to right, at once; sequences without a known pair leave with their length.
 Each distinct piece of text is counted once a worker (see ``encode.Pieces``).
 
-Nulls and empty texts count 0; repeated rows count alike; a text of any length is whole (its longest pre-token is
-held in memory).  ``doc_id`` and ``text`` are the only columns read.
+Nulls and empty texts count 0; repeated rows count alike, whatever their doc_id; a text of any length is whole (its
+longest pre-token is held in memory).  Ties: of pairs of one rank the first occurrence merges first.  An empty table gives
+no rows.  ``doc_id`` and ``text`` are the only columns read, so names never clash.  A file with another model, normaliser
+or pre-tokenizer than the plain byte-level one raises.
 """
 
 from __future__ import annotations
@@ -27,6 +29,18 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 NONE = np.int64(1 << 40)
 
 
+def _known(spec: dict, name: str) -> None:
+    """Raise unless a tokenizer file is byte-level BPE as this merger counts it."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    odd += [] if model.get("type", "BPE") == "BPE" else ["model"]
+    odd += ["normalizer"] if spec.get("normalizer") else []
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        odd.append("pre_tokenizer")
+    if odd:
+        raise ValueError(f"{name} is not plain byte-level BPE: {', '.join(odd)}")
+
+
 class Merger:
     """Counts the tokens of pre-tokens by the merge ranks of a byte-level BPE file."""
 
@@ -37,6 +51,7 @@ class Merger:
 
         with open(tokenizer_path(name), encoding="utf-8") as f:
             spec = json.load(f)
+        _known(spec, name)
         vocab = spec["model"]["vocab"]
         self.first = np.array([vocab[s] for _, s in sorted(byte_symbols().items())], dtype=np.int64)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]

@@ -10,7 +10,8 @@
    that a box puts on the inner product; only what beats the k-th score so far comes back.
 
 A vector is copied once for each block that must visit its cell.  Where boxes tell cells apart these are few; vectors
-in all directions alike leave no box out of reach, and exact search then compares all blocks with all shards.
+in all directions alike leave no box out of reach, and exact search then compares all blocks with all shards.  A tree is
+copied once for each wave of some eight blocks that visit it.
 
 Vectors that are null, or hold a null, NaN or infinite component, take no part, as query or as candidate.  A
 repeated vec_id is a candidate once for each row; rows with the query's own vec_id are not its candidates; a query id
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .kernels import lean
 from .shared import staged
 
-SHARD, BLOCK, LEAF, CELLS, SAMPLE_BYTES = 4096, 8192, 64, 256, 16 << 20
+SHARD, BLOCK, LEAF, CELLS, WAVE, SAMPLE_BYTES = 4096, 8192, 64, 256, 8, 16 << 20
 
 
 class Tree:
@@ -122,10 +123,10 @@ def search(tree: Tree, query_ids: np.ndarray, queries: np.ndarray, best: list[li
                     break
 
 
-def scaled(vectors: DataFrame, vector: str, scale: float) -> DataFrame:
-    """id, and v: floor(scale * x) of each component as a double, of the vectors that take part."""
+def scaled(vectors: DataFrame, vector: str, scale: float, is_query: str) -> DataFrame:
+    """id, v (floor(scale * x) of each component as a double) and asks, of the vectors that take part."""
     whole = F.col("vec_id").isNotNull() & F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    return vectors.where(whole).select(F.col("vec_id").cast("long").alias("id"), F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("double")).alias("v"))
+    return vectors.where(whole).select(F.col("vec_id").cast("long").alias("id"), F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("double")).alias("v"), F.expr(is_query).alias("asks"))
 
 
 class Cells:
@@ -226,10 +227,13 @@ def _visits(boxes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
 
 
 def _searched(k: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
+    """One tree, searched for all blocks of a wave that visit it."""
+
+    def run(key: tuple, visits: pa.Table, trees: pa.Table) -> pa.Table:
         size, shard, out = key[0].as_py(), key[2].as_py(), []
-        for row in table.to_pylist():
-            tree = Tree.unpack([row[x] for x in Tree.PARTS], size)
+        rows = visits.to_pylist() if len(trees) else []
+        tree = Tree.unpack([trees.column(x)[0].as_py() for x in Tree.PARTS], size) if rows else None
+        for row in rows:
             ids, homes = (np.frombuffer(row[x], dtype=np.int64) for x in ("asked", "homes"))
             floors, v = np.frombuffer(row["floors"]), np.frombuffer(row["vectors"]).reshape(len(ids), size)
             go = np.flatnonzero(homes != shard)
@@ -244,7 +248,7 @@ def _searched(k: int):
 
 def top_k(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, scale: float = 256.0, vector: str = "embedding", shard: int = SHARD, block: int = BLOCK, cells: int = CELLS) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest inner products, ties to the smaller vec_id."""
-    base = scaled(vectors, vector, scale).withColumn("size", F.size("v")).withColumn("asks", F.expr(is_query.replace("vec_id", "id")))
+    base = scaled(vectors, vector, scale, is_query).withColumn("size", F.size("v"))
     base = staged(base.where("size > 0"), "topk-vectors")
     shape = base.agg(F.count("*").alias("n"), F.max("size").alias("size")).first()
     limit = max(64, SAMPLE_BYTES // (8 * (shape.size or 1)))
@@ -287,8 +291,12 @@ def top_k(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, sca
     visits = asked.groupBy("size", "cell", "block").applyInArrow(_visits(boxes), VISIT)
     # One row for each shard of the cell, so that a cell of many shards is joined by many tasks.
     each = visits.join(counts.select("size", "cell", "shards"), ["size", "cell"]).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards").cast("int") - 1))).drop("shards")
-    pairs = each.join(shards.select("size", "cell", "shard", *Tree.PARTS), ["size", "cell", "shard"])
-    more = pairs.groupBy("size", "cell", "shard", "block").applyInArrow(_searched(k), "query_id long, vec_id long, score long")
+    # A tree is copied once for a wave of some WAVE blocks, not for each block.
+    total = counts.agg(F.sum("blocks").alias("n")).first().n or 0
+    each = each.withColumn("wave", F.pmod(F.xxhash64("block"), F.lit(-(-total // WAVE) or 1)))
+    keys = ["size", "cell", "shard", "wave"]
+    trees = shards.select("size", "cell", "shard", *Tree.PARTS).join(each.select(*[F.col(c).alias(c) for c in keys]).distinct(), ["size", "cell", "shard"])
+    more = each.groupBy(*keys).cogroup(trees.groupBy(*keys)).applyInArrow(_searched(k), "query_id long, vec_id long, score long")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

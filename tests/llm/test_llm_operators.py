@@ -597,3 +597,70 @@ def test_containment_of_unequal_texts():
     assert sketch.containment(part, whole) == 1 and abs(sketch.containment(whole, part) - 0.15) < 0.05
     found = [sketch.containment(sketch.sketch(" ".join(words[i : i + 12])), whole) for i in range(0, 2000, 50)]
     assert set(found) <= {1.0, None}  # never a false zero
+
+
+def test_op5_rows_under_one_id(spark, duck):
+    """Rows that share an id, or have none, are decided one by one."""
+    import duckdb
+    import random
+
+    rng = random.Random(3)
+    text = lambda: " ".join("w" * rng.randrange(1, 5) for _ in range(rng.randrange(0, 60)))
+    rows = [(None, text(), "a") for _ in range(200)] + [(7, text(), "b") for _ in range(200)] + [(i, text(), "z") for i in range(200)]
+    rows += [(9, "one two three four five", "c")] * 900 + [(i, "x y z", None) for i in range(100)] + [(None, None, "d"), (None, "", "d")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    got = mixing.mix_digest(table).toPandas()
+    con, frame = duckdb.connect(), table.toPandas()
+    frame["doc_id"] = frame["doc_id"].astype("Int64")
+    con.register("documents", frame)
+    assert rows_of(got) == rows_of(con.sql(mixing.DIGEST_SQL).df())
+    mixed = mixing.pareto_mix(table).collect()
+    for source in {r[2] for r in rows}:
+        mine = [r for r in mixed if r.source == source]
+        taken, most = sum(r.mix_copies * r.mix_size for r in mine), max(r.mix_size for r in mine)
+        assert abs(taken - mine[0].mix_target) <= most / 2 + 1e-6
+    assert sorted(got["taken"]) == sorted(r.mix_copies * r.mix_size for r in mixed)
+    partly = {r.mix_copies for r in mixed if r.source == "c"}
+    assert len(partly) == 2  # of 900 equal rows some are taken once more
+
+
+def test_op2_one_id_spreads_and_width_is_checked(spark, docs):
+    from pyspark.sql import functions as F
+
+    one = docs.select(F.lit(5).cast("long").alias("doc_id"), "text")
+    path = new_path(spark, "store")
+    store.write(one, path)
+    parts = [r.documents for r in store.manifest(spark, path).collect()]
+    assert len(parts) == 4 and max(parts) < 0.5 * sum(parts) and store.digest(spark, path).count() == one.count()
+    with pytest.raises(Exception, match="does not fit 1 bytes"):
+        store.write(one, new_path(spark, "store"), width=1)
+
+
+def test_op7_refuses_other_kinds_of_files():
+    with pytest.raises(ValueError, match="end_of_word_suffix, normalizer, pre_tokenizer"):
+        tokencount.Merger("word_bpe_49k.json")
+
+
+def test_op9_condition_on_other_columns(spark):
+    rows = [(i, [float(i % 7), 1.0], i % 3) for i in range(30)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, my_vec_id long")
+    got = {(r.query_id, r.rank): r.vec_id for r in topk.top_k(table, is_query="my_vec_id = 0", k=2, shard=4, block=3, cells=4).collect()}
+    want = {}
+    for i, v, m in rows:
+        if m == 0:
+            best = sorted((-(int(256 * v[0]) * int(256 * w[0]) + 256 * 256), j) for j, w, _ in rows if j != i)[:2]
+            want |= {(i, k + 1): j for k, (_, j) in enumerate(best)}
+    assert got == want
+
+
+def test_op10_one_id_is_divided(spark, docs):
+    from pyspark.sql import functions as F
+
+    half = docs.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit(100)).otherwise(F.col("doc_id")))
+    splits = sketch._splits(half.select("doc_id", F.xxhash64("text").alias("t")), 8)
+    assert sum(splits[1] == 100) >= 4
+    got = [tuple(r) for r in sketch.fingerprints(half).select("doc_id", "edited_sha256", "fingerprint").collect()]
+    order = sorted((r.doc_id, r.t, r.text) for r in half.select("doc_id", "text", F.xxhash64("text").alias("t")).collect())
+    after = [t for _, _, t in order[1:]] + [order[0][2]]
+    want = [(i, hashlib.sha256(sketch.edit(a, b).encode()).hexdigest(), sketch.hexadecimal(sketch.sketch(a))) for (i, _, a), b in zip(order, after)]
+    assert sorted(got) == sorted(want)
