@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -12,10 +13,12 @@ from pyspark.sql import functions as F
 #: Elements without an end tag, and those whose text is not shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = ("script", "style")
-NODE = "page_id long, node_id int, parent_id int, depth int, path array<int>, tag string, elem_id string, classes array<string>, attrs map<string,string>, text string"
+NODE = "page_id long, node_id int, last_id int, parent_id int, depth int, tag string, elem_id string, classes array<string>, attrs map<string,string>, text string"
 
 
 class _Rows(HTMLParser):
+    """Elements in preorder; an element's descendants are the numbers after its own up to its last."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.rows: list[list] = []
@@ -23,9 +26,9 @@ class _Rows(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         parent = self.open[-1] if self.open else None
-        path = ([*self.rows[parent][3], len(self.rows)]) if parent is not None else [len(self.rows)]
+        depth = self.rows[parent][3] + 1 if parent is not None else 0
         own = {k: v or "" for k, v in attrs}
-        self.rows.append([len(self.rows), parent, len(path) - 1, path, tag, own.get("id"), own.get("class", "").split(), own, []])
+        self.rows.append([len(self.rows), len(self.rows), parent, depth, tag, own.get("id"), own.get("class", "").split(), own, []])
         if tag not in VOID:
             self.open.append(len(self.rows) - 1)
 
@@ -49,11 +52,16 @@ def tree_rows(html: str | None) -> list[list]:
     parser = _Rows()
     parser.feed(html or "")
     parser.close()
+    for row in reversed(parser.rows):  # parents come before their children
+        if row[2] is not None:
+            up = parser.rows[row[2]]
+            up[1] = max(up[1], row[1])
     return [[*r[:8], " ".join("".join(r[8]).split())] for r in parser.rows]
 
 
 def html_nodes(pages: DataFrame) -> DataFrame:
-    """A row for each element of each page; an element's path holds its ancestors, so 'inside' is a prefix test."""
+    """A row for each element of each page, numbered in preorder, with the number of its last descendant: 'inside' is a
+    test of intervals, whatever the depth."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -66,15 +74,70 @@ def html_nodes(pages: DataFrame) -> DataFrame:
 
 
 def inside(nodes: DataFrame, ancestors: DataFrame) -> DataFrame:
-    """Nodes of a page that stand inside one of the given nodes."""
-    up = nodes.withColumn("up", F.explode(F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(1))))).where("up <> node_id")
-    return up.join(ancestors.select("page_id", F.col("node_id").alias("up")), ["page_id", "up"], "left_semi").drop("up").dropDuplicates(["page_id", "node_id"])
-
-
-def text_of(nodes: DataFrame) -> DataFrame:
-    """page_id, node_id and all text shown inside each node, in document order; scripts and styles are not shown."""
-    up = nodes.where(F.col("text") != "").where(~F.col("tag").isin(*HIDDEN)).select("page_id", F.col("node_id").alias("at"), "text", F.explode("path").alias("node_id"))
-    return up.groupBy("page_id", "node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), " ").alias("whole"))
+    """Nodes of a page that stand inside one of the given nodes.
+
+    One pass over each page in preorder: intervals nest or lie apart, so a node is inside one of the given nodes before it
+    if the greatest of their last numbers is not below its own.  Neither depth nor nesting makes it dearer."""
+    tops = ancestors.select("page_id", "node_id", F.col("last_id").alias("top_"), F.lit(True).alias("is_top_"))
+    both = nodes.withColumn("is_top_", F.lit(False)).unionByName(tops, allowMissingColumns=True)
+    before = Window.partitionBy("page_id").orderBy("node_id", "is_top_").rowsBetween(Window.unboundedPreceding, -1)
+    marked = both.withColumn("reach_", F.max("top_").over(before))
+    return marked.where(~F.col("is_top_") & (F.col("reach_") >= F.col("node_id"))).select(*nodes.columns)
+
+
+def holders(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """page_id, node_id, holder: of each inner node that stands in one of the outer nodes (of which none holds another) the
+    number of that one, by the same pass."""
+    both = outer.select("page_id", "node_id", F.struct("node_id", "last_id").alias("o"), F.lit(False).alias("asks"))
+    both = both.unionByName(inner.select("page_id", "node_id", F.lit(True).alias("asks")), allowMissingColumns=True)
+    upto = Window.partitionBy("page_id").orderBy("node_id", F.desc("asks")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("o", F.last("o", ignorenulls=True).over(upto))
+    return both.where(F.col("asks") & (F.col("o.node_id") < F.col("node_id")) & (F.col("o.last_id") >= F.col("node_id"))).select("page_id", "node_id", F.col("o.node_id").alias("holder"))
+
+
+def text_of(nodes: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """page_id, node_id and all text shown inside each node (or each of ``asked``) that has any, in document order; scripts
+    and styles are not shown.
+
+    A page's text is put together once; what a node holds is the stretch of it from the node's own number to its last."""
+    shown = F.when((F.col("text") != "") & ~F.col("tag").isin(*HIDDEN), F.col("text"))
+    size = F.coalesce(F.length(shown) + 1, F.lit(0))
+    upto = Window.partitionBy("page_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    places = nodes.select("page_id", "node_id", "last_id", size.alias("size"), F.sum(size).over(upto).alias("end"))
+    page = nodes.where(shown.isNotNull()).groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda x: x["text"]), " ").alias("all"))
+    starts = places.select("page_id", "node_id", "last_id", (F.col("end") - F.col("size")).alias("begin"))
+    if asked is not None:
+        starts = starts.join(asked.select("page_id", "node_id"), ["page_id", "node_id"], "left_semi")
+    whole = starts.join(places.select("page_id", F.col("node_id").alias("last_id"), "end"), ["page_id", "last_id"]).where(F.col("end") > F.col("begin"))
+    return whole.join(page, "page_id").select("page_id", "node_id", F.substr("all", F.col("begin").cast("int") + 1, (F.col("end") - F.col("begin") - 1).cast("int")).alias("whole"))
+
+
+def step(nodes: DataFrame, simple: str) -> DataFrame:
+    """Nodes of a simple selector: tag, #id and .class in one word, * for any."""
+    tag, marks = re.match(r"[^#.]*", simple)[0], re.findall(r"([#.])([^#.]+)", simple)
+    if tag not in ("", "*"):
+        nodes = nodes.where(F.col("tag") == tag)
+    for kind, name in marks:
+        nodes = nodes.where(F.col("elem_id") == name) if kind == "#" else with_class(nodes, name)
+    return nodes
+
+
+def select(nodes: DataFrame, chain: str) -> DataFrame:
+    """Nodes of a chain of simple selectors: 'a b' for b inside a, 'a > b' for b as a child of a.  Each link is one join or
+    one pass over the pages."""
+    found, child = None, False
+    for word in chain.split():
+        if word == ">":
+            child = True
+            continue
+        if found is None:
+            found = step(nodes, word)
+        elif child:
+            found = step(nodes, word).join(found.select("page_id", F.col("node_id").alias("parent_id")), ["page_id", "parent_id"], "left_semi").select(*nodes.columns)
+        else:
+            found = step(inside(nodes, found), word)
+        child = False
+    return found
 
 
 def is_external(url: Column) -> Column:
@@ -190,8 +253,10 @@ def reference_items(nodes: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("page_id").orderBy("node_id"))
     at = lambda name: F.trim(F.coalesce(F.element_at("attrs", F.lit(name)), F.lit("")))
     items = items.select("page_id", "node_id", place.alias("position"), "elem_id", F.regexp_extract(F.coalesce("elem_id", F.lit("")), r"^ref-(\d+)$", 1).try_cast("int").alias("number"), F.lower(at("data-kind")).alias("kind"), at("data-id").alias("ref_id"))
-    spans = with_class(nodes.where("tag = 'span'"), "ref-title").select("page_id", F.col("node_id").alias("span"), F.explode("path").alias("node_id"))
-    title = spans.groupBy("page_id", "node_id").agg(F.min("span").alias("span")).join(text_of(nodes).select("page_id", F.col("node_id").alias("span"), "whole"), ["page_id", "span"], "left")
+    spans = with_class(nodes.where("tag = 'span'"), "ref-title")
+    own = holders(spans, nodes.join(items.select("page_id", "node_id"), ["page_id", "node_id"], "left_semi"))
+    title = own.groupBy("page_id", F.col("holder").alias("node_id")).agg(F.min("node_id").alias("span"))
+    title = title.join(text_of(nodes, spans).withColumnRenamed("node_id", "span"), ["page_id", "span"], "left")
     return items.join(title.select("page_id", "node_id", F.col("whole").alias("title")), ["page_id", "node_id"], "left")
 
 
@@ -214,8 +279,9 @@ def citation_closure(items: DataFrame, links: DataFrame, section_nodes: DataFram
 def item_links(nodes: DataFrame, items: DataFrame) -> DataFrame:
     """page_id, node_id, links (in order) of list items."""
     href = F.element_at("attrs", F.lit("href"))
-    up = nodes.where((F.col("tag") == "a") & href.isNotNull()).select("page_id", F.col("node_id").alias("at"), href.alias("href"), F.explode("path").alias("node_id"))
-    own = up.join(items.select("page_id", "node_id"), ["page_id", "node_id"], "left_semi")
+    links = nodes.where((F.col("tag") == "a") & href.isNotNull())
+    at = holders(links, nodes.join(items.select("page_id", "node_id"), ["page_id", "node_id"], "left_semi"))
+    own = at.join(links.select("page_id", "node_id", href.alias("href")), ["page_id", "node_id"]).select("page_id", F.col("holder").alias("node_id"), F.col("node_id").alias("at"), "href")
     return own.groupBy("page_id", "node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "href"))), lambda x: x["href"]).alias("links"))
 
 

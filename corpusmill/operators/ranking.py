@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..deploy import kept
+
 
 def top_per_group(rows: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each group, with their rank; Spark limits each task to k rows a group before the shuffle."""
@@ -21,27 +24,64 @@ def hash_sample(rows: DataFrame, group: list[str], id_: str, seed: int, k: int)
     return top_per_group(rows.withColumn("draw", F.md5(F.concat_ws("|", F.col(id_).cast("string"), F.lit(str(seed))))), group, [F.col("draw"), F.col(id_)], k).drop("draw")
 
 
-def twister_sample(rows: DataFrame, group: str, id_: str, seed: int, k: int) -> DataFrame:
-    """Python's random.Random(seed).sample over the group's sorted ids: bit-exact.  Ids alone go to the group's
-    task: the generator draws places in the whole sorted list, so a group of ids must fit in memory."""
+class Ranks:
+    """Rows of each group in ascending order of id, by range partitions: no task holds a group.  Rows are written once with
+    their partition and place in it; ``counts`` has a row for each group and partition that it lies in."""
 
-    def draw(part: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(part["id"].tolist())
-        chosen = random.Random(seed).sample(ids, min(k, len(ids)))
-        return pd.DataFrame({"group": part["group"].iloc[0], "place": range(1, len(chosen) + 1), "id": chosen})
+    def __init__(self, rows: DataFrame, group: str, id_: str):
+        rows = rows.where(F.col(id_).isNotNull()).select(F.col(group).alias("group"), F.col(id_).alias("id"))
+        order = (F.col("group").asc_nulls_first(), "id")
+        # The third key divides even one id that very many rows repeat.
+        dealt = rows.withColumn("spread", F.monotonically_increasing_id()).repartitionByRange(*order, "spread").sortWithinPartitions(*order)
+        place = F.monotonically_increasing_id()
+        self.rows = kept(dealt.select("group", "id", F.shiftright(place, 33).alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("place")), "ranks")
+        counts = self.rows.groupBy("group", "part").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+        self.counts = counts.withColumn("before", F.sum("n").over(Window.partitionBy("group").orderBy("part")) - F.col("n"))
 
-    return rows.select(F.col(group).alias("group"), F.col(id_).alias("id")).groupBy("group").applyInPandas(draw, "group string, place int, id long")
+    def sizes(self) -> DataFrame:
+        return self.counts.groupBy("group").agg(F.sum("n").alias("n"))
 
+    def at(self, wanted: DataFrame) -> DataFrame:
+        """group, place, id of the rows at ``rank`` (from 0) of ``wanted`` (group, place, rank)."""
+        c, w = self.counts.alias("c"), wanted.alias("w")
+        inside = F.col("w.group").eqNullSafe(F.col("c.group")) & (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))
+        spots = w.join(c, inside).select("w.place", "c.part", (F.col("first") + F.col("rank") - F.col("before")).alias("spot"))
+        rows = self.rows.select("group", "id", "part", F.col("place").alias("spot"))
+        return rows.join(spots, ["part", "spot"]).select("group", "place", "id")
 
-def twister_shuffle(rows: DataFrame, group: str, id_: str, seed: int, k: int) -> DataFrame:
-    """The first k of random.Random(seed).shuffle over the group's sorted ids: bit-exact, bounds as in twister_sample."""
 
-    def draw(part: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(part["id"].tolist())
-        random.Random(seed).shuffle(ids)
-        return pd.DataFrame({"group": part["group"].iloc[0], "place": range(1, len(ids[:k]) + 1), "id": ids[:k]})
+def _drawn(sizes: DataFrame, draw: Callable[[int], list[int]]) -> DataFrame:
+    """group, place, rank: what ``draw`` makes of each group's count, in tasks that hold no rows of it."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for group, n in zip(frame["group"], frame["n"]):
+                ranks = draw(int(n))
+                yield pd.DataFrame({"group": [group] * len(ranks), "place": range(1, len(ranks) + 1), "rank": ranks})
 
-    return rows.select(F.col(group).alias("group"), F.col(id_).alias("id")).groupBy("group").applyInPandas(draw, "group string, place int, id long")
+    return sizes.mapInPandas(run, f"group {sizes.schema['group'].dataType.simpleString()}, place int, rank long")
+
+
+def twister_sample(rows: DataFrame, group: str, id_: str, seed: int, k: int) -> DataFrame:
+    """group, place, id: Python's random.Random(seed).sample over each group's sorted ids, bit for bit.
+
+    The generator draws places of the sorted list, so it is run on the group's count alone, and only the rows at the k
+    places drawn are fetched.  Repeated ids are rows of their own, null ids are left out, null is a group."""
+    ranks = Ranks(rows, group, id_)
+    return ranks.at(_drawn(ranks.sizes(), lambda n: random.Random(seed).sample(range(n), min(k, n))))
+
+
+def _shuffled(n: int, seed: int, k: int) -> list[int]:
+    places = array("q", range(n))
+    random.Random(seed).shuffle(places)
+    return places[:k].tolist()
+
+
+def twister_shuffle(rows: DataFrame, group: str, id_: str, seed: int, k: int) -> DataFrame:
+    """The first k of random.Random(seed).shuffle over each group's sorted ids, bit for bit, as in twister_sample.  A
+    shuffle draws as often as the group has rows, one after the other: its task holds eight bytes a row, and no ids."""
+    ranks = Ranks(rows, group, id_)
+    return ranks.at(_drawn(ranks.sizes(), lambda n: _shuffled(n, seed, k)))
 
 
 def greedy_exemplars(candidates: DataFrame, k: int = 3, pool: DataFrame | None = None, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:

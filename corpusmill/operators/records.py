@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
@@ -108,6 +108,24 @@ def resolve(refs: DataFrame, lookups: dict[str, list[DataFrame]]) -> DataFrame:
     return out
 
 
+def variant_fields(rows: DataFrame, column: str, fields: dict[str, tuple[str, str, bool]]) -> DataFrame:
+    """``rows`` with ``parsed`` (the JSON text is well formed) and, of each field, its value and ``wrong_<field>``.
+
+    fields: name -> (path, type, strict).  The text is parsed once into a variant, whatever its source's shape; a path that
+    is missing or null gives null, a value that does not fit the type gives null and is marked wrong.  A strict field
+    takes no value of another kind (text that holds a number), the others take what can be cast."""
+    held = rows.withColumn("variant_", F.try_parse_json(column))
+    out = [F.col(c) for c in rows.columns] + [F.col("variant_").isNotNull().alias("parsed")]
+    for name, (path, kind, strict) in fields.items():
+        value, there = F.try_variant_get("variant_", path, kind), F.try_variant_get("variant_", path, "variant")
+        if strict:
+            same = F.schema_of_variant(there).isin("STRING", "BOOLEAN") if kind != "string" else ~F.schema_of_variant(there).eqNullSafe("STRING")
+            value = F.when(~same, value)
+        present = there.isNotNull() & ~F.is_variant_null(F.coalesce(there, F.parse_json(F.lit("null"))))
+        out += [value.alias(name), F.coalesce(present & value.isNull(), F.lit(False)).alias(f"wrong_{name}")]
+    return held.select(*out)
+
+
 def escape(text: Column) -> Column:
     out = F.coalesce(text, F.lit(""))
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
@@ -125,12 +143,20 @@ def reference_item(number: Column, title: Column, link: Column) -> Column:
     return F.concat(F.lit('<li id="ref-'), n, F.lit('">'), closing_period(escape(title)), F.lit(' <a href="'), escape(link), F.lit('">'), escape(link), F.lit("</a></li>"))
 
 
+def few(rows: DataFrame, limit: int) -> list[Row]:
+    """The rows of a result that is meant to be read whole; more than ``limit`` raise, none is left out in silence."""
+    found = rows.limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"over {limit} rows of {', '.join(rows.columns)}: too many for one report")
+    return found
+
+
 def report_page(template: str, title: str, tables: dict[str, DataFrame], limit: int = 1000) -> str:
-    """The template with {{title}} and {{name}} replaced; tables are small results, ``limit`` rows of each at most."""
+    """The template with {{title}} and {{name}} replaced; tables are small results: more than ``limit`` rows of one raise."""
     page = template.replace("{{title}}", html.escape(title))
     for name, df in tables.items():
         head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
-        body = "".join("<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in r) + "</tr>" for r in df.limit(limit).collect())
+        body = "".join("<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in r) + "</tr>" for r in few(df, limit))
         page = page.replace("{{" + name + "}}", f"<table><tr>{head}</tr>{body}</table>".replace("</script", "<\\/script"))
     return page
 
@@ -153,29 +179,30 @@ def _rounded(c: Column, kind: DataType, digits: int) -> Column:
 
 
 def document(sections: dict[str, DataFrame], texts: dict[str, str] | None = None, limit: int = 10_000) -> str:
-    """One JSON document of small result tables and static texts: what an analysis publishes."""
+    """One JSON document of small result tables and static texts: what an analysis publishes.  A section of more than
+    ``limit`` rows raises."""
     out: dict[str, object] = dict(texts or {})
     for name, df in sections.items():
-        out[name] = [json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).limit(limit).collect()]
+        out[name] = [json.loads(r[0]) for r in few(df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias(name)), limit)]
     return json.dumps(out, ensure_ascii=False, indent=1)
 
 
 def markdown_table(rows: DataFrame, limit: int = 1000) -> str:
-    cells = [[("" if v is None else str(v)).replace("|", "\\|") for v in r] for r in rows.limit(limit).collect()]
+    cells = [[("" if v is None else str(v)).replace("|", "\\|") for v in r] for r in few(rows, limit)]
     return "\n".join("| " + " | ".join(r) + " |" for r in [rows.columns, ["---"] * len(rows.columns), *cells])
 
 
 def registry_markdown(title: str, note: str, rows: DataFrame, heading: str, limit: int = 1000) -> str:
     """A registry as Markdown: a title, a note, and a section for each row with its fields as bullets."""
     parts = [f"# {title}", note]
-    for r in rows.limit(limit).collect():
+    for r in few(rows, limit):
         parts.append("\n".join([f"## {r[heading]}", *[f"- {k}: {v}" for k, v in r.asDict().items() if k != heading and v is not None]]))
     return "\n\n".join(parts) + "\n"
 
 
 def console_table(rows: DataFrame, limit: int = 100) -> str:
     """Columns of even width, numbers to the right."""
-    found = rows.limit(limit).collect()
+    found = few(rows, limit)
     cells = [[("-" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)) for v in r] for r in found]
     right = [bool(found) and all(isinstance(r[i], int | float) or r[i] is None for r in found) for i in range(len(rows.columns))]
     widths = [max(map(len, column)) for column in zip(rows.columns, *cells)]

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .common import Query
 
-MODULES = ("shares", "labels", "methods", "texts", "merges", "reviews", "records", "pages", "corpus", "flows")
+MODULES = ("shares", "labels", "methods", "texts", "merges", "reviews", "records", "pages", "corpus", "flows", "links")
 
 
 def _registries():

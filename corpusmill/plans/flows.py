@@ -42,12 +42,26 @@ def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_trip(spark, table(spark, sf_dir, "documents"))
 
 
-@registry.add("SELECT o_orderstatus AS server, count(*) AS n FROM orders GROUP BY 1")
-def partition_pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A label table partitioned by server; each scan reads its partitions alone."""
+def _label_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as labels, partitioned by region of the customer's number, and by status within."""
     path = scratch(spark, "labels")
-    table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("server")).write.partitionBy("server").parquet(path)
-    return spark.read.schema("o_orderkey long, server string").parquet(path).where("server IN ('F', 'O', 'P')").groupBy("server").agg(F.count("*").alias("n"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"), (F.col("o_custkey") % 5).cast("int").alias("region"), F.col("o_orderstatus").alias("status"))
+    o.repartition("region", "status").write.partitionBy("region", "status").parquet(path)
+    return spark.read.schema("o_orderkey long, year int, region int, status string").parquet(path)
+
+
+@registry.add("SELECT o_custkey % 5 AS region, year(o_orderdate) AS year, count(*) AS n FROM orders WHERE o_orderstatus = 'P' AND o_custkey % 5 = 2 AND year(o_orderdate) >= 1996 GROUP BY ALL")
+def partition_pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of one server that are in scope: of the partitions only its own is read, and the year goes to the scan."""
+    rows = _label_table(spark, sf_dir).where("region = 2 AND status = 'P' AND year >= 1996")
+    return rows.groupBy("region", "year").agg(F.count("*").alias("n"))
+
+
+@registry.add("SELECT r_name AS name, o_orderstatus AS status, count(*) AS n FROM orders JOIN region ON r_regionkey = o_custkey % 5 WHERE r_name LIKE 'A%' GROUP BY ALL")
+def dynamic_pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which partitions are read is known only from a small table: its filter prunes the scan while it runs."""
+    r = table(spark, sf_dir, "region").where("r_name LIKE 'A%'").select(F.col("r_regionkey").cast("int").alias("region"), F.col("r_name").alias("name"))
+    return _label_table(spark, sf_dir).join(r, "region").groupBy("name", "status").agg(F.count("*").alias("n"))
 
 
 @registry.add("SELECT string_agg(n_name, ', ' ORDER BY n_nationkey) AS names, n_regionkey AS region FROM nation GROUP BY 2")

@@ -22,13 +22,32 @@ def html_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.html_nodes(pages(spark, sf_dir))
 
 
+_SIMPLE = "regexp_replace(regexp_replace(html, '<(script|style)>.*?</(script|style)>', '', 'gs'), '<!--.*?-->', '', 'gs')"
+
+
+@registry.add(
+    f"""WITH p AS (SELECT page_id, coalesce({_SIMPLE}, '') AS h FROM pages), n AS (SELECT page_id, regexp_extract(h, '<nav>(.*?)</nav>', 1, 's') AS nav, regexp_extract(h, '<article>(.*?)</article>', 1, 's') AS art FROM p)
+SELECT page_id, len(regexp_extract_all(nav, '<li>')) AS items, len(regexp_extract_all(nav, '<a ')) AS links, len(regexp_extract_all(art, '<h1>')) AS heads, len(regexp_extract_all(art, '<(p|b|br|h1)>')) AS inner_nodes FROM n"""
+)
+def selector_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements by chains of selectors, child and descendant steps, in one numbering of the pages."""
+    path = scratch(spark, "nodes")
+    M.html_nodes(pages(spark, sf_dir)).write.parquet(path)  # read once a chain
+    n = spark.read.parquet(path)
+    chains = {"items": "nav > ul > li", "links": "body nav a", "heads": "article > h1", "inner_nodes": "html article *"}
+    found = [M.select(n, c).select("page_id", F.lit(k).alias("chain")) for k, c in chains.items()]
+    every = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+    counts = every.groupBy("page_id").agg(*[F.count_if(F.col("chain") == k).alias(k) for k in chains])
+    return table(spark, sf_dir, "pages").select("page_id").join(counts, "page_id", "left").fillna(0)
+
+
 @registry.add()
 def html_article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text of the article elements, and the nodes inside them."""
     n = M.html_nodes(pages(spark, sf_dir))
     articles = n.where("tag = 'article'")
     inner = M.inside(n, articles).groupBy("page_id").agg(F.count("*").alias("nodes"))
-    text = M.text_of(n).join(articles.select("page_id", "node_id"), ["page_id", "node_id"], "left_semi")
+    text = M.text_of(n, articles)
     return text.join(inner, "page_id", "left").select("page_id", "node_id", "whole", "nodes")
 
 

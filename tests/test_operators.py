@@ -13,7 +13,7 @@ def test_html(spark):
     nodes = markup.html_nodes(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string"))
     rows = {r.node_id: r for r in nodes.collect()}
     assert [rows[i].tag for i in range(len(rows))] == ["html", "body", "div", "p", "b", "br", "p"]
-    assert rows[2].classes == ["x", "y"] and rows[2].elem_id == "a" and rows[4].path == [0, 1, 2, 3, 4]
+    assert rows[2].classes == ["x", "y"] and rows[2].elem_id == "a" and (rows[4].depth, rows[2].last_id, rows[0].last_id) == (4, 5, 6)
     inner = markup.inside(nodes, nodes.where("elem_id = 'a'"))
     assert sorted(r.node_id for r in inner.collect()) == [3, 4, 5]
     whole = {r.node_id: r.whole for r in markup.text_of(nodes).collect()}
