@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..deploy import kept
 from ..functions import stats
 
 
@@ -75,19 +76,38 @@ def index_matches(index: DataFrame, queries: DataFrame, id_: str, norm: str, tok
     return exact.unionByName(near.select("query", "match", F.lit("near").alias("how"), "jaccard"))
 
 
-def title_search(queries: DataFrame, index: DataFrame, id_: str, tokens: str, k: int = 3, common: int = 1000) -> DataFrame:
-    """query, match, shared, rank: the k index titles that share most words with each query, more by Jaccard, then by id,
-    among those that share a word which at most ``common`` titles have: a search by keywords, where a word that every
-    title has finds nothing on its own."""
-    q = queries.select(F.col(id_).alias("query"), F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t))).alias("asked"))
-    held = index.select(F.col(id_).alias("match"), F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t))).alias("held"))
-    flat = held.select("match", F.explode("held").alias("token"))
-    rare = flat.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") <= common).select("token")
-    pairs = q.select("query", F.explode("asked").alias("token")).join(rare, "token").join(flat, "token").select("query", "match").distinct()
-    both = pairs.where("query <> match").join(q, "query").join(held, "match")
-    both = both.select("query", "match", F.size(F.array_intersect("asked", "held")).alias("shared"), stats.set_jaccard(F.col("asked"), F.col("held")).alias("jaccard"))
-    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("shared"), F.desc("jaccard"), "match"))
-    return both.withColumn("rank", best).where(F.col("rank") <= k).drop("jaccard")
+def title_search(queries: DataFrame, index: DataFrame, id_: str, tokens: str, k: int = 3, least: float = 0.5, others: bool = False) -> DataFrame:
+    """query, match, shared, rank: the k index titles most like each query, more words in common first, then by Jaccard, then
+    by id, of those whose Jaccard similarity is at least ``least``; exact, whatever words are frequent.
+
+    Equal titles (as sets of words) are one, which its least id stands for, on both sides; with ``others`` a title is not
+    its own match.  Two titles as similar share one of their n - ceil(least n) + 1 rarest words, so only those meet.  A
+    title without words has no match."""
+    own = F.array_sort(F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t))))
+    asks = queries.select(F.col(id_).alias("query"), own.alias("own")).where(F.size("own") > 0)
+    held = index.select(F.col(id_).alias("match"), own.alias("own")).where(F.size("own") > 0).groupBy("own").agg(F.min("match").alias("match"))
+    titles = asks.select("own", F.lit(None).alias("match")).distinct().unionByName(held)
+    flat = titles.groupBy("own").agg(F.max("match").alias("match"), F.count_if(F.col("match").isNull()).alias("asked")).withColumn("id", F.xxhash64("own"))
+    flat = kept(flat.select("id", "own", "match", (F.col("asked") > 0).alias("asked")), "titles")
+    words = flat.select("id", F.explode("own").alias("token"))
+    df = words.groupBy("token").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
+    n = F.size("own")
+    rare = words.join(df, "token").withColumn("place", rank).join(flat.select("id", n.alias("n"), "match", "asked"), "id")
+    rare = rare.where(F.col("place") <= stats.prefix_length(F.col("n"), least)).select("id", "token", "n", "match", "asked", "place")
+    q = rare.where("asked").select(F.col("id").alias("q"), "token", F.col("n").alias("qn"), F.col("place").alias("i"))
+    m = rare.where("match IS NOT NULL").select(F.col("id").alias("m"), "token", F.col("n").alias("mn"), F.col("place").alias("j"))
+    room = 1 + F.least(F.col("qn") - F.col("i"), F.col("mn") - F.col("j"))
+    needed = F.ceil((F.col("qn") + F.col("mn")) * F.lit(least / (1 + least)) - 1e-9)
+    pairs = q.join(m, "token").where(F.least("qn", "mn") >= F.greatest("qn", "mn") * F.lit(least) - 1e-9)
+    if others:
+        pairs = pairs.where("q <> m")
+    pairs = pairs.groupBy("q", "m").agg(F.max(room + F.least("i", "j") - 1).alias("most"), F.first(needed).alias("needed")).where("most >= needed").select("q", "m")
+    a, b = flat.select(F.col("id").alias("q"), F.col("own").alias("asked_")), flat.select(F.col("id").alias("m"), F.col("own").alias("held_"), "match")
+    both = pairs.join(a, "q").join(b, "m").select("q", "match", F.size(F.array_intersect("asked_", "held_")).alias("shared"), stats.set_jaccard(F.col("asked_"), F.col("held_")).alias("jaccard"))
+    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("shared"), F.desc("jaccard"), "match"))
+    best = both.where(F.col("jaccard") >= least - 1e-12).withColumn("rank", best).where(F.col("rank") <= k)
+    return asks.withColumn("q", F.xxhash64("own")).join(best, "q").select("query", "match", "shared", "rank")
 
 
 def overlap(queries: DataFrame, index: DataFrame, id_: str, declared: str, norm: str, tokens: str) -> DataFrame:

@@ -27,6 +27,7 @@ def _corpus(spark: SparkSession, sf_dir: str) -> str:
     lines = d.select(F.coalesce("source", F.lit("unknown")).alias("file"), F.when(k % 10 == 3, F.concat(F.lit("{"), good)).when(k % 10 == 7, F.lit("  ")).otherwise(good).alias("line"))
     again = d.where((k % 6 == 0) & ~(k % 10).isin(3, 7)).select(F.lit("zz").alias("file"), F.to_json(F.struct(fields[0], F.coalesce("source", F.lit("unknown")).alias("server"), F.lit("again").alias("title"), window.alias("window"))).alias("line"))
     jsonl.publish(lines.unionByName(again), folder, "file", text=True)
+    folder = jsonl.published(spark, folder)
     lines.where(k % 10 == 3).select("line").write.text(f"{folder}/raw")
     return folder
 
@@ -80,12 +81,12 @@ def atom_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select((F.col("total") - 40).alias("region"), F.col("total").cast("int").alias("total"), "n_entries", "error", F.array_join(F.transform("entries", lambda e: e["title"]), ",").alias("titles"))
 
 
-@registry.add("WITH f AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') ORDER BY k LIMIT 200), n AS (SELECT k, (row_number() OVER (ORDER BY k) - 1) // 20 AS request FROM f) SELECT request, array_to_string(list(k ORDER BY k), ',') AS ids FROM n GROUP BY 1")
+@registry.add("WITH f AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') ORDER BY k LIMIT 200), n AS (SELECT k, (row_number() OVER (ORDER BY k) - 1) // 20 AS request FROM f) SELECT request, array_to_string(list(k ORDER BY k), ',') AS ids, (SELECT greatest(count(DISTINCT l_orderkey) - 200, 0) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')) AS left_over FROM n GROUP BY 1")
 def id_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests by id for what is cited and not known yet, twenty ids each, ten at most."""
+    """Requests by id for what is cited and not known yet, twenty ids each, ten at most, and how many ids are left."""
     cited = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"))
     known = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k"))
-    return paged.id_batches(cited, known, "k").select("request", F.array_join("ids", ",").alias("ids"))
+    return paged.id_batches(cited, known, "k").select("request", F.array_join("ids", ",").alias("ids"), "left_over")
 
 
 _PAGE, _CAP = 50, 180

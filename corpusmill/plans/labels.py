@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import phrases
 from ..functions import rules as L
 from ..functions import stats
 from ..functions import text as T
@@ -270,6 +271,23 @@ def phrase_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.size("terms") > 0).select("doc_id", F.array_join("terms", ",").alias("terms"))
 
 
+_ITEM = "array_to_string(list_slice(string_split(regexp_replace(lower(strip_accents(trim(regexp_replace(regexp_replace(text, '[-_/]', ' ', 'g'), '\\s+', ' ', 'g')))), '[^a-z0-9 ]', '', 'g'), ' '), 1, 3), ' ')"
+_FORM = "trim(regexp_replace(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[-\u2010-\u2015_/\u2212]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@registry.add(
+    f"""WITH p AS (SELECT DISTINCT trim({_ITEM}) AS phrase FROM benchmark), t AS (SELECT doc_id, {_FORM} AS t FROM documents)
+SELECT phrase, count(*) AS docs, min(doc_id) AS first FROM p JOIN t ON phrase <> '' AND contains(replace(t, ' ', ''), replace(phrase, ' ', '')) AND regexp_matches(t, '(?:^|[^a-z0-9])' || replace(phrase, ' ', '\\s?')) GROUP BY 1"""
+)
+def phrase_table_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All phrases of a table (the first three words of each item) at once, one pass over each text."""
+    bare = F.regexp_replace(T.matching_form(F.col("text")), "[^a-z0-9 ]", "")
+    items = table(spark, sf_dir, "benchmark").select(F.array_join(F.slice(F.split(bare, " "), 1, 3), " ").alias("phrase"))
+    texts = docs(spark, sf_dir).select("doc_id", T.matching_form(F.col("text")).alias("t"))
+    found = phrases.phrase_hits(texts, items, "t", "phrase")
+    return found.groupBy("phrase").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
+
+
 _TITLED = "CASE label " + " ".join(f"WHEN '{r.key}' THEN {_hit(r.pattern, 'title')}" for r in LABELS.rules) + " ELSE false END"
 _FITS = f"{_L}, t AS (SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS title FROM documents), f AS (SELECT x.*, {_TITLED} AS fits FROM x JOIN t USING (doc_id))"
 

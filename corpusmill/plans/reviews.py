@@ -147,12 +147,12 @@ def overlap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registry.add(
-    f"""WITH t AS (SELECT doc_id, source, {_TITLE} AS norm FROM documents), z AS (SELECT doc_id, source, {_WORDS} AS k FROM t), i AS (SELECT * FROM z WHERE source = 'src0'), q AS (SELECT * FROM z WHERE source = 'src1'),
-f AS (SELECT doc_id, unnest(k) AS w FROM i), c AS (SELECT w, count(*) AS df FROM f GROUP BY 1), r AS (SELECT doc_id, w FROM (SELECT doc_id, unnest(k) AS w FROM q) JOIN c USING (w) WHERE df <= 2),
-p AS (SELECT DISTINCT r.doc_id, f.doc_id AS match FROM r JOIN f USING (w)), s AS (SELECT p.doc_id AS query, p.match, len(list_intersect(q.k, i.k)) AS shared, len(q.k) AS a, len(i.k) AS b FROM p JOIN q ON q.doc_id = p.doc_id JOIN i ON i.doc_id = p.match),
-o AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY shared DESC, shared / (a + b - shared) DESC, match)::INT AS rank FROM s) SELECT query, match, shared::INT AS shared, rank FROM o WHERE rank <= 3"""
+    f"""WITH t AS (SELECT doc_id, {_TITLE} AS norm FROM documents), z AS (SELECT doc_id, list_sort({_WORDS}) AS k FROM t), d AS (SELECT k, min(doc_id) AS match FROM z WHERE len(k) > 0 GROUP BY 1),
+p AS (SELECT a.k AS k, b.match, len(list_intersect(a.k, b.k)) AS shared, len(a.k) + len(b.k) AS total FROM d a JOIN d b ON a.k <> b.k AND len(a.k) <= 2 * len(b.k) AND len(b.k) <= 2 * len(a.k)),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY shared DESC, shared / (total - shared) DESC, match)::INT AS rank FROM p WHERE 2 * shared >= total - shared)
+SELECT z.doc_id AS query, match, shared::INT AS shared, rank FROM z JOIN o USING (k) WHERE rank <= 3"""
 )
 def title_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each title of one server, the three titles of the index that share most words, by way of its rare words."""
+    """For each title the three most similar other titles of the whole table, at least half alike."""
     rows = _titles(spark, sf_dir)
-    return J.title_search(rows.where("source = 'src1'"), rows.where("source = 'src0'"), "doc_id", "tokens", 3, 2)
+    return J.title_search(rows, rows, "doc_id", "tokens", 3, 0.5, others=True)

@@ -51,31 +51,84 @@ def read_atom(spark: SparkSession, path: str) -> DataFrame:
     return read_feeds(spark, path).select(F.explode("entries").alias("e")).select("e.*")
 
 
+_CURRENT = "_current"
+
+
+def _fs(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path, path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def publish(rows: DataFrame, folder: str, by: str, text: bool = False) -> int:
-    """Write rows as JSON Lines (or their one text column as lines) into ``folder/<by>-NNNNN.jsonl``: all at once, by
-    renaming finished files, so that a reader never sees half a file.  Returns how many files there are."""
+    """Write rows as JSON Lines (or their one text column as lines) as ``<by>-NNNNN.jsonl`` files of a new version of the set
+    in ``folder``.  Returns how many files there are.
+
+    A version is a folder of its own, which no reader looks into until it is whole; then one small file that names it is
+    swapped for the old one by an atomic rename.  So a reader sees the old set or the new one, never parts of both; a
+    publication that fails leaves the old one as it was, and a smaller one leaves no file of a larger behind."""
     spark = rows.sparkSession
-    held = f"{folder}/_held-{uuid.uuid4().hex}"
-    writer = rows.write.partitionBy(by)
-    (writer.text if text else writer.json)(held)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(held).getFileSystem(spark._jsc.hadoopConfiguration())
+    path, fs = _fs(spark, folder)
+    name = f"v-{uuid.uuid4().hex}"
+    version, held = f"{folder}/{name}", f"{folder}/{name}/_held"
     n = 0
-    for part in fs.listStatus(path(held)):
-        name = part.getPath().getName()
-        if not part.isDirectory() or "=" not in name:
-            continue
-        files = sorted(str(f.getPath()) for f in fs.listStatus(part.getPath()) if not f.getPath().getName().startswith((".", "_")))
-        for i, f in enumerate(files):
-            target = path(f"{folder}/{name.partition('=')[2]}-{i:05d}.jsonl")
-            fs.delete(target, False)
-            if not fs.rename(path(f), target):
-                raise OSError(f"{f} could not be renamed")
-            n += 1
-    fs.delete(path(held), True)
+    try:
+        writer = rows.write.partitionBy(by)
+        (writer.text if text else writer.json)(held)
+        for part in fs.listStatus(path(held)):
+            value = part.getPath().getName()
+            if not part.isDirectory() or "=" not in value:
+                continue
+            files = sorted(str(f.getPath()) for f in fs.listStatus(part.getPath()) if not f.getPath().getName().startswith((".", "_")))
+            for i, f in enumerate(files):
+                if not fs.rename(path(f), path(f"{version}/{value.partition('=')[2]}-{i:05d}.jsonl")):
+                    raise OSError(f"{f} could not be renamed")
+                n += 1
+        fs.delete(path(held), True)
+    except BaseException:
+        fs.delete(path(version), True)
+        raise
+    _swap(spark, folder, name)
     return n
 
 
+def _swap(spark: SparkSession, folder: str, name: str) -> None:
+    path, fs = _fs(spark, folder)
+    written = path(f"{folder}/_{uuid.uuid4().hex}")
+    out = fs.create(written)
+    out.write(bytearray(name.encode()))
+    out.close()
+    files = spark._jvm.org.apache.hadoop.fs
+    options = spark.sparkContext._gateway.new_array(getattr(files, "Options$Rename"), 1)
+    options[0] = getattr(files, "Options$Rename").OVERWRITE
+    files.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(written, path(f"{folder}/{_CURRENT}"), options)
+
+
+def published(spark: SparkSession, folder: str) -> str:
+    """The folder of the current version; raises if nothing was published."""
+    path, fs = _fs(spark, folder)
+    at = path(f"{folder}/{_CURRENT}")
+    if not fs.exists(at):
+        raise FileNotFoundError(f"nothing is published in {folder}")
+    stream = fs.open(at)
+    try:
+        name = bytes(stream.readNBytes(fs.getFileStatus(at).getLen())).decode()
+    finally:
+        stream.close()
+    return f"{folder}/{name}"
+
+
+def drop_versions(spark: SparkSession, folder: str, keep: int = 1) -> int:
+    """Delete versions that are not current, but for the ``keep`` newest, which readers may still be at.  Returns how many
+    went."""
+    path, fs = _fs(spark, folder)
+    current = published(spark, folder).rpartition("/")[2]
+    old = [(f.getModificationTime(), f.getPath().getName()) for f in fs.listStatus(path(folder)) if f.getPath().getName().startswith("v-") and f.getPath().getName() != current]
+    gone = sorted(old, reverse=True)[keep:]
+    for _, name in gone:
+        fs.delete(path(f"{folder}/{name}"), True)
+    return len(gone)
+
+
 def write_ordered(rows: DataFrame, path: str, order: tuple[str, ...] = ("date", "id")) -> None:
     """JSON Lines in a total order, null first: range partitions are written in order, so no task holds all rows."""
     keys = [F.col(c).asc_nulls_first() for c in order]

@@ -93,10 +93,14 @@ def fetch_all(fetch: Fetcher, slice_: str, page: int, cap: int | None = None, st
 
 
 def id_batches(ids: DataFrame, known: DataFrame, key: str, size: int = 20, most: int = 10) -> DataFrame:
-    """request, ids: what to ask for by id: those not known yet, ascending, ``size`` a request, ``most`` requests."""
-    fresh = ids.select(key).distinct().join(known.select(key), key, "left_anti").orderBy(key).limit(size * most)
+    """request, ids, left_over: what to ask for by id: those not known yet, ascending, ``size`` a request, ``most`` requests
+    as the service allows, and how many ids are left for another time."""
+    every = ids.select(key).distinct().join(known.select(key), key, "left_anti")
+    left = max(0, every.count() - size * most)
+    fresh = every.orderBy(key).limit(size * most)
     place = F.row_number().over(Window.orderBy(key)) - 1  # size * most rows at most
-    return fresh.withColumn("request", F.floor(place / size)).groupBy("request").agg(F.array_sort(F.collect_list(key)).alias("ids"))
+    fresh = fresh.withColumn("request", F.floor(place / size)).groupBy("request").agg(F.array_sort(F.collect_list(key)).alias("ids"))
+    return fresh.withColumn("left_over", F.lit(left).cast("long"))
 
 
 def fetch_ids(fetch: Fetcher, batches: list[list], polite: Politeness | None = None) -> Iterator[dict]:

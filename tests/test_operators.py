@@ -224,8 +224,12 @@ def test_requests_by_id(spark):
 def test_title_search(spark):
     frame = lambda rows: spark.createDataFrame([(i, t.split()) for i, t in rows], "id long, tokens array<string>")
     index = frame([(1, "red cat on mat"), (2, "red dog"), (3, "blue whale song"), (4, "red cat")])
-    got = simjoin.title_search(frame([(11, "red cat"), (12, "whale"), (13, "none")]), index, "id", "tokens", 2).orderBy("query", "rank").collect()
+    got = simjoin.title_search(frame([(11, "red cat"), (12, "whale"), (13, "none")]), index, "id", "tokens", 2, 0.3).orderBy("query", "rank").collect()
     assert [(r["query"], r["match"], r.shared) for r in got] == [(11, 4, 2), (11, 1, 2), (12, 3, 1)]
+    # Words that all titles have are words like any other.
+    every = frame([(i, f"of the red {c}") for i, c in enumerate("abcd")])
+    got = simjoin.title_search(frame([(9, "of the red")]), every, "id", "tokens", 4, 0.5).collect()
+    assert sorted((r["match"], r["rank"]) for r in got) == [(0, 1), (1, 2), (2, 3), (3, 4)]
 
 
 def test_resolve(spark):
