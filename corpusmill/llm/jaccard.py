@@ -17,7 +17,10 @@ first division is therefore around leaders that share rare n-grams:
    each set goes to its nearest pivot, and to every other whose distance is within twice the threshold of that, so that
    linked sets meet in the Voronoi cell of either.  Cells in which all are one component already are done, small ones are
    joined, large ones are divided again with new pivots.  Where pivots do not tell the sets apart (windows that would
-   replicate each set ``SPREAD`` times), what is outside the largest component meets all, block by block.
+   replicate each set ``SPREAD`` times) and more than ``MEMBERS`` are outside the largest component, the region is divided
+   by what is rare within it (``_by_rare_grams``): of its n-grams, least frequent in the region first, a set's first
+   ``n - ceil(t n) + 1`` hold one of each linked set, so sets that only share what all have never meet.  What is outside
+   the largest component of a region that is left meets all, block by block.
 4. In a small region pivots are taken in turn: the set with most open pairs is compared with all others; links unite
    components; a pair is open while its components differ, its sizes allow a link and every pivot leaves
    ``|d(x, p) - d(y, p)|`` within the threshold.  The region ends when no pair is open, which is exact.
@@ -350,6 +353,91 @@ def _exhaustive(rows: DataFrame, rule: Rule, members: int) -> DataFrame:
     return asked.unionByName(rest).groupBy("region", "chunk", "block").applyInArrow(_block_task(rule), EDGE)
 
 
+def _dealt_grams(parts: int):
+    """n-grams of many sets by part, packed: region, member, size of the set and n-gram of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            region, member = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("region", "member"))
+            sets, since, held = _bodies(batch), 0, 0
+            for i, s in enumerate(sets):
+                held += len(s)
+                if held < 1 << 18 and i < len(sets) - 1:
+                    continue
+                n = np.array([len(x) for x in sets[since : i + 1]], dtype=np.int64)
+                grams = np.concatenate(sets[since : i + 1])
+                each = [np.repeat(x, n) for x in (region[since : i + 1], member[since : i + 1], n)]
+                yield packed((grams % np.uint64(parts)).astype(np.int64), dict(zip(("regions", "members", "sizes", "grams"), (*each, grams))))
+                since, held = i + 1, 0
+
+    return run
+
+
+SHARED_GRAM = "region long, member long, n long, gram long, times long"
+
+
+def _shared_grams(key: tuple, table: pa.Table) -> pa.Table:
+    """The n-grams of a part that several sets of a region have, a row a set, with how many have it."""
+    region, member, n, gram = (unpacked(table, c, "<i8") for c in ("regions", "members", "sizes", "grams"))
+    order = np.lexsort((member, gram, region))
+    region, member, n, gram = (x[order] for x in (region, member, n, gram))
+    once = np.ones(len(gram), bool)  # a row of documents that repeats brings its set again
+    once[1:] = (region[1:] != region[:-1]) | (gram[1:] != gram[:-1]) | (member[1:] != member[:-1])
+    region, member, n, gram = (x[once] for x in (region, member, n, gram))
+    first = np.flatnonzero(np.concatenate([[True], (region[1:] != region[:-1]) | (gram[1:] != gram[:-1])])) if len(gram) else np.zeros(0, np.int64)
+    times = np.diff(np.append(first, len(gram)))
+    times = np.repeat(times, times)
+    some = times > 1
+    return pa.table([pa.array(x[some]) for x in (region, member, n, gram, times)], names=[x.split()[0] for x in SHARED_GRAM.split(", ")])
+
+
+def _rare_companies(rows: DataFrame, rule: Rule) -> DataFrame:
+    """region, leader, member: the companies of sets of a region that may be linked: those with a rare n-gram in common,
+    under the least set of it.  A linked set has more n-grams in common than ``floor``, so one without as many shared ones
+    leaves at once.  Each n-gram of each set moves once."""
+    parts = max(shuffle_partitions(rows.sparkSession), int(rows.agg(F.sum(F.octet_length("body")).alias("n")).first().n or 0) * 4 // TASK_BYTES + 1)
+    dealt = rows.select("region", "member", "body").mapInArrow(lean(_dealt_grams(parts)), "part int, regions binary, members binary, sizes binary, grams binary")
+    shared = dealt.groupBy("part").applyInArrow(_shared_grams, SHARED_GRAM)
+    own = Window.partitionBy("region", "member")
+    private = F.col("n") - F.count("*").over(own)
+    place = F.row_number().over(own.orderBy("times", "gram"))
+    prefix = F.col("n") - F.ceil(F.col("n") * rule.num / rule.den) + 1
+    rare = staged(shared.withColumn("place", place + private).where(F.col("place") <= prefix).select("region", "member", "gram"), "jaccard-rare")
+    leader = rare.groupBy("region", "gram").agg(F.min("member").alias("leader"), F.count("*").alias("c")).where("c > 1").drop("c")
+    return rare.join(leader, ["region", "gram"]).select("region", "leader", "member").distinct()
+
+
+def _by_rare_grams(rows: DataFrame, rule: Rule, members: int) -> list[DataFrame]:
+    """Links of regions (region, member, label, body) whose sets are alike in what is frequent there."""
+    companies = _rare_companies(rows, rule)
+    name = F.xxhash64("region", "leader", F.lit("rare"))
+    inner = companies.join(rows, ["region", "member"]).select(name.alias("region"), "member", "label", "body")
+    sizes = inner.groupBy("region").agg(F.count("*").alias("m"), F.sum(F.octet_length("body")).alias("bytes"), F.min("label").alias("low"), F.max("label").alias("high"))
+    sizes = sizes.where("low <> high").select("region", "m", ((F.col("m") > members) | (F.col("bytes") > CHUNK_BYTES)).alias("large"))
+    inner = staged(_with_region(inner, staged(sizes, "jaccard-rare-sizes"), "m").select("region", "member", "label", "large", "body"), "jaccard-rare-regions", "lz4")
+    return [_small_regions(inner.where("NOT large"), rule), _exhaustive(inner.where("large").drop("large"), rule, members)]
+
+
+def _small_regions(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Links of regions that a task can join, as many to a task as fit."""
+    tasks = max(shuffle_partitions(rows.sparkSession), int(rows.agg(F.sum(F.octet_length("body")).alias("n")).first().n or 0) // TASK_BYTES)
+    task = F.pmod(F.xxhash64("region"), F.lit(tasks)).alias("task")
+    return rows.select(task, "region", "member", "label", "body").groupBy("task").applyInArrow(_region_task(rule), EDGE)
+
+
+def _not_told_apart(rows: DataFrame, rule: Rule, members: int) -> list[DataFrame]:
+    """Links of large regions (region, member, label, body) whose sets pivots do not tell apart: where few are outside the
+    largest component, these meet all; else the region is divided by its rare n-grams."""
+    count = rows.groupBy("region", "label").agg(F.count("*").alias("c"))
+    outside = count.groupBy("region").agg((F.sum("c") - F.max("c")).alias("outside"), F.sum("c").alias("m")).where("outside > 0")
+    outside = staged(outside, "jaccard-outside")
+    few, many = (outside.where(x).select("region", "m") for x in (F.col("outside") <= members, F.col("outside") > members))
+    found = [_exhaustive(_with_region(rows, few, "m").drop("m"), rule, members)]
+    if not many.isEmpty():
+        found += _by_rare_grams(staged(_with_region(rows, many, "m").drop("m"), "jaccard-alike", "lz4"), rule, members)
+    return found
+
+
 def _with_region(rows: DataFrame, regions: DataFrame, hot: str, key: str = "region") -> DataFrame:
     """rows joined with what is known of their regions (one row each).  Regions of many rows (``hot`` is above
     HOT_LEADER) are broadcast if there are few of them, so that their rows stay where they are."""
@@ -384,14 +472,11 @@ def _divided(rows: DataFrame, rule: Rule, members: int, pivots: int) -> DataFram
         live = per.where("told_apart").select("region", "cell", name, (F.col("c") > members).alias("large"), (F.col("c") > 0.7 * F.col("m")).alias("whole"))
         inner = cells.join(live, ["region", "cell"]).join(rows.select("region", "member", "body"), ["region", "member"])
         inner = staged(inner.select(F.col("next").alias("region"), "member", "label", "large", "whole", "body"), "jaccard-inner", "lz4")
-        small = inner.where("NOT large")
-        tasks = max(shuffle_partitions(rows.sparkSession), int(small.agg(F.sum(F.octet_length("body")).alias("n")).first().n or 0) // TASK_BYTES)
-        task = F.pmod(F.xxhash64("region"), F.lit(tasks)).alias("task")
-        found.append(small.select(task, "region", "member", "label", "body").groupBy("task").applyInArrow(_region_task(rule), EDGE))
-        found.append(_exhaustive(inner.where("large AND whole").select("region", "member", "label", "body"), rule, members))
+        found.append(_small_regions(inner.where("NOT large"), rule))
+        found += _not_told_apart(inner.where("large AND whole").select("region", "member", "label", "body"), rule, members)
         alike = per.where("NOT told_apart").select("region").distinct()
         stuck = rows.join(placed.join(alike, "region", "left_semi").select("region", "member", "label"), ["region", "member"])
-        found.append(_exhaustive(stuck.select("region", "member", "label", "body"), rule, members))
+        found += _not_told_apart(stuck.select("region", "member", "label", "body"), rule, members)
         found = [staged(f.select("a", "b"), "jaccard-links") for f in found]
         rows, depth = inner.where("large AND NOT whole").select("region", "member", "body"), depth + 1
         if rows.limit(1).count() == 0:

@@ -504,6 +504,28 @@ def test_op8_divides_regions(spark, monkeypatch, spread):
     assert got == want and 5 < len({c for _, c in want.values()}) < 100
 
 
+def test_op8_common_halves_do_not_meet(spark, monkeypatch):
+    """Texts that share half of their words with all others: only near pairs come together in a region that pivots do not
+    divide, however many there are; a repeated row changes nothing."""
+    monkeypatch.setattr(jaccard, "SPREAD", 0)
+    stock = [f"s{i}" for i in range(60)]
+    rows = [(i, " ".join(stock + [f"d{i}w{j}" for j in range(60)])) for i in range(800)]
+    rows += [(1000 + i, rows[i][1].replace(f"d{i}w7", "other")) for i in range(0, 60, 3)] + rows[:30]
+    rule = jaccard.Rule(2, 80, 100)
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(i, jaccard.shingle_set(np.frombuffer(t.encode(), np.uint8), rule.words))
+    bodies = [(1, i, i, s.astype("<u8").tobytes()) for i, s in sets.items()] + [(1, 5, 5, sets[5].astype("<u8").tobytes())]
+    region = spark.createDataFrame(bodies, "region long, member long, label long, body binary")
+    met = {(r.leader, r.member) for r in jaccard._rare_companies(region, rule).collect()}
+    assert {(i, m) for i in range(0, 60, 3) for m in (i, 1000 + i)} == met
+    found = jaccard._not_told_apart(region, rule, 64)
+    assert {tuple(sorted(r)) for f in found for r in f.collect()} == {(i, 1000 + i) for i in range(0, 60, 3)}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked_components(df, rule, 64, 4).collect()}
+    assert got == {i: (len(s), i - 1000 if i >= 1000 else i) for i, s in sets.items()}
+
+
 def test_op9_edges(spark):
     v = [(0, [1.0, 2.0]), (50, [float("nan"), 1.0]), (1, None), (2, [1.0, None]), (3, [1.0, 2.0]), (3, [1.0, 2.0]), (4, [float("inf"), 0.0]), (100, [-1.0, 0.5]), (None, [1.0, 1.0]), (7, [])]
     df = spark.createDataFrame(v, "vec_id long, embedding array<float>")
