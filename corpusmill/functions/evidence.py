@@ -67,29 +67,49 @@ ACRONYMS = frozenset("SU2 SU3 SO3 SO5 CP1 CP2 SYK2 HC2 SC1 SC2 SC3".split())
 _UNIT = re.compile(r"(?:[A-Z][a-z]?O[3-6]|CuO2|NiO2)")
 _TYPE_AFTER = re.compile(r"[- ](?:type|structure|structured)\b")
 _PLURAL = re.compile(r"[A-Z]+s")
-
-
-def formula_of(body: str) -> str | None:
-    """The canonical formula (an open stoichiometry at the end dropped) if there are real elements, two at least, no
-    count of three digits, and a count or a two-letter symbol among them."""
-    body = re.sub(r"[-+][xyδ]$|δ$", "", body)
-    if body in GENERIC or body in ACRONYMS or _UNIT.fullmatch(body) or _PLURAL.fullmatch(body):
-        return None
-    parts = _PART.findall(body)
-    names, counts = {n for n, _ in parts}, [c for _, c in parts]
-    if "".join(n + c for n, c in parts) != body or len(names) < 2 or not names <= ELEMENTS or re.search(r"\d{3}", " ".join(counts)):
-        return None
-    return body if any(counts) or any(len(n) == 2 for n in names) else None
+_WIDE = re.compile(r"\d{3}")
+
+
+_OPEN_END = re.compile(r"(?:[-+][xy]|[-+]?δ)$")
+#: What a candidate is instead of a formula, in the order in which it is asked.
+_NAMES = (("generic", GENERIC.__contains__), ("acronym", ACRONYMS.__contains__), ("unit", _UNIT.fullmatch), ("plural", _PLURAL.fullmatch))
+
+
+def verdict_of(body: str) -> tuple[str, str]:
+    """The body without an open stoichiometry at its end, and 'formula', or what speaks against it: a name that is none, a
+    symbol that is no element, one element only, a count of three digits, or single letters without a count."""
+    body = _OPEN_END.sub("", body)
+    for verdict, holds in _NAMES:
+        if holds(body):
+            return body, verdict
+    at, symbols, counted, wide = 0, set(), False, False
+    while at < len(body):  # a symbol and its count
+        part = _PART.match(body, at)
+        if part is None or part[1] not in ELEMENTS:
+            return body, "element"
+        symbols.add(part[1])
+        counted, wide = counted or bool(part[2]), wide or bool(_WIDE.search(part[2]))
+        at = part.end()
+    if wide:
+        return body, "count"
+    if len(symbols) < 2:
+        return body, "single"
+    return body, "formula" if counted or max(map(len, symbols)) > 1 else "letters"
+
+
+def candidates(text: str | None) -> list[tuple[str, str]]:
+    """Each candidate of a text, in order, with its verdict; 'context' where it is a piece of a parenthesised formula or
+    names a type of structure."""
+    text, out = text or "", []
+    for m in _CANDIDATE.finditer(text):
+        inside = text.startswith("(", max(0, m.start() - 1)) and m.start() > 0 or text.startswith(("(", ")"), m.end())
+        out.append((m[1], "context") if inside or _TYPE_AFTER.match(text, m.end()) else verdict_of(m[1]))
+    return out
 
 
 def formulas_in(text: str | None) -> list[str]:
-    """Formulas of a text, each once, in order; pieces of parenthesised ones and names of structure types aside."""
-    text, found = text or "", []
-    for m in _CANDIDATE.finditer(text):
-        after = text[m.end() : m.end() + 12]
-        if text[m.start() - 1 : m.start()] != "(" and not after.startswith(("(", ")")) and not _TYPE_AFTER.match(after):
-            found.append(formula_of(m[1]))
-    return list(dict.fromkeys(f for f in found if f))
+    """Formulas of a text, each once, in order."""
+    return list(dict.fromkeys(body for body, verdict in candidates(text) if verdict == "formula"))
 
 
 def _formulas(s: pd.Series) -> pd.Series:
@@ -100,6 +120,15 @@ def formulas(text: Column) -> Column:
     return F.pandas_udf(_formulas, "array<string>")(text)
 
 
+def _verdicts(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: [verdict for _, verdict in candidates(t)])
+
+
+def formula_verdicts(text: Column) -> Column:
+    """The verdict on each candidate of a text, in order."""
+    return F.pandas_udf(_verdicts, "array<string>")(text)
+
+
 def same_title(a: str | None, b: str | None) -> bool:
     """Equal up to case and punctuation, a word prefix of five words or more, or a sequence ratio of 0.92."""
     x, y = (re.sub(r"[\W_]+", " ", t or "").strip().lower() for t in (a, b))
@@ -108,7 +137,9 @@ def same_title(a: str | None, b: str | None) -> bool:
     short, long = sorted((x.split(), y.split()), key=len)
     if len(short) >= PREFIX_WORDS and long[: len(short)] == short:
         return True
-    return difflib.SequenceMatcher(None, x, y).ratio() >= RATIO
+    match = difflib.SequenceMatcher(None, x, y)
+    # Bounds by length and by characters first: linear for what cannot match.
+    return match.real_quick_ratio() >= RATIO and match.quick_ratio() >= RATIO and match.ratio() >= RATIO
 
 
 def _same(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -42,6 +42,18 @@ def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_trip(spark, table(spark, sf_dir, "documents"))
 
 
+@registry.add("SELECT event_type AS slice, count(*) AS n, count(DISTINCT event_id) AS ids, sum(event_id)::BIGINT AS checksum FROM events GROUP BY 1")
+def resumed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as recorded pages, read by a run that stops after two batches and by one that takes it up: each row once."""
+    pages, target, held = scratch(spark, "pages"), scratch(spark, "scanned"), scratch(spark, "scan-state")
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("slice"), "event_id")
+    e.repartition(12, F.xxhash64("event_id")).write.json(pages)
+    for batches in (2, None):
+        S.resume_pages(spark, pages, "slice string, event_id long", target, held, batches=batches)
+    rows = spark.read.schema("slice string, event_id long").parquet(target)
+    return rows.groupBy("slice").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"), F.sum("event_id").alias("checksum"))
+
+
 def _label_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as labels, partitioned by region of the customer's number, and by status within."""
     path = scratch(spark, "labels")

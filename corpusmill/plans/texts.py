@@ -9,6 +9,7 @@ from ..functions import evidence as E
 from ..functions import rules as L
 from ..functions import text as T
 from ..operators import markup as M
+from ..operators import sequences
 from .common import Registry, spread, table
 
 registry = Registry()
@@ -263,6 +264,42 @@ def token_formula_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_formulas(spark, sf_dir).select("doc_id", F.array_join("formulas", ",").alias("formulas"))
 
 
+_FIRST, _SECOND = ("La", "Sr", "Mn", "Cu", "Zz", "H"), ("O", "Te", "Se", "Q", "C")
+_COUNTS, _LAST = ("", "2", "0.7", "123"), ("3", "", "-x", "4")
+_AROUND = (("(", ")"), ("", "-type"), ("", "-structured"), ("1T-", ""), ("", ","), ("x", ""), ("", " and"))
+_SQL_LIST = lambda items: "[" + ", ".join(f"'{x}'" for x in items) + "]"
+_PARTS_SQL = f"""c AS (SELECT p_partkey AS k, ({_SQL_LIST(_FIRST)})[1 + p_partkey % 6] AS a, ({_SQL_LIST(_COUNTS)})[1 + p_partkey % 4] AS i, ({_SQL_LIST(_SECOND)})[1 + p_partkey % 5] AS b, ({_SQL_LIST(_LAST)})[1 + p_partkey // 4 % 4] AS j, p_partkey % 7 AS around FROM part),
+d AS (SELECT *, a || i || b || CASE WHEN j = '-x' THEN '' ELSE j END AS body FROM c),
+v AS (SELECT *, CASE WHEN around IN (0, 1, 2, 5) THEN 'context' WHEN body IN ('H2O', 'SiO2') THEN 'generic' WHEN i = '' AND b = 'O' AND (j = '3' OR j = '4') THEN 'unit'
+    WHEN a = 'Zz' OR b = 'Q' THEN 'element' WHEN i = '123' THEN 'count' WHEN i = '' AND j NOT IN ('3', '4') AND length(a) < 2 AND length(b) < 2 THEN 'letters' ELSE 'formula' END AS verdict FROM d)"""
+
+
+def _part_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sentence for each part that names a compound made of its number: symbols, counts and what stands around it differ."""
+    k = F.col("p_partkey")
+    of = lambda items, at: F.element_at(F.array(*map(F.lit, items)), (1 + at).cast("int"))
+    body = F.concat(of(_FIRST, k % 6), of(_COUNTS, k % 4), of(_SECOND, k % 5), of(_LAST, F.floor(k / 4) % 4))
+    before, after = (of([x[i] for x in _AROUND], k % 7) for i in (0, 1))
+    return table(spark, sf_dir, "part").select(k.alias("k"), F.concat(F.lit("Films on SiO2, BICs: "), before, body, after, F.lit(" grown by CP1, p."), k.cast("string")).alias("t"))
+
+
+@registry.add(f"WITH {_PARTS_SQL} SELECT body AS formula, count(*) AS n, min(k) AS first FROM v WHERE verdict = 'formula' GROUP BY 1")
+def formula_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """formulas of all parts' sentences with their counts; what is rejected is left out."""
+    found = _part_texts(spark, sf_dir).select("k", F.explode(E.formulas(F.col("t"))).alias("formula"))
+    return found.groupBy("formula").agg(F.count("*").alias("n"), F.min("k").alias("first"))
+
+
+@registry.add(
+    f"WITH {_PARTS_SQL}, x AS (SELECT k, verdict FROM v WHERE around <> 5 UNION ALL SELECT k, unnest(['generic', 'acronym', 'plural']) FROM v) SELECT verdict, count(*) AS n, sum(k)::BIGINT AS checksum FROM x GROUP BY 1"
+)
+def formula_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each candidate of all parts' sentences with why it is none: where it stands, generic, acronym, plural, a unit of
+    structure, a symbol that is no element, a count of three digits, or single letters alone."""
+    found = _part_texts(spark, sf_dir).select("k", F.explode(E.formula_verdicts(F.col("t"))).alias("verdict"))
+    return found.groupBy("verdict").agg(F.count("*").alias("n"), F.sum("k").alias("checksum"))
+
+
 #: Own families for the samples; base families first, then what extends them.
 FAMILIES = (("nickelates", L.formula_group(["La3Ni2O7", r"La4Ni3O10"])), ("manganites", L.formula_group([r"La0\.\d+Sr0\.\d+MnO3"])))
 MORE_FAMILIES = (("dichalcogenides", L.join(L.formula_group(["TaSe2", "MoTe2"]), L.ci(r"\bdichalcogenides?\b"))),)
@@ -285,6 +322,14 @@ def sequence_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents")).select("doc_id", E.titles_match(lines[0], F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit(""))).alias("same"))
 
 
+@registry.add()
+def title_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Other titles of the whole table that are a title's own up to small changes or a cut end."""
+    title = F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)).alias("title")
+    rows = spread(table(spark, sf_dir, "documents")).select("doc_id", title)
+    return sequences.sequence_matches(rows, rows, "doc_id", "title", others=True)
+
+
 _BIGRAM_STOP = ["the", "of", "and", "in", "to", "for", "with", "on", "by"]
 
 

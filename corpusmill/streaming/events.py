@@ -37,3 +37,25 @@ def run_available(result: DataFrame, path: str, checkpoint: str, key: list[str])
     rows = result.sparkSession.read.option("basePath", path).schema(StructType([*result.schema.fields, StructField("batch", LongType())])).parquet(f"{path}/batch=*")
     values = [c for c in result.columns if c not in key]
     return rows.groupBy(*key).agg(*[F.max_by(c, "batch").alias(c) for c in values])
+
+
+def resume_pages(spark: SparkSession, pages: str, schema: str, target: str, checkpoint: str, files_a_trigger: int = 4, batches: int | None = None) -> int:
+    """Take recorded pages (JSON files in folders of ``pages``) into the Parquet table ``target``, from where the last run
+    ended.  Returns how many micro-batches this run committed.
+
+    The checkpoint holds which files each batch has, and the sink's log which batches it has: a run that is ended anywhere,
+    within a batch too, is taken up by the next, and each page is there once.  With ``batches`` the run is stopped once as
+    many are committed or nothing is left.  A page that is read is not read again, even if it is written anew; a line that is no record of ``schema`` raises."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).option("mode", "FAILFAST").option("recursiveFileLookup", True).json(pages)
+    writer = rows.withColumn("page_file", F.input_file_name()).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
+    if batches is None:
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+        return len(query.recentProgress)
+    query, done = writer.start(), 0
+    while done < batches and not query.awaitTermination(0.02):
+        done = sum(p["numInputRows"] > 0 for p in query.recentProgress)
+        if not query.status["isDataAvailable"] and not query.status["isTriggerActive"] and query.lastProgress is not None and query.lastProgress["numInputRows"] == 0:
+            break
+    query.stop()
+    return done

@@ -168,3 +168,75 @@ def test_nothing_is_cut_in_silence(spark):
     assert records.document({"s": spark.range(3)}).count('"id"') == 3
     left = paged.id_batches(spark.range(30), spark.range(5), "id", 2, 3).collect()
     assert len(left) == 3 and {r.left_over for r in left} == {19}
+
+
+def test_scan_goes_on_where_it_ended(spark, tmp_path):
+    from corpusmill.streaming import events as S
+
+    pages, target, held = (f"file://{tmp_path}/{x}" for x in ("pages", "scanned", "state"))
+    write = lambda a, b: spark.range(a, b).select(F.col("id").alias("n"), (F.col("id") % 2).alias("s")).repartition(20).write.mode("append").partitionBy("s").json(pages)
+    run = lambda **kw: S.resume_pages(spark, pages, "n long", target, held, files_a_trigger=2, **kw)
+    read = lambda: sorted(r.n for r in spark.read.parquet(target).select("n").collect())
+    write(0, 50)
+    assert run(batches=1) >= 1
+    part = read()
+    assert 0 < len(part) < 50
+    # A batch that fails leaves nothing behind, and is run again once the page is mended.
+    bad = tmp_path / "pages" / "s=0" / "part-zz.json"
+    bad.write_text('{"n": 50}\n{"n": "x\n')
+    with pytest.raises(Exception):
+        run()
+    seen = read()
+    assert set(part) <= set(seen) and len(seen) == len(set(seen))
+    bad.write_text('{"n": 50}\n')
+    run()
+    assert read() == list(range(51))
+    write(51, 80)
+    run()
+    assert run(batches=1) == 0  # nothing is left
+    assert read() == list(range(80))
+
+
+def test_sequence_join_equals_all_pairs(spark):
+    from corpusmill.functions import evidence as E
+    from corpusmill.operators import sequences
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(1, 6)))
+    base = [" ".join(word() for _ in range(rng.randrange(1, 14))) for _ in range(40)]
+    rows = list(base)
+    for t in base:
+        for _ in range(3):
+            c = list(t)
+            for _ in range(rng.randrange(1, 4)):
+                i = rng.randrange(len(c))
+                rng.choice([lambda: c.insert(i, rng.choice("abc ")), lambda: c.pop(i) if len(c) > 1 else None, lambda: c.__setitem__(i, "z")])()
+            rows.append("".join(c).upper())
+        rows.append(" ".join(t.split()[: rng.randrange(1, 9)]) + "!")
+    rows += ["", None, "...", "a", "a", "ab", "x" * 300, "x" * 290 + "y" * 10, "é è", "É-È"]
+    table = spark.createDataFrame(list(enumerate(rows)), "id long, t string").repartition(3)
+    first = {}
+    form = lambda t: re.sub(r"[\W_]+", " ", t or "").strip().lower()
+    for i, t in enumerate(rows):
+        if form(t):
+            first.setdefault(form(t), i)
+    for others in (False, True):
+        got = sorted((r["query"], r["match"]) for r in sequences.sequence_matches(table, table, "id", "t", others).collect())
+        want = sorted((i, j) for i, t in enumerate(rows) for f, j in first.items() if E.same_title(form(t), f) and not (others and form(t) == f))
+        assert got == want and len(want) > 100
+    # Bounds by length and characters leave what difflib says as it is.
+    import difflib
+
+    for a in rows[:60]:
+        for b in rows[:60]:
+            x, y = form(a), form(b)
+            if x and y and not (min(len(x.split()), len(y.split())) >= 5 and (x + " ").startswith(y + " ") | (y + " ").startswith(x + " ")):
+                assert E.same_title(a, b) == (difflib.SequenceMatcher(None, x, y).ratio() >= 0.92)
+
+
+def test_formula_verdicts():
+    from corpusmill.functions import evidence as E
+
+    text = "La3Ni2O7-δ on SiO2, CuO2 planes, BICs of CP1; Zz2O3, Nd123O, HO, MnMn2, (SrO2) and Sr(BO3)2, NiAs-type MnTe, H2O-x"
+    assert E.candidates(text) == [("La3Ni2O7", "formula"), ("SiO2", "generic"), ("CuO2", "unit"), ("BICs", "plural"), ("CP1", "acronym"), ("Zz2O3", "element"), ("Nd123O", "count"), ("HO", "letters"), ("MnMn2", "single"), ("SrO2", "context"), ("BO3", "context"), ("NiAs", "context"), ("MnTe", "formula"), ("H2O", "generic")]
+    assert E.candidates(None) == [] and E.formulas_in("MnTe and MnTe") == ["MnTe"]
