@@ -19,7 +19,7 @@ GREEK = {
 }
 FONT_MACROS = ("mathrm", "mathit", "mathbf", "textrm", "textit", "textbf", "text", "rm", "it", "bf")
 ACCENTED = (("'", "e", "é"), ('"', "o", "ö"), ('"', "u", "ü"))
-#: Tail characters that a cited identifier may drag along, and words that titles are compared without.
+#: Tail characters that a cited identifier may drag along, and words that titles are compared without.
 TRAILING = ").,;]|`"
 TITLE_STOP = tuple("a an the of in on and or for to with by from at as via is are its into under using based between near".split())
 

@@ -6,7 +6,10 @@ import random
 from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,6 +87,45 @@ def twister_shuffle(rows: DataFrame, group: str, id_: str, seed: int, k: int) ->
     return ranks.at(_drawn(ranks.sizes(), lambda n: _shuffled(n, seed, k)))
 
 
+def _least_of_batch(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
+    """grp, term, n and the k least ids of the terms of a batch."""
+    lists = batch.column("terms")
+    owner = np.repeat(np.arange(len(batch)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    flat = pa.table({"grp": batch.column("grp").take(pa.array(owner)), "term": lists.flatten(), "id": batch.column("id").take(pa.array(owner))})
+    coded = [c.combine_chunks().dictionary_encode("encode") for c in (flat.column("grp"), flat.column("term"))]
+    key = np.zeros(len(flat), np.int64)
+    for c in coded:
+        key = key * (len(c.dictionary) or 1) + c.indices.to_numpy(zero_copy_only=False)
+    ids = flat.column("id").to_numpy()
+    order = np.lexsort((ids, key))
+    key, ids = key[order], ids[order]
+    fresh = np.append(True, key[1:] != key[:-1])[: len(key)]
+    first = np.flatnonzero(fresh)
+    size = np.diff(np.append(first, len(key)))
+    # An id that repeats under a term is one.
+    place = np.cumsum(fresh | np.append(True, ids[1:] != ids[:-1])[: len(key)])
+    repeated = np.append(False, place[1:] == place[:-1])[: len(key)]
+    kept = ~repeated & (place - np.repeat(place[first], size) < k)
+    offsets = np.append(0, np.cumsum(np.add.reduceat(kept, first) if len(first) else kept)).astype(np.int32)
+    at = pa.array(order[first])
+    return pa.RecordBatch.from_arrays([flat.column("grp").take(at).combine_chunks(), flat.column("term").take(at).combine_chunks(), pa.array(size), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[kept]))], ["grp", "term", "n", "ids"])
+
+
+def least_per_term(rows: DataFrame, k: int) -> DataFrame:
+    """grp, term, n, ids: how many rows of a group have each of their ``terms`` (an array), and the k least ids of these.
+
+    rows: grp (string), id, terms.  One aggregation: a batch counts its terms and keeps k ids of each before anything is
+    shuffled, so a frequent term moves k ids a batch and not its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _least_of_batch(batch, k)
+
+    part = rows.select(F.col("grp").cast("string"), F.col("id").cast("long"), "terms").where("id IS NOT NULL").mapInArrow(run, "grp string, term string, n long, ids array<long>")
+    least = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k)
+    return part.groupBy("grp", "term").agg(F.sum("n").alias("n"), least.alias("ids"))
+
+
 def greedy_exemplars(candidates: DataFrame, k: int = 3, pool: DataFrame | None = None, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
     """grp, place, term, id.  candidates (grp, score, term, id): terms by falling score, then falling term, each take
     their least id that no other has taken, k at most; with ``pool`` (grp, id) what is then missing is filled with its

@@ -217,10 +217,11 @@ FROM p1 UNION ALL FROM p2 UNION ALL FROM p3"""
 def greedy_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each language, one document for each of its best bigrams, none twice, three at most; short documents fill
     what is missing."""
-    d = docs(spark, sf_dir).select("doc_id", "lang", "n_chars").where("lang IS NOT NULL")
-    b = _bigrams(spark, sf_dir).join(d, "doc_id")
-    scored = b.groupBy("lang", "bigram").agg(F.count("*").cast("double").alias("score")).where("score >= 3")
-    found = b.join(scored, ["lang", "bigram"]).select(F.col("lang").alias("grp"), "score", F.col("bigram").alias("term"), F.col("doc_id").alias("id"))
+    d = docs(spark, sf_dir).where("lang IS NOT NULL")
+    tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
+    rows = d.select(F.col("lang").alias("grp"), F.col("doc_id").alias("id"), F.array_distinct(T.bigrams(tokens, STOP)).alias("terms"))
+    scored = ranking.least_per_term(rows, 3).where("n >= 3")
+    found = scored.select("grp", F.col("n").cast("double").alias("score"), "term", F.explode("ids").alias("id"))
     return ranking.greedy_exemplars(found, 3, d.where("n_chars < 400").select(F.col("lang").alias("grp"), F.col("doc_id").alias("id")), _keep(spark))
 
 

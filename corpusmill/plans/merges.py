@@ -151,11 +151,12 @@ def semi_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").groupBy("source").agg(F.count("*").alias("found"))
 
 
-@registry.add("SELECT l.doc_id, coalesce(d.source, '') AS source, l.quality FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id AND d.source <> 'src0'")
+@registry.add("SELECT d.doc_id, coalesce(d.source, '') AS source, coalesce(l.quality::VARCHAR, '') AS quality FROM documents d LEFT JOIN labels l USING (doc_id)")
 def left_with_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Left join, missing values as the empty string."""
-    d = table(spark, sf_dir, "documents").where("source <> 'src0'").select("doc_id", "source")
-    return table(spark, sf_dir, "labels").select("doc_id", "quality").join(d, "doc_id", "left").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "quality")
+    """Left join of all documents, missing values as the empty string."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    rows = d.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return rows.select("doc_id", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "quality")])
 
 
 @registry.add("SELECT l.doc_id, d.n_chars FROM labels l JOIN documents d USING (doc_id)")
@@ -165,11 +166,16 @@ def strict_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("doc_id", F.when(F.col("n_chars").isNull(), F.raise_error(F.lit("a label has no document")).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
-@registry.add("SELECT l_partkey AS partkey, count(*) AS lines FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10) GROUP BY 1")
+@registry.add("SELECT l_suppkey * 1000000 + l_partkey AS cited, count(*) AS lines FROM lineitem WHERE l_suppkey * 1000000 + l_partkey NOT IN (SELECT s_suppkey * 1000000 + p_partkey FROM part, supplier WHERE p_partkey % 7 = s_suppkey % 7) GROUP BY 1")
 def fk_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References to what isn't there, counted before the join."""
-    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("partkey")).agg(F.count("*").alias("lines"))
-    return li.join(table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("partkey")), "partkey", "left_anti")
+    """References, of all lines, to what isn't there (parts by suppliers of another seventh), counted before the
+    join."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("lines"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_partkey") % 7).alias("kind"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_suppkey") % 7).alias("kind"))
+    li = li.withColumn("kind", F.col("l_suppkey") % 7)
+    gone = li.join(p, ["l_partkey", "kind"], "left_anti").unionByName(li.join(p, ["l_partkey", "kind"], "left_semi").join(s, ["l_suppkey", "kind"], "left_anti"))
+    return gone.select((F.col("l_suppkey") * 1000000 + F.col("l_partkey")).alias("cited"), "lines")
 
 
 @registry.add("SELECT o_orderkey AS id, o_totalprice AS price, NULL::VARCHAR AS note FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, NULL, o_orderpriority FROM orders WHERE o_orderstatus <> 'F'")
@@ -181,11 +187,11 @@ def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 
 
-@registry.add("(SELECT n_nationkey AS k FROM nation EXCEPT ALL SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000) UNION ALL (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000 EXCEPT ALL SELECT n_nationkey FROM nation)")
+@registry.add("(SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier) UNION ALL (SELECT s_nationkey FROM supplier EXCEPT ALL SELECT c_nationkey FROM customer)")
 def multiset_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What two multisets of ids don't share; empty if they are equal."""
-    a = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
-    b = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("k"))
+    a = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"))
+    b = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"))
     return a.exceptAll(b).unionAll(b.exceptAll(a))
 
 

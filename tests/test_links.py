@@ -240,3 +240,17 @@ def test_formula_verdicts():
     text = "La3Ni2O7-δ on SiO2, CuO2 planes, BICs of CP1; Zz2O3, Nd123O, HO, MnMn2, (SrO2) and Sr(BO3)2, NiAs-type MnTe, H2O-x"
     assert E.candidates(text) == [("La3Ni2O7", "formula"), ("SiO2", "generic"), ("CuO2", "unit"), ("BICs", "plural"), ("CP1", "acronym"), ("Zz2O3", "element"), ("Nd123O", "count"), ("HO", "letters"), ("MnMn2", "single"), ("SrO2", "context"), ("BO3", "context"), ("NiAs", "context"), ("MnTe", "formula"), ("H2O", "generic")]
     assert E.candidates(None) == [] and E.formulas_in("MnTe and MnTe") == ["MnTe"]
+
+
+def test_least_ids_of_terms(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["x", "y", None]), rng.randrange(40), [rng.choice("abcdé") for _ in range(rng.randrange(0, 4))] if rng.random() < 0.9 else None) for _ in range(300)]
+    rows += [("x", None, ["a"]), ("z", 1, [])]
+    table = spark.createDataFrame(rows, "grp string, id long, terms array<string>").repartition(5)
+    got = {(r.grp, r.term): (r.n, r.ids) for r in ranking.least_per_term(table, 3).collect()}
+    want = {}
+    for g, i, terms in rows:
+        for t in terms or [] if i is not None else []:
+            want.setdefault((g, t), []).append(i)
+    assert got == {key: (len(ids), sorted(set(ids))[:3]) for key, ids in want.items()}
+    assert ranking.least_per_term(table.limit(0), 3).count() == 0
