@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..deploy import shared_root, ship
+from ..deploy import scratch, ship
 
+__all__ = ["Query", "Registry", "r6", "scratch", "spread", "table"]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -34,11 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def r6(c: Column) -> Column:
     return F.round(c, 6)
 

@@ -307,7 +307,7 @@ def catalog_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = rows.groupBy("stage", "year").agg(F.count("*").alias("n"))  # stages x years
     before = groups.withColumn("before", F.sum("n").over(Window.orderBy("stage", "year")) - F.col("n")).drop("n")
     within = F.row_number().over(Window.partitionBy("stage", "year").orderBy("name", "p_partkey"))
-    return rows.withColumn("within", within).join(F.broadcast(before), ["stage", "year"]).select("p_partkey", (F.col("before") + F.col("within")).cast("int").alias("place"))
+    return rows.withColumn("within", within).join(before, ["stage", "year"]).select("p_partkey", (F.col("before") + F.col("within")).cast("int").alias("place"))
 
 
 _CAP = 100

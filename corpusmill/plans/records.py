@@ -67,20 +67,24 @@ def caveat_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registry.add(
-    """WITH r AS (SELECT n_nationkey AS id, ['doi', 'arxiv', 'url'][n_nationkey % 3 + 1] AS kind, n_name AS title FROM nation),
-a AS (SELECT *, CASE WHEN kind = 'doi' AND id < 15 AND id % 2 = 0 THEN 1 WHEN kind = 'doi' AND id < 20 THEN 2 WHEN kind = 'arxiv' AND id <> 7 THEN 1 WHEN kind = 'url' AND id % 4 <> 1 THEN 1 END AS place FROM r)
+    """WITH r AS (SELECT DISTINCT ['doi', 'arxiv', 'url'][l_linenumber % 3 + 1] AS kind, CASE l_linenumber % 3 WHEN 0 THEN l_partkey WHEN 1 THEN l_suppkey ELSE l_orderkey END AS id FROM lineitem),
+p AS (SELECT p_partkey AS id, CASE WHEN p_size <= 25 THEN 1 ELSE 2 END AS place FROM part WHERE p_size <= 45), a AS (SELECT r.*, CASE WHEN kind = 'doi' THEN p.place WHEN kind = 'arxiv' AND s_acctbal > 0 THEN 1 WHEN kind = 'url' AND o_orderstatus <> 'F' THEN 1 END AS place
+    FROM r LEFT JOIN p ON kind = 'doi' AND p.id = r.id LEFT JOIN supplier ON kind = 'arxiv' AND s_suppkey = r.id LEFT JOIN orders ON kind = 'url' AND o_orderkey = r.id)
 SELECT kind, id, place, CASE WHEN place IS NULL THEN 'missing' WHEN kind <> 'url' AND id % 5 = 1 THEN 'title' ELSE 'ok' END AS verdict FROM a"""
 )
 def resolve_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References looked up by kind: DOIs in one service and then in another, batches of arXiv ids, URLs by status;
+    """What all lines refer to, looked up by kind: parts in one table and then in another, suppliers, orders by status;
     titles compared."""
-    n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
-    refs = n.select(F.element_at(F.array(*map(F.lit, ("doi", "arxiv", "url"))), (k % 3 + 1).cast("int")).alias("kind"), k.alias("id"), F.col("n_name").alias("title"))
-    title = F.when(k % 5 == 0, F.concat(F.lower("n_name"), F.lit("."))).when(k % 5 == 1, "other").otherwise(F.col("n_name"))
-    known = n.select(k.alias("id"), title.alias("found_title"), F.lit(200).alias("status"))
-    pages = n.select(k.alias("id"), F.lit(None).cast("string").alias("found_title"), F.when(k % 4 == 1, 404).otherwise(302).alias("status"))
-    doi = [known.where("id < 15 AND id % 2 = 0"), known.where("id < 20")]
-    return R.resolve(refs, {"doi": doi, "arxiv": [known.where("id <> 7")], "url": [pages]}).select("kind", "id", "place", "verdict")
+    at = F.col("l_linenumber") % 3
+    kind = F.element_at(F.array(*map(F.lit, ("doi", "arxiv", "url"))), (at + 1).cast("int"))
+    ids = F.when(at == 0, F.col("l_partkey")).when(at == 1, F.col("l_suppkey")).otherwise(F.col("l_orderkey"))
+    name = F.concat(F.lit("T "), F.col("id").cast("string"))
+    refs = table(spark, sf_dir, "lineitem").select(kind.alias("kind"), ids.alias("id")).distinct().withColumn("title", name)
+    title = F.when(F.col("id") % 5 == 0, F.concat(F.lower(name), F.lit("."))).when(F.col("id") % 5 == 1, "other").otherwise(name)
+    found = lambda t, key, where: table(spark, sf_dir, t).where(where).select(F.col(key).alias("id")).select("id", title.alias("found_title"), F.lit(200).alias("status"))
+    pages = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit(None).cast("string").alias("found_title"), F.when(F.col("o_orderstatus") == "F", 404).otherwise(302).alias("status"))
+    doi = [found("part", "p_partkey", "p_size <= 25"), found("part", "p_partkey", "p_size <= 45")]
+    return R.resolve(refs, {"doi": doi, "arxiv": [found("supplier", "s_suppkey", "s_acctbal > 0")], "url": [pages]}).select("kind", "id", "place", "verdict")
 
 
 @registry.add("SELECT n_nationkey, '<li id=\"ref-' || n_nationkey::VARCHAR || '\">' || n_name || '. <a href=\"https://x.org/?a=1&amp;b=' || n_nationkey::VARCHAR || '\">https://x.org/?a=1&amp;b=' || n_nationkey::VARCHAR || '</a></li>' AS item FROM nation")

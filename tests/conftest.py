@@ -19,10 +19,11 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    from corpusmill.deploy import ship
+    from corpusmill.deploy import ship, sweep_scratch
 
     ship(session)
     yield session
+    sweep_scratch(session)
     session.stop()
 
 
