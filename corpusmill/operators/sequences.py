@@ -2,32 +2,54 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..deploy import kept
 from ..functions import evidence as E
 
-GRAM = 3
+#: Characters to a gram, and the lengths that it is for.  Two texts may differ by less than the overlap of the two ranges.
+GRAMS = ((3, 0, 58), (5, 48, 1 << 31))
+#: The longer of two texts of the ratio is at most this times as long as the shorter.
+LONGER = (2 - E.RATIO) / E.RATIO
+
 
+def _grams(texts: DataFrame, size: int) -> DataFrame:
+    """key, n, match, asked, token: each ``size`` characters of a text with a number among equal ones, as a hash; a text of
+    fewer characters is one."""
+    kept_ = ["key", "n", "match", "asked"]
+    rows = texts.select(*kept_, F.split("norm", "").alias("c"))
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - (size - 1), F.lit(1))), lambda i: F.concat_ws("", *[F.try_element_at("c", i + j) for j in range(size)]))
+    rows = rows.select(*kept_, F.explode(parts).alias("g")).groupBy(*kept_, "g").agg(F.count("*").cast("int").alias("times"))
+    return rows.select(*kept_, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("i"), "g").withColumn("token", F.xxhash64("g", "i")).drop("g", "i")
 
-def _grams(texts: DataFrame) -> DataFrame:
-    """key, n, match, asked, on: each three characters of a text with a number among equal ones, as a hash; a text of fewer
-    characters is one."""
-    rows = texts.select("key", "n", "match", "asked", F.split("norm", "").alias("c"))
-    three = F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - (GRAM - 1), F.lit(1))), lambda i: F.concat_ws("", *[F.try_element_at("c", i + j) for j in range(GRAM)]))
-    rows = rows.select("key", "n", "match", "asked", F.explode(three).alias("g")).groupBy("key", "n", "match", "asked", "g").agg(F.count("*").cast("int").alias("times"))
-    return rows.select("key", "n", "match", "asked", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("i"), "g").withColumn("on", F.xxhash64("g", "i")).drop("g", "i")
+
+def _near(texts: DataFrame, size: int) -> DataFrame:
+    """q, m: pairs of texts (an asked one, a known one) that have a rare gram in common and lengths that fit."""
+    grams = _grams(texts, size)
+    df = grams.groupBy("token").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("df", "token"))
+    # What both lose is bounded by the length of one; texts too short to lose anything have equal ones alone.
+    lost = F.floor(F.lit((1 - E.RATIO) * (1 + LONGER)) * F.col("n") + 1e-9)
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(LONGER * (1 + 1e-6)))).cast("int")
+    rare = grams.join(df, "token").withColumn("place", place).where(F.col("place") <= size * lost + 1).withColumn("band", band)
+    q = rare.where("asked").select("token", F.col("key").alias("q"), F.col("n").alias("qn"), F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"))
+    m = rare.where("match IS NOT NULL").select("token", F.col("key").alias("m"), F.col("n").alias("mn"), "band")
+    fits = 2 * F.least("qn", "mn") >= F.lit(E.RATIO) * (F.col("qn") + F.col("mn")) - 1e-9
+    return q.join(m, ["token", "band"]).where(fits).select("q", "m").distinct()
 
 
 def sequence_matches(queries: DataFrame, index: DataFrame, id_: str, title: str, others: bool = False) -> DataFrame:
     """query, match: the rows of ``index`` whose title is the same as a query's: equal up to case and punctuation, one the
     beginning of the other and five words long at least, or of sequence ratio 0.92 or more (``evidence.same_title``).
 
-    Exact without comparing all with all.  A ratio r of texts of length m and n leaves (1 - r)(m + n) characters that have
-    no partner, and each spoils at most three of the (m - 2) triples of characters of the other: so many triples are in
-    common, and one of them is among the rarest of both, where alone they meet.  Titles that begin alike meet on their
-    first five words.  What has met is then measured, lengths and characters first.  Equal titles are one, for which its
+    Exact without comparing all with all.  A ratio r of texts of length m and n leaves at most (1 - r)(m + n) characters
+    without a partner, and each spoils at most g of the m - g + 1 grams of g characters: all others are in common, so one
+    of the rarest g (1 - r)(m + n) + 1 of either is, and there alone they meet, in bands of like length.  Long texts meet on
+    grams of five characters, which are rarer, short ones of three.  Titles that begin alike meet on their first five
+    words.  What has met is then measured, lengths and characters first.  Equal titles are one, for which its
     least id stands; with ``others`` a row is not its own match; a title without letters and digits matches nothing."""
     norm = F.trim(F.lower(F.regexp_replace(F.coalesce(F.col(title), F.lit("")), r"[^\p{L}\p{N}]+", " ")))
     asks, held = (d.select(F.col(id_).alias("id"), norm.alias("norm")).where("norm <> ''") for d in (queries, index))
@@ -35,22 +57,11 @@ def sequence_matches(queries: DataFrame, index: DataFrame, id_: str, title: str,
     both = known.join(asks.select("norm", F.lit(True).alias("asked")).distinct(), "norm", "full")
     texts = kept(both.select(F.xxhash64("norm").alias("key"), "norm", "match", F.coalesce("asked", F.lit(False)).alias("asked"), F.length("norm").alias("n"), F.split("norm", " ").alias("words")), "titles")
 
-    def sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        q = rows.where("asked").select("on", F.col("key").alias("q"), F.col("n").alias("qn"))
-        return q, rows.where("match IS NOT NULL").select("on", F.col("key").alias("m"), F.col("n").alias("mn"))
-
-    grams = _grams(texts)
-    df = grams.groupBy("on").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("key").orderBy("df", "on"))
-    # A partner of a text of n is at most n (2 - r) / r long, which bounds what both lose; texts too short to lose anything
-    # have equal ones alone.
-    lost = F.floor(F.lit(2 * (1 - E.RATIO) / E.RATIO) * F.col("n") + 1e-9)
-    q, m = sides(grams.join(df, "on").withColumn("place", place).where(F.col("place") <= GRAM * lost + 1))
-    fits = 2 * F.least("qn", "mn") >= F.lit(E.RATIO) * (F.col("qn") + F.col("mn")) - 1e-9
-    near = q.join(m, "on").where(fits).select("q", "m")
+    near = [_near(texts.where(F.col("n").between(low, high)), size) for size, low, high in GRAMS]
     begin = texts.where(F.size("words") >= E.PREFIX_WORDS).withColumn("on", F.xxhash64(F.array_join(F.slice("words", 1, E.PREFIX_WORDS), " ")))
-    q, m = sides(begin)
-    pairs = near.unionByName(q.join(m, "on").select("q", "m")).unionByName(texts.where("asked AND match IS NOT NULL").select(F.col("key").alias("q"), F.col("key").alias("m"))).distinct()
+    alike = begin.where("asked").select("on", F.col("key").alias("q")).join(begin.where("match IS NOT NULL").select("on", F.col("key").alias("m")), "on").select("q", "m")
+    itself = texts.where("asked AND match IS NOT NULL").select(F.col("key").alias("q"), F.col("key").alias("m"))
+    pairs = near[0].unionByName(near[1]).unionByName(alike).unionByName(itself).distinct()
     if others:
         pairs = pairs.where("q <> m")
     a, b = texts.select(F.col("key").alias("q"), F.col("norm").alias("qt")), texts.select(F.col("key").alias("m"), F.col("norm").alias("mt"), "match")
