@@ -41,9 +41,12 @@ def selector_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id").join(counts, "page_id", "left").fillna(0)
 
 
-@registry.add()
+@registry.add(
+    """WITH a AS (SELECT page_id, split_part(html, '<article>', 1) AS before, regexp_extract(html, '<article>(.*?)(</article>|$)', 1, 's') AS art FROM pages WHERE contains(html, '<article>'))
+SELECT page_id, len(regexp_extract_all(before, '<[a-zA-Z]'))::INT AS node_id, regexp_replace(replace(trim(regexp_replace(regexp_replace(art, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), '&quot;', '"'), '&amp;?', '&', 'g') AS whole, len(regexp_extract_all(art, '<[a-zA-Z]')) AS nodes FROM a"""
+)
 def html_article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text of the article elements, and the nodes inside them."""
+    """Text of the article elements, and the nodes inside them."""
     n = M.html_nodes(pages(spark, sf_dir))
     articles = n.where("tag = 'article'")
     inner = M.inside(n, articles).groupBy("page_id").agg(F.count("*").alias("nodes"))
