@@ -220,7 +220,7 @@ def greedy_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir).where("lang IS NOT NULL")
     tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
     rows = d.select(F.col("lang").alias("grp"), F.col("doc_id").alias("id"), F.array_distinct(T.bigrams(tokens, STOP)).alias("terms"))
-    scored = ranking.least_per_term(rows, 3).where("n >= 3")
+    scored = _keep(spark)(ranking.least_per_term(rows, 3).where("n >= 3"), "exemplar-terms")  # read several times
     found = scored.select("grp", F.col("n").cast("double").alias("score"), "term", F.explode("ids").alias("id"))
     return ranking.greedy_exemplars(found, 3, d.where("n_chars < 400").select(F.col("lang").alias("grp"), F.col("doc_id").alias("id")), _keep(spark))
 
