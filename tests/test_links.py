@@ -254,3 +254,27 @@ def test_least_ids_of_terms(spark):
             want.setdefault((g, t), []).append(i)
     assert got == {key: (len(ids), sorted(set(ids))[:3]) for key, ids in want.items()}
     assert ranking.least_per_term(table.limit(0), 3).count() == 0
+
+
+def test_long_titles_of_few_syllables_do_not_all_meet(spark):
+    from corpusmill.functions import evidence as E
+    from corpusmill.operators import sequences
+
+    rng = random.Random(9)
+    parts = ["th", "er", "and", "of", "tion", "en", "re", "ly", "st", " ", " ", " ", "wh", "b"]
+    base = ["".join(rng.choice(parts) for _ in range(rng.choice((40, 90, 130, 220)))) for _ in range(90)]
+    rows = list(base)
+    for t in base[:45]:
+        c = list(t)
+        for _ in range(rng.randrange(1, 30)):
+            i = rng.randrange(len(c))
+            rng.choice([lambda: c.insert(i, rng.choice("qxe ")), lambda: c.pop(i), lambda: c.__setitem__(i, "z")])()
+        rows += ["".join(c), t[: rng.randrange(len(t) // 2, len(t))]]
+    form = list(dict.fromkeys(E.plain_title(t) for t in rows))
+    table = spark.createDataFrame(list(enumerate(form)), "id long, t string").repartition(3)
+    got = sorted((r["query"], r["match"]) for r in sequences.sequence_matches(table, table, "id", "t", others=True).collect())
+    want = sorted((i, j) for i, a in enumerate(form) for j, b in enumerate(form) if i != j and E.same_title(a, b))
+    assert got == want and len(want) > 60
+    # Nearly all pairs share their rare grams; few have counts that allow the ratio.
+    texts = spark.createDataFrame(list(enumerate(form)), "key long, norm string")
+    assert sequences._near(texts).count() < 2 * len(want)
