@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+import operator
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..deploy import kept
 from ..functions import stats
 
 
+#: Longs of the bits that stand for a title's words.
+TITLE_LONGS = 3
+
+
+def set_bits(hashes: Column, part: int, parts: int) -> Column:
+    """One of ``parts`` longs in which each hash of an array has set one bit.  Two sets differ in as many elements at least
+    as their bits differ."""
+    own = F.filter(hashes, lambda h: F.pmod(F.shiftright(h, 6), F.lit(parts)) == part)
+    return F.aggregate(own, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
+
+
 def token_sets(rows: DataFrame, id_: str, tokens: str) -> DataFrame:
     """(id, set): each row's distinct tokens as hashes, rarest first: the order in which prefixes are shortest to probe.
     Equal document frequencies are ordered by the hash, the same for all rows."""
@@ -90,19 +104,25 @@ def title_search(queries: DataFrame, index: DataFrame, id_: str, tokens: str, k:
     flat = titles.groupBy("own").agg(F.max("match").alias("match"), F.count_if(F.col("match").isNull()).alias("asked")).withColumn("id", F.xxhash64("own"))
     flat = kept(flat.select("id", "own", "match", (F.col("asked") > 0).alias("asked")), "titles")
     words = flat.select("id", F.explode("own").alias("token"))
-    df = words.groupBy("token").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
+    df = words.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")  # a word of one title brings nobody together
+    rank, many = F.row_number().over(Window.partitionBy("id").orderBy("df", "token")), F.count("*").over(Window.partitionBy("id"))
     n = F.size("own")
-    rare = words.join(df, "token").withColumn("place", rank).join(flat.select("id", n.alias("n"), "match", "asked"), "id")
-    rare = rare.where(F.col("place") <= stats.prefix_length(F.col("n"), least)).select("id", "token", "n", "match", "asked", "place")
-    q = rare.where("asked").select(F.col("id").alias("q"), "token", F.col("n").alias("qn"), F.col("place").alias("i"))
-    m = rare.where("match IS NOT NULL").select(F.col("id").alias("m"), "token", F.col("n").alias("mn"), F.col("place").alias("j"))
+    marks = [set_bits(F.col("own"), i, TITLE_LONGS).alias(f"b{i}") for i in range(TITLE_LONGS)]
+    ranked = words.join(df, "token").select("id", "token", rank.alias("rank"), many.alias("many"))
+    rare = ranked.join(flat.select("id", n.alias("n"), "match", "asked", *marks), "id")
+    # Words of one title come first in the order by frequency; they are what is missing here.
+    rare = rare.withColumn("place", F.col("rank") + F.col("n") - F.col("many")).where(F.col("place") <= stats.prefix_length(F.col("n"), least))
+    q = rare.where("asked").select(F.col("id").alias("q"), "token", F.col("n").alias("qn"), F.col("place").alias("i"), *[F.col(f"b{i}").alias(f"q{i}") for i in range(TITLE_LONGS)])
+    m = rare.where("match IS NOT NULL").select(F.col("id").alias("m"), "token", F.col("n").alias("mn"), F.col("place").alias("j"), *[F.col(f"b{i}").alias(f"m{i}") for i in range(TITLE_LONGS)])
+    # Behind the first word in common there must be room for what is needed; pairs that first meet further back are none.
+    # Each bit of one title alone stands for a word of it alone, so most pairs end within the join.
     room = 1 + F.least(F.col("qn") - F.col("i"), F.col("mn") - F.col("j"))
     needed = F.ceil((F.col("qn") + F.col("mn")) * F.lit(least / (1 + least)) - 1e-9)
-    pairs = q.join(m, "token").where(F.least("qn", "mn") >= F.greatest("qn", "mn") * F.lit(least) - 1e-9)
+    apart = functools.reduce(operator.add, [F.bit_count(F.col(f"q{i}").bitwiseXOR(F.col(f"m{i}"))) for i in range(TITLE_LONGS)])
+    pairs = q.join(m, "token").where((room >= needed) & (F.col("qn") + F.col("mn") - apart >= 2 * needed) & (F.least("qn", "mn") >= F.greatest("qn", "mn") * F.lit(least) - 1e-9))
     if others:
         pairs = pairs.where("q <> m")
-    pairs = pairs.groupBy("q", "m").agg(F.max(room + F.least("i", "j") - 1).alias("most"), F.first(needed).alias("needed")).where("most >= needed").select("q", "m")
+    pairs = pairs.select("q", "m").distinct()
     a, b = flat.select(F.col("id").alias("q"), F.col("own").alias("asked_")), flat.select(F.col("id").alias("m"), F.col("own").alias("held_"), "match")
     both = pairs.join(a, "q").join(b, "m").select("q", "match", F.size(F.array_intersect("asked_", "held_")).alias("shared"), stats.set_jaccard(F.col("asked_"), F.col("held_")).alias("jaccard"))
     best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("shared"), F.desc("jaccard"), "match"))

@@ -278,3 +278,16 @@ def test_long_titles_of_few_syllables_do_not_all_meet(spark):
     # Nearly all pairs share their rare grams; few have counts that allow the ratio.
     texts = spark.createDataFrame(list(enumerate(form)), "key long, norm string")
     assert sequences._near(texts).count() < 2 * len(want)
+
+
+def test_bits_of_two_titles_differ_in_as_many_words_at_most(spark):
+    from corpusmill.operators import simjoin
+
+    rng = random.Random(3)
+    sets = [[rng.randrange(-(1 << 63), 1 << 63) for _ in range(rng.randrange(0, 90))] for _ in range(30)]
+    sets += [s[:-3] + [1, 2] for s in sets[:10] if len(s) > 3]
+    table = spark.createDataFrame(list(enumerate(sets)), "i int, own array<long>")
+    got = table.select("i", *[simjoin.set_bits(F.col("own"), i, 3).alias(f"b{i}") for i in range(3)]).orderBy("i").collect()
+    bits = [[x & (1 << 64) - 1 for x in row[1:]] for row in got]
+    assert all(sum(map(int.bit_count, row)) <= len(set(s)) and (not s or any(row)) for row, s in zip(bits, sets))
+    assert all(sum((x ^ y).bit_count() for x, y in zip(bits[i], bits[j])) <= len(set(a) ^ set(b)) for i, a in enumerate(sets) for j, b in enumerate(sets))
