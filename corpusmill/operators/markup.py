@@ -73,6 +73,12 @@ def html_nodes(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(run, NODE)
 
 
+def _by_page(nodes: DataFrame) -> DataFrame:
+    """The side of a join that both sides are sorted for.  Elements lie packed in files that are far smaller than their
+    rows; by the files' size Spark takes millions of them for few and sends them through the driver."""
+    return nodes.hint("merge")
+
+
 def inside(nodes: DataFrame, ancestors: DataFrame) -> DataFrame:
     """Nodes of a page that stand inside one of the given nodes.
 
@@ -107,9 +113,9 @@ def text_of(nodes: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     page = nodes.where(shown.isNotNull()).groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda x: x["text"]), " ").alias("all"))
     starts = places.select("page_id", "node_id", "last_id", (F.col("end") - F.col("size")).alias("begin"))
     if asked is not None:
-        starts = starts.join(asked.select("page_id", "node_id"), ["page_id", "node_id"], "left_semi")
-    whole = starts.join(places.select("page_id", F.col("node_id").alias("last_id"), "end"), ["page_id", "last_id"]).where(F.col("end") > F.col("begin"))
-    return whole.join(page, "page_id").select("page_id", "node_id", F.substr("all", F.col("begin").cast("int") + 1, (F.col("end") - F.col("begin") - 1).cast("int")).alias("whole"))
+        starts = starts.join(_by_page(asked.select("page_id", "node_id")), ["page_id", "node_id"], "left_semi")
+    whole = starts.join(_by_page(places.select("page_id", F.col("node_id").alias("last_id"), "end")), ["page_id", "last_id"]).where(F.col("end") > F.col("begin"))
+    return whole.join(_by_page(page), "page_id").select("page_id", "node_id", F.substr("all", F.col("begin").cast("int") + 1, (F.col("end") - F.col("begin") - 1).cast("int")).alias("whole"))
 
 
 def step(nodes: DataFrame, simple: str) -> DataFrame:
@@ -133,7 +139,7 @@ def select(nodes: DataFrame, chain: str) -> DataFrame:
         if found is None:
             found = step(nodes, word)
         elif child:
-            found = step(nodes, word).join(found.select("page_id", F.col("node_id").alias("parent_id")), ["page_id", "parent_id"], "left_semi").select(*nodes.columns)
+            found = step(nodes, word).join(_by_page(found.select("page_id", F.col("node_id").alias("parent_id"))), ["page_id", "parent_id"], "left_semi").select(*nodes.columns)
         else:
             found = step(inside(nodes, found), word)
         child = False
@@ -249,15 +255,15 @@ def reference_items(nodes: DataFrame) -> DataFrame:
     section = by_id(nodes, "references")
     lists = inside(with_class(nodes.where("tag = 'ol'"), "references"), section)
     first = lists.groupBy("page_id").agg(F.min("node_id").alias("list"))
-    items = nodes.where("tag = 'li'").join(first, "page_id").where(F.col("parent_id") == F.col("list"))
+    items = nodes.where("tag = 'li'").join(_by_page(first), "page_id").where(F.col("parent_id") == F.col("list"))
     place = F.row_number().over(Window.partitionBy("page_id").orderBy("node_id"))
     at = lambda name: F.trim(F.coalesce(F.element_at("attrs", F.lit(name)), F.lit("")))
     items = items.select("page_id", "node_id", place.alias("position"), "elem_id", F.regexp_extract(F.coalesce("elem_id", F.lit("")), r"^ref-(\d+)$", 1).try_cast("int").alias("number"), F.lower(at("data-kind")).alias("kind"), at("data-id").alias("ref_id"))
     spans = with_class(nodes.where("tag = 'span'"), "ref-title")
-    own = holders(spans, nodes.join(items.select("page_id", "node_id"), ["page_id", "node_id"], "left_semi"))
+    own = holders(spans, nodes.join(_by_page(items.select("page_id", "node_id")), ["page_id", "node_id"], "left_semi"))
     title = own.groupBy("page_id", F.col("holder").alias("node_id")).agg(F.min("node_id").alias("span"))
-    title = title.join(text_of(nodes, spans).withColumnRenamed("node_id", "span"), ["page_id", "span"], "left")
-    return items.join(title.select("page_id", "node_id", F.col("whole").alias("title")), ["page_id", "node_id"], "left")
+    title = title.join(_by_page(text_of(nodes, spans).withColumnRenamed("node_id", "span")), ["page_id", "span"], "left")
+    return items.join(_by_page(title.select("page_id", "node_id", F.col("whole").alias("title"))), ["page_id", "node_id"], "left")
 
 
 def list_position_problems(items: DataFrame) -> DataFrame:
@@ -269,10 +275,10 @@ def list_position_problems(items: DataFrame) -> DataFrame:
 def citation_closure(items: DataFrame, links: DataFrame, section_nodes: DataFrame) -> DataFrame:
     """page_id, number, problem: items that are never cited outside the list (uncited), and numbers that are linked to
     but not listed (dangling)."""
-    outside = links.where("cited").join(section_nodes.select("page_id", "node_id"), ["page_id", "node_id"], "left_anti")
+    outside = links.where("cited").join(_by_page(section_nodes.select("page_id", "node_id")), ["page_id", "node_id"], "left_anti")
     listed = items.select("page_id", "number")
-    uncited = listed.where("number IS NOT NULL").join(outside.select("page_id", "number"), ["page_id", "number"], "left_anti").withColumn("problem", F.lit("uncited"))
-    dangling = links.select("page_id", "number").distinct().join(listed, ["page_id", "number"], "left_anti").withColumn("problem", F.lit("dangling"))
+    uncited = listed.where("number IS NOT NULL").join(_by_page(outside.select("page_id", "number")), ["page_id", "number"], "left_anti").withColumn("problem", F.lit("uncited"))
+    dangling = links.select("page_id", "number").distinct().join(_by_page(listed), ["page_id", "number"], "left_anti").withColumn("problem", F.lit("dangling"))
     return uncited.unionByName(dangling)
 
 
@@ -280,8 +286,8 @@ def item_links(nodes: DataFrame, items: DataFrame) -> DataFrame:
     """page_id, node_id, links (in order) of list items."""
     href = F.element_at("attrs", F.lit("href"))
     links = nodes.where((F.col("tag") == "a") & href.isNotNull())
-    at = holders(links, nodes.join(items.select("page_id", "node_id"), ["page_id", "node_id"], "left_semi"))
-    own = at.join(links.select("page_id", "node_id", href.alias("href")), ["page_id", "node_id"]).select("page_id", F.col("holder").alias("node_id"), F.col("node_id").alias("at"), "href")
+    at = holders(links, nodes.join(_by_page(items.select("page_id", "node_id")), ["page_id", "node_id"], "left_semi"))
+    own = at.join(_by_page(links.select("page_id", "node_id", href.alias("href"))), ["page_id", "node_id"]).select("page_id", F.col("holder").alias("node_id"), F.col("node_id").alias("at"), "href")
     return own.groupBy("page_id", "node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "href"))), lambda x: x["href"]).alias("links"))
 
 
