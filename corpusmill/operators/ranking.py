@@ -87,16 +87,28 @@ def twister_shuffle(rows: DataFrame, group: str, id_: str, seed: int, k: int) ->
     return ranks.at(_drawn(ranks.sizes(), lambda n: _shuffled(n, seed, k)))
 
 
+#: Terms that a task counts at a time, beyond those of one row.
+TERMS = 1 << 20
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in stretches of rows with about ``TERMS`` terms, whatever the length of its lists."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("terms")), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(batch):
+        before = ends[at - 1] if at else 0
+        upto = max(int(np.searchsorted(ends, before + TERMS, "right")), at + 1)
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def _least_of_batch(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
     """grp, term, n and the k least ids of the terms of a batch."""
-    lists = batch.column("terms")
-    owner = np.repeat(np.arange(len(batch)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-    flat = pa.table({"grp": batch.column("grp").take(pa.array(owner)), "term": lists.flatten(), "id": batch.column("id").take(pa.array(owner))})
-    coded = [c.combine_chunks().dictionary_encode("encode") for c in (flat.column("grp"), flat.column("term"))]
-    key = np.zeros(len(flat), np.int64)
-    for c in coded:
-        key = key * (len(c.dictionary) or 1) + c.indices.to_numpy(zero_copy_only=False)
-    ids = flat.column("id").to_numpy()
+    lists, groups = batch.column("terms"), batch.column("grp").dictionary_encode("encode")
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    terms = lists.flatten().dictionary_encode("encode")
+    key = np.repeat(groups.indices.to_numpy(zero_copy_only=False).astype(np.int64) * (len(terms.dictionary) or 1), size) + terms.indices.to_numpy(zero_copy_only=False)
+    ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), size)
     order = np.lexsort((ids, key))
     key, ids = key[order], ids[order]
     fresh = np.append(True, key[1:] != key[:-1])[: len(key)]
@@ -107,19 +119,20 @@ def _least_of_batch(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
     repeated = np.append(False, place[1:] == place[:-1])[: len(key)]
     kept = ~repeated & (place - np.repeat(place[first], size) < k)
     offsets = np.append(0, np.cumsum(np.add.reduceat(kept, first) if len(first) else kept)).astype(np.int32)
-    at = pa.array(order[first])
-    return pa.RecordBatch.from_arrays([flat.column("grp").take(at).combine_chunks(), flat.column("term").take(at).combine_chunks(), pa.array(size), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[kept]))], ["grp", "term", "n", "ids"])
+    grp, term = np.divmod(key[first], len(terms.dictionary) or 1)
+    return pa.RecordBatch.from_arrays([groups.dictionary.take(pa.array(grp)), terms.dictionary.take(pa.array(term)), pa.array(size), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[kept]))], ["grp", "term", "n", "ids"])
 
 
 def least_per_term(rows: DataFrame, k: int) -> DataFrame:
     """grp, term, n, ids: how many rows of a group have each of their ``terms`` (an array), and the k least ids of these.
 
-    rows: grp (string), id, terms.  One aggregation: a batch counts its terms and keeps k ids of each before anything is
-    shuffled, so a frequent term moves k ids a batch and not its rows."""
+    rows: grp (string), id, terms.  One aggregation: a stretch of rows, bounded in terms, counts these and keeps k ids of
+    each before anything is shuffled, so a frequent term moves k ids a stretch and not its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _least_of_batch(batch, k)
+            for rows in _slices(batch):
+                yield _least_of_batch(rows, k)
 
     part = rows.select(F.col("grp").cast("string"), F.col("id").cast("long"), "terms").where("id IS NOT NULL").mapInArrow(run, "grp string, term string, n long, ids array<long>")
     least = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k)

@@ -291,3 +291,25 @@ def test_bits_of_two_titles_differ_in_as_many_words_at_most(spark):
     bits = [[x & (1 << 64) - 1 for x in row[1:]] for row in got]
     assert all(sum(map(int.bit_count, row)) <= len(set(s)) and (not s or any(row)) for row, s in zip(bits, sets))
     assert all(sum((x ^ y).bit_count() for x, y in zip(bits[i], bits[j])) <= len(set(a) ^ set(b)) for i, a in enumerate(sets) for j, b in enumerate(sets))
+
+
+def test_terms_are_counted_in_stretches_of_bounded_size(spark, monkeypatch):
+    import pyarrow as pa
+
+    from corpusmill.operators import ranking
+
+    batch = pa.RecordBatch.from_pydict({"grp": ["a", None, "b", "a"] * 5, "id": list(range(20)), "terms": [[f"t{j}" for j in range(i)] if i % 7 else None for i in range(20)]})
+    monkeypatch.setattr(ranking, "TERMS", 16)
+    parts = list(ranking._slices(batch))
+    assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+    assert all(len(p) == 1 or sum(len(t or ()) for t in p.column("terms").to_pylist()) <= 16 for p in parts) and len(parts) > 8
+    whole = ranking._least_of_batch(batch, 3).to_pylist()
+    assert {(r["grp"], r["term"]): (r["n"], r["ids"]) for r in whole}[(None, "t0")] == (5 - 0, [1, 5, 9])
+
+
+def test_joins_by_page_send_nothing_through_the_driver(spark):
+    nodes = markup.html_nodes(spark.createDataFrame([(1, '<section id="references"><ol class="references"><li id="ref-1"><span class="ref-title">T</span><a href="x">l</a></li></ol></section>')], "page_id long, html string"))
+    items = markup.reference_items(nodes)
+    found = items.join(markup.item_links(nodes, items).hint("merge"), ["page_id", "node_id"], "left")
+    assert found.select("title", "links").collect() == [("T", ["x"])]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
