@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import operator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ from ..deploy import kept
 from ..functions import stats
 
 
-#: Longs of the bits that stand for a title's words.
-TITLE_LONGS = 3
+#: Longs of the bits that stand for a title's words, and for those of a whole text.
+TITLE_LONGS, SET_LONGS = 3, 4
 
 
 def set_bits(hashes: Column, part: int, parts: int) -> Column:
@@ -31,6 +33,34 @@ def token_sets(rows: DataFrame, id_: str, tokens: str) -> DataFrame:
     return flat.join(df, "token").groupBy(id_).agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("set"))
 
 
+#: Rows whose tokens are counted for the order, and tokens that the order knows as frequent.
+SAMPLE, FREQUENT = 16_384, 65_536
+
+
+def frequent_tokens(rows: DataFrame, id_: str) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that a sample of the sets has most often, ascending, and how often.  They only order tokens: any order
+    gives the same matches, a good one fewer pairs."""
+    parts = max(1, rows.count() // SAMPLE)
+    flat = rows.where(F.pmod(F.xxhash64(id_), F.lit(parts)) == 0).select(F.explode("set").alias("token"))
+    top = flat.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").orderBy(F.desc("df"), "token").limit(FREQUENT).toPandas().sort_values("token")
+    return top["token"].to_numpy(np.int64), top["df"].to_numpy(np.int64)
+
+
+def rarest_first(sets: Column, order: tuple[np.ndarray, np.ndarray]) -> Column:
+    """Sets of hashes by rising frequency, then by hash; one order for all rows, without a shuffle."""
+    tokens, df = (np.append(x, last) for x, last in zip(order, (np.iinfo(np.int64).max, 0)))
+
+    def run(s: pd.Series) -> pd.Series:
+        out = []
+        for x in s:
+            x = np.asarray(x, np.int64)
+            at = np.searchsorted(tokens, x)
+            out.append(x[np.lexsort((x, np.where(tokens[at] == x, df[at], 0)))])
+        return pd.Series(out)
+
+    return F.pandas_udf(run, "array<long>")(sets)
+
+
 def near_matches(sets: DataFrame, queries: DataFrame, id_: str, threshold: float, both: bool = False, asked: DataFrame | None = None) -> DataFrame:
     """query, match, jaccard of the best match of each query with another set, ties to the smaller id.
 
@@ -42,10 +72,12 @@ def near_matches(sets: DataFrame, queries: DataFrame, id_: str, threshold: float
     size = F.size("set")
 
     def prefixes(rows: DataFrame) -> DataFrame:
-        return rows.select(F.col(id_).alias("match"), size.alias("m"), F.posexplode(F.slice("set", F.lit(1), stats.prefix_length(size, threshold))).alias("j", "token"))
+        marks = [set_bits(F.col("set"), i, SET_LONGS).alias(f"b{i}") for i in range(SET_LONGS)]
+        rows = rows.select(F.col(id_).alias("match"), size.alias("m"), *marks, F.slice("set", F.lit(1), stats.prefix_length(size, threshold)).alias("least"))
+        return rows.select("match", "m", *[f"b{i}" for i in range(SET_LONGS)], F.posexplode("least").alias("j", "token"))
 
     prefix, asked = prefixes(sets), sets if asked is None else asked
-    probes = prefixes(asked).withColumnsRenamed({"match": "query", "m": "n", "j": "i"})
+    probes = prefixes(asked).withColumnsRenamed({"match": "query", "m": "n", "j": "i"} | {f"b{i}": f"q{i}" for i in range(SET_LONGS)})
     if both:
         fits = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("query") < F.col("match")))
     else:
@@ -56,8 +88,13 @@ def near_matches(sets: DataFrame, queries: DataFrame, id_: str, threshold: float
     needed = F.ceil((n + m) * F.lit(threshold / (1 + threshold)) - 1e-9)
     left = 1 + F.least(n - F.col("i") - 1, m - F.col("j") - 1)
     pairs = probes.join(prefix, "token").where(fits & (F.least(n, m) >= F.greatest(n, m) * F.lit(threshold) - 1e-9))
-    pairs = pairs.groupBy("query", "match", "n", "m").agg(F.min(left + F.least("i", "j")).alias("most")).where(F.col("most") >= needed).select("query", "match")
-    a, b = asked.select(F.col(id_).alias("query"), F.col("set").alias("qs")), sets.select(F.col(id_).alias("match"), F.col("set").alias("ms"))
+    # Behind the first one there must be room for what is needed: what meets further back alone never leaves the join.
+    apart = functools.reduce(operator.add, [F.bit_count(F.col(f"q{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(SET_LONGS)])
+    pairs = pairs.where((left >= needed) & (n + m - apart >= 2 * needed)).groupBy("query", "match", "n", "m").agg(F.min(left + F.least("i", "j")).alias("most")).where(F.col("most") >= needed).select("query", "match")
+    pairs = kept(pairs, "near-pairs")
+    # Sets that no pair names are not moved.
+    a = asked.join(kept(pairs.select(F.col("query").alias(id_)).distinct(), "near-queries"), id_, "left_semi").select(F.col(id_).alias("query"), F.col("set").alias("qs"))
+    b = sets.join(kept(pairs.select(F.col("match").alias(id_)).distinct(), "near-named"), id_, "left_semi").select(F.col(id_).alias("match"), F.col("set").alias("ms"))
     scored = pairs.join(a, "query").join(b, "match").select("query", "match", stats.set_jaccard(F.col("qs"), F.col("ms")).alias("jaccard")).where(F.col("jaccard") >= threshold)
     if both:
         way = F.explode(F.array(F.struct("query", "match"), F.struct(F.col("match").alias("query"), F.col("query").alias("match")))).alias("w")
@@ -69,9 +106,12 @@ def best_matches(rows: DataFrame, id_: str, norm: str, tokens: str, threshold: f
     """query, match, how, jaccard: for each row the first row of the same normalised text, or else the nearest text.
 
     Equal texts are one from the start: near matching sees each distinct text once."""
-    distinct = rows.groupBy(norm).agg(F.min(id_).alias(id_), F.min_by(tokens, id_).alias(tokens))
-    exact = rows.join(distinct.select(norm, F.col(id_).alias("first")), norm)
-    sets = token_sets(distinct, id_, tokens)
+    rows = rows.select(id_, F.sha2(norm, 256).alias("same"), F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t))).alias("set"))
+    order = frequent_tokens(rows.select(id_, "set"), id_)
+    first = rows.groupBy("same").agg(F.min(id_).alias("first"))
+    exact = kept(rows.select(id_, "same").join(first, "same").select(id_, "first"), "near-exact")
+    again = kept(exact.where(F.col(id_) != F.col("first")).select(id_), "near-again")
+    sets = kept(rows.join(again, id_, "left_anti").select(id_, rarest_first(F.col("set"), order).alias("set")), "near-sets")
     near = near_matches(sets, sets.where(F.size("set") >= least_tokens), id_, threshold, both=True)
     out = exact.where(F.col(id_) != F.col("first")).select(F.col(id_).alias("query"), F.col("first").alias("match"), F.lit("exact").alias("how"), F.lit(1.0).alias("jaccard"))
     return out.unionByName(near.select("query", "match", F.lit("near").alias("how"), "jaccard"))

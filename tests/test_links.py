@@ -313,3 +313,16 @@ def test_joins_by_page_send_nothing_through_the_driver(spark):
     found = items.join(markup.item_links(nodes, items).hint("merge"), ["page_id", "node_id"], "left")
     assert found.select("title", "links").collect() == [("T", ["x"])]
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sets_are_ordered_alike_whatever_the_sample(spark):
+    import numpy as np
+
+    from corpusmill.operators import simjoin
+
+    table = spark.createDataFrame([(1, [5, -7, 9]), (2, [9, 5]), (3, [9]), (4, [])], "id long, set array<long>")
+    order = simjoin.frequent_tokens(table, "id")
+    assert [x.tolist() for x in order] == [[5, 9], [2, 3]]
+    for known in (order, (np.zeros(0, np.int64), np.zeros(0, np.int64))):
+        got = [r[0] for r in table.select("id", simjoin.rarest_first(F.col("set"), known).alias("s")).orderBy("id").select("s").collect()]
+        assert got == ([[-7, 5, 9], [5, 9], [9], []])
