@@ -159,6 +159,19 @@ def resources(html: Column) -> Column:
     return F.concat(F.regexp_extract_all(html, F.lit(r'src="([^"]*)"'), F.lit(1)), F.regexp_extract_all(html, F.lit(r"url\(['\"]?([^'\")]+)"), F.lit(1)))
 
 
+def elements(html: Column) -> Column:
+    """How many elements begin in a piece of HTML."""
+    return F.regexp_count(html, F.lit("<[a-zA-Z]"))
+
+
+def plain_text(html: Column) -> Column:
+    """A piece of HTML with a space for each tag, white space collapsed, and quotes and ampersands put in for their references.
+    A reference to a quote that has no semicolon, as where a text was cut, stays as it is."""
+    out = F.regexp_replace(F.regexp_replace(html, "<[^>]*>", " "), "[\\t\\n\\f\\r ]+", " ")
+    out = F.regexp_replace(out, r"\A\p{Zs}+|\p{Zs}+\z", "")
+    return F.regexp_replace(F.replace(out, F.lit("&quot;"), F.lit('"')), "&amp;?", "&")
+
+
 def sections(text: Column, marker: str = r"\n(?=## )") -> Column:
     """Parts of a text that begin with a heading."""
     return F.split(text, marker)

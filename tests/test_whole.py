@@ -1,9 +1,10 @@
 """Queries do the whole job: no row, key or label is left aside."""
 
-from conftest import SF
+import duckdb
+from conftest import SF, rows_of
 from pyspark.sql import functions as F
 
-from corpusmill.plans import flows, labels, records
+from corpusmill.plans import flows, labels, pages, records
 
 
 def test_retag(spark, duck, tmp_path):
@@ -37,3 +38,18 @@ def test_parsed_key(spark, duck):
 def test_supplement(spark, duck):
     got = sorted(tuple(r) for r in flows._supplemented(spark, SF).collect())
     assert got == duck.sql("SELECT o_orderkey, o_orderstatus FROM orders ORDER BY 1").fetchall() and len(got) > 100
+
+
+def test_article_text(spark, tmp_path):
+    """Against its SQL, on cut references, odd spaces, empty, open, nested and several articles, and repeated page ids."""
+    inner = ["<h1>t = &quot</h1><p>a &quot;b&quot; &amp c &amp;amp; &amp;quot; &lt;x&gt; &copy; &#38; & &am</p>", "", "words", "<br>", "a<br>b <i>c</i> d<p>e<b>f</b>g</p>", " \xa0\u2003 x\x0by\xa0\n\f z\u3000", "<script>var a = '<p>';</script><!-- <b> -->x < y", "<article>a</article>b"]
+    html = [f"<html><body><p>0</p><article>{x}</article><p>after</p></body></html>" for x in inner]
+    html += ["<article>open <b>x", "<article>one<p></p></article><i></i><article>two</article>", "<article class='a'>x</article>", "<ARTICLE>x</ARTICLE>", "no article", "", None, "<article>x\n"]
+    rows = [*enumerate(html), (0, html[2]), (None, html[0])]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = pages.html_article_text(spark, str(tmp_path))
+    assert dict(got.dtypes) == {"page_id": "bigint", "node_id": "int", "whole": "string", "nodes": "bigint"}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(pages.registry.sql["html_article_text"]).df()
+    assert rows_of(got.toPandas()) == rows_of(want) and len(want) == 13
