@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import functools
 import operator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,23 +63,111 @@ def rarest_first(sets: Column, order: tuple[np.ndarray, np.ndarray]) -> Column:
     return F.pandas_udf(run, "array<long>")(sets)
 
 
+def _bits(sets: pd.Series, sizes: Callable[[int], int]) -> Iterator[np.ndarray]:
+    """For each set as many bits as ``sizes`` gives for its size, a power of two; each hash sets one."""
+    for x in sets:
+        bits = np.zeros(sizes(len(x)), np.uint8)
+        bits[np.asarray(x, np.int64) & (len(bits) - 1)] = 1
+        yield np.packbits(bits)
+
+
+def marked(rows: DataFrame) -> DataFrame:
+    """rows with marks, a few longs of bits of each set, and sketch, bits by the next power of two at or above its size."""
+    marks = F.pandas_udf(lambda s: pd.Series([x.view(np.int64) for x in _bits(s, lambda n: 64 * SET_LONGS)], dtype=object), "array<long>")
+    sketch = F.pandas_udf(lambda s: pd.Series([x.tobytes() for x in _bits(s, lambda n: max(64, 1 << max(0, n - 1).bit_length()))], dtype=object), "binary")
+    return rows.select("*", marks("set").alias("marks"), sketch("set").alias("sketch"))
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, the larger one folded to the size of the other: at most as many as elements in
+    which the two sets differ, whatever their size."""
+    x, y = (np.frombuffer(v, np.uint8) for v in sorted((a, b), key=len))
+    return int(np.bitwise_count(x ^ np.bitwise_or.reduce(y.reshape(-1, len(x)))).sum())
+
+
+def sketches_apart(a: Column, b: Column) -> Column:
+    return F.pandas_udf(lambda x, y: pd.Series([bits_apart(*v) for v in zip(x, y)], dtype="int32"), "int")(a, b)
+
+
+#: Hashes in a block of sets, and what a set counts for at least.
+BLOCK, LEAST = 1 << 20, 512
+
+
+def cells(pairs: DataFrame, aside: bool) -> DataFrame:
+    """query, match, cell of pairs with sizes n and m; ``aside`` if queries are not among the sets searched.
+
+    Near copies of one text mostly name the same least id, their home.  A home's sets are dealt to blocks of bounded size;
+    a cell is two blocks, or one.  So a set moves once for each block that its matches are in, not once a pair."""
+    node = lambda id_, side: F.struct(F.lit(side).alias("side"), F.col(id_).alias("id"))
+    q, m = node("query", aside), node("match", False)
+    ends = F.array(F.struct(q.alias("node"), F.col("n").alias("size"), m.alias("other")), F.struct(m.alias("node"), F.col("m").alias("size"), q.alias("other")))
+    homes = pairs.select(F.explode(ends).alias("e")).select("e.*").groupBy("node").agg(F.max("size").alias("size"), F.min("other").alias("other"))
+    homes = kept(homes.select("node", "size", F.least("node", "other").alias("home")), "near-homes")
+    parts = homes.groupBy("home").agg(F.ceil(F.sum(F.greatest("size", F.lit(LEAST))) / BLOCK).alias("parts"))
+    block = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts")))
+    blocks = kept(homes.join(parts, "home").select("node", block.alias("block")), "near-blocks")
+    own = lambda side, name, as_: blocks.where(F.col("node.side") == side).select(F.col("node.id").alias(name), F.col("block").alias(as_))
+    placed = pairs.join(own(aside, "query", "x"), "query").join(own(False, "match", "y"), "match")
+    return kept(placed.select("query", "match", F.xxhash64(F.least("x", "y"), F.greatest("x", "y")).alias("cell")), "near-cells")
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """query, match, jaccard of the pairs of each cell; its sets come before them, and are held while it lasts."""
+    at, held = None, {}
+    for batch in batches:
+        col = {n: batch.column(n) for n in batch.schema.names}
+        cell, side, set_ = col["cell"].to_numpy(), col["side"].to_pylist(), col["set"]
+        ids, match = col["id"].to_pylist(), col["match"].to_pylist()
+        ends, hashes, found = np.asarray(set_.offsets), np.asarray(set_.values), []
+        for i, (is_pair, c) in enumerate(zip(col["pair"].to_pylist(), cell)):
+            if c != at:
+                at, held = c, {}
+            if not is_pair:
+                held[side[i], ids[i]] = np.sort(hashes[ends[i] : ends[i + 1]])
+                continue
+            a, b = held[side[i], ids[i]], held[False, match[i]]
+            both = np.concatenate((a, b))
+            both.sort(kind="stable")
+            shared = int(np.count_nonzero(both[1:] == both[:-1]))
+            found.append((ids[i], match[i], shared / (len(both) - shared)))
+        q, m, j = zip(*found) if found else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(q, col["id"].type), pa.array(m, col["match"].type), pa.array(j, pa.float64())], ["query", "match", "jaccard"])
+
+
+def compared(pairs: DataFrame, sets: DataFrame, asked: DataFrame | None, id_: str) -> DataFrame:
+    """query, match, jaccard of pairs with sizes n and m, each compared once on the two sets of hashes."""
+    aside = asked is not None
+    placed = cells(pairs, aside)
+    ends = F.array(F.struct(F.lit(aside).alias("side"), F.col("query").alias(id_)), F.struct(F.lit(False).alias("side"), F.col("match").alias(id_)))
+    moves = kept(placed.select("cell", F.explode(ends).alias("e")).select("cell", "e.*").distinct(), "near-moves")
+    every = sets.select(F.lit(False).alias("side"), id_, "set")
+    if aside:
+        every = every.unionByName(asked.select(F.lit(True).alias("side"), id_, "set"))
+    kind = dict(sets.dtypes)[id_]
+    rows = every.join(moves, ["side", id_]).select("cell", F.lit(False).alias("pair"), "side", F.col(id_).alias("id"), F.lit(None).cast(kind).alias("match"), "set")
+    rows = rows.unionByName(placed.select("cell", F.lit(True).alias("pair"), F.lit(aside).alias("side"), F.col("query").alias("id"), "match", F.lit(None).cast("array<long>").alias("set")))
+    return rows.repartition("cell").sortWithinPartitions("cell", "pair").mapInArrow(_compare, f"query {kind}, match {kind}, jaccard double")
+
+
 def near_matches(sets: DataFrame, queries: DataFrame, id_: str, threshold: float, both: bool = False, asked: DataFrame | None = None) -> DataFrame:
-    """query, match, jaccard of the best match of each query with another set, ties to the smaller id.
+    """query, match, jaccard of the best match of each query with another set, ties to the smaller id; sets are ``marked``.
 
     Two sets at the threshold share a token in their prefixes (the rarest n - ceil(t n) + 1).  A pair that meets at a
     token can only have what is left of both behind it in common, so its sizes and places must still allow the
-    threshold.  If every set is a query, ``both`` makes each pair once, the smaller set first, and counts it for both;
-    ``asked`` has the sets of the queries where they are not among those searched.  Each candidate pair is verified once,
-    on the two sets of hashes."""
-    size = F.size("set")
+    threshold, and so must sketches of bits, small ones within the join, then some that grow with the sets.  If every set
+    is a query, ``both`` makes each pair once, the smaller set first, and counts it for both; ``asked`` has the sets of the
+    queries where they are not among those searched.  Each pair that is left is verified once, on the two sets of hashes."""
+    size, longs = F.size("set"), range(SET_LONGS)
 
     def prefixes(rows: DataFrame) -> DataFrame:
-        marks = [set_bits(F.col("set"), i, SET_LONGS).alias(f"b{i}") for i in range(SET_LONGS)]
-        rows = rows.select(F.col(id_).alias("match"), size.alias("m"), *marks, F.slice("set", F.lit(1), stats.prefix_length(size, threshold)).alias("least"))
-        return rows.select("match", "m", *[f"b{i}" for i in range(SET_LONGS)], F.posexplode("least").alias("j", "token"))
-
-    prefix, asked = prefixes(sets), sets if asked is None else asked
-    probes = prefixes(asked).withColumnsRenamed({"match": "query", "m": "n", "j": "i"} | {f"b{i}": f"q{i}" for i in range(SET_LONGS)})
+        least = F.slice("set", F.lit(1), stats.prefix_length(size, threshold))
+        return rows.select(id_, size.alias("size"), *[F.get("marks", F.lit(i)).alias(f"b{i}") for i in longs], F.posexplode(least).alias("place", "token"))
+
+    # Both sides of one table rename all, so that they are one plan, which is shuffled once.
+    prefix = prefixes(sets)
+    probes = prefix if asked is None else prefixes(asked)
+    prefix = prefix.select(F.col(id_).alias("match"), F.col("size").alias("m"), *[F.col(f"b{i}").alias(f"m{i}") for i in longs], F.col("place").alias("j"), "token")
+    probes = probes.select(F.col(id_).alias("query"), F.col("size").alias("n"), *[F.col(f"b{i}").alias(f"q{i}") for i in longs], F.col("place").alias("i"), "token")
     if both:
         fits = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("query") < F.col("match")))
     else:
@@ -89,13 +179,15 @@ def near_matches(sets: DataFrame, queries: DataFrame, id_: str, threshold: float
     left = 1 + F.least(n - F.col("i") - 1, m - F.col("j") - 1)
     pairs = probes.join(prefix, "token").where(fits & (F.least(n, m) >= F.greatest(n, m) * F.lit(threshold) - 1e-9))
     # Behind the first one there must be room for what is needed: what meets further back alone never leaves the join.
-    apart = functools.reduce(operator.add, [F.bit_count(F.col(f"q{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(SET_LONGS)])
-    pairs = pairs.where((left >= needed) & (n + m - apart >= 2 * needed)).groupBy("query", "match", "n", "m").agg(F.min(left + F.least("i", "j")).alias("most")).where(F.col("most") >= needed).select("query", "match")
+    apart = functools.reduce(operator.add, [F.bit_count(F.col(f"q{i}").bitwiseXOR(F.col(f"m{i}"))) for i in longs])
+    pairs = pairs.where((left >= needed) & (n + m - apart >= 2 * needed)).groupBy("query", "match", "n", "m").agg(F.min(left + F.least("i", "j")).alias("most")).where(F.col("most") >= needed).select("query", "match", "n", "m")
     pairs = kept(pairs, "near-pairs")
-    # Sets that no pair names are not moved.
-    a = asked.join(kept(pairs.select(F.col("query").alias(id_)).distinct(), "near-queries"), id_, "left_semi").select(F.col(id_).alias("query"), F.col("set").alias("qs"))
-    b = sets.join(kept(pairs.select(F.col("match").alias(id_)).distinct(), "near-named"), id_, "left_semi").select(F.col(id_).alias("match"), F.col("set").alias("ms"))
-    scored = pairs.join(a, "query").join(b, "match").select("query", "match", stats.set_jaccard(F.col("qs"), F.col("ms")).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    # Large sets fill the small sketches; those of their own size move instead of the sets, an eighth of a byte an element.
+    own = sets.select(F.col(id_).alias("match"), F.col("sketch").alias("ms"))
+    asking = (sets if asked is None else asked).select(F.col(id_).alias("query"), F.col("sketch").alias("qs"))
+    pairs = pairs.join(asking, "query").join(own, "match").where(n + m - sketches_apart(F.col("qs"), F.col("ms")) >= 2 * needed)
+    pairs = kept(pairs.select("query", "match", "n", "m"), "near-likely")
+    scored = compared(pairs, sets, asked, id_).where(F.col("jaccard") >= threshold)
     if both:
         way = F.explode(F.array(F.struct("query", "match"), F.struct(F.col("match").alias("query"), F.col("query").alias("match")))).alias("w")
         scored = scored.select(way, "jaccard").select("w.*", "jaccard").join(queries.select(F.col(id_).alias("query")), "query", "left_semi")
@@ -108,10 +200,11 @@ def best_matches(rows: DataFrame, id_: str, norm: str, tokens: str, threshold: f
     Equal texts are one from the start: near matching sees each distinct text once."""
     rows = rows.select(id_, F.sha2(norm, 256).alias("same"), F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t))).alias("set"))
     order = frequent_tokens(rows.select(id_, "set"), id_)
-    first = rows.groupBy("same").agg(F.min(id_).alias("first"))
-    exact = kept(rows.select(id_, "same").join(first, "same").select(id_, "first"), "near-exact")
+    same = kept(rows.select(id_, "same"), "near-same")
+    first = same.groupBy("same").agg(F.min(id_).alias("first"))
+    exact = kept(same.join(first, "same").select(id_, "first"), "near-exact")
     again = kept(exact.where(F.col(id_) != F.col("first")).select(id_), "near-again")
-    sets = kept(rows.join(again, id_, "left_anti").select(id_, rarest_first(F.col("set"), order).alias("set")), "near-sets")
+    sets = kept(marked(rows.join(again, id_, "left_anti").select(id_, rarest_first(F.col("set"), order).alias("set"))), "near-sets")
     near = near_matches(sets, sets.where(F.size("set") >= least_tokens), id_, threshold, both=True)
     out = exact.where(F.col(id_) != F.col("first")).select(F.col(id_).alias("query"), F.col("first").alias("match"), F.lit("exact").alias("how"), F.lit(1.0).alias("jaccard"))
     return out.unionByName(near.select("query", "match", F.lit("near").alias("how"), "jaccard"))
@@ -124,7 +217,7 @@ def index_matches(index: DataFrame, queries: DataFrame, id_: str, norm: str, tok
     left = queries.join(known, norm, "left_anti")
     key = F.struct(F.col("asks"), F.col(id_)).alias("key")
     both = index.select(F.lit(False).alias("asks"), id_, tokens).unionByName(left.select(F.lit(True).alias("asks"), id_, tokens)).select(key, tokens)
-    sets = token_sets(both, "key", tokens).select("key.asks", F.col(f"key.{id_}").alias(id_), "set")
+    sets = marked(token_sets(both, "key", tokens).select("key.asks", F.col(f"key.{id_}").alias(id_), "set"))
     asked = sets.where(F.col("asks") & (F.size("set") >= least_tokens))
     near = near_matches(sets.where(~F.col("asks")), asked.select(id_), id_, threshold, asked=asked)
     return exact.unionByName(near.select("query", "match", F.lit("near").alias("how"), "jaccard"))

@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -101,6 +102,72 @@ def test_near_matches(spark):
     assert got == want
 
 
+def near_copies(rng, groups, sizes, share=0.06):
+    """(id, tokens): groups of near copies of random token sets, each with some of its tokens replaced."""
+    rows, fresh = [], iter(range(10**9))
+    for _ in range(groups):
+        base = [f"w{next(fresh)}" for _ in range(rng.choice(sizes))]
+        for _ in range(rng.randint(1, 9)):
+            rows.append((len(rows), [t if rng.random() > share else f"w{next(fresh)}" for t in base] + [f"c{rng.randrange(40)}" for _ in range(3)]))
+    return rows
+
+
+def best_of(query, index, threshold=0.8):
+    """id: (match, jaccard) by brute force, of the rows of other ids."""
+    best = {}
+    for i, t in query:
+        held = [(-len(set(t) & set(u)) / len(set(t) | set(u)), j) for j, u in index if i != j]
+        j, match = min(held)
+        if -j >= threshold and len(set(t)) >= 4:
+            best[i] = (match, round(-j, 9))
+    return best
+
+
+def test_pairs_are_compared_in_cells(spark, monkeypatch):
+    """Against brute force with sets of 1 to 900 tokens, by whole homes and by many small blocks; two tables with ids in
+    common."""
+    rng = random.Random(11)
+    rows = near_copies(rng, 30, [1, 2, 4, 9, 30, 63, 64, 65, 130, 900])
+    other = [(i, t[:-1] + ["y"]) for i, t in rng.sample(rows, 40)] + near_copies(rng, 3, [20])[:5]
+    other = list({i: (i, t) for i, t in other}.values())
+    frame = lambda x: spark.createDataFrame([(i, " ".join(t), t) for i, t in x], "id long, norm string, tokens array<string>")
+    found = lambda df: {r["query"]: (r["match"], round(r["jaccard"], 9)) for r in df.where("how = 'near'").collect()}
+    want, across = best_of(rows, rows), best_of(other, rows)
+    assert len(want) > 30 and len(across) > 10
+    for block, least in ((1 << 20, 512), (128, 1)):
+        monkeypatch.setattr(simjoin, "BLOCK", block)
+        monkeypatch.setattr(simjoin, "LEAST", least)
+        assert found(simjoin.best_matches(frame(rows), "id", "norm", "tokens")) == want
+    assert found(simjoin.index_matches(frame(rows), frame(other), "id", "norm", "tokens")) == across
+
+
+def test_near_copies_move_once(spark):
+    """The shuffle grows with the sets, not with the pairs: of near copies, and of large sets that share rare words alone."""
+
+    def written():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        time.sleep(0.5)
+        seen = sc.statusStore().executorList(False)
+        return sum(seen.apply(i).totalShuffleWrite() for i in range(seen.size()))
+
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(2000)]
+    rows = [(i, [t if rng.random() > 0.02 else f"x{i}-{k}" for k, t in enumerate(base)]) for i in range(60)]
+    rows += [(100 + i, [f"r{k}" for k in range(300)] + [f"u{i}-{k}" for k in range(1700)]) for i in range(60)]
+    frame = spark.createDataFrame([(i, " ".join(t), t) for i, t in rows], "id long, norm string, tokens array<string>").repartition(4).localCheckpoint()
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(limit, "-1")
+    try:
+        before = written()
+        got = {r["query"]: (r["match"], round(r["jaccard"], 9)) for r in simjoin.best_matches(frame, "id", "norm", "tokens").collect()}
+        moved = written() - before
+    finally:
+        spark.conf.unset(limit)
+    assert got == best_of(rows, rows) and set(got) == set(range(60))
+    assert moved < 6 * 8 * sum(len(t) for _, t in rows), moved
+
+
 def test_jsonl(spark, tmp_path):
     (tmp_path / "raw").mkdir()
     good = {"id": "1", "server": None, "window": "trailing", "date": "2025-01-02", "title": "t"}
