@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import operator
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,7 +17,7 @@ from ..functions import stats
 
 
 #: Longs of the bits that stand for a title's words, and for those of a whole text.
-TITLE_LONGS, SET_LONGS = 3, 4
+TITLE_LONGS, SET_LONGS = 3, 8
 
 
 def set_bits(hashes: Column, part: int, parts: int) -> Column:
@@ -63,18 +63,25 @@ def rarest_first(sets: Column, order: tuple[np.ndarray, np.ndarray]) -> Column:
     return F.pandas_udf(run, "array<long>")(sets)
 
 
-def _bits(sets: pd.Series, sizes: Callable[[int], int]) -> Iterator[np.ndarray]:
-    """For each set as many bits as ``sizes`` gives for its size, a power of two; each hash sets one."""
-    for x in sets:
-        bits = np.zeros(sizes(len(x)), np.uint8)
-        bits[np.asarray(x, np.int64) & (len(bits) - 1)] = 1
-        yield np.packbits(bits)
+def parities(x: np.ndarray) -> np.ndarray:
+    """A few longs of bits: whether an odd number of a set's hashes falls on each.  Of sets that have little in common half
+    of the bits differ, however large the sets; bits that are only set would fill up."""
+    odd = np.bincount(np.asarray(x, np.int64) & (64 * SET_LONGS - 1), minlength=64 * SET_LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def bits(x: np.ndarray) -> bytes:
+    """A bit for each hash of a set, of as many bits as the next power of two at or above its size, 64 at least."""
+    out = np.zeros(max(64, 1 << max(0, len(x) - 1).bit_length()), np.uint8)
+    out[np.asarray(x, np.int64) & (len(out) - 1)] = 1
+    return np.packbits(out).tobytes()
 
 
 def marked(rows: DataFrame) -> DataFrame:
-    """rows with marks, a few longs of bits of each set, and sketch, bits by the next power of two at or above its size."""
-    marks = F.pandas_udf(lambda s: pd.Series([x.view(np.int64) for x in _bits(s, lambda n: 64 * SET_LONGS)], dtype=object), "array<long>")
-    sketch = F.pandas_udf(lambda s: pd.Series([x.tobytes() for x in _bits(s, lambda n: max(64, 1 << max(0, n - 1).bit_length()))], dtype=object), "binary")
+    """rows with marks, the parities of each set, and sketch, its bits.  Two sets differ in as many elements at least as
+    either of them."""
+    marks = F.pandas_udf(lambda s: pd.Series([parities(x) for x in s], dtype=object), "array<long>")
+    sketch = F.pandas_udf(lambda s: pd.Series([bits(x) for x in s], dtype=object), "binary")
     return rows.select("*", marks("set").alias("marks"), sketch("set").alias("sketch"))
 
 
